@@ -6,20 +6,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, licenses, packing, token_counts, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    scored = toxicity.score(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(cut, docs.count())
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def edits():
+    """Three edits of each document, at places that follow from its id: a word put in, some characters taken out, some replaced."""
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+
+    def change(k: int, width: int, new: str):
+        at = F.pmod(F.xxhash64("doc_id", F.lit(k)), size + 1)
+        return F.struct(at.alias("start"), (at + width).alias("end"), F.lit(new).alias("new"))
+
+    return F.array(change(1, 0, " revised"), change(2, 20, ""), change(3, 5, "\n 2nd edition's"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("edits", edits())
+    counted = token_counts.count(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", F.sha2("text_edited", 256).alias("edited_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lower half of the ids is the history, the rest arrives."""
     docs = table(spark, sf_dir, "documents")
@@ -31,8 +58,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
