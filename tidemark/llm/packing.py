@@ -20,6 +20,11 @@ REMEMBERED = 700_000
 SHARD = 32_768
 
 
+#: How byte-level vocabularies write each byte: printable ones as themselves, the others, in order, from U+0100 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: chr(b) for b in PRINTABLE} | {b: chr(0x100 + k) for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
+
+
 class WordEncoder:
     """The ids of whole texts by a tokenizer file that lower-cases, drops white space and never joins words across it;
     so the words between spaces are encoded one by one and remembered."""
@@ -40,8 +45,9 @@ class WordEncoder:
         core = word[:-1]
         if word[-1] in ".," and core[-1:].isalpha():
             return self.words[core] + self.marks[word[-1]]
-        if word.isascii() and word.isalpha():  # neither the normalizer nor the splitter changes such a word
-            return np.array([x.id for x in self.merge(word)], "<u4").tobytes()
+        if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:  # composed Latin letters: the normalizer lower-cases them, the splitter keeps them together
+            spelled = word if word.isascii() else word.lower().encode().decode("latin-1").translate(BYTES)
+            return np.array([x.id for x in self.merge(spelled)], "<u4").tobytes()
         return self._encode(word)
 
     def encode(self, text: str) -> bytes:

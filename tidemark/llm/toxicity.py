@@ -135,10 +135,10 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(cut(one.select("doc_id", "toxic"))), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, least_docs: int = 3, significance: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, least_docs: int = 3, significance: float = 3.0, least_lean: float = 2.5) -> Model:
     """Token log-odds of toxic against clean labelled text with an informative Dirichlet prior: pseudo-counts in
-    proportion to the counts in all documents, together as many as there are toxic words. Features of significant toxic
-    leaning score their log-odds, all other words a small negative drift. Without labels of both kinds nothing is toxic."""
+    proportion to the counts in all documents, together a tenth as many as there are toxic words. Features whose toxic
+    leaning is significant and at least least_lean score their log-odds, all other words a small negative drift. Without labels of both kinds nothing is toxic."""
     counted = sample(docs, labels, most).select("text", "toxic").mapInArrow(_count, "feature string, toxic long, toxic_docs long, clean long")
     counts = cut(counted.groupBy("feature").agg(*[F.sum(x).alias(x) for x in ("toxic", "toxic_docs", "clean")]))
     every = counts.where("feature = ''").first()
@@ -147,13 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, least_docs: int
     ratio = 2 * every.toxic / every.clean
     rows = counts.where((F.col("feature") != "") & (F.col("toxic_docs") >= least_docs) & (F.col("toxic") >= ratio * (F.col("clean") + 0.5))).collect()
     corpus, size = _corpus_counts(docs, sorted(r.feature for r in rows))
-    strength = float(every.toxic)
+    strength = every.toxic / 10
     log_odds, hits, stray = {}, 0, 0.0
     for r in rows:
         prior = strength * max(corpus[r.feature], 1) / max(size, 1)
         t, c = r.toxic + prior, r.clean + prior
         lean = math.log(t / (every.toxic + strength - t)) - math.log(c / (every.clean + strength - c))
-        clear = lean > 0 and lean / math.sqrt(1 / t + 1 / c) >= significance
+        clear = lean >= least_lean and lean / math.sqrt(1 / t + 1 / c) >= significance
         log_odds[r.feature] = lean if clear else 0.0
         if clear and not r.feature.endswith("*"):
             hits += r.toxic
