@@ -88,8 +88,9 @@ class Rolling:
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
-            self.up = np.concatenate([[1], np.full(size - 1, self.base, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
-            self.down = np.concatenate([[1], np.full(size - 1, self.inverse, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
+            self.up, self.down = (np.full(size, x, np.uint64) for x in (self.base, self.inverse))
+            self.up[0] = self.down[0] = 1
+            self.up, self.down = np.cumprod(self.up, dtype=np.uint64), np.cumprod(self.down, dtype=np.uint64)
 
     def of(self, hashes: np.ndarray, n: int) -> np.ndarray:
         count = len(hashes) - n + 1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, packing, token_counts, toxicity
+from . import bpe, exact_dedup, licenses, line_dedup, packing, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def edits():
     """Three edits of each document, at places that follow from its id: a word put in, some characters taken out, some replaced."""
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
@@ -55,6 +59,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs.where(old), docs.where(~old), rows)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
@@ -62,8 +70,10 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL = {
@@ -72,4 +82,24 @@ SQL = {
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    "op7_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+        t AS (SELECT doc_id, k, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+        u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM t WHERE line <> ''),
+        w AS (SELECT doc_id, i, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM u),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS n FROM w WHERE b IS NOT NULL),
+        gone AS (SELECT DISTINCT u.doc_id, u.k FROM r JOIN u ON u.doc_id = r.doc_id AND u.i IN (r.i, r.i + 1) WHERE r.n > 1),
+        kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) AS text FROM l ANTI JOIN gone USING (doc_id, k) GROUP BY l.doc_id)
+        SELECT d.doc_id, (SELECT count(*) FROM u WHERE u.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM d WHERE len(words) >= 50),
+        w AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS own FROM s),
+        r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY own) AS low FROM w) WHERE low < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM r),
+        u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM u ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.words)::BIGINT AS n_words, (len(d.words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }
