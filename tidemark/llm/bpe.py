@@ -12,11 +12,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import SPACE_BEFORE_SPACE, Cache, texts
+from .common import SPACE_BEFORE_SPACE, texts
 
 NONE = 1 << 62
-#: Chunks whose ids a Python worker remembers; about 200 bytes each.
-REMEMBERED = 900_000
+#: Chunks whose ids a Python worker remembers; about 200 bytes each. Longer ones made of a remembered word and a mark aren't.
+REMEMBERED = 1_500_000
+SHORT = 6
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +35,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     size = 1 << (n - 1).bit_length()
     shift = size.bit_length()
+    low = (1 << shift) - 1
     get = ranks.get
     after = list(range(1, n + 1))  # where the part that starts here ends
     before = list(range(-1, n - 1))  # where the part before it starts
@@ -45,32 +47,31 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        while k > 1:
-            value = tree[k] if tree[k] < tree[k ^ 1] else tree[k ^ 1]
-            k >>= 1
-            if tree[k] == value:
-                return
-            tree[k] = value
-
-    while tree[1] < NONE:
-        left = tree[1] & ((1 << shift) - 1)
+    while tree[1] != NONE:
+        left = tree[1] & low
         right = after[left]
         end = after[left] = after[right]
-        put(right, NONE)
+        tree[size + right] = value = NONE
         if end < n:
             before[end] = left
             rank = get(piece[left : after[end]])
-            put(left, NONE if rank is None else rank << shift | left)
-        else:
-            put(left, NONE)
+            if rank is not None:
+                value = rank << shift | left
+        tree[size + left] = value
         first = before[left]
         if first >= 0:
             rank = get(piece[first:end])
-            put(first, NONE if rank is None else rank << shift | first)
+            tree[size + first] = NONE if rank is None else rank << shift | first
+        for k in (right, left, first) if first >= 0 else (right, left):
+            k = size + k >> 1
+            while k:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                if b < a:
+                    a = b
+                if tree[k] == a:
+                    break
+                tree[k] = a
+                k >>= 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -78,6 +79,31 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Chunks(dict):
+    """Ids, as little-endian unsigned 32-bit numbers, of chunks; forgets all when it holds too many."""
+
+    def __init__(self, encode, marks: str):
+        super().__init__()
+        self.encode = encode
+        self.marks = {x: encode(x) for x in marks}
+
+    def __missing__(self, chunk: str) -> bytes:
+        core, mark = chunk[:-1], chunk[-1:]
+        if mark in ".," and core[-1:].isalpha():
+            ids = self[core] + self.marks[mark]
+            if len(chunk) > SHORT:
+                return ids
+        else:
+            above, line, below = chunk.partition("\n")
+            if line and above and below and not above[-1].isspace() and not below[0].isspace():  # a match can't reach over such a line break
+                return self[above] + self.marks[line] + self[below]
+            ids = self.encode(chunk)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts and decodes ids. A space that a non-space follows always begins a match of the pattern when no
     white space follows a space, so such texts are cut there and the ids of each chunk are remembered."""
@@ -88,13 +114,9 @@ class Encoder:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.chunks = Cache(self._chunk, REMEMBERED)
-        self.marks = {x: self._chunk(x) for x in ".,"}
+        self.chunks = Chunks(self._encode, ".,\n")
 
-    def _chunk(self, chunk: str) -> bytes:
-        core = chunk[:-1]
-        if chunk[-1:] in (".", ",") and core[-1:].isalpha():
-            return self.chunks[core] + self.marks[chunk[-1]]
+    def _encode(self, chunk: str) -> bytes:
         ids = [x for piece in self.find(chunk) for x in merge(piece.encode(), self.ranks)]
         return np.array(ids, "<u4").tobytes()
 
