@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, cut, row_key, texts, unit_hashes, window_minima
+from .common import ROLLING, cut, row_key, saved, texts, unit_hashes, window_minima
 
 WINDOW = 50
 
@@ -27,28 +27,30 @@ def _anchors(window: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for own, doc_id, text in zip(batch.column("own").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            keep, whole, places, anchors = [], [], [], []
+            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True)):
                 found = words(text) if doc_id is not None else []
                 if len(found) >= window:
                     hashes = ROLLING[0].of(unit_hashes(found), half)
                     at = window_minima(hashes, window - half + 1)
-                    for column, value in zip(out, (np.full(len(at), own), np.full(len(at), doc_id), at, hashes[at].view(np.int64)), strict=True):
-                        column.append(value)
-            if out[0]:
-                own, doc_id, at, anchor = (np.concatenate(x).astype(np.int64) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(doc_id), pa.array(at.astype(np.int32)), pa.array(anchor)], ["own", "doc_id", "at", "anchor"])
+                    keep.append(k)
+                    whole.append(hashlib.blake2b(b" ".join(found), digest_size=16).digest())
+                    places.append(at.astype(np.int32))
+                    anchors.append(hashes[at].view(np.int64))
+            taken = batch.take(pa.array(keep, pa.int64()))
+            columns = [taken.column("own"), taken.column("doc_id"), pa.array(whole, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(anchors, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["own", "doc_id", "whole", "places", "anchors"])
 
     return find
 
 
 def _windows(window: int):
-    """Rabin-Karp hashes, two independent ones, of every window that holds one of the row's hits."""
+    """Rabin-Karp hashes, independent of the anchors', of every window that holds one of the row's hits."""
     half = (window + 1) // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for own, doc_id, text, hits in zip(*(batch.column(x).to_pylist() for x in ("own", "doc_id")), texts(batch), batch.column("hits").to_pylist(), strict=True):
                 hashes = unit_hashes(words(text))
                 near = np.zeros(len(hashes) - window + 2, np.int64)
@@ -56,29 +58,35 @@ def _windows(window: int):
                 np.add.at(near, np.clip(at - (window - half), 0, len(near) - 1), 1)
                 np.add.at(near, np.clip(at + 1, 0, len(near) - 1), -1)
                 starts = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                one, two = (x.of(hashes, window)[starts] for x in ROLLING)
-                for column, value in zip(out, (np.full(len(starts), own), np.full(len(starts), doc_id), starts, one.view(np.int64), two.view(np.int64)), strict=True):
+                for column, value in zip(out, (np.full(len(starts), own), np.full(len(starts), doc_id), starts, ROLLING[1].of(hashes, window)[starts].view(np.int64)), strict=True):
                     column.append(value)
             if out[0]:
-                own, doc_id, start, one, two = (np.concatenate(x).astype(np.int64) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(doc_id), pa.array(start.astype(np.int32)), pa.array(one), pa.array(two)], ["own", "doc_id", "start", "one", "two"])
+                own, doc_id, start, key = (np.concatenate(x).astype(np.int64) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(doc_id), pa.array(start.astype(np.int32)), pa.array(key)], ["own", "doc_id", "start", "key"])
 
     return find
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """own, starts: the windows of each row whose words also start in a row of smaller doc_id."""
-    keyed = docs.select(row_key("doc_id", "text").alias("own"), "doc_id", "text")
-    anchors = keyed.mapInArrow(_anchors(window), "own long, doc_id long, at int, anchor long")
-    often = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    hits = cut(anchors.join(often, "anchor").groupBy("own").agg(F.collect_set("at").alias("hits")))
+def repeated(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Of keyed (own, doc_id, text): own, whole (all of the row's words stand in this order in a row of smaller doc_id, and
+    they fill a window), starts (else: of its windows whose words also start in such a row).
+
+    Rows with equal words are told apart from the others first: only the smallest doc_id of each has its windows counted.
+    Then windows without a repeated anchor are left out, which can't repeat; all others are counted."""
+    rows = saved(keyed.mapInArrow(_anchors(window), "own long, doc_id long, whole binary, places array<int>, anchors array<long>"))
+    first = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "own")).alias("first")).select("whole", "first.*")
+    copies = rows.select("own", "doc_id", "whole").join(first.select("whole", F.col("doc_id").alias("low")), "whole").where("doc_id > low").select("own", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
+    anchors = rows.join(first.select("own"), "own", "left_semi").select("own", "doc_id", F.explode(F.arrays_zip("places", "anchors")).alias("x")).select("own", "doc_id", "x.places", "x.anchors")
+    often = anchors.groupBy("anchors").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchors")
+    hits = cut(anchors.join(often, "anchors").groupBy("own").agg(F.collect_set("places").alias("hits")))
     near = keyed.join(hits.hint("shuffle_hash"), "own")
-    windows = cut(near.mapInArrow(_windows(window), "own long, doc_id long, start int, one long, two long"))
-    first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return windows.join(first, ["one", "two"]).where("doc_id > first").groupBy("own").agg(F.collect_set("start").alias("starts"))
+    windows = near.mapInArrow(_windows(window), "own long, doc_id long, start int, key long")
+    lowest = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    later = windows.join(lowest, "key").where("doc_id > low").groupBy("own").agg(F.collect_set("start").alias("starts"))
+    return copies.unionByName(later.select("own", F.lit(False).alias("whole"), "starts"))
 
 
-def intervals(starts: list[int], window: int) -> list[tuple[int, int]]:
+def intervals(starts: Iterable[int], window: int) -> list[tuple[int, int]]:
     """The maximal runs of words that windows at these starts cover."""
     out: list[tuple[int, int]] = []
     for start in sorted(starts):
@@ -93,8 +101,10 @@ def _cut_words(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, starts in zip(texts(batch), batch.column("starts").to_pylist(), strict=True):
+            for text, whole, starts in zip(texts(batch), batch.column("whole").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 found, kept, at = words(text), [], 0
+                if whole:
+                    starts = range(len(found) - window + 1)
                 for start, end in intervals(starts or [], window):
                     kept += found[at:start]
                     at = end
@@ -115,5 +125,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words; rows without doc_id neither lose words nor cause a loss; rows that repeat doc_id and text lose the same words;
     repeats within a document stay."""
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"))
-    joined = keyed.join(repeated(docs, window).hint("shuffle_hash"), "own", "left").select("doc_id", "text", "starts")
+    joined = keyed.join(repeated(keyed, window).hint("shuffle_hash"), "own", "left").select("doc_id", "text", "whole", "starts")
     return joined.mapInArrow(_cut_words(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
