@@ -47,6 +47,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out anew, without regard to keys. Put between an aggregation and a join on its keys, it makes Spark shuffle
+    both sides for the join alone, and then adaptive execution can split the partition of a hot key."""
+    return df.repartition(partitions(df.sparkSession))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts, null as empty."""
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
