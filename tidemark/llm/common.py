@@ -6,6 +6,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,12 +135,29 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.unique(len(values) - 1 - (np.argmin(windows, axis=1) + np.arange(len(windows))))
 
 
-ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def lower_ascii(text: str) -> str:
     """A-Z only; str.lower() would change other letters too."""
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 SPACE_BEFORE_SPACE = re.compile(r" (?:\s|$)")
+
+
+def rewrite(docs: DataFrame, joined: DataFrame, change) -> DataFrame:
+    """docs with texts changed. joined: docs' columns and others that begin with two underscores; change(texts, batch) gives
+    the new texts of a batch of it. n_chars, where docs has it, follows; texts that stay as they are, null ones too, keep both."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column("text").to_pylist()
+            new = [x if y == (x or "") else y for x, y in zip(old, change(texts(batch), batch), strict=True)]
+            columns = [batch.column(x) for x in names]
+            columns[names.index("text")] = pa.array(new, batch.schema.field("text").type)
+            if "n_chars" in names:
+                field = batch.schema.field("n_chars").type
+                sizes = [n if x is y else len(y) for n, x, y in zip(batch.column("n_chars").to_pylist(), old, new, strict=True)]
+                columns[names.index("n_chars")] = pa.array(sizes, field)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(run, docs.schema)

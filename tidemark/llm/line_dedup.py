@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, cut, row_key, spread, texts, unit_hashes, window_minima
+from .common import ROLLING, cut, rewrite, row_key, spread, texts, unit_hashes, window_minima
 
 SPACE = " \t\n\v\f\r"
 
@@ -78,25 +78,24 @@ def repeated(docs: DataFrame, run: int = 2) -> DataFrame:
     return later.groupBy("own").agg(F.collect_list("start").alias("starts"))
 
 
-def _cut_lines(run: int, names: list[str]):
+def without(text: str, starts: list[int] | None, run: int) -> tuple[str, int, int]:
+    """The text without the lines of the runs that start at these places, how many lines it had, and how many go."""
+    lines, places, _ = split_lines(text)
+    gone = {places[x + k] for x in starts or [] for k in range(run)}
+    return text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(places), len(gone)
+
+
+def _report(run: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, starts in zip(texts(batch), batch.column("starts").to_pylist(), strict=True):
-                lines, places, _ = split_lines(text)
-                gone = {places[x + k] for x in starts or [] for k in range(run)}
-                kept = text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)
-                for column, value in zip(out, (len(places), len(gone), kept, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]], names)
+            out = [without(text, starts, run) for text, starts in zip(texts(batch), batch.column("starts").to_pylist(), strict=True)]
+            digests = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x, _, _ in out]
+            columns = [pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[0] for x in out], pa.string()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_lines", "n_removed", "kept_text", "kept_sha256"])
 
     return remove
 
 
-COLUMNS = ["doc_id", "n_lines", "n_removed", "kept_text", "kept_sha256"]
-
-
 def line_dedup(docs: DataFrame, run: int = 2) -> DataFrame:
     """Every row: doc_id, n_lines (that aren't blank), n_removed, kept_text, kept_sha256. A line goes if it lies in a run of
     run lines in a row (blank ones aside, ASCII white space trimmed) that also starts earlier, in a row of smaller doc_id or
@@ -106,6 +105,14 @@ def line_dedup(docs: DataFrame, run: int = 2) -> DataFrame:
     starts = repeated(docs, run)
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"))
     joined = keyed.join(starts.hint("shuffle_hash"), "own", "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_cut_lines(run, COLUMNS), "doc_id long, n_lines long, n_removed long, kept_text string, kept_sha256 string")
+    return joined.mapInArrow(_report(run), "doc_id long, n_lines long, n_removed long, kept_text string, kept_sha256 string")
+
+
 
 
+def clean(docs: DataFrame, run: int = 2) -> DataFrame:
+    """docs, each text without the lines that line_dedup() removes; other columns stay, n_chars follows the text. A row that
+    loses all its lines stays with an empty text."""
+    starts = repeated(docs, run).select(F.col("own").alias("__own"), F.col("starts").alias("__starts"))
+    joined = docs.withColumn("__own", row_key("doc_id", "text")).join(starts.hint("shuffle_hash"), "__own", "left")
+    return rewrite(docs, joined, lambda found, batch: [without(x, y, run)[0] for x, y in zip(found, batch.column("__starts").to_pylist(), strict=True)])

@@ -257,3 +257,9 @@ def apart(pairs: DataFrame, places: DataFrame) -> DataFrame:
     one = pairs.select("a", "b").join(places.select(F.col("node").alias("a"), F.col("component").alias("one")), "a", "left")
     both = one.join(places.select(F.col("node").alias("b"), F.col("component").alias("two")), "b", "left")
     return both.where(F.coalesce("one", "a") != F.coalesce("two", "b")).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs without the rows that near_duplicates() doesn't keep; rows without doc_id stay."""
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")

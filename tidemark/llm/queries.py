@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, line_dedup, near_dup, packing, substring_dedup, token_counts, toxicity
+from . import ann, bpe, exact_dedup, licenses, line_dedup, near_dup, packing, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -34,6 +34,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 50 = 0")
+    return ann.search(queries, vectors, queries.count(), vectors.count())
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,

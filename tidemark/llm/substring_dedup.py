@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, cut, row_key, saved, spread, texts, unit_hashes, window_minima
+from .common import ROLLING, cut, rewrite, row_key, saved, spread, texts, unit_hashes, window_minima
 
 WINDOW = 50
 
@@ -97,20 +97,24 @@ def intervals(starts: Iterable[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cut_words(window: int):
+def without(text: str, whole: bool | None, starts: list[int] | None, window: int) -> tuple[list[bytes], list[bytes]]:
+    """All words of the text, and those that stay."""
+    found, kept, at = words(text), [], 0
+    for start, end in intervals(range(len(found) - window + 1) if whole else starts or [], window):
+        kept += found[at:start]
+        at = end
+    return found, kept + found[at:]
+
+
+def _report(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text, whole, starts in zip(texts(batch), batch.column("whole").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                found, kept, at = words(text), [], 0
-                if whole:
-                    starts = range(len(found) - window + 1)
-                for start, end in intervals(starts or [], window):
-                    kept += found[at:start]
-                    at = end
-                kept += found[at:]
+                found, kept = without(text, whole, starts, window)
                 joined = b" ".join(kept)
-                for column, value in zip(out, (len(found), len(found) - len(kept), text if not starts else joined.decode("utf-8", "surrogatepass"), hashlib.sha256(joined).hexdigest()), strict=True):
+                new = text if len(kept) == len(found) else joined.decode("utf-8", "surrogatepass")
+                for column, value in zip(out, (len(found), len(found) - len(kept), new, hashlib.sha256(joined).hexdigest()), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
@@ -126,4 +130,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeats within a document stay."""
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"))
     joined = keyed.join(repeated(keyed, window).hint("shuffle_hash"), "own", "left").select("doc_id", "text", "whole", "starts")
-    return joined.mapInArrow(_cut_words(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return joined.mapInArrow(_report(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+
+
+def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs, each text that substring_dedup() takes words from as the kept words joined by one space; other texts and columns
+    stay, n_chars follows the text. A row that loses all its words stays with an empty text."""
+    keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"))
+    removals = repeated(keyed, window).select(*[F.col(x).alias(f"__{x}") for x in ("own", "whole", "starts")])
+    joined = docs.withColumn("__own", row_key("doc_id", "text")).join(removals.hint("shuffle_hash"), "__own", "left")
+
+    def change(found: list[str], batch: pa.RecordBatch) -> list[str]:
+        out = []
+        for text, whole, starts in zip(found, batch.column("__whole").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
+            before, kept = without(text, whole, starts, window)
+            out.append(text if len(kept) == len(before) else b" ".join(kept).decode("utf-8", "surrogatepass"))
+        return out
+
+    return rewrite(docs, joined, change)

@@ -62,6 +62,14 @@ class Model:
         chunks = text.split()
         return np.fromiter(map(self.words.__getitem__, chunks), np.float64, len(chunks))
 
+    def evidence(self, n_words: int, scores: list[float]) -> float:
+        """How far passages' scores lie above what the best passage of clean text of that length reaches, summed up."""
+        least = math.log(self.scale) + math.log(max(n_words, 1))
+        return sum(max(0.0, x * self.decay - least) for x in scores)
+
+    def probability(self, n_words: int, scores: list[float]) -> float:
+        return 1 / (1 + math.exp(-min(max(min(self.evidence(n_words, scores), 1e6) * self.slope + self.offset, -700.0), 700.0)))
+
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in one scan: Ruzzo and Tompa's stack of candidates, each with the
@@ -135,11 +143,12 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(cut(one.select("doc_id", "toxic"))), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, least_docs: int = 3, significance: float = 3.0, least_lean: float = 2.5) -> Model:
+def fit(docs: DataFrame, known: DataFrame, least_docs: int = 3, significance: float = 3.0, least_lean: float = 2.5) -> Model:
     """Token log-odds of toxic against clean labelled text with an informative Dirichlet prior: pseudo-counts in
     proportion to the counts in all documents, together a tenth as many as there are toxic words. Features whose toxic
-    leaning is significant and at least least_lean score their log-odds, all other words a small negative drift. Without labels of both kinds nothing is toxic."""
-    counted = sample(docs, labels, most).select("text", "toxic").mapInArrow(_count, "feature string, toxic long, toxic_docs long, clean long")
+    leaning is significant and at least least_lean score their log-odds, all other words a small negative drift. Without labels of both kinds nothing is toxic.
+    known: doc_id, text, toxic."""
+    counted = known.select("text", "toxic").mapInArrow(_count, "feature string, toxic long, toxic_docs long, clean long")
     counts = cut(counted.groupBy("feature").agg(*[F.sum(x).alias(x) for x in ("toxic", "toxic_docs", "clean")]))
     every = counts.where("feature = ''").first()
     if every is None or not every.toxic or not every.clean:
@@ -178,46 +187,43 @@ def _decay(hits: list[tuple[float, float]], drift: float) -> float:
     return max(low, 0.05)
 
 
-PASSAGES = "doc_id long, n_words long, passages array<struct<start:long,end:long,score:double>>"
+PASSAGES = "doc_id long, n_words long, passages array<struct<start:long,end:long,score:double>>, score double"
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words (by white space), passages: all maximal scoring segments of each row, in words from start up to end.
-    Null and empty texts have none; repeated rows and rows without doc_id are scored like others."""
+    """Every row: doc_id, n_words (by white space), passages (all maximal scoring segments, in words from start up to end),
+    score (0 to 1, higher: toxic likelier). Null and empty texts have no passages and the least score; repeated rows and
+    rows without doc_id are scored like others."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, found = [], []
+            sizes, found, scores = [], [], []
             for text in texts(batch):
-                scores = model.scores(text)
-                sizes.append(len(scores))
-                found.append([{"start": a, "end": b, "score": s} for a, b, s in segments(scores)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "passages"])
+                words = model.scores(text)
+                own = segments(words)
+                sizes.append(len(words))
+                found.append([{"start": a, "end": b, "score": s} for a, b, s in own])
+                scores.append(model.probability(len(words), [s for _, _, s in own]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, kind), pa.array(scores, pa.float64())], ["doc_id", "n_words", "passages", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PASSAGES)
 
 
 def evidence(model: Model):
-    """Of one document: how far its passages' scores lie above what the best passage of clean text of that length reaches."""
+    """Model.evidence() as a column."""
     least = math.log(model.scale) + F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     return F.aggregate("passages", F.lit(0.0), lambda total, x: total + F.greatest(F.lit(0.0), x["score"] * model.decay - least))
 
 
-def probability(model: Model):
-    return 1 / (1 + F.exp(-(F.least(evidence(model), F.lit(1e6)) * model.slope + model.offset)))
-
-
-def calibrate(scored: DataFrame, labels: DataFrame, model: Model, most: int = SAMPLE) -> Model:
+def calibrate(known: DataFrame, model: Model) -> Model:
     """Fits the extreme-value law (Karlin and Altschul's E = scale * n * exp(-decay * score)) to passages of clean labelled
-    documents, then a logistic curve from the evidence to the labels, on counts of rounded evidence."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = most / max(most, labels.count())
-    known = scored.join(F.broadcast(usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))), "doc_id")
-    clean = known.where("toxic = 0").agg(F.sum("n_words").alias("words"), F.sum(F.size("passages")).alias("found")).first()
+    documents, then a logistic curve from the evidence to the labels, on counts of rounded evidence. known: doc_id, text, toxic."""
+    found = cut(passages(known, model).select("doc_id", "n_words", "passages").join(F.broadcast(known.select("doc_id", "toxic")), "doc_id"))
+    clean = found.where("toxic = 0").agg(F.sum("n_words").alias("words"), F.sum(F.size("passages")).alias("found")).first()
     least = min((x for x in model.log_odds.values() if x > 0), default=0.0)
     model.scale = min(1.0, (1 + (clean.found or 0)) / (1 + (clean.words or 0)) * math.exp(model.decay * least))
-    rows = known.groupBy(F.round(F.least(evidence(model), F.lit(60.0)), 1).alias("x"), "toxic").count().collect()
+    rows = found.groupBy(F.round(F.least(evidence(model), F.lit(60.0)), 1).alias("x"), "toxic").count().collect()
     x, y, n = (np.array([r[k] for r in rows], float) for k in range(3))
     if not len(rows) or y.min() == y.max():
         return model
@@ -231,12 +237,16 @@ def calibrate(scored: DataFrame, labels: DataFrame, model: Model, most: int = SA
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """labels (doc_id, toxic) are those to learn from."""
+    known = sample(docs, labels, most)
+    model = fit(docs, known)
+    return calibrate(known, model) if model.log_odds else model
+
+
 def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Every row: doc_id, n_words, passages, score (0 to 1, higher: toxic likelier). labels are those to learn from."""
-    model = fit(docs, labels, most)
-    found = cut(passages(docs, model))
-    calibrate(found, labels, model, most)
-    return found.withColumn("score", probability(model))
+    """passages() by a model learnt from the labels."""
+    return passages(docs, train(docs, labels, most))
 
 
 def held_out():
@@ -245,6 +255,15 @@ def held_out():
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the rows whose doc_id has a row that scores threshold or more. Rows without doc_id stay."""
-    bad = score(docs, labels).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__rejected"], "left_anti")
+    """docs, all columns, without the rows that score threshold or more."""
+    model = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for text in texts(batch):
+                words = model.scores(text)
+                keep.append(model.probability(len(words), [s for _, _, s in segments(words)]) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
