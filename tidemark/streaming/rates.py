@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _late(events: DataFrame, ts: str, late: str) -> DataFrame:
-    return events.withWatermark(ts, late) if events.isStreaming else events
+def watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with its watermark, which needs an instant: times without a zone are taken in the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
 
 
 def tumbling_counts(events: DataFrame, keys: list[str], ts: str = "ts", width: str = "10 seconds", late: str = "10 minutes") -> DataFrame:
     """slot, keys, n: events in each slot of time."""
-    counted = _late(events, ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"))
-    return counted.select(F.col("w.start").alias("slot"), *keys, "n")
+    counted = watermarked(events, ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("slot"), *keys, "n")
 
 
 def sliding_rates(events: DataFrame, minutes: int, keys: list[str], ts: str = "ts", step: str = "10 seconds", late: str = "10 minutes") -> DataFrame:
     """ends, keys, n, per_minute, per_second (whole numbers, of the minutes' events) for windows that end at each step."""
-    counted = _late(events, ts, late).groupBy(F.window(ts, f"{minutes} minutes", step).alias("w"), *keys).agg(F.count("*").alias("n"))
-    return counted.select(F.col("w.end").alias("ends"), *keys, "n", F.expr(f"n div {minutes}").alias("per_minute"), F.expr(f"n div {minutes * 60}").alias("per_second"))
+    counted = watermarked(events, ts, late).groupBy(F.window(ts, f"{minutes} minutes", step).alias("w"), *keys).agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.end").cast("timestamp_ntz").alias("ends"), *keys, "n", F.expr(f"n div {minutes}").alias("per_minute"), F.expr(f"n div {minutes * 60}").alias("per_second"))
 
 
 def catch_up_minutes(remaining: Column, per_minute: Column) -> Column:
@@ -36,5 +37,5 @@ def running_sequences(events: DataFrame, column: str, sequence: str) -> DataFram
 def dedup(events: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """One of each event_id: on a stream those that repeat within the watermark, in a batch all."""
     if events.isStreaming:
-        return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(["event_id"])
+        return watermarked(events, ts, late).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import new_path
 from ..sources.versioned import VersionedTable
@@ -20,7 +21,7 @@ def to_table(spark: SparkSession, stream: DataFrame, keys: list[str] | None = No
         df.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/rows/b={batch_id}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    schema = stream.schema.add("__batch", "int").add("b", "int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType()), T.StructField("b", T.IntegerType())])
     rows = spark.read.schema(schema).parquet(f"{path}/rows").drop("b")
     if keys is None:
         return rows.drop("__batch")
