@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, cut, partitions, row_key, saved, texts, unit_hashes
+from .common import ROLLING, cut, partitions, row_key, saved, spread, texts, unit_hashes
 from .components import connected_components
 
 WIDTH = 5
@@ -73,7 +73,7 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _neighbours(tree: np.ndarray, prefix: np.ndarray, rest: np.ndarray, node: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
     """Pairs of nodes that stand at most NEIGHBOURS apart in the sorted order with labels alike to depth LEAST; in a crowded
-    region, those beyond the next one only if they are alike to full DEPTH."""
+    region, only of those that stand side by side and are alike to full DEPTH."""
     new = np.ones(len(node), bool)
     new[1:] = (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])
     run = np.cumsum(new) - 1
@@ -81,8 +81,7 @@ def _neighbours(tree: np.ndarray, prefix: np.ndarray, rest: np.ndarray, node: np
     found = []
     for step in range(1, min(NEIGHBOURS, len(node) - 1) + 1):
         good = (run[step:] == run[:-step]) & (node[step:] != node[:-step])
-        if step > 1:
-            good &= ~crowded[step:] | (rest[step:] == rest[:-step])
+        good &= ~crowded[step:] | ((rest[step:] == rest[:-step]) & (step == 1))
         if side is not None:
             good &= side[step:] != side[:-step]
         at = np.flatnonzero(good)
@@ -186,21 +185,18 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("low", "high", "one", "two").mapInArrow(_compare(percent), "low long, high long")
 
 
-#: Members of a crowded region that one call compares with one another, or with as many others.
+#: Members of a crowded region, on either side, that one call compares.
 BLOCK = 2048
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Likely pairs, of different components, of one pair of a region's blocks."""
-    order = np.argsort(table.column("node").to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    node, component, block = (table.column(x).to_numpy() for x in ("node", "component", "block"))
+    """Likely pairs, of different components, of a region's block of minor members and a block of all its members."""
+    node, component, minor = (table.column(x).to_numpy(zero_copy_only=False) for x in ("node", "component", "minor"))
     signs = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint16).reshape(-1, HASHES)
-    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
-    rows, others = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    rows, others = np.flatnonzero(minor), np.flatnonzero(~minor)
     out = []
     for i in rows:
-        js = others[(component[others] != component[i]) & ((node[others] > node[i]) | (first != second))]
+        js = others[component[others] != component[i]]
         if len(js):
             js = js[(signs[js] == signs[i]).sum(axis=1) >= LIKELY * HASHES]
             out.append(np.stack([np.full(len(js), node[i]), node[js]], 1))
@@ -210,14 +206,53 @@ def _across(table: pa.Table) -> pa.Table:
 
 def rest_of_crowds(crowds: DataFrame, nodes: DataFrame, places: DataFrame) -> DataFrame:
     """What neighbours alone can miss: likely pairs of different components in a crowded region. Regions whose members are
-    one component already (as in a large group of near copies) need nothing more; in the others, blocks of members meet."""
+    one component already (as in a large group of near copies) need nothing more. In the others, the members outside the
+    largest component meet all members, block by block."""
+    keys = ["tree", "prefix"]
     placed = crowds.distinct().join(places, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("tree", "prefix").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    blocks = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).select("tree", "prefix", "blocks")
-    members = placed.join(blocks, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(nodes.select("node", "hashes"), "node")
-    meet = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("first"), F.greatest(x, "block").alias("second"))))
-    met = members.withColumn("meet", meet).select("tree", "prefix", "node", "component", "block", "hashes", "meet.first", "meet.second")
-    return met.groupBy("tree", "prefix", "first", "second").applyInArrow(_across, "a long, b long")
+    counts = placed.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+    regions = counts.groupBy(*keys).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    sized = regions.select(*keys, "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("firsts"), F.ceil(F.col("all") / BLOCK).alias("seconds"))
+    members = placed.join(spread(sized), keys).join(nodes.select("node", "hashes"), "node")
+    each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.col(x) - 1))
+    dealt = lambda x: F.pmod(F.xxhash64("node"), F.col(x))
+    names = [*keys, "node", "component", "hashes"]
+    minors = members.where("component <> main").select(*names, dealt("firsts").alias("first"), each("seconds").alias("second"), F.lit(True).alias("minor"))
+    everyone = members.select(*names, each("firsts").alias("first"), dealt("seconds").alias("second"), F.lit(False).alias("minor"))
+    met = minors.unionByName(everyone).groupBy(*keys, "first", "second").applyInArrow(_across, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: Rounds in which components reach out before all pairs that are still apart are compared.
+ROUNDS = 4
+
+
+def link(pairs: DataFrame, sets: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """places (node, component) after all links among the pairs (a, b, equal) have been found. In each round every component
+    picks its likeliest pair that leads elsewhere, so that large groups grow together by few comparisons; pairs within a
+    component need none. In the end all pairs that lie apart are compared."""
+    for turn in range(ROUNDS + 1):
+        pairs = cut(apart(pairs, places))
+        if pairs.isEmpty():
+            break
+        picked = pairs.select("a", "b")
+        if turn < ROUNDS:
+            ends = pairs.select(F.col("one").alias("component"), "a", "b", "equal").union(pairs.select("two", "a", "b", "equal"))
+            picked = ends.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b"))).alias("x")).select("x.*").distinct()
+        tried = cut(picked)
+        places = cut(grown(places, confirm(tried, sets, percent)))
+        pairs = pairs.select("a", "b", "equal").join(tried, ["a", "b"], "left_anti")
+    return places
+
+
+def grown(places: DataFrame, links: DataFrame) -> DataFrame:
+    """places with the components merged that links (low, high) join."""
+    at = lambda x: places.select(F.col("node").alias(x), F.col("component").alias(f"{x}_at"))
+    ends = links.join(at("low"), "low", "left").join(at("high"), "high", "left").select("low", "high", F.coalesce("low_at", "low").alias("one"), F.coalesce("high_at", "high").alias("two"))
+    ends = cut(ends)
+    merged = connected_components(ends.select(F.col("one").alias("low"), F.col("two").alias("high")))
+    known = places.unionByName(ends.select(F.col("low").alias("node"), F.col("one").alias("component")).union(ends.select("high", "two"))).distinct()
+    return known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -239,13 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     crowds = found.where(f"kind = {CROWD}").select("tree", F.col("a").alias("prefix"), F.col("b").alias("node"))
     wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).union(crowds.select("node")).distinct()
     sets = saved(docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_sets, "node long, items binary"))
-    # First each node's likeliest partner, which joins most of what belongs together; then all pairs that still lie apart.
-    ends = close.select(F.col("a").alias("node"), F.col("b").alias("to"), "equal").union(close.select("b", "a", "equal"))
-    best = ends.groupBy("node").agg(F.max_by("to", F.struct("equal", -F.col("to"))).alias("to")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-    links = cut(confirm(best, sets, percent))
-    links = cut(links.union(confirm(apart(close, connected_components(links)), sets, percent)))
-    more = rest_of_crowds(crowds, nodes, connected_components(links)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    places = connected_components(links.union(confirm(more, sets, percent)))
+    nowhere = close.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    places = link(close, sets, nowhere, percent)
+    more = cut(likely(rest_of_crowds(crowds, nodes, places), nodes))
+    places = link(more, sets, places, percent)
     classes = nodes.select("whole", "node").join(places, "node", "left").select("whole", F.coalesce("component", "node").alias("component"))
     named = rows.select("doc_id", "n_shingles", "whole").join(classes, "whole", "left")
     component = F.when(F.col("whole").isNull(), F.col("doc_id")).otherwise(F.col("component"))
@@ -253,10 +285,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def apart(pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    one = pairs.select("a", "b").join(places.select(F.col("node").alias("a"), F.col("component").alias("one")), "a", "left")
+    """Pairs whose ends lie in different components, with these as one and two."""
+    one = pairs.select("a", "b", "equal").join(places.select(F.col("node").alias("a"), F.col("component").alias("one")), "a", "left")
     both = one.join(places.select(F.col("node").alias("b"), F.col("component").alias("two")), "b", "left")
-    return both.where(F.coalesce("one", "a") != F.coalesce("two", "b")).select("a", "b")
+    return both.withColumns({"one": F.coalesce("one", "a"), "two": F.coalesce("two", "b")}).where("one <> two")
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
