@@ -407,10 +407,10 @@ def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("table_name", rates.catch_up_minutes(F.col("remaining"), F.col("rate")).alias("minutes"))
 
 
-@query("l4_archive_segments", "SELECT event_id // 1000 AS segment_no, count(*) AS n_rows FROM {events} WHERE event_id // 1000 <= (SELECT max(event_id // 1000) - 3 FROM {events}) GROUP BY 1")
+@query("l4_archive_segments", "SELECT event_id // 50 AS segment_no, count(*) AS n_rows FROM {events} WHERE event_id // 50 <= (SELECT max(event_id // 50) - 3 FROM {events}) GROUP BY 1")
 def l4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
-    rows = read(spark, sf_dir, "events").withColumn("segment_no", F.expr("event_id div 1000"))
+    rows = read(spark, sf_dir, "events").withColumn("segment_no", F.expr("event_id div 50"))
     rows.write.partitionBy("segment_no").parquet(f"{path}/log")
     segments = rows.select("segment_no").distinct().withColumn("done", F.lit(True))
     return run.archive(spark, f"{path}/log", f"{path}/archive", stats.retained(segments).select("segment_no"))

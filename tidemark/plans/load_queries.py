@@ -139,12 +139,10 @@ def converted(spark: SparkSession, sf_dir: str, text: F.Column, kind: str, lengt
     return convert.convert_values(rows, {"x": (kind, length)}).select("k", "x")
 
 
-K = F.col("k")
-
-
 @query("d1_dates", "SELECT o_orderkey AS k, strftime(DATE '1970-01-01' + CAST(o_orderkey % 30000 - 5000 AS INTEGER), '%Y-%m-%d') AS x FROM {orders}")
 def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converted(spark, sf_dir, (K % 30000 - 5000).cast("string"), "date")
+    k = F.col("k")
+    return converted(spark, sf_dir, (k % 30000 - 5000).cast("string"), "date")
 
 
 @query("d2_timestamps", """SELECT o_orderkey AS k, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS x, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') || CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE '.' || regexp_replace(lpad(CAST(o_orderkey % 1000 * 1000 AS STRING), 6, '0'), '0+$', '') END AS y,
@@ -157,17 +155,20 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d3_times", "SELECT o_orderkey AS k, strftime(make_timestamp(o_orderkey % 86400 * 1000000), '%H:%M:%S') AS x FROM {orders}")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converted(spark, sf_dir, (K % 86400 * 1000 + K % 1000).cast("string"), "time")
+    k = F.col("k")
+    return converted(spark, sf_dir, (k % 86400 * 1000 + k % 1000).cast("string"), "time")
 
 
 @query("d4_zoned_timestamps", "SELECT o_orderkey AS k, strftime(make_timestamp((o_orderkey * 3601 - 7200) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS x FROM {orders}")
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converted(spark, sf_dir, F.concat(F.date_format(F.timestamp_seconds(K * 3601), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")), "zoned_timestamp")
+    k = F.col("k")
+    return converted(spark, sf_dir, F.concat(F.date_format(F.timestamp_seconds(k * 3601), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")), "zoned_timestamp")
 
 
 @query("d5_bits", "SELECT o_orderkey AS k, right('0000000000000000' || bin(o_orderkey % 4096), 12) AS x FROM {orders}")
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = F.lpad(F.hex(K % 256), 2, "0"), F.lpad(F.hex(F.floor(K % 4096 / 256).cast("long")), 2, "0")
+    k = F.col("k")
+    low, high = F.lpad(F.hex(k % 256), 2, "0"), F.lpad(F.hex(F.floor(k % 4096 / 256).cast("long")), 2, "0")
     return converted(spark, sf_dir, F.base64(F.unhex(F.concat(low, high))), "bits", 12)
 
 

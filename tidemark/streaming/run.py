@@ -54,6 +54,6 @@ def archive(spark: SparkSession, path: str, target: str, eligible: DataFrame) ->
     earlier try left, and returns segment_no, n_rows. A segment without rows raises when the result is used."""
     rows = spark.read.parquet(path).join(F.broadcast(eligible), "segment_no", "left_semi")
     rows.write.mode("overwrite").partitionBy("segment_no").parquet(target)
-    counts = spark.read.parquet(target).groupBy("segment_no").agg(F.count("*").alias("n_rows"))
+    counts = spark.read.schema(rows.schema).parquet(target).groupBy("segment_no").agg(F.count("*").alias("n_rows"))
     joined = eligible.select("segment_no").join(counts, "segment_no", "left")
     return joined.withColumn("n_rows", F.coalesce("n_rows", F.raise_error(F.lit("a segment's file is missing")).cast("long")))
