@@ -31,14 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the checkpoint folder, so that lost executors cost no recomputation. For small rows; Spark removes it when it isn't used any more."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def saved(df: DataFrame) -> DataFrame:
-    """Like cut, as Parquet: for many or wide rows, of which later steps read some columns. The folder stays until the cluster clears it."""
+    """df computed once into a Parquet folder in the checkpoint folder, so that lost executors cost no recomputation. Unlike
+    checkpoint(), what is read again brings no constraints along, which in loops would double with every turn. The folder
+    stays until the cluster clears it."""
     path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import saved
 
 EDGES = "low long, high long"
 FLUSH = 1_000_000
@@ -54,7 +54,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     doubled, and edges are carried over to where their ends point. The nodes so far follow along. Only the number of
     edges left comes to the driver."""
     lower, upper = F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")
-    left = cut(edges.where("low != high").select(lower, upper).mapInArrow(_forest, EDGES).distinct())
+    left = saved(edges.where("low != high").select(lower, upper).mapInArrow(_forest, EDGES).distinct())
     ends = left.select(F.col("low").alias("node")).union(left.select("high")).distinct()
     places = ends.withColumn("component", F.col("node"))
     while not left.isEmpty():
@@ -62,10 +62,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         for _ in range(2):
             onward = to.select(F.col("node").alias("to"), F.col("to").alias("further"))
             to = to.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
-        to = cut(to)
-        places = cut(places.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        to = saved(to)
+        places = saved(places.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         one = to.select(F.col("node").alias("low"), F.col("to").alias("low_to"))
         two = to.select(F.col("node").alias("high"), F.col("to").alias("high_to"))
         moved = left.join(one, "low", "left").join(two, "high", "left").select(F.coalesce("low_to", "low").alias("low"), F.coalesce("high_to", "high").alias("high"))
-        left = cut(moved.where("low != high").select(lower, upper).distinct().mapInArrow(_forest, EDGES).distinct())
+        left = saved(moved.where("low != high").select(lower, upper).distinct().mapInArrow(_forest, EDGES).distinct())
     return places

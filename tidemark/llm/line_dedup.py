@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, cut, rewrite, row_key, spread, texts, unit_hashes, window_minima
+from .common import ROLLING, rewrite, row_key, saved, spread, texts, unit_hashes, window_minima
 
 SPACE = " \t\n\v\f\r"
 
@@ -68,11 +68,11 @@ def _windows(run: int):
 def repeated(docs: DataFrame, run: int = 2) -> DataFrame:
     """own, starts: the runs of run lines of each row (as places among its lines that aren't blank) that also start
     earlier: in a row of smaller doc_id, or further up in the same one."""
-    found = cut(fingerprints(docs, run).dropDuplicates(["own"]))
+    found = saved(fingerprints(docs, run).dropDuplicates(["own"]))
     picks = found.select("own", F.posexplode("picks").alias("k", "at"), "hashes").select("own", "at", F.expr("hashes[at]").alias("pick"))
     often = picks.groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select("pick")
     hits = picks.join(spread(often), "pick").groupBy("own").agg(F.collect_list("at").alias("hits"))
-    windows = cut(found.select("own", "doc_id", "hashes").join(hits, "own").mapInArrow(_windows(run), "own long, doc_id long, start long, one long, two long"))
+    windows = saved(found.select("own", "doc_id", "hashes").join(hits, "own").mapInArrow(_windows(run), "own long, doc_id long, start long, one long, two long"))
     first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start", "own")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(spread(first), ["one", "two"]).where(F.struct("doc_id", "start", "own") > F.col("first"))
     return later.groupBy("own").agg(F.collect_list("start").alias("starts"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, cut, partitions, row_key, saved, spread, texts, unit_hashes
+from .common import ROLLING, partitions, row_key, saved, spread, texts, unit_hashes
 from .components import connected_components
 
 WIDTH = 5
@@ -232,15 +232,15 @@ def link(pairs: DataFrame, sets: DataFrame, places: DataFrame, percent: int) ->
     picks its likeliest pair that leads elsewhere, so that large groups grow together by few comparisons; pairs within a
     component need none. In the end all pairs that lie apart are compared."""
     for turn in range(ROUNDS + 1):
-        pairs = cut(apart(pairs, places))
+        pairs = saved(apart(pairs, places))
         if pairs.isEmpty():
             break
         picked = pairs.select("a", "b")
         if turn < ROUNDS:
             ends = pairs.select(F.col("one").alias("component"), "a", "b", "equal").union(pairs.select("two", "a", "b", "equal"))
             picked = ends.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b"))).alias("x")).select("x.*").distinct()
-        tried = cut(picked)
-        places = cut(grown(places, confirm(tried, sets, percent)))
+        tried = saved(picked)
+        places = saved(grown(places, confirm(tried, sets, percent)))
         pairs = pairs.select("a", "b", "equal").join(tried, ["a", "b"], "left_anti")
     return places
 
@@ -249,7 +249,7 @@ def grown(places: DataFrame, links: DataFrame) -> DataFrame:
     """places with the components merged that links (low, high) join."""
     at = lambda x: places.select(F.col("node").alias(x), F.col("component").alias(f"{x}_at"))
     ends = links.join(at("low"), "low", "left").join(at("high"), "high", "left").select("low", "high", F.coalesce("low_at", "low").alias("one"), F.coalesce("high_at", "high").alias("two"))
-    ends = cut(ends)
+    ends = saved(ends)
     merged = connected_components(ends.select(F.col("one").alias("low"), F.col("two").alias("high")))
     known = places.unionByName(ends.select(F.col("low").alias("node"), F.col("one").alias("component")).union(ends.select("high", "two"))).distinct()
     return known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
@@ -264,19 +264,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select(row_key("doc_id", "text").alias("own"), "doc_id", "text")
     rows = saved(keyed.mapInArrow(_describe, "own long, doc_id long, n_shingles long, whole binary, hashes binary"))
-    nodes = cut(rows.where("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("hashes").alias("hashes")).where("node IS NOT NULL"))
+    nodes = saved(rows.where("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("hashes").alias("hashes")).where("node IS NOT NULL"))
     labels = nodes.select("node", "hashes").mapInArrow(_labels, "tree int, prefix long, rest long, node long")
     ordered = labels.repartitionByRange(partitions(spark), "tree", "prefix", "rest", "node").sortWithinPartitions("tree", "prefix", "rest", "node")
     found = saved(ordered.mapInArrow(_search, FOUND))
     seams = found.where(f"kind = {EDGE}").select("place", "side", "tree", F.col("a").alias("prefix"), "rest", F.col("b").alias("node")).groupBy("place").applyInArrow(_seam, "a long, b long")
     pairs = found.where(f"kind = {PAIR}").select("a", "b").unionByName(seams.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    close = cut(likely(pairs, nodes))
+    close = saved(likely(pairs, nodes))
     crowds = found.where(f"kind = {CROWD}").select("tree", F.col("a").alias("prefix"), F.col("b").alias("node"))
     wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).union(crowds.select("node")).distinct()
     sets = saved(docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_sets, "node long, items binary"))
     nowhere = close.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     places = link(close, sets, nowhere, percent)
-    more = cut(likely(rest_of_crowds(crowds, nodes, places), nodes))
+    more = saved(likely(rest_of_crowds(crowds, nodes, places), nodes))
     places = link(more, sets, places, percent)
     classes = nodes.select("whole", "node").join(places, "node", "left").select("whole", F.coalesce("component", "node").alias("component"))
     named = rows.select("doc_id", "n_shingles", "whole").join(classes, "whole", "left")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, cut, rewrite, row_key, saved, spread, texts, unit_hashes, window_minima
+from .common import ROLLING, rewrite, row_key, saved, spread, texts, unit_hashes, window_minima
 
 WINDOW = 50
 
@@ -78,7 +78,7 @@ def repeated(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     copies = rows.select("own", "doc_id", "whole").join(spread(first.select("whole", F.col("doc_id").alias("low"))), "whole").where("doc_id > low").select("own", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
     anchors = rows.join(first.select("own"), "own", "left_semi").select("own", "doc_id", F.explode(F.arrays_zip("places", "anchors")).alias("x")).select("own", "doc_id", "x.places", "x.anchors")
     often = anchors.groupBy("anchors").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchors")
-    hits = cut(anchors.join(spread(often), "anchors").groupBy("own").agg(F.collect_set("places").alias("hits")))
+    hits = saved(anchors.join(spread(often), "anchors").groupBy("own").agg(F.collect_set("places").alias("hits")))
     near = keyed.join(hits.hint("shuffle_hash"), "own")
     windows = near.mapInArrow(_windows(window), "own long, doc_id long, start int, key long")
     lowest = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, cut, texts
+from .common import Cache, saved, texts
 
 WORD = re.compile(r"\w+").findall
 PREFIXES = (6, 5, 4)
@@ -140,7 +140,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     taken = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     found = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # at most about most rows of 12 bytes
     one = found.groupBy(F.xxhash64("text").alias("own"), F.length("text").alias("size")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(cut(one.select("doc_id", "toxic"))), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(saved(one.select("doc_id", "toxic"))), "doc_id")
 
 
 def fit(docs: DataFrame, known: DataFrame, least_docs: int = 3, significance: float = 3.0, least_lean: float = 2.5) -> Model:
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, known: DataFrame, least_docs: int = 3, significance: fl
     leaning is significant and at least least_lean score their log-odds, all other words a small negative drift. Without labels of both kinds nothing is toxic.
     known: doc_id, text, toxic."""
     counted = known.select("text", "toxic").mapInArrow(_count, "feature string, toxic long, toxic_docs long, clean long")
-    counts = cut(counted.groupBy("feature").agg(*[F.sum(x).alias(x) for x in ("toxic", "toxic_docs", "clean")]))
+    counts = saved(counted.groupBy("feature").agg(*[F.sum(x).alias(x) for x in ("toxic", "toxic_docs", "clean")]))
     every = counts.where("feature = ''").first()
     if every is None or not every.toxic or not every.clean:
         return Model({}, -1.0, 1.0, offset=-10.0)
@@ -219,7 +219,7 @@ def evidence(model: Model):
 def calibrate(known: DataFrame, model: Model) -> Model:
     """Fits the extreme-value law (Karlin and Altschul's E = scale * n * exp(-decay * score)) to passages of clean labelled
     documents, then a logistic curve from the evidence to the labels, on counts of rounded evidence. known: doc_id, text, toxic."""
-    found = cut(passages(known, model).select("doc_id", "n_words", "passages").join(F.broadcast(known.select("doc_id", "toxic")), "doc_id"))
+    found = saved(passages(known, model).select("doc_id", "n_words", "passages").join(F.broadcast(known.select("doc_id", "toxic")), "doc_id"))
     clean = found.where("toxic = 0").agg(F.sum("n_words").alias("words"), F.sum(F.size("passages")).alias("found")).first()
     least = min((x for x in model.log_odds.values() if x > 0), default=0.0)
     model.scale = min(1.0, (1 + (clean.found or 0)) / (1 + (clean.words or 0)) * math.exp(model.decay * least))
