@@ -43,7 +43,7 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         core = word[:-1]
-        if word[-1] in ".," and core[-1:].isalpha():
+        if word[-1] in ".," and core[-1:].isalpha() and core[-1] != "\u0130":  # which lower-cases to a letter and a mark
             return self.words[core] + self.marks[word[-1]]
         if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:  # composed Latin letters: the normalizer lower-cases them, the splitter keeps them together
             spelled = word if word.isascii() else word.lower().encode().decode("latin-1").translate(BYTES)
