@@ -30,7 +30,7 @@ def test_search(spark, monkeypatch, size):
     rnd = np.random.default_rng(size)
     base = rnd.standard_normal((12, size))
     rows = [(k, (base[k % 12] + 0.7 * rnd.standard_normal(size)).tolist()) for k in range(700)]
-    rows += [(800 + k, rows[3][1]) for k in range(40)] + [(900, (np.array(rows[5][1]) * 4).tolist()), (901, (np.array(rows[6][1]) * 1e-200).tolist())]
+    rows += [(800 + k, rows[3][1]) for k in range(40)] + [(900, (np.array(rows[5][1]) * 4).tolist()), (901, (np.array(rows[6][1]) * 1e-100).tolist())]
     bad = [(1000, None), (1050, []), (1100, [0.0] * size), (1150, [float("nan")] * size), (1200, [float("inf")] + [1.0] * (size - 1)), (1250, [None] + [1.0] * (size - 1)), (None, rows[0][1]), (1300, [1.0] * (size + 1)), rows[7]]
     monkeypatch.setattr(ann, "VECTORS", 300)
     vectors = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").repartition(3)
