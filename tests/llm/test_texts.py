@@ -296,6 +296,13 @@ def test_bpe_on_odd_texts():
         assert own.encode(text) == encoding.encode_ordinary(text)
 
 
+def test_bpe_of_many_lines_without_spaces():
+    encoding, own, rnd = tiktoken_encoding(), bpe.Encoder(RANKS, public_tokenizers.PATTERN), random.Random(4)
+    words = [rnd.choice(vocabulary(rnd, 50) + ["日本語", "é.", "12,", "end.", "'s", "!?"]) for _ in range(5000)]
+    for text in ("\n".join(words), "\n".join(words) + ".", " " + "\n".join(words) + "\n", "".join(x + rnd.choice(["\n", "\n", "\n\n", "\r\n", "\n\t", "\n\x1c", ".\n"]) for x in words)):
+        assert own.encode(text) == encoding.encode_ordinary(text)
+
+
 def test_token_counts_follow_edits(spark):
     encoding, rnd = tiktoken_encoding(), random.Random(5)
     atoms = ["a", "b ", "  ", "\n", "'s", "'re", " the", "1", ".", "é", " ", "'", "r", "e"]

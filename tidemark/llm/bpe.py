@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ NONE = 1 << 62
 #: Chunks whose ids a Python worker remembers; about 200 bytes each. Longer ones made of a remembered word and a mark aren't.
 REMEMBERED = 1_500_000
 SHORT = 6
+#: A line break between non-spaces, which no match of the pattern reaches over.
+LONE_BREAK = re.compile(r"\n(?<=\S\n)(?=\S)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,9 +97,9 @@ class Chunks(dict):
             if len(chunk) > SHORT:
                 return ids
         else:
-            above, line, below = chunk.partition("\n")
-            if line and above and below and not above[-1].isspace() and not below[0].isspace():  # a match can't reach over such a line break
-                return self[above] + self.marks[line] + self[below]
+            parts = LONE_BREAK.split(chunk)
+            if len(parts) > 1:
+                return self.marks["\n"].join([self[x] for x in parts])
             ids = self.encode(chunk)
         if len(self) >= REMEMBERED:
             self.clear()
