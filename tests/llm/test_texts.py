@@ -352,6 +352,46 @@ def test_license_labels(text, labels):
     assert licenses.scan_text(text)["labels"] == labels
 
 
+def unfiltered(text):
+    return licenses.suppress([(m.start(), m.end(), rule) for rule in licenses.rules() for m in rule.pattern.finditer(text)])
+
+
+def example(tree, rnd):
+    """A text that a parsed pattern may match: one alternative of each choice, white space of several kinds."""
+    out = ""
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "BRANCH":
+            out += example(rnd.choice(value[1]), rnd)
+        elif op == "SUBPATTERN":
+            out += example(value[-1], rnd)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(example(value[2], rnd) for _ in range(rnd.randint(value[0], min(value[1], value[0] + 1))))
+        elif op == "IN":
+            kind, of = rnd.choice(value)
+            known = {"LITERAL": lambda: chr(of), "RANGE": lambda: chr(rnd.randint(*of)), "CATEGORY": lambda: "x" if "NOT_SPACE" in str(of) else "7" if "DIGIT" in str(of) else "w" if "WORD" in str(of) else rnd.choice([" ", "\n", "\t ", "  "])}
+            out += known.get(str(kind), lambda: "-")() if str(value[0][0]) != "NEGATE" else rnd.choice("-\n ")
+        elif op == "ANY":
+            out += "n"
+    return out
+
+
+def test_license_prefilter_loses_nothing():
+    rnd, missed = random.Random(6), []
+    known = {"licensed by the mit": "mit", "it may not be copied without leave": "proprietary", "permission is\nhereby\ngranted,  free of charge, to any person obtaining a copy": "mit", "all  advertising\nmaterials mentioning features": "bsd-4-clause", "all rights\nreserved": "proprietary", "in the public\ndomain": "public-domain", "see\nisc": "isc"}
+    for text, label in known.items():
+        found = licenses.detect(text)
+        assert label in {rule.label for _, _, rule in found} and found == unfiltered(text)
+    for rule in licenses.rules():
+        tree = re._parser.parse(rule.pattern.pattern)
+        texts = [example(tree, rnd) for _ in range(40)]
+        assert any(rule.pattern.search(x) for x in texts)
+        missed += [(rule.name, x) for x in texts if licenses.detect(x) != unfiltered(x)]
+    assert missed == []
+
+
 def test_license_suppression_is_containment():
     rule = licenses.rules()
     assert len(rule) > 200 and [x.priority for x in rule] == list(range(len(rule)))

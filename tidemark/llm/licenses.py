@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 # Label, SPDX identifier, name and keyword of each license, as regular expressions over lower-cased text.
-# The keyword is plain text without which the name can't match.
+# The keywords, parted by |, are plain texts without one of which the name can't match.
 LICENSES = [
     ("mit", "mit", r"(?:the )?mit(?:/x11)?", "mit"),
     ("mit-0", "mit-0", r"mit[ -](?:0|no attribution)", "mit"),
@@ -24,19 +24,19 @@ LICENSES = [
     ("bsd-3-clause", "bsd-3-clause(?:-[a-z]+)?", r"(?:new bsd|revised bsd|modified bsd|bsd[ -]3[ -]clause|3[ -]clause bsd|three[ -]clause bsd)", "bsd"),
     ("bsd-4-clause", "bsd-4-clause", r"(?:original bsd|bsd[ -]4[ -]clause|4[ -]clause bsd|four[ -]clause bsd)", "bsd"),
     ("0bsd", "0bsd", r"(?:zero[ -]clause bsd|bsd zero[ -]clause|0bsd)", "bsd"),
-    ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", r"(?:gpl|gnu general public license),?\s*(?:version |v\.?\s?)?1(?:\.0)?", "g"),
-    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", r"(?:gpl|gnu general public license),?\s*(?:version |v\.?\s?)?2(?:\.0)?", "g"),
-    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", r"(?:gpl|gnu general public license),?\s*(?:version |v\.?\s?)?3(?:\.0)?", "g"),
-    ("lgpl-2.0", r"lgpl-2\.0(?:-only|-or-later|\+)?", r"(?:lgpl|gnu (?:lesser|library) general public license),?\s*(?:version |v\.?\s?)?2(?:\.0)?(?!\.1)", "l"),
-    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"(?:lgpl|gnu (?:lesser|library) general public license),?\s*(?:version |v\.?\s?)?2\.1", "l"),
-    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:lgpl|gnu (?:lesser|library) general public license),?\s*(?:version |v\.?\s?)?3(?:\.0)?", "l"),
-    ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:agpl|gnu affero general public license),?\s*(?:version |v\.?\s?)?3(?:\.0)?", "a"),
-    ("gfdl", r"gfdl-1\.[123](?:-only|-or-later)?", r"(?:gfdl|gnu free documentation license)(?:,?\s*(?:version |v\.?\s?)?1\.[123])?", "g"),
-    ("mpl-1.1", r"mpl-1\.1", r"(?:mpl|mozilla public license),?\s*(?:version |v\.?\s?)?1\.1", "m"),
-    ("mpl-2.0", r"mpl-2\.0", r"(?:mpl|mozilla public license),?\s*(?:version |v\.?\s?)?2(?:\.0)?", "m"),
-    ("epl-1.0", r"epl-1\.0", r"(?:epl|eclipse public license),?\s*(?:version |v\.?\s?)?1(?:\.0)?", "e"),
-    ("epl-2.0", r"epl-2\.0", r"(?:epl|eclipse public license),?\s*(?:version |v\.?\s?)?2(?:\.0)?", "e"),
-    ("cddl-1.0", r"cddl-1\.[01]", r"(?:cddl|common development and distribution license)(?:,?\s*(?:version |v\.?\s?)?1\.[01])?", "d"),
+    ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", r"(?:gpl|gnu general public license),?\s*(?:version |v\.?\s?)?1(?:\.0)?", "gpl|gnu"),
+    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", r"(?:gpl|gnu general public license),?\s*(?:version |v\.?\s?)?2(?:\.0)?", "gpl|gnu"),
+    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", r"(?:gpl|gnu general public license),?\s*(?:version |v\.?\s?)?3(?:\.0)?", "gpl|gnu"),
+    ("lgpl-2.0", r"lgpl-2\.0(?:-only|-or-later|\+)?", r"(?:lgpl|gnu (?:lesser|library) general public license),?\s*(?:version |v\.?\s?)?2(?:\.0)?(?!\.1)", "lgpl|gnu"),
+    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"(?:lgpl|gnu (?:lesser|library) general public license),?\s*(?:version |v\.?\s?)?2\.1", "lgpl|gnu"),
+    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:lgpl|gnu (?:lesser|library) general public license),?\s*(?:version |v\.?\s?)?3(?:\.0)?", "lgpl|gnu"),
+    ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:agpl|gnu affero general public license),?\s*(?:version |v\.?\s?)?3(?:\.0)?", "agpl|affero"),
+    ("gfdl", r"gfdl-1\.[123](?:-only|-or-later)?", r"(?:gfdl|gnu free documentation license)(?:,?\s*(?:version |v\.?\s?)?1\.[123])?", "gfdl|gnu"),
+    ("mpl-1.1", r"mpl-1\.1", r"(?:mpl|mozilla public license),?\s*(?:version |v\.?\s?)?1\.1", "mpl|mozilla"),
+    ("mpl-2.0", r"mpl-2\.0", r"(?:mpl|mozilla public license),?\s*(?:version |v\.?\s?)?2(?:\.0)?", "mpl|mozilla"),
+    ("epl-1.0", r"epl-1\.0", r"(?:epl|eclipse public license),?\s*(?:version |v\.?\s?)?1(?:\.0)?", "epl|eclipse"),
+    ("epl-2.0", r"epl-2\.0", r"(?:epl|eclipse public license),?\s*(?:version |v\.?\s?)?2(?:\.0)?", "epl|eclipse"),
+    ("cddl-1.0", r"cddl-1\.[01]", r"(?:cddl|common development and distribution license)(?:,?\s*(?:version |v\.?\s?)?1\.[01])?", "cddl|common development"),
     ("cpl-1.0", r"cpl-1\.0", r"common public license(?:,?\s*(?:version |v\.?\s?)?1\.0)?", "common public"),
     ("eupl-1.1", r"eupl-1\.1", r"(?:eupl|european union public licen[cs]e),?\s*(?:version |v\.?\s?)?1\.1", "eu"),
     ("eupl-1.2", r"eupl-1\.2", r"(?:eupl|european union public licen[cs]e),?\s*(?:version |v\.?\s?)?1\.2", "eu"),
@@ -46,59 +46,60 @@ LICENSES = [
     ("bsl-1.0", r"bsl-1\.0", r"boost software license(?:,?\s*(?:version |v\.?\s?)?1\.0)?", "boost"),
     ("busl-1.1", r"busl-1\.1", r"business source license(?:,?\s*(?:version |v\.?\s?)?1\.1)?", "business source"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", r"(?:wtfpl|do what the f\S+ you want to public license)", "w"),
+    ("wtfpl", "wtfpl", r"(?:wtfpl|do what the f\S+ you want to public license)", "wtfpl|do what the f"),
     ("artistic-1.0", r"artistic-1\.0(?:-perl)?", r"artistic license,?\s*(?:version |v\.?\s?)?1(?:\.0)?", "artistic"),
     ("artistic-2.0", r"artistic-2\.0", r"artistic license,?\s*(?:version |v\.?\s?)?2(?:\.0)?", "artistic"),
     ("ofl-1.1", r"ofl-1\.1", r"(?:sil )?open font license(?:,?\s*(?:version |v\.?\s?)?1\.1)?", "open font"),
-    ("python-2.0", r"(?:python|psf)-2\.0", r"(?:psf|python software foundation)(?: license)?(?:,?\s*(?:version |v\.?\s?)?2(?:\.0)?)?", "p"),
+    ("python-2.0", r"(?:python|psf)-2\.0", r"(?:psf|python software foundation)(?: license)?(?:,?\s*(?:version |v\.?\s?)?2(?:\.0)?)?", "psf|python"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("ms-pl", "ms-pl", r"(?:ms-pl|microsoft public license)", "m"),
-    ("ms-rl", "ms-rl", r"(?:ms-rl|microsoft reciprocal license)", "m"),
+    ("ms-pl", "ms-pl", r"(?:ms-pl|microsoft public license)", "ms-pl|microsoft"),
+    ("ms-rl", "ms-rl", r"(?:ms-rl|microsoft reciprocal license)", "ms-rl|microsoft"),
     ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa(?: open source)?", "ncsa"),
     ("upl-1.0", r"upl-1\.0", r"universal permissive license(?:,?\s*(?:version |v\.?\s?)?1\.0)?", "universal permissive"),
-    ("sspl-1.0", r"sspl-1\.0", r"(?:sspl|server side public license)(?:,?\s*(?:version |v\.?\s?)?1)?", "s"),
-    ("odbl-1.0", r"odbl-1\.0", r"(?:odbl|open database license)(?:,?\s*(?:version |v\.?\s?)?1\.0)?", "o"),
-    ("cc0-1.0", r"cc0-1\.0", r"(?:cc0|creative commons zero)(?:\s*1\.0)?", "c"),
-    ("cc-by", r"cc-by-[1-4]\.[05]", r"(?:cc[ -]by|creative commons attribution)(?![ -](?:nc|nd|sa|non|no|share))(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "c"),
-    ("cc-by-sa", r"cc-by-sa-[1-4]\.[05]", r"(?:cc[ -]by[ -]sa|creative commons attribution[ -]share[ -]?alike)(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "c"),
-    ("cc-by-nd", r"cc-by-nd-[1-4]\.[05]", r"(?:cc[ -]by[ -]nd|creative commons attribution[ -]no[ -]?deriv\w+)(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "c"),
-    ("cc-by-nc", r"cc-by-nc-[1-4]\.[05]", r"(?:cc[ -]by[ -]nc|creative commons attribution[ -]non[ -]?commercial)(?![ -](?:nd|sa|no|share))(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "c"),
-    ("cc-by-nc-sa", r"cc-by-nc-sa-[1-4]\.[05]", r"(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike)(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "c"),
-    ("cc-by-nc-nd", r"cc-by-nc-nd-[1-4]\.[05]", r"(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv\w+)(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "c"),
+    ("sspl-1.0", r"sspl-1\.0", r"(?:sspl|server side public license)(?:,?\s*(?:version |v\.?\s?)?1)?", "sspl|server side"),
+    ("odbl-1.0", r"odbl-1\.0", r"(?:odbl|open database license)(?:,?\s*(?:version |v\.?\s?)?1\.0)?", "odbl|open database"),
+    ("cc0-1.0", r"cc0-1\.0", r"(?:cc0|creative commons zero)(?:\s*1\.0)?", "cc0|creative commons"),
+    ("cc-by", r"cc-by-[1-4]\.[05]", r"(?:cc[ -]by|creative commons attribution)(?![ -](?:nc|nd|sa|non|no|share))(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "cc by|cc-by|creative commons"),
+    ("cc-by-sa", r"cc-by-sa-[1-4]\.[05]", r"(?:cc[ -]by[ -]sa|creative commons attribution[ -]share[ -]?alike)(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "cc by|cc-by|creative commons"),
+    ("cc-by-nd", r"cc-by-nd-[1-4]\.[05]", r"(?:cc[ -]by[ -]nd|creative commons attribution[ -]no[ -]?deriv\w+)(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "cc by|cc-by|creative commons"),
+    ("cc-by-nc", r"cc-by-nc-[1-4]\.[05]", r"(?:cc[ -]by[ -]nc|creative commons attribution[ -]non[ -]?commercial)(?![ -](?:nd|sa|no|share))(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "cc by|cc-by|creative commons"),
+    ("cc-by-nc-sa", r"cc-by-nc-sa-[1-4]\.[05]", r"(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike)(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "cc by|cc-by|creative commons"),
+    ("cc-by-nc-nd", r"cc-by-nc-nd-[1-4]\.[05]", r"(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv\w+)(?:\s*(?:version |v\.?\s?)?[1-4]\.[05])?", "cc by|cc-by|creative commons"),
 ]
 
-# The forms in which a license is named, most telling first: form, pattern, keyword, confidence.
+# The forms in which a license is named, most telling first: form, how its pattern begins, the rest of it,
+# keywords, confidence. A text in which the beginning isn't found holds no match of the form.
 FORMS = [
-    ("tag", r"spdx-license-identifier:\s*{id}\b", "spdx-license-identifier", 0.99),
-    ("grant", r"(?:re)?(?:licensed|released|distributed|published|available|provided|covered|redistributed?|use[d]?)\s+(?:by|under)\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?{name}\b", "under", 0.95),
-    ("title", r"\b{name}\s+licen[cs]e\b", "licen", 0.8),
-    ("field", r"\blicen[cs]e[sd]?\s*[:=(]\s*[\"']?(?:the\s+)?{name}\b", "licen", 0.85),
-    ("pointer", r"\b(?:see|copy\s+of|conditions\s+of|subject\s+to|compatible\s+with|governed\s+by)\s+(?:the\s+)?{name}\b", "", 0.6),
+    ("tag", "", r"spdx-license-identifier:\s*{id}\b", "spdx-license-identifier", 0.99),
+    ("grant", r"(?:re)?(?:licensed|released|distributed|published|available|provided|covered|redistributed?|use[d]?)\s+(?:by|under)\s+", r"(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?{name}\b", "by|under", 0.95),
+    ("title", "", r"\b{name}\s+licen[cs]e\b", "licen", 0.8),
+    ("field", "", r"\blicen[cs]e[sd]?\s*[:=(]\s*[\"']?(?:the\s+)?{name}\b", "licen", 0.85),
+    ("pointer", r"\b(?:see|copy\s+of|conditions\s+of|subject\s+to|compatible\s+with|governed\s+by)\s+", r"(?:the\s+)?{name}\b", "see|copy|conditions|subject|compatible|governed", 0.6),
 ]
 
-# Statements with wording of their own: label, pattern, keyword, confidence.
+# Statements with wording of their own: label, pattern, keywords, confidence.
 STATEMENTS = [
-    ("mit", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy", "hereby granted", 0.97),
+    ("mit", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy", "hereby", 0.97),
     ("mit", r"\bmit[^a-z0-9]+license\b", "license", 0.8),
-    ("isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", "permission to use", 0.95),
+    ("isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", "permission", 0.95),
     ("bsd", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", "redistribution", 0.9),
     ("bsd-3-clause", r"neither\s+the\s+names?\s+of\s+.{1,120}?\s+may\s+be\s+used\s+to\s+endorse", "endorse", 0.9),
-    ("bsd-4-clause", r"all\s+advertising\s+materials\s+mentioning\s+features", "advertising materials", 0.95),
+    ("bsd-4-clause", r"all\s+advertising\s+materials\s+mentioning\s+features", "advertising", 0.95),
     ("apache", r"\bapache[^a-z0-9]+license\b", "apache", 0.8),
     ("apache-2.0", r"apache\.org/licenses/license-2\.0", "apache.org", 0.97),
     ("gpl", r"\bgeneral[^a-z0-9]+public[^a-z0-9]+license\b", "public", 0.8),
     ("gpl", r"gnu\.org/licenses/(?:old-licenses/)?gpl", "gnu.org", 0.9),
     ("lgpl", r"gnu\.org/licenses/(?:old-licenses/)?lgpl", "gnu.org", 0.9),
     ("agpl", r"gnu\.org/licenses/agpl", "gnu.org", 0.9),
-    ("lgpl", r"\b(?:lesser|library)\s+general\s+public\s+license\b", "general public", 0.85),
+    ("lgpl", r"\b(?:lesser|library)\s+general\s+public\s+license\b", "lesser|library", 0.85),
     ("agpl", r"\baffero\s+general\s+public\s+license\b", "affero", 0.85),
-    ("gpl-2.0", r"either\s+version\s+2\s+of\s+the\s+license,\s+or\s+\(at\s+your\s+option\)", "version 2", 0.9),
-    ("gpl-3.0", r"either\s+version\s+3\s+of\s+the\s+license,\s+or\s+\(at\s+your\s+option\)", "version 3", 0.9),
+    ("gpl-2.0", r"either\s+version\s+2\s+of\s+the\s+license,\s+or\s+\(at\s+your\s+option\)", "option)", 0.9),
+    ("gpl-3.0", r"either\s+version\s+3\s+of\s+the\s+license,\s+or\s+\(at\s+your\s+option\)", "option)", 0.9),
     ("mpl-2.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0", "mozilla.org", 0.97),
     ("bsl-1.0", r"boost\.org/license_1_0\.txt", "boost.org", 0.97),
     ("unlicense", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain", "unencumbered", 0.99),
-    ("public-domain", r"\b(?:dedicated|released|placed)\s+(?:in)?to\s+the\s+public\s+domain\b", "public domain", 0.9),
-    ("public-domain", r"\bin\s+the\s+public\s+domain\b", "public domain", 0.6),
+    ("public-domain", r"\b(?:dedicated|released|placed)\s+(?:in)?to\s+the\s+public\s+domain\b", "domain", 0.9),
+    ("public-domain", r"\bin\s+the\s+public\s+domain\b", "domain", 0.6),
     ("cc0-1.0", r"creativecommons\.org/publicdomain/zero/1\.0", "creativecommons.org", 0.97),
     ("cc-by", r"creativecommons\.org/licenses/by/[1-4]\.[05]", "creativecommons.org", 0.97),
     ("cc-by-sa", r"creativecommons\.org/licenses/by-sa/[1-4]\.[05]", "creativecommons.org", 0.97),
@@ -106,26 +107,25 @@ STATEMENTS = [
     ("cc-by-nc", r"creativecommons\.org/licenses/by-nc/[1-4]\.[05]", "creativecommons.org", 0.97),
     ("cc-by-nc-sa", r"creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]", "creativecommons.org", 0.97),
     ("cc-by-nc-nd", r"creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]", "creativecommons.org", 0.97),
-    ("proprietary", r"\ball\s+rights\s+reserved\b", "rights reserved", 0.5),
-    ("proprietary", r"\b(?:unauthori[sz]ed\s+(?:copying|reproduction|distribution)|may\s+not\s+be\s+(?:copied|reproduced|redistributed)\s+without)\b", "unauthori", 0.7),
+    ("proprietary", r"\ball\s+rights\s+reserved\b", "reserved", 0.5),
+    ("proprietary", r"\b(?:unauthori[sz]ed\s+(?:copying|reproduction|distribution)|may\s+not\s+be\s+(?:copied|reproduced|redistributed)\s+without)\b", "unauthori|copied|reproduced|redistributed", 0.7),
     ("copyright", r"\bcopyright\s+(?:\(c\)|©)?\s*(?:19|20)\d\d\b", "copyright", 0.4),
 ]
 
-# Plain text without one of which no rule can match.
-STEMS = ("licen", "spdx", "copyright", "public domain", "rights reserved", "hereby granted", "permission to use", "redistribution", "endorse", "advertising materials", "creativecommons", "gnu.org", "apache.org", "mozilla.org", "boost.org", "unencumbered", "unauthori", "may not be", "under", "see ", "copy of", "conditions of", "subject to", "compatible with", "governed by")
-
 # The phrases that name the three base labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Smaller priorities win."""
+    """Smaller priorities win. The pattern matches only texts that hold a keyword (parted by |) of each set and, somewhere,
+    the head."""
 
     name: str
     label: str
     priority: int
     keywords: tuple[str, ...]
+    head: str
     pattern: re.Pattern
     confidence: float
 
@@ -133,13 +133,13 @@ class Rule:
 @functools.cache
 def rules() -> list[Rule]:
     """In order of priority: statements with their own wording, then every license in every form."""
-    found = [(f"statement-{k}", label, (keyword,), pattern, confidence) for k, (label, pattern, keyword, confidence) in enumerate(STATEMENTS)]
-    for form, pattern, keyword, confidence in FORMS:
+    found = [(f"statement-{k}", label, (keyword,), "", pattern, confidence) for k, (label, pattern, keyword, confidence) in enumerate(STATEMENTS)]
+    for form, head, rest, keyword, confidence in FORMS:
         for label, spdx, name, own in LICENSES:
-            keys = (keyword, "" if form == "tag" else own)
-            found.append((f"{form}-{label}", label, tuple(x for x in keys if len(x) > 1), pattern.replace("{id}", spdx).replace("{name}", name), confidence))
-    order = sorted(range(len(found)), key=lambda k: (-found[k][4], k))
-    return [Rule(name, label, place, keys, re.compile(pattern), confidence) for place, (name, label, keys, pattern, confidence) in enumerate(found[k] for k in order)]
+            keys = (keyword,) if form == "tag" else (keyword, own)
+            found.append((f"{form}-{label}", label, keys, head, head + rest.replace("{id}", spdx).replace("{name}", name), confidence))
+    order = sorted(range(len(found)), key=lambda k: (-found[k][5], k))
+    return [Rule(name, label, place, keys, head, re.compile(pattern), confidence) for place, (name, label, keys, head, pattern, confidence) in enumerate(found[k] for k in order)]
 
 
 def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
@@ -154,19 +154,21 @@ def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
 
 
 def detect(lowered: str) -> list[tuple[int, int, Rule]]:
-    """What the rules find in an A-Z lower-cased text and isn't suppressed: rules whose keywords the text lacks aren't tried."""
-    if not any(x in lowered for x in STEMS):
-        return []
+    """What the rules find in an A-Z lower-cased text and isn't suppressed: rules whose keywords or head the text lacks aren't tried."""
     has: dict[str, bool] = {}
+    begins: dict[str, bool] = {"": True}
     found = []
     for rule in rules():
         for key in rule.keywords:
             if key not in has:
-                has[key] = key in lowered
+                has[key] = any(x in lowered for x in key.split("|"))
             if not has[key]:
                 break
         else:
-            found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(lowered)]
+            if rule.head not in begins:
+                begins[rule.head] = re.search(rule.head, lowered) is not None
+            if begins[rule.head]:
+                found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(lowered)]
     return suppress(found)
 
 
