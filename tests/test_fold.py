@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import conflicts, events, fold
+from tidemark.plans import change_queries, registry
 
 COLUMNS = ["a", "b"]
 CHANGES = "id long, vsn long, op string, fields map<string,string>"
@@ -101,6 +102,25 @@ def test_nearest_conflict_is_the_last_of_all_pairs(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_conflict_counts_equal_all_pairs(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(k * 7001, rnd.choice("cuud"), rnd.choice(["p0", "p1", "p2", None]), rnd.choice(["x0", "x1", None]), rnd.choice(["x0", "x1", None])) for k in range(200)]
+    log = spark.createDataFrame(rows, "vsn long, op string, pkey string, before_bucket string, after_bucket string")
+    for counts, pairs in ((conflicts.conflict_counts, conflicts.pair_conflicts), (conflicts.before_conflict_counts, conflicts.before_conflicts)):
+        want = pairs(log).groupBy("later").agg(F.count("*").alias("n"), F.max("earlier").alias("nearest")).collect()
+        assert want and sorted(map(tuple, counts(log).collect())) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("name", ["i2_before_after_conflicts", "i3_before_before_conflicts"])
+def test_conflict_queries_form_no_pairs(spark, monkeypatch, name):
+    rows, many = [(k, "u", f"p{k}", "x", "x") for k in range(20000)], "vsn long, op string, pkey string, before_bucket string, after_bucket string"
+    monkeypatch.setattr(change_queries, "uk_events", lambda *_: spark.createDataFrame(rows, many))
+    monkeypatch.setattr(conflicts, "pair_conflicts", None)
+    got = registry.QUERIES[name](spark, "").agg(F.count("*"), F.sum("n"), F.sum(F.col("later") - F.col("nearest"))).first()
+    assert tuple(got) == (19999, 19999 * 10000, 19999)
+
+
 def test_unique_values_that_are_null_or_missing(spark):
     values = F.from_json(F.col("j"), "map<string,string>")
     df = spark.createDataFrame([(0, '{"a":"x","b":"y"}'), (1, '{"a":"x","b":null}'), (2, '{"a":"x"}'), (3, '{"a":"xy","b":""}')], "k int, j string")

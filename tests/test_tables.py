@@ -1,11 +1,14 @@
 """Tables that take batches, streams, validation, readers."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import convert
-from tidemark.operators import load, validate
+from tidemark.operators import load, stats, validate
+from tidemark.plans import registry
 from tidemark.sources import changelog, dumps
 from tidemark.sources.versioned import VersionedTable
 from tidemark.streaming import run
@@ -13,6 +16,22 @@ from tidemark.streaming import run
 from .test_fold import COLUMNS, frames, model, random_log
 
 
+def test_ordered_hash_holds_no_segment(spark):
+    rows = [(k % 3 or None, None if k % 50 == 0 else f"r{k}", k * 7919 % 3001) for k in range(3000)]
+    got = stats.ordered_hash(spark.createDataFrame(rows, "s int, r string, o long").repartition(5), F.col("s"), F.col("r"), "o")
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for key in (None, 1, 2):
+        own = sorted((o, r) for s, r, o in rows if s == key)
+        want.append((key, len(own), hashlib.md5("".join(hashlib.md5(r.encode()).hexdigest() for _, r in own if r).encode()).hexdigest()))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_report_is_numbered_in_parts(spark):
+    df = registry.QUERIES["w3_ordered_report"](spark, "/root/testdata/sf0.001")
+    assert "row_number()" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_batches_that_come_again_or_break_off(spark, tmp_path):
     base, log = random_log(5)
     old, changes = frames(spark, base, log)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fold import carry_last
+from ..sources.shared import cut
+from .fold import carry_last, count_before
 
 NULL = "<null>"
 
@@ -35,26 +36,57 @@ def pair_conflicts(log: DataFrame, later_ops: tuple[str, ...] = ("c", "u")) -> D
 
 def before_conflicts(log: DataFrame) -> DataFrame:
     """earlier, later: as pair_conflicts(), but the later one, which isn't an insert, held the same value before."""
-    return pair_conflicts(log.withColumn("after_bucket", F.when(F.col("op") != "c", F.col("before_bucket"))), ("u", "d"))
+    return pair_conflicts(_held(log), ("u", "d"))
 
 
-def nearest_conflicts(log: DataFrame, window: int | None = None) -> DataFrame:
-    """vsn, bucket, blocker: for each event and value that it takes (or, updating, holds), the latest earlier event of another
-    pkey that gives the value up, at most window places back if that is given. Linear: no pairs are formed. Each freeing event
-    carries the last one before it with another key than its own, so that the nearest is enough."""
-    frees = log.where(F.col("op").isin("u", "d") & F.col("before_bucket").isNotNull()).select("vsn", "pkey", F.col("before_bucket").alias("bucket"), F.lit(True).alias("frees"))
-    takes = log.where(F.col("op").isin("c", "u") & F.col("after_bucket").isNotNull()).select("vsn", "pkey", F.col("after_bucket").alias("bucket"), F.lit(False).alias("frees"))
-    holds = log.where((F.col("op") == "u") & F.col("before_bucket").isNotNull() & F.coalesce(F.col("before_bucket") != F.col("after_bucket"), F.lit(True))).select("vsn", "pkey", F.col("before_bucket").alias("bucket"), F.lit(False).alias("frees"))
+def _held(log: DataFrame) -> DataFrame:
+    """log with what an event that isn't an insert held before in place of what it takes."""
+    return log.withColumn("after_bucket", F.when(F.col("op") != "c", F.col("before_bucket")))
+
+
+def conflict_counts(log: DataFrame, later_ops: tuple[str, ...] = ("c", "u")) -> DataFrame:
+    """later, n, nearest: of each event that has any, how many pairs pair_conflicts() gives it, and the last of their earlier
+    ones. No pairs are formed: the events before it that free the value, less those of its own pkey."""
+    frees = _frees(log).where("pkey IS NOT NULL")
+    takes = log.where(F.col("op").isin(*later_ops) & F.col("after_bucket").isNotNull() & F.col("pkey").isNotNull()).select("vsn", "pkey", F.col("after_bucket").alias("bucket"), F.lit(False).alias("frees"))
+    placed = cut(_with_last_free(frees, takes).select("vsn", "pkey", "bucket", "frees", "at", "blocker"))
+    by_bucket = count_before(placed, ["bucket"], "at", F.col("frees"), "__all")
+    counted = count_before(by_bucket, ["bucket", "pkey"], "at", F.col("frees"), "__own").where(~F.col("frees"))
+    return counted.select(F.col("vsn").alias("later"), (F.col("__all") - F.col("__own")).alias("n"), F.col("blocker").alias("nearest")).where("n > 0")
+
+
+def before_conflict_counts(log: DataFrame) -> DataFrame:
+    """later, n, nearest: as conflict_counts(), of the pairs that before_conflicts() gives."""
+    return conflict_counts(_held(log), ("u", "d"))
+
+
+def _frees(log: DataFrame) -> DataFrame:
+    return log.where(F.col("op").isin("u", "d") & F.col("before_bucket").isNotNull()).select("vsn", "pkey", F.col("before_bucket").alias("bucket"), F.lit(True).alias("frees"))
+
+
+def _with_last_free(frees: DataFrame, asks: DataFrame) -> DataFrame:
+    """The rows of both (vsn, pkey, bucket, frees) in order (at) with blocker, the last event before them that frees the bucket
+    and is of another pkey. Each freeing event carries the last one before it with another key than its own, so that the
+    nearest is enough."""
     own = F.struct("vsn", "pkey")
     ran = carry_last(frees, ["bucket"], "vsn", own, "prior")
     turned = ran.withColumn("turn", F.when(F.col("prior.pkey") != F.col("pkey"), F.col("prior.vsn")))
     other = carry_last(turned, ["bucket"], "vsn", F.col("turn"), "before").withColumn("other", F.coalesce("turn", "before"))
     marked = other.select("vsn", "pkey", "bucket", "frees", F.struct("vsn", "pkey", "other").alias("free"))
-    rows = marked.unionByName(takes.unionByName(holds).withColumn("free", F.lit(None).cast(marked.schema["free"].dataType)))
-    # takes and holds of an event sort with its own freeing; what it frees itself has its own pkey, so order doesn't matter.
+    rows = marked.unionByName(asks.withColumn("free", F.lit(None).cast(marked.schema["free"].dataType)))
+    # what an event asks for sorts with its own freeing; what it frees itself has its own pkey, so order doesn't matter.
     placed = carry_last(rows.withColumn("at", F.col("vsn") * 2 + F.col("frees").cast("int")), ["bucket"], "at", F.col("free"), "last")
-    blocker = F.when(F.col("last.pkey") != F.col("pkey"), F.col("last.vsn")).otherwise(F.col("last.other"))
-    found = placed.where(~F.col("frees")).select("vsn", "bucket", blocker.alias("blocker")).where("blocker IS NOT NULL")
+    return placed.withColumn("blocker", F.when(F.col("last.pkey") != F.col("pkey"), F.col("last.vsn")).otherwise(F.col("last.other")))
+
+
+def nearest_conflicts(log: DataFrame, window: int | None = None) -> DataFrame:
+    """vsn, bucket, blocker: for each event and value that it takes (or, updating, holds), the latest earlier event of another
+    pkey that gives the value up, at most window places back if that is given. Linear: no pairs are formed."""
+    frees = _frees(log)
+    takes = log.where(F.col("op").isin("c", "u") & F.col("after_bucket").isNotNull()).select("vsn", "pkey", F.col("after_bucket").alias("bucket"), F.lit(False).alias("frees"))
+    holds = log.where((F.col("op") == "u") & F.col("before_bucket").isNotNull() & F.coalesce(F.col("before_bucket") != F.col("after_bucket"), F.lit(True))).select("vsn", "pkey", F.col("before_bucket").alias("bucket"), F.lit(False).alias("frees"))
+    placed = _with_last_free(frees, takes.unionByName(holds))
+    found = placed.where(~F.col("frees")).select("vsn", "bucket", "blocker").where("blocker IS NOT NULL")
     return found if window is None else found.where(F.col("vsn") - F.col("blocker") <= window)
 
 

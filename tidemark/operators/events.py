@@ -125,7 +125,7 @@ def strategy_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return one.join(two, "table_name", "full").withColumn("status", status).where("status IS NOT NULL").select("table_name", "status")
 
 
-def number_events(df: DataFrame, order: list[str], partitions: int, name: str = "vsn") -> DataFrame:
+def number_events(df: DataFrame, order: list[str] | list[Column], partitions: int, name: str = "vsn") -> DataFrame:
     """Numbers 0, 1, ... in the given total order: dealt out by range and sorted, then each part numbers on from the rows of
     the parts before it. Only one count for each part passes through a single task."""
     ordered = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)

@@ -26,6 +26,18 @@ def carry_last(df: DataFrame, keys: list[str], order: str, value: Column, name:
     return inner.join(before, [*keys, "__chunk"]).withColumn(name, F.coalesce("__inner", "__before")).drop("__chunk", "__value", "__inner", "__before")
 
 
+def count_before(df: DataFrame, keys: list[str], order: str, counts: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """df with the number of rows before each one, by keys in that order, for which counts holds. Goes by chunks as carry_last()."""
+    split = df.withColumns({"__chunk": F.floor(F.col(order) / chunk), "__one": F.coalesce(counts, F.lit(False)).cast("long")})
+    chunks = split.groupBy(*keys, "__chunk").agg(F.sum("__one").alias("__all"))
+    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = chunks.withColumn("__before", F.sum("__all").over(earlier)).select(*keys, "__chunk", "__before")
+    within = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = split.withColumn("__inner", F.sum("__one").over(within))
+    zero = F.lit(0).cast("long")
+    return inner.join(before, [*keys, "__chunk"]).withColumn(name, F.coalesce("__inner", zero) + F.coalesce("__before", zero)).drop("__chunk", "__one", "__inner", "__before")
+
+
 def effects(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """changes with live (whether the row exists just before) and effective (whether the change does anything)."""
     carried = carry_last(changes, key, "vsn", F.when(F.col("op").isin("c", "d"), F.col("op")), "__prior")

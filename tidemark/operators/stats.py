@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +129,33 @@ def value_checks(df: DataFrame, number: str, text: str) -> DataFrame:
 
 
 def ordered_hash(df: DataFrame, segment: Column, row: Column, order: str) -> DataFrame:
-    """segment, n_rows, hash: md5 of the rows' md5 in order. A segment is held whole; validate.segments() isn't."""
+    """segment, n_rows, hash: md5 of the rows' md5 in order. A segment goes through one task, sorted on disk if need be and
+    hashed as it passes, so that none is held whole; validate.segments() splits further."""
     hashed = df.select(segment.alias("segment"), F.md5(row).alias("h"), F.col(order).alias("o"))
-    return hashed.groupBy("segment").agg(F.count("*").alias("n_rows"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "")).alias("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = kind = digest = None
+        n = 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([n], pa.int64()), pa.array([digest.hexdigest()], pa.string())], ["segment", "n_rows", "hash"])
+
+        for batch in batches:
+            kind = batch.schema.field("segment").type
+            for key, rows in itertools.groupby(zip(batch.column("segment").to_pylist(), batch.column("h").to_pylist(), strict=True), key=lambda x: x[0]):
+                if digest is None or key != now:
+                    if digest is not None:
+                        yield done()
+                    now, n, digest = key, 0, hashlib.md5()
+                for _, h in rows:
+                    n += 1
+                    digest.update((h or "").encode())
+        if digest is not None:
+            yield done()
+
+    kind = hashed.schema["segment"].dataType.simpleString()
+    ordered = hashed.repartition("segment").sortWithinPartitions("segment", "o", "h")
+    return ordered.select("segment", "h").mapInArrow(run, f"segment {kind}, n_rows long, hash string")
 
 
 def ordered_lists(df: DataFrame, keys: list[str], value: str, position: str, name: str) -> DataFrame:
@@ -148,10 +177,15 @@ def top(df: DataFrame, by: str, n: int = 20, ties: str = "query") -> DataFrame:
     return df.where("status = 'MATCHED'").orderBy(F.desc(by), ties).limit(n)
 
 
-def ordered_report(df: DataFrame, calls: str = "tgt_calls") -> DataFrame:
+def report_order(calls: str = "tgt_calls") -> list[Column]:
     """Matched first, then target only, then source only; within each by calls."""
     rank = F.when(F.col("status") == "MATCHED", 0).when(F.col("status") == "TARGET_ONLY", 1).otherwise(2)
-    return df.orderBy(rank, F.desc_nulls_last(calls), "query")
+    return [rank, F.desc_nulls_last(calls), F.col("query")]
+
+
+def ordered_report(df: DataFrame, calls: str = "tgt_calls") -> DataFrame:
+    """df in report_order()."""
+    return df.orderBy(*report_order(calls))
 
 
 def fits_within(df: DataFrame, keys: list[str], order: list[str], limits: dict[str, Column]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drift, fleet, load, lookups, stats
+from ..operators import drift, events, fleet, load, lookups, stats
 from .inputs import TABLES, change_log
 from .inputs import load as read
 from .registry import query
@@ -308,7 +308,7 @@ def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w3_ordered_report", f"{COMPARED} SELECT query, status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'MATCHED' THEN 0 WHEN 'TARGET_ONLY' THEN 1 ELSE 2 END, tgt_calls DESC NULLS LAST, query) AS BIGINT) AS place FROM c")
 def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.ordered_report(compared(spark, sf_dir)).select("query", "status").withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+    return events.number_events(compared(spark, sf_dir), stats.report_order(), 8, "place").select("query", "status", (F.col("place") + 1).alias("place"))
 
 
 @query("w4_prefix_packing", "SELECT db_id, schema_name, object_name, sum(size_gb) OVER w <= 5 AND count(*) OVER w <= 8 AS fits FROM {objects} WINDOW w AS (PARTITION BY db_id ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")

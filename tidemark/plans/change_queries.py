@@ -240,12 +240,12 @@ def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("i2_before_after_conflicts", "SELECT l.vsn AS later, count(*) AS n, max(e.vsn) AS nearest FROM {uk_log} l JOIN {uk_log} e ON e.before_uk = l.after_uk AND e.op IN ('u', 'd') AND l.op IN ('c', 'u') AND e.vsn < l.vsn AND e.pkey <> l.pkey GROUP BY l.vsn")
 def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts.pair_conflicts(uk_events(spark, sf_dir)).groupBy("later").agg(F.count("*").alias("n"), F.max("earlier").alias("nearest"))
+    return conflicts.conflict_counts(uk_events(spark, sf_dir))
 
 
 @query("i3_before_before_conflicts", "SELECT l.vsn AS later, count(*) AS n, max(e.vsn) AS nearest FROM {uk_log} l JOIN {uk_log} e ON e.before_uk = l.before_uk AND e.op IN ('u', 'd') AND l.op <> 'c' AND e.vsn < l.vsn AND e.pkey <> l.pkey GROUP BY l.vsn")
 def i3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts.before_conflicts(uk_events(spark, sf_dir)).groupBy("later").agg(F.count("*").alias("n"), F.max("earlier").alias("nearest"))
+    return conflicts.before_conflict_counts(uk_events(spark, sf_dir))
 
 
 NEAREST = f"""
