@@ -153,20 +153,70 @@ def test_near_duplicates_in_a_crowd(spark):
 
 
 def test_minor_members_of_a_crowd_meet_all_others(spark):
-    """The exact way for crowded regions finds what neighbours leave out."""
+    """The exact way for crowded regions finds what candidates leave out."""
     rnd = np.random.default_rng(1)
-    base = rnd.integers(0, 1 << 16, near_dup.HASHES).astype(np.uint16)
-    nodes = []
-    for k in range(60):
-        own = base.copy()
-        own[rnd.choice(near_dup.HASHES, 20, replace=False)] = k
-        nodes.append((k, bytearray(own.tobytes())))
-    frame = spark.createDataFrame(nodes, "node long, hashes binary")
+    base = rnd.integers(0, 1 << 63, 100).astype(np.uint64)
+    items = [np.unique(np.concatenate([base[k % 7 :], rnd.integers(0, 1 << 63, k % 31).astype(np.uint64)])) for k in range(60)]
+    sets = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(items)], "node long, items binary")
     crowds = spark.createDataFrame([(0, 7, k) for k in range(60)], "tree int, prefix long, node long")
-    places = spark.createDataFrame([(k, 0 if k < 50 else 50) for k in range(58)], "node long, component long")
-    got = {(r.a, r.b) for r in near_dup.rest_of_crowds(crowds, frame, places).collect()}
-    part = lambda k: 0 if k < 50 else 50 if k < 58 else k
-    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if part(a) != part(b)}
+    part = lambda k: 0 if k < 30 else 50 if k < 40 else k
+    places = spark.createDataFrame([(k, part(k)) for k in range(40)], "node long, component long")
+    got = {(r.low, r.high) for r in near_dup.rest_of_crowds(crowds, sets, places, 75).collect()}
+    alike = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+    want = {tuple(sorted((part(a), part(b)))) for a in range(60) for b in range(a) if part(a) != part(b) and alike(items[a], items[b])}
+    assert want and got == want
+
+
+def test_regions_do_not_depend_on_portions():
+    """Small regions give all pairs, crowds a star for each full label and all their members, however the order is cut."""
+    rnd = np.random.default_rng(2)
+    prefix = np.sort(np.concatenate([np.repeat(np.arange(40), rnd.integers(1, 9, 40)), np.full(400, 17), np.full(90, 30)]))
+    rest = rnd.integers(0, 4, len(prefix))
+    node = rnd.permutation(len(prefix))
+    order = np.lexsort([node, rest, prefix])
+    columns = [np.zeros(len(prefix), np.int32), prefix[order], rest[order], node[order]]
+    seen = set()
+    for size in (1, 7, 64, 1000):
+        own, pairs, crowds = near_dup.Regions(), [], []
+        for k in range(0, len(prefix), size):
+            x, y = own.walk([c[k : k + size] for c in columns])
+            pairs += map(tuple, x.tolist())
+            crowds += map(tuple, y.tolist())
+        x, y = own.walk([c[:0] for c in columns], over=True)
+        seen.add((tuple(sorted(pairs + list(map(tuple, x.tolist())))), tuple(sorted(crowds + list(map(tuple, y.tolist()))))))
+    assert len(seen) == 1
+    pairs, crowds = seen.pop()
+    members = {p: [int(n) for n, q in zip(columns[3], columns[1], strict=True) if q == p] for p in range(40)}
+    big = {p for p, x in members.items() if len(x) > near_dup.SMALL} | {0, 39}
+    assert sorted(crowds) == sorted((0, p, n) for p in big for n in members[p])
+    want = {(min(a, b), max(a, b)) for p, x in members.items() if p not in big for a in x for b in x if a != b}
+    label = dict(zip(columns[3].tolist(), columns[2].tolist(), strict=True))
+    want |= {(min(a, b), max(a, b)) for p in big for a in members[p] for b in [next(n for n in members[p] if label[n] == label[a])] if a != b}
+    assert set(pairs) == want
+
+
+def test_planted_near_duplicates_are_found(spark):
+    """Pairs at and somewhat above the least similarity, alone and in a crowd with a common passage; all by full comparison too."""
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    rows, want = [], []
+    for k in range(1500):
+        own = [rnd.choice(words) for _ in range(84)]
+        other = own[:72 + k % 9] + [rnd.choice(words) for _ in range(12 - k % 9)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want.append(100 * len(a & b) >= 75 * len(a | b))
+    passage = [rnd.choice(words) for _ in range(60)]
+    for k in range(400):
+        own = passage + [rnd.choice(words) for _ in range(30)]
+        other = own[:84] + [rnd.choice(words) for _ in range(6)]
+        rows += [(10000 + 2 * k, " ".join(own)), (10001 + 2 * k, " ".join(other))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (near_dup.LIKELY, 0.0):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame, share=share).collect()}
+        assert all(got[i] == i for i in got if i % 2 == 0)
+        assert [got[2 * k + 1] == 2 * k for k in range(1500)] == want
+        assert all(got[10001 + 2 * k] == 10000 + 2 * k for k in range(400))
 
 
 def covered_words(rows, window):

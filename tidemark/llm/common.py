@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
+        if shared is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-tidemark-"))
     return context.getCheckpointDir()
@@ -61,26 +63,43 @@ def row_key(*columns: str):
 
 
 class Cache(dict):
-    """A dict that works out missing values with make and forgets everything when it holds too many."""
+    """A dict that works out missing values with make and forgets everything when it holds too many bytes, about."""
 
-    def __init__(self, make, most: int):
+    every: weakref.WeakSet = weakref.WeakSet()
+
+    def __init__(self, make, most: int = 96 << 20):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.room = make, most, most
+        Cache.every.add(self)
+
+    __hash__ = object.__hash__
+
+    def clear(self) -> None:
+        super().clear()
+        self.room = self.most
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) >= self.most:
+        self.room -= sys.getsizeof(key) + sys.getsizeof(value) + 100
+        if self.room < 0:
             self.clear()
         self[key] = value
         return value
 
 
+def alone(*caches: Cache) -> None:
+    """Empties all other caches: Python workers live on from stage to stage, and what one stage remembers is of no use to the next."""
+    for x in list(Cache.every):
+        if not any(x is y for y in caches):
+            x.clear()
+
+
 def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
 #: Hashes of words or lines seen lately, in each Python worker.
-UNIT_HASHES = Cache(hash64, 600_000)
+UNIT_HASHES = Cache(hash64)
 
 
 def unit_hashes(units: list[bytes]) -> np.ndarray:
