@@ -13,11 +13,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import SPACE_BEFORE_SPACE, texts
+from .common import SPACE_BEFORE_SPACE, Cache, alone, texts
 
 NONE = 1 << 62
-#: Chunks whose ids a Python worker remembers; about 200 bytes each. Longer ones made of a remembered word and a mark aren't.
-REMEMBERED = 1_500_000
+#: Bytes of remembered chunks. Longer ones made of a remembered word and a mark aren't.
+REMEMBERED = 256 << 20
 SHORT = 6
 #: A line break between non-spaces, which no match of the pattern reaches over.
 LONE_BREAK = re.compile(r"\n(?<=\S\n)(?=\S)")
@@ -82,12 +82,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Chunks(dict):
-    """Ids, as little-endian unsigned 32-bit numbers, of chunks; forgets all when it holds too many."""
+class Chunks(Cache):
+    """Ids, as little-endian unsigned 32-bit numbers, of chunks."""
 
     def __init__(self, encode, marks: str):
-        super().__init__()
-        self.encode = encode
+        super().__init__(encode, REMEMBERED)
         self.marks = {x: encode(x) for x in marks}
 
     def __missing__(self, chunk: str) -> bytes:
@@ -96,15 +95,12 @@ class Chunks(dict):
             ids = self[core] + self.marks[mark]
             if len(chunk) > SHORT:
                 return ids
-        else:
-            parts = LONE_BREAK.split(chunk)
-            if len(parts) > 1:
-                return self.marks["\n"].join([self[x] for x in parts])
-            ids = self.encode(chunk)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = ids
-        return ids
+            self[chunk] = ids
+            return ids
+        parts = LONE_BREAK.split(chunk)
+        if len(parts) > 1:
+            return self.marks["\n"].join([self[x] for x in parts])
+        return super().__missing__(chunk)
 
 
 class Encoder:
@@ -146,6 +142,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        alone(own.chunks)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.encode(x) for x in texts(batch)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -157,6 +154,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        alone(own.chunks)
         for batch in batches:
             out = [own.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
@@ -169,6 +167,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        alone(own.chunks)
         for batch in batches:
             counts, codes, back = [], [], []
             for text in texts(batch):

@@ -33,12 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df computed once into a Parquet folder in the checkpoint folder, so that lost executors cost no recomputation. Unlike
     checkpoint(), what is read again brings no constraints along, which in loops would double with every turn. The folder
     stays until the cluster clears it."""
     path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,7 +58,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def row_key(*columns: str):
-    """Tells rows apart for joins: equal for rows that repeat one another in these columns, so the other side has one row a key."""
+    """With doc_id, tells rows apart for joins: equal for rows that repeat one another in these columns, so the other side has one row a key."""
     return F.xxhash64(*columns)
 
 
@@ -80,10 +80,12 @@ class Cache(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        self.room -= sys.getsizeof(key) + sys.getsizeof(value) + 100
-        if self.room < 0:
-            self.clear()
-        self[key] = value
+        size = sys.getsizeof(key) + sys.getsizeof(value) + 100
+        if size <= self.most >> 7:
+            self.room -= size
+            if self.room < 0:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -159,20 +161,22 @@ SPACE_BEFORE_SPACE = re.compile(r" (?:\s|$)")
 
 
 def rewrite(docs: DataFrame, joined: DataFrame, change) -> DataFrame:
-    """docs with texts changed. joined: docs' columns and others that begin with two underscores; change(texts, batch) gives
-    the new texts of a batch of it. n_chars, where docs has it, follows; texts that stay as they are, null ones too, keep both."""
+    """docs with texts changed. joined: docs' columns as one struct named row, so that no name clashes, and others;
+    change(texts, batch) gives the new texts of a batch of it. n_chars, where docs has it, follows; texts that stay as they
+    are, null ones too, keep both."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = batch.column("text").to_pylist()
-            new = [x if y == (x or "") else y for x, y in zip(old, change(texts(batch), batch), strict=True)]
-            columns = [batch.column(x) for x in names]
-            columns[names.index("text")] = pa.array(new, batch.schema.field("text").type)
+            columns = batch.column("row").flatten()
+            old = columns[names.index("text")].to_pylist()
+            changed = change(["" if x is None else x for x in old], batch)
+            new = [x if y == (x or "") else y for x, y in zip(old, changed, strict=True)]
+            columns[names.index("text")] = pa.array(new, columns[names.index("text")].type)
             if "n_chars" in names:
-                field = batch.schema.field("n_chars").type
-                sizes = [n if x is y else len(y) for n, x, y in zip(batch.column("n_chars").to_pylist(), old, new, strict=True)]
-                columns[names.index("n_chars")] = pa.array(sizes, field)
+                at = names.index("n_chars")
+                sizes = [n if x is y else len(y) for n, x, y in zip(columns[at].to_pylist(), old, new, strict=True)]
+                columns[at] = pa.array(sizes, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, rewrite, row_key, saved, spread, texts, unit_hashes, window_minima
+from .common import ROLLING, UNIT_HASHES, alone, rewrite, row_key, saved, spread, texts, unit_hashes, window_minima
 
 WINDOW = 50
 
@@ -26,6 +26,7 @@ def _anchors(window: int):
     half = (window + 1) // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(UNIT_HASHES)
         for batch in batches:
             keep, whole, places, anchors = [], [], [], []
             for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True)):
@@ -45,12 +46,13 @@ def _anchors(window: int):
 
 
 def _windows(window: int):
-    """Rabin-Karp hashes, independent of the anchors', of every window that holds one of the row's hits."""
+    """Two independent Rabin-Karp hashes of every window that holds one of the row's hits."""
     half = (window + 1) // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(UNIT_HASHES)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for own, doc_id, text, hits in zip(*(batch.column(x).to_pylist() for x in ("own", "doc_id")), texts(batch), batch.column("hits").to_pylist(), strict=True):
                 hashes = unit_hashes(words(text))
                 near = np.zeros(len(hashes) - window + 2, np.int64)
@@ -58,32 +60,36 @@ def _windows(window: int):
                 np.add.at(near, np.clip(at - (window - half), 0, len(near) - 1), 1)
                 np.add.at(near, np.clip(at + 1, 0, len(near) - 1), -1)
                 starts = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                for column, value in zip(out, (np.full(len(starts), own), np.full(len(starts), doc_id), starts, ROLLING[1].of(hashes, window)[starts].view(np.int64)), strict=True):
+                one, two = (x.of(hashes, window)[starts].view(np.int64) for x in ROLLING)
+                for column, value in zip(out, (np.full(len(starts), own), np.full(len(starts), doc_id), starts, one, two), strict=True):
                     column.append(value)
             if out[0]:
-                own, doc_id, start, key = (np.concatenate(x).astype(np.int64) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(doc_id), pa.array(start.astype(np.int32)), pa.array(key)], ["own", "doc_id", "start", "key"])
+                own, doc_id, start, one, two = (np.concatenate(x).astype(np.int64) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(doc_id), pa.array(start.astype(np.int32)), pa.array(one), pa.array(two)], ["own", "doc_id", "start", "one", "two"])
 
     return find
 
 
+KEY = ["own", "doc_id"]
+
+
 def repeated(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Of keyed (own, doc_id, text): own, whole (all of the row's words stand in this order in a row of smaller doc_id, and
-    they fill a window), starts (else: of its windows whose words also start in such a row).
+    """Of keyed (own, doc_id, text): own, doc_id, whole (all of the row's words stand in this order in a row of smaller
+    doc_id, and they fill a window), starts (else: of its windows whose words also start in such a row).
 
     Rows with equal words are told apart from the others first: only the smallest doc_id of each has its windows counted.
     Then windows without a repeated anchor are left out, which can't repeat; all others are counted."""
     rows = saved(keyed.mapInArrow(_anchors(window), "own long, doc_id long, whole binary, places array<int>, anchors array<long>"))
     first = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "own")).alias("first")).select("whole", "first.*")
-    copies = rows.select("own", "doc_id", "whole").join(spread(first.select("whole", F.col("doc_id").alias("low"))), "whole").where("doc_id > low").select("own", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
-    anchors = rows.join(first.select("own"), "own", "left_semi").select("own", "doc_id", F.explode(F.arrays_zip("places", "anchors")).alias("x")).select("own", "doc_id", "x.places", "x.anchors")
+    copies = rows.select(*KEY, "whole").join(spread(first.select("whole", F.col("doc_id").alias("low"))), "whole").where("doc_id > low").select(*KEY, F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
+    anchors = rows.join(first.select(*KEY), KEY, "left_semi").select(*KEY, F.explode(F.arrays_zip("places", "anchors")).alias("x")).select(*KEY, "x.places", "x.anchors")
     often = anchors.groupBy("anchors").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchors")
-    hits = saved(anchors.join(spread(often), "anchors").groupBy("own").agg(F.collect_set("places").alias("hits")))
-    near = keyed.join(hits.hint("shuffle_hash"), "own")
-    windows = near.mapInArrow(_windows(window), "own long, doc_id long, start int, key long")
-    lowest = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    later = windows.join(spread(lowest), "key").where("doc_id > low").groupBy("own").agg(F.collect_set("start").alias("starts"))
-    return copies.unionByName(later.select("own", F.lit(False).alias("whole"), "starts"))
+    hits = saved(anchors.join(spread(often), "anchors").groupBy(*KEY).agg(F.collect_set("places").alias("hits")))
+    near = keyed.join(hits.hint("shuffle_hash"), KEY)
+    windows = near.mapInArrow(_windows(window), "own long, doc_id long, start int, one long, two long")
+    lowest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    later = windows.join(spread(lowest), ["one", "two"]).where("doc_id > low").groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
+    return copies.unionByName(later.select(*KEY, F.lit(False).alias("whole"), "starts"))
 
 
 def intervals(starts: Iterable[int], window: int) -> list[tuple[int, int]]:
@@ -129,20 +135,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words; rows without doc_id neither lose words nor cause a loss; rows that repeat doc_id and text lose the same words;
     repeats within a document stay."""
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"))
-    joined = keyed.join(repeated(keyed, window).hint("shuffle_hash"), "own", "left").select("doc_id", "text", "whole", "starts")
+    joined = keyed.join(repeated(keyed, window).hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "whole", "starts")
     return joined.mapInArrow(_report(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, each text that substring_dedup() takes words from as the kept words joined by one space; other texts and columns
-    stay, n_chars follows the text. A row that loses all its words stays with an empty text."""
+    stay, whatever they are called, n_chars follows the text. A row that loses all its words stays with an empty text; null
+    texts, rows without doc_id and repeated rows are as there; an empty table stays empty."""
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"))
-    removals = repeated(keyed, window).select(*[F.col(x).alias(f"__{x}") for x in ("own", "whole", "starts")])
-    joined = docs.withColumn("__own", row_key("doc_id", "text")).join(removals.hint("shuffle_hash"), "__own", "left")
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("own"), F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
+    joined = rows.join(repeated(keyed, window).hint("shuffle_hash"), KEY, "left").select("row", "whole", "starts")
 
     def change(found: list[str], batch: pa.RecordBatch) -> list[str]:
         out = []
-        for text, whole, starts in zip(found, batch.column("__whole").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
+        for text, whole, starts in zip(found, batch.column("whole").to_pylist(), batch.column("starts").to_pylist(), strict=True):
             before, kept = without(text, whole, starts, window)
             out.append(text if len(kept) == len(before) else b" ".join(kept).decode("utf-8", "surrogatepass"))
         return out

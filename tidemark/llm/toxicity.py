@@ -13,11 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, saved, texts
+from .common import Cache, alone, saved, texts
 
 WORD = re.compile(r"\w+").findall
 PREFIXES = (6, 5, 4)
-REMEMBERED = 600_000
 #: Labelled documents that the model is fitted on at most, about: a bounded sample by hash, so that the model is bounded too.
 SAMPLE = 200_000
 
@@ -40,7 +39,7 @@ class Model:
     words: Cache = field(init=False, repr=False, compare=False)
 
     def __post_init__(self):
-        self.words = Cache(self._chunk, REMEMBERED)
+        self.words = Cache(self._chunk)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "words"}
@@ -72,26 +71,30 @@ class Model:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) in one scan: Ruzzo and Tompa's stack of candidates, each with the
-    sum before it and after it. A candidate joins the nearest one to its left with a smaller sum before it, unless that
-    one's sum after is as large; runs of negative scores are taken as one."""
+    """All maximal scoring segments (start, end, score) in one linear scan: Ruzzo and Tompa's candidates, each with the sum
+    before it and after it and a link to the nearest one to its left with a smaller sum before it. A new candidate follows
+    links, and joins that nearest one unless its sum after is as large; what a link passes over is never looked at again."""
     at = np.flatnonzero(scores > 0)
-    if not len(at):
-        return []
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[int, int, float, float]] = []
-    for i in at.tolist():
-        start, end, low, high = i, i + 1, float(sums[i]), float(sums[i + 1])
+    starts: list[int] = []
+    ends: list[int] = []
+    lows: list[float] = []
+    highs: list[float] = []
+    links: list[int] = []
+    for start, low, high in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist(), strict=True):
+        end, k = start + 1, len(starts) - 1
         while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= low:
-                k -= 1
-            if k < 0 or found[k][3] >= high:
-                found.append((start, end, low, high))
+            while k >= 0 and lows[k] >= low:
+                k = links[k]
+            if k < 0 or highs[k] >= high:
                 break
-            start, low = found[k][0], found[k][2]
-            del found[k:]
-    return [(start, end, high - low) for start, end, low, high in found]
+            start, low, link = starts[k], lows[k], links[k]
+            for x in (starts, ends, lows, highs, links):
+                del x[k:]
+            k = link
+        for x, value in ((starts, start), (ends, end), (lows, low), (highs, high), (links, k)):
+            x.append(value)
+    return [(a, b, high - low) for a, b, low, high in zip(starts, ends, lows, highs, strict=True)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +121,8 @@ def _corpus_counts(docs: DataFrame, wanted: list[str]) -> tuple[dict[str, int],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: i for i, x in enumerate(wanted)}
-        cache = Cache(lambda chunk: np.array([len(wanted), *[place[x] for word in WORD(chunk.lower()) for x in features(word) if x in place]], "<u4").tobytes(), REMEMBERED)
+        cache = Cache(lambda chunk: np.array([len(wanted), *[place[x] for word in WORD(chunk.lower()) for x in features(word) if x in place]], "<u4").tobytes())
+        alone(cache)
         total = np.zeros(len(wanted) + 1, np.int64)
         for batch in batches:
             for text in texts(batch):
@@ -197,6 +201,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(model.words)
         for batch in batches:
             sizes, found, scores = [], [], []
             for text in texts(batch):
@@ -255,10 +260,12 @@ def held_out():
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs, all columns, without the rows that score threshold or more."""
+    """docs, all columns, without the rows that score threshold or more. Rows that repeat or lack a doc_id are scored like
+    others; null and empty texts score least and stay where any clean text does; an empty table stays empty."""
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(model.words)
         for batch in batches:
             keep = []
             for text in texts(batch):
