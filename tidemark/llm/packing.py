@@ -12,10 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, lower_ascii, texts
+from .common import Cache, alone, lower_ascii, saved, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-REMEMBERED = 700_000
 #: Pieces that one task packs; all it knows of them is some numbers.
 SHARD = 32_768
 
@@ -34,14 +33,15 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.words = Cache(self._word, REMEMBERED)
-        self.words[""] = b""
+        self.words = Cache(self._word)
         self.marks = {x: self._encode(x) for x in ".,"}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
         core = word[:-1]
         if word[-1] in ".," and core[-1:].isalpha() and core[-1] != "\u0130":  # which lower-cases to a letter and a mark
             return self.words[core] + self.marks[word[-1]]
@@ -68,6 +68,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_encoder(path)
+        alone(own.words)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
@@ -113,10 +114,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack(cut: DataFrame, documents: int, capacity: int = 4096, shard: int = SHARD) -> DataFrame:
-    """pieces with sequence_id and offset. Shards of pieces, dealt by hash, are packed by themselves: each leaves at
-    most a few sequences unfilled, out of thousands. documents: about how many pieces there are, to choose the number of shards."""
-    shards = max(1, round(documents / shard))
+def pack(cut: DataFrame, capacity: int = 4096, shard: int = SHARD) -> DataFrame:
+    """pieces with sequence_id and offset. Shards of about shard pieces, dealt by hash, are packed by themselves: each leaves
+    at most a few sequences unfilled, out of thousands. Repeated pieces, also of rows without doc_id, each get a place; no
+    pieces give no rows; other columns than those of pieces() are left out."""
+    cut = saved(cut)
+    shards = max(1, -(-cut.count() // shard))
 
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort([table.column(x).to_numpy() for x in ("ids_crc32", "piece", "doc_id")])
@@ -125,5 +128,6 @@ def pack(cut: DataFrame, documents: int, capacity: int = 4096, shard: int = SHAR
         numbers = bins + (table.column("shard")[0].as_py() << 32)
         return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(offsets))
 
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # Repeated pieces are equal in all columns, so a number of their own deals them out as well.
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
