@@ -11,9 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import read_ranks
-from .common import SPACE_BEFORE_SPACE, Cache, texts
+from .common import SPACE_BEFORE_SPACE, Cache, alone, texts
 
-REMEMBERED = 600_000
 #: Characters that a match of the pattern can look at beyond its end.
 LOOKAHEAD = 3
 
@@ -26,8 +25,8 @@ class Counter:
 
         self.encode = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
         self.pattern = regex.compile(pattern)
-        self.pieces = Cache(lambda piece: len(self.encode(piece)), REMEMBERED)
-        self.chunks = Cache(self._chunk, REMEMBERED)
+        self.pieces = Cache(lambda piece: len(self.encode(piece)))
+        self.chunks = Cache(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         found = self.pattern.findall(chunk)
@@ -84,6 +83,18 @@ class Tree:
         n, tokens = map(int, self.nodes[self.size + slot])
         return self.inside.get(slot, [(n, tokens)] if n else [])
 
+    def leaves(self) -> np.ndarray:
+        """A row of length and tokens for each pre-token, as they are now."""
+        slots = self.nodes[self.size :]
+        if not self.inside:
+            return slots[slots[:, 0] > 0]
+        out, at = [], 0
+        for slot in sorted(self.inside):
+            out += [slots[at:slot], np.array(self.inside[slot], np.int64).reshape(-1, 2)]
+            at = slot + 1
+        every = np.concatenate([*out, slots[at:]])
+        return every[every[:, 0] > 0]
+
     def put(self, slot: int, parts: list[tuple[int, int]]) -> None:
         self.inside[slot] = parts
         k = self.size + slot
@@ -142,19 +153,25 @@ def edit(text: str, tree: Tree, start: int, end: int, new: str, own: Counter) ->
     return out
 
 
-STATE = "doc_id long, text string, lengths binary, tokens binary"
+STATE = "doc_id long, text string, lengths array<int>, tokens array<int>"
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0), *arrays]).astype(np.int32)))
 
 
 def build(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The state of each row: doc_id, text, and lengths and tokens of its pre-tokens (little-endian unsigned 32-bit), from
-    which a tree is summed up. A null text is an empty one."""
+    """The state to keep of each row: doc_id, text, and lengths and tokens of its pre-tokens, the leaves of its tree. A null
+    text is an empty one; rows that repeat or lack a doc_id are states of their own; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
+        alone(own.pieces, own.chunks)
         for batch in batches:
             found = texts(batch)
-            leaves = [own.leaves(x).astype("<u4") for x in found]
-            columns = [batch.column("doc_id"), pa.array(found, pa.string()), *[pa.array([x[:, k].tobytes() for x in leaves], pa.binary()) for k in (0, 1)]]
+            leaves = [own.leaves(x) for x in found]
+            columns = [batch.column("doc_id"), pa.array(found, pa.string()), *[_lists([x[:, k] for x in leaves]) for k in (0, 1)]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lengths", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, STATE)
@@ -163,24 +180,33 @@ def build(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 EDITS = "array<struct<start:long,end:long,new:string>>"
 
 
-def count(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Every row of docs (doc_id, text, edits as EDITS, made one after the other, each in the text that the one before
-    left; out of range is cut to the text, nulls count as 0 or empty): doc_id, n_tokens, n_tokens_edited, n_chars_edited,
-    text_edited. Null texts are empty; null edits are none; rows that repeat or lack a doc_id are counted like others."""
+def follow(state: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Every row of state (of build() or follow(), with edits as EDITS, made one after the other, each in the text that the
+    one before left; out of range is cut to the text, nulls count as 0 or empty) after its edits, with n_tokens (before
+    them), n_tokens_edited and n_chars_edited. Trees are summed up from the leaves kept; only what edits touch is encoded.
+    Null edits are none; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
+        alone(own.pieces, own.chunks)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, edits in zip(texts(batch), batch.column("edits").to_pylist(), strict=True):
-                tree = Tree(own.leaves(text))
+            out: list[list] = [[], [], [], [], [], []]
+            kept = []
+            for name in ("lengths", "tokens"):
+                column = batch.column(name)
+                ends = column.offsets.to_numpy()
+                values = column.values.to_numpy(zero_copy_only=False)
+                kept.append([values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
+            for text, edits, *leaves in zip(texts(batch), batch.column("edits").to_pylist(), *kept, strict=True):
+                tree = Tree(np.stack(leaves, 1).astype(np.int64))
                 before = tree.tokens
                 for x in edits or []:
                     if x is not None:
                         text = edit(text, tree, x["start"] or 0, x["end"] or 0, x["new"] or "", own)
-                for column, value in zip(out, (before, tree.tokens, tree.length, text), strict=True):
+                after = tree.leaves()
+                for column, value in zip(out, (text, after[:, 0], after[:, 1], before, tree.tokens, tree.length), strict=True):
                     column.append(value)
-            columns = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "text_edited"])
+            columns = [batch.column("doc_id"), pa.array(out[0], pa.string()), _lists(out[1]), _lists(out[2]), *[pa.array(x, pa.int64()) for x in out[3:]]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lengths", "tokens", "n_tokens", "n_tokens_edited", "n_chars_edited"])
 
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, text_edited string")
+    return state.select("doc_id", "text", "lengths", "tokens", "edits").mapInArrow(run, f"{STATE}, n_tokens long, n_tokens_edited long, n_chars_edited long")
