@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: How many standard errors an estimate may be off before a neighbour could be missed.
 SURE = 4.0
-#: Vectors and queries of a block; a task compares one block with another.
-VECTORS, QUERIES = 8192, 1024
+#: Vectors and queries of a block; a task compares one block with another. Queries are few, so that vectors have few copies.
+VECTORS, QUERIES = 8192, 16384
 #: Best estimates that are compared first, to know what the others must reach.
 FIRST = 32
 
