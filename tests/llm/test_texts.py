@@ -13,12 +13,13 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import saved
 from tidemark.llm import bpe, exact_dedup, licenses, line_dedup, near_dup, packing, substring_dedup, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPACES = r"[^\x20\x09-\x0D]+"
 #: Columns whose names the operators use themselves.
-CLASH = ("own", "kept", "hits", "starts", "n_words", "node", "component", "digest", "keep_id", "bucket", "reason")
+CLASH = ("row", "runs", "whole", "picks", "low", "part", "__own", "__starts", "__whole", "__gone", "own", "kept", "hits", "starts", "n_words", "node", "component", "digest", "keep_id", "bucket", "reason")
 
 
 def vocabulary(rnd, n):
@@ -244,7 +245,7 @@ def test_substring_dedup(docs, rows, window):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, covered_words(rows, window)))
 
 
-def repeated_lines(rows, run):
+def repeated_lines(rows, run, long=line_dedup.LONG):
     one = sorted({(i, x) for i, x in rows if i is not None}, key=lambda r: r[0])
     seen, gone = {}, defaultdict(set)
     for i, x in one:
@@ -254,6 +255,9 @@ def repeated_lines(rows, run):
         for k in range(len(trimmed) - run + 1):
             if seen.setdefault(tuple(trimmed[k : k + run]), (i, k)) != (i, k):
                 gone[i, x] |= {places[k + m] for m in range(run)}
+        for k, line in enumerate(trimmed):
+            if len(line) >= long and seen.setdefault(line, (i, k)) != (i, k):
+                gone[i, x].add(places[k])
     out = []
     for i, x in rows:
         lines = (x or "").split("\n")
@@ -263,10 +267,10 @@ def repeated_lines(rows, run):
     return out
 
 
-@pytest.mark.parametrize("run", [2, 3])
-def test_line_dedup(docs, rows, run):
-    got = line_dedup.line_dedup(docs, run).drop("kept_text").collect()
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, repeated_lines(rows, run)))
+@pytest.mark.parametrize(("run", "long"), [(2, line_dedup.LONG), (2, 10), (3, 1000), (1, 1000)])
+def test_line_dedup(docs, rows, run, long):
+    got = line_dedup.line_dedup(docs, run, long).drop("kept_text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, repeated_lines(rows, run, long)))
 
 
 def test_cleaning_keeps_columns(docs, rows):
@@ -284,7 +288,7 @@ def test_packing(docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
     capacity = 256
-    packed = packing.pack(packing.pieces(docs, path, capacity), len(rows), capacity).collect()
+    packed = packing.pack(packing.pieces(docs, path, capacity), capacity).collect()
     want = []
     for i, x in rows:
         ids = np.array(tokenizer.encode(x or "", add_special_tokens=False).ids + [1], "<u4")
@@ -370,10 +374,15 @@ def test_token_counts_follow_edits(spark):
         rows.append((k, text, edits))
         want.append((k, len(encoding.encode_ordinary(text)), len(encoding.encode_ordinary(now)), now))
     docs = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}")
-    got = token_counts.count(docs, RANKS, public_tokenizers.PATTERN).collect()
-    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_tokens, r.n_tokens_edited, r.text_edited)) for r in got)
-    state = token_counts.build(docs, RANKS, public_tokenizers.PATTERN).collect()
-    assert {r.doc_id: int(np.frombuffer(r.tokens, "<u4").sum()) for r in state if r.doc_id} == {x[0]: x[1] for x in want if x[0]}
+    state = saved(token_counts.build(docs, RANKS, public_tokenizers.PATTERN))
+    edits = spark.createDataFrame([(i, e) for i, _, e in rows if i is not None], f"doc_id long, edits {token_counts.EDITS}")
+    after = saved(token_counts.follow(state.join(edits, "doc_id", "left"), RANKS, public_tokenizers.PATTERN))
+    got = after.collect()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_tokens, r.n_tokens_edited, r.text)) for r in got)
+    anew = token_counts.build(after, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(str((r.doc_id, r.text, r.lengths, r.tokens)) for r in anew) == sorted(str((r.doc_id, r.text, r.lengths, r.tokens)) for r in got)
+    again = token_counts.follow(after.withColumn("edits", F.expr("array(named_struct('start', 1L, 'end', 3L, 'new', 'q r'))")), RANKS, public_tokenizers.PATTERN).collect()
+    assert all(r.n_tokens_edited == len(encoding.encode_ordinary(r.text)) for r in again)
 
 
 def test_license_base_phrases(spark):
@@ -463,6 +472,16 @@ def brute_segments(scores):
     return brute_segments(scores[:a]) + [best] + [(x + b, y + b, s) for x, y, s in brute_segments(scores[b:])]
 
 
+def test_segments_of_a_long_toxic_text_take_linear_time():
+    import time
+
+    scores = np.where(np.arange(400_000) % 5 == 0, 1.0, -0.5)
+    began = time.time()
+    assert len(toxicity.segments(scores)) == 80_000
+    assert len(toxicity.segments(-scores[::-1])) > 0
+    assert time.time() - began < 5
+
+
 def test_maximal_segments():
     rnd = random.Random(6)
     for _ in range(300):
@@ -516,8 +535,8 @@ def test_empty_tables(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     results = [
         exact_dedup.exact_dedup(empty, empty, 0), near_dup.near_duplicates(empty), near_dup.one_of_each(empty), substring_dedup.substring_dedup(empty), substring_dedup.clean(empty), line_dedup.line_dedup(empty), line_dedup.clean(empty),
-        packing.pack(packing.pieces(empty, path), 0), bpe.digests(empty, RANKS, public_tokenizers.PATTERN), licenses.scan(empty), toxicity.score(empty, none), toxicity.reject(empty, none),
-        token_counts.count(empty.withColumn("edits", F.lit(None).cast(token_counts.EDITS)), RANKS, public_tokenizers.PATTERN),
+        packing.pack(packing.pieces(empty, path)), bpe.digests(empty, RANKS, public_tokenizers.PATTERN), licenses.scan(empty), toxicity.score(empty, none), toxicity.reject(empty, none),
+        token_counts.follow(token_counts.build(empty, RANKS, public_tokenizers.PATTERN).withColumn("edits", F.lit(None).cast(token_counts.EDITS)), RANKS, public_tokenizers.PATTERN),
     ]
     for df in results:
         assert df.collect() == []

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, licenses, line_dedup, near_dup, packing, substring_dedup, token_counts, toxicity
-from .common import table
+from .common import saved, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(cut, docs.count())
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +55,11 @@ def edits():
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("edits", edits())
-    counted = token_counts.count(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", F.sha2("text_edited", 256).alias("edited_sha256"))
+    """The trees' leaves are stored first; the edits then work on what is stored."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    state = saved(token_counts.build(table(spark, sf_dir, "documents"), *vocabulary), "zstd")
+    after = token_counts.follow(state.withColumn("edits", edits()), *vocabulary)
+    return after.select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", F.sha2("text", 256).alias("edited_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +112,8 @@ SQL = {
         u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM t WHERE line <> ''),
         w AS (SELECT doc_id, i, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM u),
         r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS n FROM w WHERE b IS NOT NULL),
-        gone AS (SELECT DISTINCT u.doc_id, u.k FROM r JOIN u ON u.doc_id = r.doc_id AND u.i IN (r.i, r.i + 1) WHERE r.n > 1),
+        s AS (SELECT doc_id, k, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM u WHERE length(line) >= 40),
+        gone AS (SELECT u.doc_id, u.k FROM r JOIN u ON u.doc_id = r.doc_id AND u.i IN (r.i, r.i + 1) WHERE r.n > 1 UNION SELECT doc_id, k FROM s WHERE n > 1),
         kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) AS text FROM l ANTI JOIN gone USING (doc_id, k) GROUP BY l.doc_id)
         SELECT d.doc_id, (SELECT count(*) FROM u WHERE u.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM documents d LEFT JOIN kept USING (doc_id)""",
