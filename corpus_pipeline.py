@@ -15,7 +15,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of two lines or more that start earlier too are cut out."""
+    """Runs of two lines or more that start earlier too are cut out, and long lines by themselves."""
     return line_dedup.clean(docs)
 
 
@@ -31,7 +31,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 4096."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), docs.count())
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
