@@ -262,7 +262,9 @@ def rest_of_crowds(crowds: DataFrame, sets: DataFrame, places: DataFrame, percen
     names = [*keys, "component", "items"]
     some = members.where("minor").select(*names, dealt("firsts").alias("first"), each("seconds").alias("second"), F.lit(True).alias("minor"))
     everyone = members.select(*names, each("firsts").alias("first"), dealt("seconds").alias("second"), F.lit(False).alias("minor"))
-    return some.unionByName(everyone).groupBy(*keys, "first", "second").applyInArrow(_across(percent), EDGES)
+    # As one column: rows dealt out by tree and prefix alone would count as grouped already, all of a crowd in one task.
+    block = F.struct(*keys, "first", "second").alias("block")
+    return some.unionByName(everyone).select(block, "component", "items", "minor").groupBy("block").applyInArrow(_across(percent), EDGES)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, share: float = LIKELY) -> DataFrame:
