@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import SPACE_BEFORE_SPACE, Cache, alone, texts
+from .common import SPACE_BEFORE_SPACE, Cache, alone, portions, texts
 
 NONE = 1 << 62
 #: Bytes of remembered chunks. Longer ones made of a remembered word and a mark aren't.
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         alone(own.chunks)
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.encode(x) for x in texts(batch)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -155,7 +155,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         alone(own.chunks)
-        for batch in batches:
+        for batch in portions(batches):
             out = [own.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
@@ -168,7 +168,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         alone(own.chunks)
-        for batch in batches:
+        for batch in portions(batches):
             counts, codes, back = [], [], []
             for text in texts(batch):
                 ids = own.encode(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import sys
@@ -52,6 +53,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(partitions(df.sparkSession))
 
 
+#: Rows that Python code works on at once: Spark's batches may hold ten times as many, and texts take room once more as strings.
+PORTION = 1024
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, some at a time. In the end the worker, which lives on, gives memory back to the system."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts, null as empty."""
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
@@ -67,7 +82,7 @@ class Cache(dict):
 
     every: weakref.WeakSet = weakref.WeakSet()
 
-    def __init__(self, make, most: int = 96 << 20):
+    def __init__(self, make, most: int = 64 << 20):
         super().__init__()
         self.make, self.most, self.room = make, most, most
         Cache.every.add(self)
@@ -167,7 +182,7 @@ def rewrite(docs: DataFrame, joined: DataFrame, change) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             columns = batch.column("row").flatten()
             old = columns[names.index("text")].to_pylist()
             changed = change(["" if x is None else x for x in old], batch)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import portions, texts
 
 # Label, SPDX identifier, name and keyword of each license, as regular expressions over lower-cased text.
 # The keywords, parted by |, are plain texts without one of which the name can't match.
@@ -215,7 +215,7 @@ def scan(docs: DataFrame) -> DataFrame:
     texts have no words, labels '' and score 0; repeated rows and rows without doc_id are scanned like others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             rows = [{"doc_id": i} | scan_text(x) for i, x in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, OUT)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, Cache, alone, rewrite, row_key, saved, spread, texts, window_minima
+from .common import ROLLING, Cache, alone, portions, rewrite, row_key, saved, spread, texts, window_minima
 
 SPACE = " \t\n\v\f\r"
 #: Characters from which a line by itself is a run.
@@ -35,7 +35,7 @@ def fingerprints(docs: DataFrame, run: int, long: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone(LINE_HASHES)
-        for batch in batches:
+        for batch in portions(batches):
             keep, out = [], ([], [], [], [])
             for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True)):
                 lines = split_lines(text)[2] if doc_id is not None else []
@@ -61,7 +61,7 @@ def _windows(run: int):
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("own", "doc_id", "hashes", "others", "longs", "hits")
-        for batch in batches:
+        for batch in portions(batches):
             out: list[list] = [[], [], [], [], [], []]
             for own, doc_id, hashes, others, longs, hits in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
                 lines = [np.array(x, np.int64).view(np.uint64) for x in (hashes, others)]
@@ -103,7 +103,7 @@ def without(text: str, runs: list[dict] | None) -> tuple[str, int, int]:
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         out = [without(text, runs) for text, runs in zip(texts(batch), batch.column("runs").to_pylist(), strict=True)]
         digests = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x, _, _ in out]
         columns = [pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[0] for x in out], pa.string()), pa.array(digests, pa.string())]

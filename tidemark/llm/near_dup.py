@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, UNIT_HASHES, alone, partitions, saved, spread, texts, unit_hashes
+from .common import ROLLING, UNIT_HASHES, alone, partitions, portions, saved, spread, texts, unit_hashes
 from .components import EDGES, connected_components
 
 WIDTH = 5
@@ -47,7 +47,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, whole (a 128-bit digest of the set), hashes (its signature)."""
     alone(UNIT_HASHES)
-    for batch in batches:
+    for batch in portions(batches):
         sizes, whole, signs = [], [], []
         for text in texts(batch):
             items = shingles(text)
@@ -62,7 +62,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each node and tree: the first LEAST hashes of its label as one number, and the further ones."""
     order = (np.arange(TREES)[:, None] * LEAST + np.arange(DEPTH)) % HASHES
-    for batch in batches:
+    for batch in portions(batches):
         if not batch.num_rows:
             continue
         signs = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint16).reshape(-1, HASHES)
@@ -153,7 +153,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     """The pairs (a, b) of whose signatures' hashes at least that share are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, HASHES) for x in ("one", "two"))
                 yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= share * HASHES))
@@ -166,14 +166,14 @@ def likely(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     alone(UNIT_HASHES)
-    for batch in batches:
+    for batch in portions(batches):
         items = [shingles(x).tobytes() for x in texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.binary())], ["node", "items"])
 
 
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             good = []
             for k, (one, two) in enumerate(zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True)):
                 x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, alone, lower_ascii, saved, texts
+from .common import Cache, alone, lower_ascii, portions, saved, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs; all it knows of them is some numbers.
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_encoder(path)
         alone(own.words)
-        for batch in batches:
+        for batch in portions(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 ids = own.encode(text) + end

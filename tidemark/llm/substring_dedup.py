@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, UNIT_HASHES, alone, rewrite, row_key, saved, spread, texts, unit_hashes, window_minima
+from .common import ROLLING, UNIT_HASHES, alone, portions, rewrite, row_key, saved, spread, texts, unit_hashes, window_minima
 
 WINDOW = 50
 
@@ -27,7 +27,7 @@ def _anchors(window: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone(UNIT_HASHES)
-        for batch in batches:
+        for batch in portions(batches):
             keep, whole, places, anchors = [], [], [], []
             for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True)):
                 found = words(text) if doc_id is not None else []
@@ -51,7 +51,7 @@ def _windows(window: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone(UNIT_HASHES)
-        for batch in batches:
+        for batch in portions(batches):
             out: list[list] = [[], [], [], [], []]
             for own, doc_id, text, hits in zip(*(batch.column(x).to_pylist() for x in ("own", "doc_id")), texts(batch), batch.column("hits").to_pylist(), strict=True):
                 hashes = unit_hashes(words(text))
@@ -114,7 +114,7 @@ def without(text: str, whole: bool | None, starts: list[int] | None, window: int
 
 def _report(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             out: list[list] = [[], [], [], []]
             for text, whole, starts in zip(texts(batch), batch.column("whole").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 found, kept = without(text, whole, starts, window)

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import read_ranks
-from .common import SPACE_BEFORE_SPACE, Cache, alone, texts
+from .common import SPACE_BEFORE_SPACE, Cache, alone, portions, texts
 
 #: Characters that a match of the pattern can look at beyond its end.
 LOOKAHEAD = 3
@@ -168,7 +168,7 @@ def build(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
         alone(own.pieces, own.chunks)
-        for batch in batches:
+        for batch in portions(batches):
             found = texts(batch)
             leaves = [own.leaves(x) for x in found]
             columns = [batch.column("doc_id"), pa.array(found, pa.string()), *[_lists([x[:, k] for x in leaves]) for k in (0, 1)]]
@@ -189,7 +189,7 @@ def follow(state: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
         alone(own.pieces, own.chunks)
-        for batch in batches:
+        for batch in portions(batches):
             out: list[list] = [[], [], [], [], [], []]
             kept = []
             for name in ("lengths", "tokens"):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, alone, saved, texts
+from .common import Cache, alone, portions, saved, texts
 
 WORD = re.compile(r"\w+").findall
 PREFIXES = (6, 5, 4)
@@ -124,7 +124,7 @@ def _corpus_counts(docs: DataFrame, wanted: list[str]) -> tuple[dict[str, int],
         cache = Cache(lambda chunk: np.array([len(wanted), *[place[x] for word in WORD(chunk.lower()) for x in features(word) if x in place]], "<u4").tobytes())
         alone(cache)
         total = np.zeros(len(wanted) + 1, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             for text in texts(batch):
                 total += np.bincount(np.frombuffer(b"".join(map(cache.__getitem__, text.split())), "<u4"), minlength=len(total))
         if total.any():
@@ -202,7 +202,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone(model.words)
-        for batch in batches:
+        for batch in portions(batches):
             sizes, found, scores = [], [], []
             for text in texts(batch):
                 words = model.scores(text)
@@ -266,7 +266,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone(model.words)
-        for batch in batches:
+        for batch in portions(batches):
             keep = []
             for text in texts(batch):
                 words = model.scores(text)
