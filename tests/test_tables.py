@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import convert
-from tidemark.operators import load, stats, validate
+from tidemark.operators import fleet, load, stats, validate
 from tidemark.plans import registry
 from tidemark.sources import changelog, dumps
 from tidemark.sources.versioned import VersionedTable
@@ -146,3 +146,42 @@ def test_jdbc_reader_asks_for_the_named_columns():
 
     given = dumps.read_jdbc_table(Session(), "jdbc:x", "t", ["a", "b"], "a", 0, 9, 3)
     assert given["dbtable"] == "(SELECT a, b FROM t) t" and given["numPartitions"] == 3
+
+
+def test_values_do_not_depend_on_the_sessions_zone(spark):
+    rows = [("1700000000999999999", "1700000000999999", "1700000000999", "2024-01-01T00:00:00+02:00", "-1")]
+    df = spark.createDataFrame(rows, "n string, u string, m string, z string, d string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        out = convert.convert_values(df, {"n": ("nano_timestamp", None), "u": ("micro_timestamp", None), "m": ("timestamp", None), "z": ("zoned_timestamp", None), "d": ("date", None)})
+        got = out.withColumn("o", convert.oracle_timestamp(F.lit("1700000000999"))).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tuple(got) == ("2023-11-14T22:13:20.999999999", "2023-11-14T22:13:20.999999", "2023-11-14 22:13:20", "2023-12-31T22:00:00Z", "1969-12-31", "14-11-2023 22:13:20.999")
+
+
+def test_decimals_and_bits_of_any_size(spark):
+    import base64
+
+    numbers = [0, 1, -1, 127, -128, 255, -256, 10**9, -(10**9), 2**63, -(2**63), 2**64 + 7, -(2**95) - 3, 10**40, -(10**40)]
+    rows = [(scale, str(n), base64.b64encode(n.to_bytes((n.bit_length() + 8) // 8, "big", signed=True)).decode()) for n in numbers for scale in (0, 2, 12)]
+    df = spark.createDataFrame(rows, "scale int, n string, x string")
+    for r in df.withColumn("y", convert.variable_decimal(F.col("scale"), F.col("x"))).collect():
+        digits = r.n.lstrip("-").zfill(r.scale + 1)
+        text = f"{digits[:-r.scale]}.{digits[-r.scale:]}" if r.scale else digits
+        assert r.y == "-" * r.n.startswith("-") + text, r
+    bits = spark.createDataFrame([(base64.b64encode(bytes(range(1, 13))).decode(),), ("",)], "x string")
+    want = "".join(f"{k:08b}" for k in range(12, 0, -1))
+    assert [r[0] for r in bits.select(convert.bits(F.col("x"), 100)).collect()] == [("0" * 4 + want)[-100:], "0" * 100]
+
+
+def test_copy_escapes(spark):
+    rows = [("a\x01b", "a\x01b"), (r"\101\x42c", "ABc"), (r"\\t\t\\", "\\t\t\\"), (r"\q\.", "q."), (r"\N", None), (r"\\N", "\\N"), (r"x\1019", "xA9"), (r"\x", "x"), ("", "")]
+    df = spark.createDataFrame(rows, "x string, want string")
+    assert [r.got for r in df.withColumn("got", dumps.unescape(F.col("x"))).collect()] == [x[1] for x in rows]
+
+
+def test_a_circle_of_pairs_raises(spark):
+    pairs = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a")], "k int, redundant string, existing string")
+    with pytest.raises(ValueError):
+        fleet.resolve(pairs, ["k"])

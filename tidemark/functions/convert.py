@@ -13,60 +13,76 @@ def whole(x: Column) -> Column:
     return x.cast("string").try_cast("bigint")
 
 
+def over(x: Column, n: int) -> Column:
+    """x / n, rounded down, without a detour over floating-point numbers."""
+    return F.call_function("div", x - F.pmod(x, F.lit(n)), F.lit(n))
+
+
+def _day(days: Column) -> Column:
+    return F.date_from_unix_date(days.cast("int")).cast("string")
+
+
 def epoch_date(x: Column) -> Column:
     """Days since 1970 as yyyy-MM-dd."""
-    return F.date_format(F.date_from_unix_date(whole(x).cast("int")), "yyyy-MM-dd")
+    return _day(whole(x))
+
+
+def _clock(seconds: Column) -> Column:
+    part = lambda n, most: F.lpad(F.pmod(over(seconds, n), F.lit(most)).cast("string"), 2, "0")
+    return F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60))
+
 
+def _instant(seconds: Column, between: str = " ") -> Column:
+    """Day and time of seconds since 1970, in UTC whatever the session's zone."""
+    return F.concat(_day(over(seconds, 86400)), F.lit(between), _clock(F.pmod(seconds, F.lit(86400))))
 
-def _instant(seconds: Column, micros: Column | None = None) -> Column:
-    base = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
-    if micros is None:
-        return base
-    return F.concat(base, F.when(micros == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(micros.cast("string"), 6, "0"), "0+$", ""))))
+
+def _fraction(x: Column, digits: int) -> Column:
+    rest = F.pmod(x, F.lit(10**digits))
+    return F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(rest.cast("string"), digits, "0"), "0+$", "")))
 
 
 def millis_timestamp(x: Column) -> Column:
     """Fractions of a second are cut off."""
-    return _instant(F.floor(whole(x) / 1000))
+    return _instant(over(whole(x), 1000))
 
 
 def micros_timestamp(x: Column) -> Column:
-    """With the fraction, its trailing zeros trimmed."""
-    return _instant(F.floor(whole(x) / 1_000_000), F.pmod(whole(x), F.lit(1_000_000)))
+    """With a T and the fraction, its trailing zeros trimmed."""
+    return F.concat(_instant(over(whole(x), 1_000_000), "T"), _fraction(whole(x), 6))
 
 
 def nanos_timestamp(x: Column) -> Column:
-    n = whole(x)
-    fraction = F.regexp_replace(F.lpad(F.pmod(n, F.lit(1_000_000_000)).cast("string"), 9, "0"), "0+$", "")
-    return F.concat(_instant(F.floor(n / 1_000_000_000)), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
-
-
-def _clock(seconds: Column) -> Column:
-    part = lambda n, most: F.lpad(F.pmod(F.floor(seconds / n), F.lit(most)).cast("string"), 2, "0")
-    return F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60))
+    """As micros_timestamp()."""
+    return F.concat(_instant(over(whole(x), 1_000_000_000), "T"), _fraction(whole(x), 9))
 
 
 def millis_time(x: Column) -> Column:
-    return _clock(F.floor(whole(x) / 1000))
+    return _clock(over(whole(x), 1000))
 
 
 def micros_time(x: Column) -> Column:
-    rest = F.pmod(whole(x), F.lit(1_000_000))
-    return F.concat(_clock(F.floor(whole(x) / 1_000_000)), F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(rest.cast("string"), 6, "0"), "0+$", ""))))
+    """With six digits of the second's fraction."""
+    return F.concat(_clock(over(whole(x), 1_000_000)), F.lit("."), F.lpad(F.pmod(whole(x), F.lit(1_000_000)).cast("string"), 6, "0"))
 
 
 def zoned_timestamp(x: Column) -> Column:
     """An ISO text with a zone, in UTC."""
-    return F.date_format(F.try_to_timestamp(x), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.concat(_instant(F.unix_seconds(F.try_to_timestamp(x)), "T"), F.lit("Z"))
 
 
-def bits(x: Column, length: Column | int) -> Column:
-    """Base64 of little-endian bytes as so many binary digits."""
+def _bytes(x: Column) -> Column:
+    """The numbers 0 to 255 of base64 text; none of empty text."""
     digits = F.hex(F.unbase64(x))
-    pairs = F.reverse(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1))
-    turned = F.array_join(F.transform(pairs, lambda k: F.substring(digits, k * 2 + 1, F.lit(2))), "")
+    places = F.when(digits == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1))
+    return F.transform(places, lambda k: F.conv(F.substring(digits, k * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
+
+
+def bits(x: Column, length: Column | int) -> Column:
+    """Base64 of little-endian bytes, however many, as so many binary digits."""
+    turned = F.array_join(F.transform(F.reverse(_bytes(x)), lambda n: F.lpad(F.conv(n.cast("string"), 10, 2), 8, "0")), "")
     width = F.lit(length) if isinstance(length, int) else length
-    return F.right(F.lpad(F.conv(turned, 16, 2), 64, "0"), width)
+    return F.right(F.concat(F.repeat(F.lit("0"), width), turned), width)
 
 
 def hex_bytes(x: Column) -> Column:
@@ -104,25 +120,47 @@ def day_second_interval(x: Column) -> Column:
     return F.concat(F.when(negative, "-").otherwise(""), F.abs(part("D")).cast("string"), F.lit(" "), F.concat_ws(":", F.abs(part("H")).cast("string"), F.abs(part("(?=M)").cast("int")).cast("string"), F.abs(seconds).cast("string")))
 
 
+def _day_first(day: Column) -> Column:
+    return F.concat_ws("-", F.lpad(F.dayofmonth(day).cast("string"), 2, "0"), F.lpad(F.month(day).cast("string"), 2, "0"), F.lpad(F.year(day).cast("string"), 4, "0"))
+
+
 def oracle_date(x: Column) -> Column:
-    return F.date_format(F.date_from_unix_date(whole(x).cast("int")), "dd-MM-yyyy")
+    """Days since 1970 as dd-MM-yyyy."""
+    days = whole(x)
+    return F.when(days.isNotNull(), _day_first(F.date_from_unix_date(days.cast("int"))))
 
 
 def oracle_timestamp(x: Column) -> Column:
-    return F.date_format(F.timestamp_millis(whole(x)), "dd-MM-yyyy HH:mm:ss.SSS")
+    """Milliseconds since 1970 as dd-MM-yyyy HH:mm:ss.SSS, in UTC."""
+    n = whole(x)
+    day = _day_first(F.date_from_unix_date(over(n, 86_400_000).cast("int")))
+    return F.when(n.isNotNull(), F.concat(day, F.lit(" "), _clock(over(F.pmod(n, F.lit(86_400_000)), 1000)), F.lit("."), F.lpad(F.pmod(n, F.lit(1000)).cast("string"), 3, "0")))
+
+
+#: Decimal digits of a limb in the arithmetic on numbers of any size.
+LIMB = 9
 
 
 def variable_decimal(scale: Column, value: Column) -> Column:
-    """A decimal of its own scale, sent as base64 of the big-endian two's-complement number."""
-    digits = F.hex(F.unbase64(value))
-    size = F.length(digits) * 4
-    raw = F.conv(digits, 16, 10).cast("decimal(38,0)")
-    negative = F.conv(F.substring(digits, 1, 1), 16, 10).cast("int") >= 8
-    signed = F.when(negative, raw - F.pow(F.lit(2.0), size).cast("decimal(38,0)")).otherwise(raw)
-    text = F.lpad(F.abs(signed).cast("string"), 40, "0")
-    left = F.regexp_replace(F.substring(text, F.lit(1), 40 - scale), "^0+(?=.)", "")
-    right = F.right(text, scale)
-    return F.concat(F.when(signed < 0, "-").otherwise(""), left, F.when(scale > 0, F.concat(F.lit("."), right)).otherwise(""))
+    """A decimal of its own scale and any size, sent as base64 of the big-endian two's-complement number."""
+    raw = _bytes(value)
+    negative = F.coalesce(F.get(raw, F.lit(0)) >= 128, F.lit(False))
+    # The amount of a negative number: all bits turned, plus one.
+    amount = F.transform(raw, lambda n, k: F.when(negative, 255 - n + (k == F.size(raw) - 1).cast("bigint")).otherwise(n))
+    none = F.array().cast("array<bigint>")
+    state = lambda carry, limbs: F.struct(carry.cast("bigint").alias("carry"), limbs.alias("limbs"))
+
+    def shifted(limbs: Column, byte: Column) -> Column:
+        """limbs * 256 + byte, limbs the least first."""
+        step = lambda s, x: state(over(x * 256 + s["carry"], 10**LIMB), F.concat(s["limbs"], F.array(F.pmod(x * 256 + s["carry"], F.lit(10**LIMB)))))
+        return F.aggregate(limbs, state(byte, none), step, lambda s: F.concat(s["limbs"], F.array(s["carry"])))
+
+    limbs = F.aggregate(amount, none, shifted)
+    digits = F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda n: F.lpad(n.cast("string"), LIMB, "0")), ""), "^0+(?=.)", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    text = F.concat(F.repeat(F.lit("0"), F.greatest(scale + 1 - F.length(digits), F.lit(0))), digits)
+    left = F.left(text, F.length(text) - scale)
+    return F.concat(F.when(negative, "-").otherwise(""), left, F.when(scale > 0, F.concat(F.lit("."), F.right(text, scale))).otherwise(""))
 
 
 def gigabytes(x: Column) -> Column:

@@ -50,37 +50,41 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dumps.read_text_dump(spark, path, CUSTOMER)
 
 
-@query("a3_sql_dump", "SELECT 'public.nation' AS table_name, CAST(n_nationkey AS STRING) || chr(9) || n_name AS line FROM {nation} UNION ALL SELECT 'public.region', CAST(r_regionkey AS STRING) || chr(9) || r_name FROM {region}")
+@query("a3_sql_dump", "SELECT 'public.customer' AS table_name, CAST(c_custkey AS STRING) || chr(9) || c_name AS line FROM {customer} UNION ALL SELECT 'public.orders', CAST(o_orderkey AS STRING) || chr(9) || o_orderpriority FROM {orders}")
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file of several COPY blocks with other statements between them."""
+    """Four files of several COPY blocks each, with other statements between them."""
     path = new_path(spark)
 
-    def block(k: int, name: str, columns: str, rows: DataFrame) -> DataFrame:
-        around = load.rows_frame(spark, [(k, 0, 0, "SET x = 1;"), (k, 1, 0, f"COPY public.{name} ({columns}) FROM STDIN;"), (k, 3, 0, "\\."), (k, 4, 0, "ANALYZE;")], "k int, part int, at long, value string")
-        return around.unionByName(rows.select(F.lit(k).alias("k"), F.lit(2).alias("part"), "at", "value"))
+    def block(k: int, name: str, key: str, value: str) -> DataFrame:
+        around = [(f, k, part, 0, x) for f in range(4) for part, x in ((0, "SET x = 1;"), (1, f"COPY public.{name} ({key}, {value}) FROM STDIN;"), (3, "\\."), (4, "ANALYZE;"))]
+        line = F.concat_ws("\t", F.col(key).cast("string"), value).alias("value")
+        rows = read(spark, sf_dir, name).select((F.col(key) % 4).cast("int").alias("f"), F.lit(k).alias("k"), F.lit(2).alias("part"), F.col(key).cast("long").alias("at"), line)
+        return load.rows_frame(spark, around, "f int, k int, part int, at long, value string").unionByName(rows)
 
-    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
-    region = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("at"), F.concat_ws("\t", F.col("r_regionkey").cast("string"), "r_name").alias("value"))
-    block(0, "nation", "n_nationkey, n_name", nation).unionByName(block(1, "region", "r_regionkey, r_name", region)).coalesce(1).sortWithinPartitions("k", "part", "at").select("value").write.text(path)
+    dump = block(0, "customer", "c_custkey", "c_name").unionByName(block(1, "orders", "o_orderkey", "o_orderpriority"))
+    dump.repartitionByRange(4, "f").sortWithinPartitions("f", "k", "part", "at").select("value").write.text(path)
     return dumps.read_sql_dump(spark, path)
 
 
-@query("a4_list_inputs", "SELECT name, true AS has_bytes FROM (VALUES ('customer.parquet'), ('orders.parquet'), ('region.parquet')) v(name) WHERE (SELECT count(*) FROM {orders}) > 0")
+@query("a4_list_inputs", "SELECT DISTINCT 'o_orderpriority=' || o_orderpriority AS folder, true AS has_bytes FROM {orders} WHERE o_orderpriority < '4'")
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dumps.list_inputs(spark, sf_dir, "{customer,orders,region}.parquet")
-    return found.select(F.substring_index("path", "/", -1).alias("name"), (F.col("n_bytes") > 0).alias("has_bytes"))
+    """Files of the folders that a glob names, of a table written in a folder for each priority."""
+    path = new_path(spark)
+    read(spark, sf_dir, "orders").write.partitionBy("o_orderpriority").parquet(path)
+    found = dumps.list_inputs(spark, f"{path}/o_orderpriority=[1-3]-*", "*.parquet")
+    return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.bool_and(F.col("n_bytes") > 0).alias("has_bytes"))
 
 
-@query("a5_manifest", "SELECT 'lineitem' AS table_name, count(*) AS n FROM {lineitem} WHERE l_linenumber <= 2 UNION ALL SELECT 'lines', count(*) FROM {lineitem} WHERE l_linenumber = 2")
+@query("a5_manifest", "SELECT 'lineitem' AS table_name, count(*) AS n, sum(l_partkey) AS total FROM {lineitem} UNION ALL SELECT 'lines', count(*), sum(l_partkey) FROM {lineitem} WHERE l_linenumber = 2")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table of two files, one of which is also another table."""
+    """One table of seven files, one of which is also another table."""
     path = new_path(spark)
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    rows = read(spark, sf_dir, "lineitem")
     rows.write.partitionBy("l_linenumber").parquet(path)
     schema = T.StructType([x for x in rows.schema if x.name != "l_linenumber"])
-    files = [("lineitem", 1), ("lineitem", 2), ("lines", 2)]
+    files = [*[("lineitem", k) for k in range(1, 8)], ("lines", 2)]
     tables = dumps.load_manifest(spark, [{"table": name, "path": f"{path}/l_linenumber={k}", "schema": schema, "format": "parquet"} for name, k in files])
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]
+    counts = [df.agg(F.count("*").alias("n"), F.sum("l_partkey").alias("total")).select(F.lit(name).alias("table_name"), "n", "total") for name, df in tables.items()]
     return counts[0].unionByName(counts[1])
 
 
@@ -145,24 +149,25 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(spark, sf_dir, (k % 30000 - 5000).cast("string"), "date")
 
 
-@query("d2_timestamps", """SELECT o_orderkey AS k, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS x, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') || CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE '.' || regexp_replace(lpad(CAST(o_orderkey % 1000 * 1000 AS STRING), 6, '0'), '0+$', '') END AS y,
-    strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') || CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE '.' || regexp_replace(lpad(CAST(o_orderkey % 1000 AS STRING), 9, '0'), '0+$', '') END AS z FROM {orders}""")
+@query("d2_timestamps", """SELECT o_orderkey AS k, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS x, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE '.' || regexp_replace(lpad(CAST(o_orderkey % 1000 * 1000 AS STRING), 6, '0'), '0+$', '') END AS y,
+    strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE '.' || regexp_replace(lpad(CAST(o_orderkey % 1000 AS STRING), 9, '0'), '0+$', '') END AS z FROM {orders}""")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.col("o_orderkey") * 86399
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (seconds * 1000 + F.col("o_orderkey") % 1000).cast("string").alias("x"), (seconds * 1_000_000 + F.col("o_orderkey") % 1000 * 1000).cast("string").alias("y"), (seconds * 1_000_000_000 + F.col("o_orderkey") % 1000).cast("string").alias("z"))
     return convert.convert_values(rows, {"x": ("timestamp", None), "y": ("micro_timestamp", None), "z": ("nano_timestamp", None)})
 
 
-@query("d3_times", "SELECT o_orderkey AS k, strftime(make_timestamp(o_orderkey % 86400 * 1000000), '%H:%M:%S') AS x FROM {orders}")
+@query("d3_times", "SELECT o_orderkey AS k, strftime(make_timestamp(o_orderkey % 86400 * 1000000), '%H:%M:%S') AS x, strftime(make_timestamp(o_orderkey % 86400 * 1000000), '%H:%M:%S') || '.' || lpad(CAST(o_orderkey % 1000 * 100 AS STRING), 6, '0') AS y FROM {orders}")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    return converted(spark, sf_dir, (k % 86400 * 1000 + k % 1000).cast("string"), "time")
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(k.alias("k"), (k % 86400 * 1000 + k % 1000).cast("string").alias("x"), (k % 86400 * 1_000_000 + k % 1000 * 100).cast("string").alias("y"))
+    return convert.convert_values(rows, {"x": ("time", None), "y": ("micro_time", None)})
 
 
 @query("d4_zoned_timestamps", "SELECT o_orderkey AS k, strftime(make_timestamp((o_orderkey * 3601 - 7200) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS x FROM {orders}")
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    return converted(spark, sf_dir, F.concat(F.date_format(F.timestamp_seconds(k * 3601), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")), "zoned_timestamp")
+    return converted(spark, sf_dir, F.concat(F.date_from_unix_date((k * 3601 / 86400).cast("int")).cast("string"), F.lit("T"), F.format_string("%02d:%02d:%02d", (k * 3601 % 86400 / 3600).cast("int"), (k * 3601 % 3600 / 60).cast("int"), (k * 3601 % 60).cast("int")), F.lit("+02:00")), "zoned_timestamp")
 
 
 @query("d5_bits", "SELECT o_orderkey AS k, right('0000000000000000' || bin(o_orderkey % 4096), 12) AS x FROM {orders}")

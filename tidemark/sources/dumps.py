@@ -25,11 +25,27 @@ def read_csv_dump(spark: SparkSession, paths: str | list[str], schema: T.StructT
 
 
 def unescape(x: Column) -> Column:
-    """The text of a COPY value: backslash sequences as what they stand for; \\N is null."""
-    kept = F.replace(x, F.lit("\\\\"), F.lit("\x01"))
-    for mark, meant in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\v", "\v")):
-        kept = F.replace(kept, F.lit(mark), F.lit(meant))
-    return F.when(x != "\\N", F.replace(F.replace(kept, F.lit("\\"), F.lit("")), F.lit("\x01"), F.lit("\\")))
+    """The text of a COPY value: backslash sequences as what they stand for, octal (\\101) and hexadecimal (\\x41) ones of
+    single-byte characters too; a backslash before anything else goes; \\N is null. Doubled backslashes part the text first,
+    so that what follows one isn't taken for a sequence."""
+
+    def one(part: Column) -> Column:
+        # What stands before the first single backslash is plain; each further piece begins with a sequence.
+        pieces = F.split(part, r"\\", -1)
+
+        def piece(y: Column, k: Column) -> Column:
+            octal, code = F.regexp_extract(y, "^([0-7]{1,3})", 1), F.regexp_extract(y, "^x([0-9A-Fa-f]{1,2})", 1)
+            rest = lambda n: F.substring(y, n + 1, F.length(y))
+            short = F.lit(None).cast("string")
+            for mark, meant in (("t", "\t"), ("n", "\n"), ("r", "\r"), ("b", "\b"), ("f", "\f"), ("v", "\v")):
+                short = F.when(F.substring(y, 1, 1) == mark, meant).otherwise(short)
+            made = F.when(octal != "", F.concat(F.char(F.conv(octal, 8, 10).cast("int")), rest(F.length(octal)))).when(code != "", F.concat(F.char(F.conv(code, 16, 10).cast("int")), rest(F.length(code) + 1)))
+            made = made.when(short.isNotNull(), F.concat(short, rest(F.lit(1)))).otherwise(y)
+            return F.when(k == 0, y).otherwise(made)
+
+        return F.array_join(F.transform(pieces, piece), "")
+
+    return F.when(x != "\\N", F.when(~x.contains("\\"), x).otherwise(F.array_join(F.transform(F.split(x, r"\\\\", -1), one), "\\")))
 
 
 def parse_copy_line(line: Column, schema: T.StructType, sep: str = "\t") -> list[Column]:
