@@ -37,14 +37,16 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
 
 def resolve(pairs: DataFrame, keys: list[str], name: str = "redundant", onward: str = "existing") -> DataFrame:
     """pairs with chains followed to their end (a for b, b for c: a for c), by doubling pointers: rounds grow with the
-    logarithm of the longest chain. Chains must not be circles."""
+    logarithm of the longest chain. A circle raises: after a round for each doubling up to the number of pairs, a chain
+    that isn't at its end has none."""
     now = pairs
-    while True:
+    for _ in range(max(1, pairs.count()).bit_length() + 1):
         step = now.select(*keys, F.col(name).alias(onward), F.col(onward).alias("__further"))
         moved = cut(now.join(step, [*keys, onward], "left").select(*keys, name, F.coalesce("__further", onward).alias(onward), F.col("__further").isNotNull().alias("__moved")))
         now = moved.drop("__moved")
         if moved.where("__moved").isEmpty():
             return now
+    raise ValueError("the pairs form a circle")
 
 
 def missing_fk_indexes(fks: DataFrame, indexes: DataFrame) -> DataFrame:
