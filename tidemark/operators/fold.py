@@ -54,27 +54,31 @@ def ineffective(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFram
 def fold(base: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """The table after the changes: key and columns (as text) of base, patched.
 
-    Per key: the last delete; the insert after it that begins the row's last life (none: it began in base, if no delete came);
-    then of each column the latest value that this life's events set. All of them are aggregates."""
-    deaths = changes.groupBy(*key).agg(F.max(F.when(F.col("op") == "d", F.col("vsn"))).alias("__death"))
-    live = base.select(*key).withColumn("__live", F.lit(True))
-    ends = deaths.join(live, key, "left")
-    seen = changes.join(ends, key)
-    began = seen.groupBy(*key).agg(F.min(F.when((F.col("op") == "c") & (F.col("vsn") > F.coalesce("__death", F.lit(-1))), F.col("vsn"))).alias("__birth"), F.max("__death").alias("__death"), F.max("__live").alias("__live"))
-    lives = began.withColumn("__from", F.when(F.col("__death").isNull() & F.coalesce("__live", F.lit(False)), F.lit(-1)).otherwise(F.col("__birth"))).where("__from IS NOT NULL").select(*key, "__from")
-    own = changes.join(lives, key).where((F.col("vsn") == F.col("__from")) | ((F.col("op") == "u") & (F.col("vsn") > F.col("__from"))))
+    One aggregate over the log gives, per key, the last delete and of each column the latest update; one over the inserts
+    after the last delete gives the first of them, which begins the row's last life (none: it began in base, if no delete
+    came). Of each column the update counts if it is of that life, else the insert's value. The aggregates combine before
+    the shuffle, and the join of inserts isn't grouped by its own partitioning, so that a hot key's part of it can be split."""
 
     def latest(name: str) -> Column:
-        there = F.map_contains_key("fields", name)
-        return F.max_by(F.when(there, F.struct(F.col("fields")[name].alias("v"))), F.when(there, F.col("vsn"))).alias(f"__{name}")
-
-    patches = own.groupBy(*key, "__from").agg(*[latest(x) for x in columns])
-    alive = lives.join(patches, [*key, "__from"], "left")
-    untouched = base.join(changes.select(*key).distinct(), key, "left_anti").select(*key, *columns)
-    old = base.select(*key, *[F.col(x).alias(f"__old_{x}") for x in columns])
-    merged = alive.join(old, key, "left")
-    values = [F.when(F.col(f"__{x}").isNotNull(), F.col(f"__{x}")["v"]).when(F.col("__from") < 0, F.col(f"__old_{x}")).alias(x) for x in columns]
-    return untouched.unionByName(merged.select(*key, *values))
+        there = (F.col("op") == "u") & F.map_contains_key("fields", name)
+        return F.max_by(F.when(there, F.struct("vsn", F.col("fields")[name].alias("v"))), F.when(there, F.col("vsn"))).alias(f"__{name}")
+
+    facts = changes.groupBy(*key).agg(F.max(F.when(F.col("op") == "d", F.col("vsn"))).alias("__death"), *[latest(x) for x in columns])
+    inserts = changes.where("op = 'c'").select(*key, "vsn", *[F.try_element_at("fields", F.lit(x)).alias(f"__new_{x}") for x in columns])
+    ends = facts.where("__death IS NOT NULL").select(*key, "__death")
+    later = inserts.join(ends, key, "left").where(F.col("vsn") > F.coalesce("__death", F.lit(-1)))
+    first = later.groupBy(F.struct(*key).alias("__key")).agg(F.min_by(F.struct("vsn", *[f"__new_{x}" for x in columns]), "vsn").alias("__birth"))
+    births = first.select("__key.*", "__birth")
+    old = base.select(*key, F.lit(True).alias("__base"), *[F.col(x).alias(f"__old_{x}") for x in columns])
+    rows = old.join(facts, key, "full").join(births, key, "left")
+    kept = F.col("__base").isNotNull() & F.col("__death").isNull()
+
+    def value(x: str) -> Column:
+        update, birth = F.col(f"__{x}"), F.col("__birth")
+        since = F.when(kept, F.lit(-1)).otherwise(birth["vsn"])
+        return F.when(F.coalesce(update["vsn"] > since, F.lit(False)), update["v"]).when(kept, F.col(f"__old_{x}")).otherwise(birth[f"__new_{x}"]).alias(x)
+
+    return rows.where(kept | F.col("__birth").isNotNull()).select(*key, *[value(x) for x in columns])
 
 
 def latest_state(changes: DataFrame, key: list[str]) -> DataFrame:
