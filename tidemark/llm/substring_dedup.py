@@ -71,25 +71,32 @@ def _windows(window: int):
 
 
 KEY = ["own", "doc_id"]
+#: What texts are joined by: id is doc_id, but never null. Where doc_id may be, an inner join leaves rows out that an outer one
+#: needs, and the texts are shuffled for each by itself.
+JOINED = ["own", "id"]
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
 
 
 def repeated(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Of keyed (own, doc_id, text): own, doc_id, whole (all of the row's words stand in this order in a row of smaller
+    """Of keyed (keyed_texts()): own, id, whole (all of the row's words stand in this order in a row of smaller
     doc_id, and they fill a window), starts (else: of its windows whose words also start in such a row).
 
     Rows with equal words are told apart from the others first: only the smallest doc_id of each has its windows counted.
     Then windows without a repeated anchor are left out, which can't repeat; all others are counted."""
-    rows = saved(keyed.mapInArrow(_anchors(window), "own long, doc_id long, whole binary, places array<int>, anchors array<long>"))
+    rows = saved(keyed.select("own", "doc_id", "text").mapInArrow(_anchors(window), "own long, doc_id long, whole binary, places array<int>, anchors array<long>"))
     first = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "own")).alias("first")).select("whole", "first.*")
     copies = rows.select(*KEY, "whole").join(spread(first.select("whole", F.col("doc_id").alias("low"))), "whole").where("doc_id > low").select(*KEY, F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
     anchors = rows.join(first.select(*KEY), KEY, "left_semi").select(*KEY, F.explode(F.arrays_zip("places", "anchors")).alias("x")).select(*KEY, "x.places", "x.anchors")
     often = anchors.groupBy("anchors").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchors")
     hits = saved(anchors.join(spread(often), "anchors").groupBy(*KEY).agg(F.collect_set("places").alias("hits")))
-    near = keyed.join(hits.hint("shuffle_hash"), KEY)
+    near = keyed.join(hits.select("own", F.col("doc_id").alias("id"), "hits").hint("shuffle_hash"), JOINED)
     windows = near.mapInArrow(_windows(window), "own long, doc_id long, start int, one long, two long")
     lowest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     later = windows.join(spread(lowest), ["one", "two"]).where("doc_id > low").groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
-    return copies.unionByName(later.select(*KEY, F.lit(False).alias("whole"), "starts"))
+    return copies.unionByName(later.select(*KEY, F.lit(False).alias("whole"), "starts")).withColumnRenamed("doc_id", "id")
 
 
 def intervals(starts: Iterable[int], window: int) -> list[tuple[int, int]]:
@@ -134,8 +141,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     covers it whose words also start in a row of smaller doc_id; all windows are judged on the input. Null texts have no
     words; rows without doc_id neither lose words nor cause a loss; rows that repeat doc_id and text lose the same words;
     repeats within a document stay."""
-    keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"))
-    joined = keyed.join(repeated(keyed, window).hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "whole", "starts")
+    keyed = keyed_texts(docs)
+    joined = keyed.join(repeated(keyed, window).hint("shuffle_hash"), JOINED, "left").select("doc_id", "text", "whole", "starts")
     return joined.mapInArrow(_report(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
@@ -143,9 +150,9 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, each text that substring_dedup() takes words from as the kept words joined by one space; other texts and columns
     stay, whatever they are called, n_chars follows the text. A row that loses all its words stays with an empty text; null
     texts, rows without doc_id and repeated rows are as there; an empty table stays empty."""
-    keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("own"))
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("own"), F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
-    joined = rows.join(repeated(keyed, window).hint("shuffle_hash"), KEY, "left").select("row", "whole", "starts")
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
+    rows = docs.select(row, "doc_id", "text").select("row", row_key("doc_id", "text").alias("own"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    joined = rows.join(repeated(keyed_texts(docs), window).hint("shuffle_hash"), JOINED, "left").select("row", "whole", "starts")
 
     def change(found: list[str], batch: pa.RecordBatch) -> list[str]:
         out = []
