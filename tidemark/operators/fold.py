@@ -17,8 +17,7 @@ def carry_last(df: DataFrame, keys: list[str], order: str, value: Column, name:
     """df with the last value that isn't null of the rows before each one, by keys in that order. A key's rows are split into
     chunks of the order: within a chunk by a window over it, before it by a window over the chunks' last values."""
     split = df.withColumns({"__chunk": F.floor(F.col(order) / chunk), "__value": value})
-    ends = split.where("__value IS NOT NULL").groupBy(*keys, "__chunk").agg(F.max_by("__value", order).alias("__end"))
-    chunks = split.groupBy(*keys, "__chunk").agg(F.lit(1).alias("__one")).join(ends, [*keys, "__chunk"], "left")
+    chunks = split.groupBy(*keys, "__chunk").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__end"))
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = chunks.withColumn("__before", F.last("__end", True).over(earlier)).select(*keys, "__chunk", "__before")
     within = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
