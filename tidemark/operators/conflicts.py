@@ -100,6 +100,32 @@ def coarse_conflicts(log: DataFrame) -> DataFrame:
     return deleted.join(updated, "vsn", "left").select("vsn", F.greatest("deleted", "updated").alias("blocker")).where("blocker IS NOT NULL")
 
 
+def role_stretches(log: DataFrame) -> DataFrame:
+    """log (vsn, exporter_role) with stretch: how often the role has changed up to the event. Only the ends of chunks of the
+    log pass through one task."""
+    marked = carry_last(log, [], "vsn", F.col("exporter_role"), "__role_before")
+    turned = marked.withColumn("__turned", F.coalesce(F.col("__role_before") != F.col("exporter_role"), F.lit(False)))
+    counted = count_before(turned, [], "vsn", F.col("__turned"), "stretch")
+    return counted.withColumn("stretch", F.col("stretch") + F.col("__turned").cast("long")).drop("__role_before", "__turned")
+
+
+def conflicts_by_role(log: DataFrame, coarse_roles: list[str]) -> DataFrame:
+    """stretch, vsn, blocker: the last earlier event that each one must wait for, where the exporter's role changes within the
+    log. Whoever takes over, detection begins anew, since all before has been applied by then; and it goes by the rules of
+    the role: by values, or coarsely for those of coarse_roles, whose events have no before-values. log: vsn, op, pkey,
+    exporter_role, before_bucket, after_bucket, table_name, columns (unique ones it sets)."""
+    placed = cut(role_stretches(log))
+    coarse = F.col("exporter_role").isin(*coarse_roles)
+
+    def within(x: str) -> Column:
+        return F.concat(F.col("stretch").cast("string"), F.lit("|"), F.col(x))
+
+    by_value = nearest_conflicts(placed.where(~coarse).withColumns({x: within(x) for x in ("before_bucket", "after_bucket")})).select("vsn", "blocker")
+    by_table = coarse_conflicts(placed.where(coarse).withColumn("table_name", within("table_name")))
+    found = by_value.unionByName(by_table).groupBy("vsn").agg(F.max("blocker").alias("blocker"))
+    return found.join(placed.select("vsn", "stretch"), "vsn").select("stretch", "vsn", "blocker")
+
+
 def unchecked_tables(tables: DataFrame, indexes: DataFrame, strategies: DataFrame) -> DataFrame:
     """Tables whose events can't conflict: without a unique index, or kept in order as a whole."""
     whole = strategies.where("strategy = 'table'").select("table_name")

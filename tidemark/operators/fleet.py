@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
-from .lookups import as_array, as_of, ceiling, initial_and_final, nearest, prefix_covers, prefix_holds_set, with_lookup
+from .lookups import as_array, ceiling, initial_and_final, nearest, prefix_holds_set, with_lookup
 from .stats import best, fits_within, rates
 
 OBJECT = ["db_id", "schema_name", "object_name"]
@@ -20,18 +20,35 @@ def index_stats(objects: DataFrame, measured: DataFrame, sizes: DataFrame, count
 
 
 def redundant_indexes(indexes: DataFrame) -> DataFrame:
-    """db_id, schema_name, table_name, redundant, existing: indexes whose columns begin another of the same table, or are the
-    same (then the one of the larger name goes). indexes: ..., index_name, columns (with their order and class), is_unique,
-    is_constraint. Indexes behind constraints never go, unique ones only for unique ones of equal columns. Of several
-    existing ones the smallest name is given."""
+    """db_id, schema_name, table_name, redundant, existing: indexes that another of the same table and access method makes
+    needless. indexes: db_id, schema_name, table_name, index_name, method, columns (its keys in order), options (class,
+    collation and order of each key), included (columns kept beside the keys), predicate (null: none), is_unique,
+    nulls_not_distinct, is_constraint.
+
+    The own keys begin the other's, with equal options, and what is left of the other's keys and its included columns holds
+    the own included ones. Partial indexes take no part. An index behind a constraint never goes; a unique one only for a
+    unique one of equal keys that admits no more nulls. Of two that are equal in all this the one of the larger name goes.
+    nulls_not_distinct means nothing for an index that isn't unique. Of several existing ones the smallest name is given."""
     keys = ["db_id", "schema_name", "table_name"]
-    one = indexes.where("NOT is_constraint").select(*keys, F.col("index_name").alias("redundant"), F.col("columns").alias("own"), F.col("is_unique").alias("own_unique"), F.element_at("columns", 1).alias("leads"))
-    two = indexes.select(*keys, F.col("index_name").alias("existing"), F.col("columns").alias("theirs"), F.col("is_unique").alias("their_unique"), F.element_at("columns", 1).alias("leads"), "is_constraint")
-    same = F.col("own") == F.col("theirs")
-    shorter = prefix_covers(F.col("own"), F.col("theirs")) & ~F.col("own_unique")
-    twin = same & (F.col("own_unique") == F.col("their_unique")) & (F.col("is_constraint") | (F.col("redundant") > F.col("existing")))
-    weaker = same & ~F.col("own_unique") & F.col("their_unique")
-    found = one.join(two, [*keys, "leads"]).where((F.col("redundant") != F.col("existing")) & (shorter | twin | weaker))
+    facts = {"keys": F.col("columns"), "options": F.col("options"), "beside": F.col("included"), "unique": F.col("is_unique"), "strict": F.col("is_unique") & F.col("nulls_not_distinct")}
+    whole = indexes.where("predicate IS NULL").withColumn("leads", F.element_at("columns", 1))
+    one = whole.where("NOT is_constraint").select(*keys, "method", "leads", F.col("index_name").alias("redundant"), F.struct(*[x.alias(name) for name, x in facts.items()]).alias("own"))
+    two = whole.select(*keys, "method", "leads", F.col("index_name").alias("existing"), F.struct(*[x.alias(name) for name, x in facts.items()]).alias("other"))
+
+    def own(x: str) -> Column:
+        return F.col(f"own.{x}")
+
+    def other(x: str) -> Column:
+        return F.col(f"other.{x}")
+
+    n = F.size(own("keys"))
+    begins = (own("keys") == F.slice(other("keys"), F.lit(1), n)) & (own("options") == F.slice(other("options"), F.lit(1), n))
+    rest = F.concat(F.slice(other("keys"), n + 1, F.greatest(F.size(other("keys")) - n, F.lit(0))), other("beside"))
+    held = F.size(F.array_except(own("beside"), rest)) == 0
+    as_strong = ~own("unique") | (other("unique") & (own("keys") == other("keys")) & (~own("strict") | other("strict")))
+    twins = (own("keys") == other("keys")) & (F.array_sort(own("beside")) == F.array_sort(other("beside"))) & (own("unique") == other("unique")) & (own("strict") == other("strict"))
+    better = (F.col("redundant") != F.col("existing")) & begins & held & as_strong & ~(twins & (F.col("redundant") < F.col("existing")))
+    found = one.join(two, [*keys, "method", "leads"]).where(better)
     return found.groupBy(*keys, "redundant").agg(F.min("existing").alias("existing"))
 
 
@@ -92,7 +109,8 @@ def place(objects: DataFrame, limits: DataFrame) -> DataFrame:
     """Each object and core count with placement, colocated or sharded. objects: db_id, schema_name, object_name, size_gb,
     n_indexes, reads, writes. limits: cores, most_gb, most_objects, reads_per_core, writes_per_core; a few rows. The smallest
     objects come first, while size, number and needed cores stay within the limits."""
-    own = objects.join(F.broadcast(limits))
+    kept = with_lookup(objects, as_array(limits.withColumn("limit", F.struct(*limits.columns)), "cores", "limit", "__limits"))
+    own = kept.select(*objects.columns, F.explode("__limits.value").alias("__limit")).select(*objects.columns, "__limit.*")
     few = F.col("n_indexes") <= MOST_INDEXES
     keys, order = ["db_id", "cores"], ["size_gb", "schema_name", "object_name"]
     sized = fits_within(own.where(few).withColumn("one", F.lit(1)), keys, order, {"size_gb": F.col("most_gb"), "one": F.col("most_objects")}).withColumnRenamed("fits", "fits_size")
@@ -109,7 +127,7 @@ def nodes_needed(sharded: DataFrame, limits: DataFrame) -> DataFrame:
     least. sharded: db_id, cores, reads, writes, n_colocated (sums)."""
     cores = F.ceil(F.col("reads") / F.col("reads_per_core") + F.col("writes") / F.col("writes_per_core"))
     nodes = F.ceil(cores / F.col("cores")) + (F.col("n_colocated") > 0).cast("int")
-    return sharded.join(F.broadcast(limits), "cores").select("db_id", "cores", F.greatest(nodes, F.lit(3)).cast("long").alias("nodes"))
+    return sharded.join(limits, "cores").select("db_id", "cores", F.greatest(nodes, F.lit(3)).cast("long").alias("nodes"))
 
 
 #: Sizes (GB) up to which a table has one tablet, one or 24 a node more for each further such size, and then 256 a node.
@@ -140,15 +158,37 @@ def object_limit(objects: DataFrame, limit: int) -> DataFrame:
     return counts.select("db_id", "n_objects", (F.col("n_objects") <= limit).alias("ok"), reason.alias("reason"))
 
 
-def import_minutes(objects: DataFrame, by_size: DataFrame, by_rows: DataFrame, index_factor: DataFrame, column_factor: DataFrame) -> DataFrame:
-    """db_id, minutes: of each object the longer of the times for its nearest measured size and its ceiling of rows (each
-    scaled to its own), times factors for its numbers of indexes and columns, summed up and rounded up."""
+def import_minutes(objects: DataFrame, loads: DataFrame, index_factors: DataFrame, column_factors: DataFrame, throughputs: DataFrame) -> DataFrame:
+    """db_id, placement, minutes: how long the objects of each class (colocated, sharded) take to import, in whole minutes.
+    objects: db_id, placement, nodes, size_gb, row_count, n_indexes, n_columns. Measured, each for a placement: loads
+    (placement, gb, rows, seconds), index_factors and column_factors (placement, n, factor); and throughputs (nodes, mbps).
+
+    An object takes the longer of two times, from the load nearest in size and from the one nearest in rows, each scaled to its
+    own and rounded up to seconds; times the factor of the nearest number of indexes, scaled to its own (none: 1); times that
+    of the smallest number of columns that isn't below its own (else of the largest), scaled up where its own is above. The
+    sharded ones' sum is divided by how much faster that many nodes are than three, by the throughput a node of the nearest
+    number. Of equally near ones the smaller counts."""
+    classes = ("colocated", "sharded")
     found = objects
-    for lookup, key, value, name in ((by_size, "gb", "per_gb", "l_size"), (by_rows, "rows", "per_row", "l_rows"), (index_factor, "n", "factor", "l_index"), (column_factor, "n", "factor", "l_column")):
-        found = with_lookup(found, as_array(lookup, key, value, name))
-    seconds = F.greatest(F.col("size_gb") * nearest("l_size", F.col("size_gb")), F.col("row_count") * ceiling("l_rows", F.col("row_count")))
-    factors = nearest("l_index", F.col("n_indexes")) * as_of("l_column", F.col("n_columns"), F.lit(1.0))
-    return found.withColumn("seconds", seconds * factors).groupBy("db_id").agg(F.ceil(F.sum("seconds") / 60).cast("long").alias("minutes"))
+    measured = ((loads, "gb", F.struct("gb", "seconds"), "size"), (loads, "rows", F.struct("rows", "seconds"), "rows"), (index_factors, "n", F.struct("n", "factor"), "index"), (column_factors, "n", F.struct("n", "factor"), "column"))
+    for table, key, value, name in measured:
+        for kind in classes:
+            found = with_lookup(found, as_array(table.where(F.col("placement") == kind).withColumn("__value", value), key, "__value", f"__{name}_{kind}"))
+    found = with_lookup(found, as_array(throughputs, "nodes", "mbps", "__mbps"))
+
+    def of_class(name: str) -> Column:
+        return F.when(F.col("placement") == classes[0], F.col(f"__{name}_{classes[0]}")).otherwise(F.col(f"__{name}_{classes[1]}"))
+
+    found = found.withColumns({"__size": of_class("size"), "__rows": of_class("rows"), "__index": of_class("index"), "__column": of_class("column")})
+    found = found.withColumns({"__size": nearest("__size", F.col("size_gb")), "__rows": nearest("__rows", F.col("row_count")), "__index": nearest("__index", F.col("n_indexes")), "__column": ceiling("__column", F.col("n_columns"))})
+    seconds = F.ceil(F.greatest(F.col("size_gb") * F.col("__size.seconds") / F.col("__size.gb"), F.col("row_count") * F.col("__rows.seconds") / F.col("__rows.rows")))
+    by_indexes = F.when(F.col("n_indexes") == 0, 1.0).otherwise(F.col("n_indexes") * F.col("__index.factor") / F.col("__index.n"))
+    by_columns = F.greatest(F.col("__column.factor"), F.col("n_columns") * F.col("__column.factor") / F.col("__column.n"))
+    near = F.array_min(F.transform("__mbps", lambda x: F.struct(F.abs(x["key"] - F.col("nodes")), x["key"].alias("nodes"), x["value"].alias("mbps"))))
+    three = F.element_at(F.filter("__mbps", lambda x: x["key"] == 3), 1)["value"]
+    faster = F.when((F.col("placement") == classes[0]) | (F.col("nodes") == 3), 1.0).otherwise(F.coalesce(F.col("nodes") * near["mbps"] / near["nodes"] / three, F.lit(1.0)))
+    timed = found.withColumns({"__seconds": seconds * by_indexes * by_columns, "__faster": faster})
+    return timed.groupBy("db_id", "placement").agg(F.ceil(F.round(F.sum("__seconds") / 60 / F.max("__faster"), 6)).cast("long").alias("minutes"))
 
 
 def choose_plan(plans: DataFrame) -> DataFrame:

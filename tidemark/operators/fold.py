@@ -116,7 +116,7 @@ def net_change(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame
 
 def resume(changes: DataFrame, ledger: DataFrame) -> DataFrame:
     """changes (with channel) beyond what their channel has applied. ledger: channel, last_applied; one row a channel."""
-    joined = changes.join(F.broadcast(ledger), "channel", "left")
+    joined = changes.join(ledger, "channel", "left")
     return joined.where(F.col("vsn") > F.coalesce("last_applied", F.lit(-1))).drop("last_applied")
 
 

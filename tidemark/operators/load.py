@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stash(df: DataFrame, reason: Column, policy: str = "stash") -> tuple[DataFrame, DataFrame]:
@@ -35,11 +39,50 @@ def error_counts(bad: DataFrame, keys: list[str], columns: list[str]) -> DataFra
 BATCH_ROWS = 20_000
 
 
-def write_batches(df: DataFrame, path: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """Writes df in files of at most so many rows, a batch each, and returns their ledger: batch, n_rows, n_bytes, state."""
-    df.write.option("maxRecordsPerFile", rows).parquet(path)
-    read = df.sparkSession.read.schema(df.schema).parquet(path)
-    return read.groupBy(F.col("_metadata.file_name").alias("batch")).agg(F.count("*").alias("n_rows"), F.max("_metadata.file_size").alias("n_bytes")).withColumn("state", F.lit("pending"))
+def _text_size(columns: list[str]) -> Column:
+    return sum((F.coalesce(F.octet_length(F.col(x).cast("string")), F.lit(0)) for x in columns), F.lit(0)).cast("long")
+
+
+def number_batches(df: DataFrame, rows: int, size: int) -> DataFrame:
+    """df with __size (bytes of the row as text), __part and __batch: each of Spark's partitions deals its rows in order into
+    batches, of which each takes rows as long as it stays within so many rows and bytes. A row that is larger than a batch
+    may be is one by itself (oversize_reason() finds such rows beforehand). Nothing is shuffled or held whole."""
+
+    def fill(batches):
+        part, number, n, used = TaskContext.get().partitionId(), 0, 0, 0
+        for batch in batches:
+            ends = np.cumsum(batch.column(batch.schema.get_field_index("__size")).to_numpy())
+            numbers = np.empty(len(ends), np.int64)
+            at = 0
+            while at < len(ends):
+                before = int(ends[at - 1]) if at else 0
+                stop = min(int(np.searchsorted(ends, before + size - used, "right")), at + rows - n)
+                if stop <= at and n:
+                    number, n, used = number + 1, 0, 0
+                    continue
+                stop = max(stop, at + 1)
+                numbers[at:stop] = number
+                n, used, at = n + stop - at, used + int(ends[stop - 1]) - before, stop
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ends), part, np.int32)), pa.array(numbers)], names=[*batch.schema.names, "__part", "__batch"])
+
+    sized = df.withColumn("__size", _text_size(df.columns))
+    return sized.mapInArrow(fill, T.StructType([*sized.schema, T.StructField("__part", T.IntegerType()), T.StructField("__batch", T.LongType())]))
+
+
+def write_batches(df: DataFrame, path: str, rows: int = BATCH_ROWS, size: int | None = None) -> DataFrame:
+    """Writes df in batches of at most so many rows, and bytes of text if size is given, and returns their ledger: batch,
+    n_rows, n_bytes (of the file, or of the text), state."""
+    spark = df.sparkSession
+    if size is None:
+        df.write.option("maxRecordsPerFile", rows).parquet(path)
+        read = spark.read.schema(df.schema).parquet(path)
+        grouped = read.groupBy(F.col("_metadata.file_name").alias("batch")).agg(F.count("*").alias("n_rows"), F.max("_metadata.file_size").alias("n_bytes"))
+    else:
+        numbered = number_batches(df, rows, size)
+        numbered.write.partitionBy("__part", "__batch").parquet(path)
+        read = spark.read.schema(numbered.schema).parquet(path)
+        grouped = read.groupBy(F.concat_ws("-", "__part", "__batch").alias("batch")).agg(F.count("*").alias("n_rows"), F.sum("__size").alias("n_bytes"))
+    return grouped.withColumn("state", F.lit("pending"))
 
 
 def unfinished(batches: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -107,7 +150,7 @@ def flag_column_types(columns: DataFrame, rules: DataFrame) -> DataFrame:
     """columns (data_type like ns.type[] or type(10)) with base_type, is_array and the severity that rules (base_type, severity) give; ok without one."""
     base = F.lower(F.regexp_replace(F.regexp_replace(F.substring_index("data_type", ".", -1), r"\(.*\)", ""), r"\[\]$", ""))
     named = columns.withColumns({"base_type": base, "is_array": F.col("data_type").endswith("[]")})
-    return named.join(F.broadcast(rules), "base_type", "left").withColumn("severity", F.coalesce("severity", F.lit("ok")))
+    return named.join(rules, "base_type", "left").withColumn("severity", F.coalesce("severity", F.lit("ok")))
 
 
 def select_columns(df: DataFrame, exported: list[str]) -> DataFrame:

@@ -235,4 +235,4 @@ def retained(segments: DataFrame, keep: int = 3) -> DataFrame:
     """Processed segments that may go: all but the last ones. Only the keep newest numbers are looked for, by a top-k."""
     done = segments.where("done")
     newest = done.select("segment_no").orderBy(F.desc("segment_no")).limit(keep)
-    return done.join(F.broadcast(newest), "segment_no", "left_anti")
+    return done.join(newest, "segment_no", "left_anti")

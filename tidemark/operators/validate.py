@@ -45,7 +45,7 @@ def drill_down(source: DataFrame, target: DataFrame, key: list[str], columns: li
 
     def rows(df: DataFrame, name: str) -> DataFrame:
         segment = F.floor(bucket(as_text(df, key)) / (BUCKETS // n)).cast("int")
-        own = df.select(*key, as_text(df, columns).alias("row_text"), segment.alias("segment")).join(F.broadcast(bad), "segment", "left_semi")
+        own = df.select(*key, as_text(df, columns).alias("row_text"), segment.alias("segment")).join(bad, "segment", "left_semi")
         return own.groupBy(*key, "row_text").agg(F.count("*").alias(name))
 
     both = rows(source, "source_n").join(rows(target, "target_n"), [*key, "row_text"], "full").fillna(0, ["source_n", "target_n"])

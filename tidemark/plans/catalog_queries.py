@@ -96,14 +96,15 @@ def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TABLE_KEY = "db_id, schema_name, table_name"
-INDEX = f"SELECT {TABLE_KEY}, index_name, bool_or(is_unique) AS is_unique, list(column_name ORDER BY position) AS columns, array_to_string(list(column_name ORDER BY position), ',') AS names FROM {{index_columns}} GROUP BY {TABLE_KEY}, index_name"
+INDEX = f"SELECT {TABLE_KEY}, index_name, bool_or(is_unique) AS is_unique, bool_or(is_unique AND nulls_not_distinct) AS strict, min(method) AS method, min(predicate) AS predicate, list_distinct(list(beside)) AS included, list(key_order ORDER BY position) AS options, list(column_name ORDER BY position) AS columns, array_to_string(list(column_name ORDER BY position), ',') AS names FROM {{index_columns}} GROUP BY {TABLE_KEY}, index_name"
 
 
 def index_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = read(spark, sf_dir, "index_columns")
-    unique = columns.groupBy("db_id", "schema_name", "table_name", "index_name").agg(F.bool_or("is_unique").alias("is_unique"))
     keys = ["db_id", "schema_name", "table_name", "index_name"]
-    return stats.ordered_lists(columns, keys, "column_name", "position", "columns").join(unique, keys).withColumn("is_constraint", F.lit(False))
+    facts = columns.groupBy(*keys).agg(F.bool_or("is_unique").alias("is_unique"), F.bool_or("nulls_not_distinct").alias("nulls_not_distinct"), F.min("method").alias("method"), F.min("predicate").alias("predicate"), F.collect_set("beside").alias("included"))
+    lists = stats.ordered_lists(columns.withColumn("one", F.struct("column_name", "key_order")), keys, "one", "position", "keys")
+    return lists.join(facts, keys).select(*keys, F.col("keys.column_name").alias("columns"), F.col("keys.key_order").alias("options"), "is_unique", "nulls_not_distinct", "method", "predicate", "included", F.lit(False).alias("is_constraint"))
 
 
 @query("f17_ordered_lists", f"SELECT {TABLE_KEY}, index_name, names FROM ({INDEX}) x")
@@ -120,7 +121,8 @@ def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REDUNDANT = f"""WITH i AS ({INDEX}), r AS (SELECT a.db_id, a.schema_name, a.table_name, a.index_name AS redundant, min(b.index_name) AS existing FROM i a JOIN i b ON a.db_id = b.db_id AND a.schema_name = b.schema_name AND a.table_name = b.table_name AND a.index_name <> b.index_name
-    AND ((len(a.columns) < len(b.columns) AND b.columns[1:len(a.columns)] = a.columns AND NOT a.is_unique) OR (a.columns = b.columns AND ((a.is_unique = b.is_unique AND a.index_name > b.index_name) OR (NOT a.is_unique AND b.is_unique)))) GROUP BY ALL)"""
+    AND a.method = b.method AND a.predicate IS NULL AND b.predicate IS NULL AND b.columns[1:len(a.columns)] = a.columns AND b.options[1:len(a.options)] = a.options AND list_has_all(list_concat(b.columns[len(a.columns) + 1:], b.included), a.included)
+    AND (NOT a.is_unique OR (b.is_unique AND a.columns = b.columns AND (NOT a.strict OR b.strict))) AND NOT (a.columns = b.columns AND list_sort(a.included) = list_sort(b.included) AND a.is_unique = b.is_unique AND a.strict = b.strict AND a.index_name < b.index_name) GROUP BY ALL)"""
 
 
 @query("p2_redundant_indexes", REDUNDANT + " SELECT * FROM r")
@@ -428,22 +430,36 @@ def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.object_limit(read(spark, sf_dir, "objects"), 80)
 
 
-GB = [(0.5, 60.0), (1.0, 55.0), (2.0, 50.0)]
-ROWS = [(100, 0.5), (1000, 0.4), (10000, 0.3)]
-INDEX_FACTORS = [(0, 1.0), (2, 1.5), (5, 2.5)]
-COLUMN_FACTORS = [(5, 1.1), (20, 1.3)]
+# Measurements: placement, gb, rows, seconds; placement, n, factor; nodes, mbps.
+LOADS = [("colocated", 0.5, 200, 30.0), ("colocated", 1.25, 1500, 70.0), ("colocated", 2.0, 5000, 95.0), ("sharded", 0.5, 150, 25.0), ("sharded", 1.5, 2500, 66.0)]
+INDEX_FACTORS = [("colocated", 1, 1.2), ("colocated", 5, 2.5), ("sharded", 2, 1.9), ("sharded", 7, 4.5)]
+COLUMN_FACTORS = [("colocated", 5, 1.0), ("colocated", 20, 1.3), ("sharded", 10, 1.1), ("sharded", 25, 1.75)]
+THROUGHPUTS = [(3, 90.0), (6, 150.0), (12, 210.0)]
 
 
-def rows_sql(rows: list[tuple], a: str, b: str) -> str:
-    return "(" + " UNION ALL ".join(f"SELECT {x} AS {a}, {y} AS {b}" for x, y in rows) + ")"
+def rows_sql(rows: list[tuple], *names: str) -> str:
+    return "(" + " UNION ALL ".join("SELECT " + ", ".join(f"'{x}' AS {name}" if isinstance(x, str) else f"{x} AS {name}" for x, name in zip(row, names)) for row in rows) + ")"
 
 
-@query("p12_import_minutes", f"""SELECT db_id, CAST(ceil(sum(greatest(gb * (SELECT per_gb FROM {rows_sql(GB, 'gb', 'per_gb')} s ORDER BY abs(s.gb - x.gb), s.gb LIMIT 1), row_count * (SELECT coalesce(min_by(per_row, rows) FILTER (rows >= x.row_count), max_by(per_row, rows)) FROM {rows_sql(ROWS, 'rows', 'per_row')} r))
-    * (SELECT factor FROM {rows_sql(INDEX_FACTORS, 'n', 'factor')} f ORDER BY abs(f.n - x.n_indexes), f.n LIMIT 1) * coalesce((SELECT max_by(factor, n) FILTER (n <= x.n_columns) FROM {rows_sql(COLUMN_FACTORS, 'n', 'factor')} c), 1.0)) / 60) AS BIGINT) AS minutes
-    FROM (SELECT db_id, CAST(size_gb AS DOUBLE) AS gb, row_count, n_indexes, row_count % 30 AS n_columns FROM ({SIZES}) z) x GROUP BY db_id""")
+def nearest_sql(rows: str, key: str, at: str, value: str) -> str:
+    return f"(SELECT {value} FROM {rows} s WHERE s.placement = x.placement ORDER BY abs(s.{key} - x.{at}), s.{key} LIMIT 1)"
+
+
+PLACEMENT = "CASE WHEN row_count % 2 = 0 THEN 'colocated' ELSE 'sharded' END"
+LOADS_SQL, INDEX_SQL, COLUMN_SQL = rows_sql(LOADS, "placement", "gb", "rows", "seconds"), rows_sql(INDEX_FACTORS, "placement", "n", "factor"), rows_sql(COLUMN_FACTORS, "placement", "n", "factor")
+
+
+@query("p12_import_minutes", f"""WITH x AS (SELECT db_id, {PLACEMENT} AS placement, 3 + CAST(substr(db_id, length(db_id), 1) AS BIGINT) AS nodes, CAST(size_gb AS DOUBLE) AS gb, row_count, n_indexes, row_count % 30 + 1 AS n_columns FROM ({SIZES}) z),
+    y AS (SELECT *, ceil(greatest(gb * {nearest_sql(LOADS_SQL, 'gb', 'gb', 'seconds / gb')}, row_count * {nearest_sql(LOADS_SQL, 'rows', 'row_count', 'seconds / rows')})) AS s, CASE WHEN n_indexes = 0 THEN 1.0 ELSE n_indexes * {nearest_sql(INDEX_SQL, 'n', 'n_indexes', 'factor / n')} END AS f,
+        (SELECT greatest(c.factor, x.n_columns * c.factor / c.n) FROM {COLUMN_SQL} c WHERE c.placement = x.placement ORDER BY c.n < x.n_columns, CASE WHEN c.n >= x.n_columns THEN c.n ELSE -c.n END LIMIT 1) AS g,
+        CASE WHEN placement = 'colocated' OR nodes = 3 THEN 1.0 ELSE nodes * (SELECT mbps / t.nodes FROM {rows_sql(THROUGHPUTS, 'nodes', 'mbps')} t ORDER BY abs(t.nodes - x.nodes), t.nodes LIMIT 1) / 90.0 END AS d FROM x)
+    SELECT db_id, placement, CAST(ceil(round(sum(s * f * g) / 60 / max(d), 6)) AS BIGINT) AS minutes FROM y GROUP BY db_id, placement""")
 def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sized(spark, sf_dir).withColumns({"size_gb": F.col("size_gb").cast("double"), "n_columns": F.col("row_count") % 30})
-    tables = [load.rows_frame(spark, x, schema) for x, schema in ((GB, "gb double, per_gb double"), (ROWS, "rows long, per_row double"), (INDEX_FACTORS, "n long, factor double"), (COLUMN_FACTORS, "n long, factor double"))]
+    placement = F.when(F.col("row_count") % 2 == 0, "colocated").otherwise("sharded")
+    nodes = 3 + F.substring("db_id", -1, 1).cast("long")
+    rows = sized(spark, sf_dir).withColumns({"placement": placement, "nodes": nodes, "size_gb": F.col("size_gb").cast("double"), "n_columns": F.col("row_count") % 30 + 1})
+    factors = "placement string, n long, factor double"
+    tables = [load.rows_frame(spark, x, schema) for x, schema in ((LOADS, "placement string, gb double, rows long, seconds double"), (INDEX_FACTORS, factors), (COLUMN_FACTORS, factors), (THROUGHPUTS, "nodes long, mbps double"))]
     return fleet.import_minutes(rows, *tables)
 
 

@@ -407,13 +407,15 @@ def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("table_name", rates.catch_up_minutes(F.col("remaining"), F.col("rate")).alias("minutes"))
 
 
-@query("l4_archive_segments", "SELECT event_id // 50 AS segment_no, count(*) AS n_rows FROM {events} WHERE event_id // 50 <= (SELECT max(event_id // 50) - 3 FROM {events}) GROUP BY 1")
+@query("l4_archive_segments", "SELECT event_id // 50 AS segment_no, CASE WHEN event_id // 50 <= (SELECT max(event_id // 50) - 3 FROM {events}) THEN 'archived' ELSE 'live' END AS place, count(*) AS n_rows FROM {events} GROUP BY 1, 2")
 def l4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     rows = read(spark, sf_dir, "events").withColumn("segment_no", F.expr("event_id div 50"))
-    rows.write.partitionBy("segment_no").parquet(f"{path}/log")
+    rows.repartition("segment_no").write.partitionBy("segment_no").parquet(f"{path}/log")
     segments = rows.select("segment_no").distinct().withColumn("done", F.lit(True))
-    return run.archive(spark, f"{path}/log", f"{path}/archive", stats.retained(segments).select("segment_no"))
+    archived = run.clean(spark, f"{path}/log", stats.retained(segments).select("segment_no"), "archive", f"{path}/archive")
+    live = spark.read.schema(rows.schema).parquet(f"{path}/log").groupBy("segment_no").agg(F.count("*").alias("n_rows"))
+    return archived.withColumn("place", F.lit("archived")).unionByName(live.withColumn("place", F.lit("live")))
 
 
 @query("l5_stream_dedup", "SELECT event_id, event_type FROM {events}")
@@ -443,14 +445,34 @@ def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.to_table(spark, rates.running_sequences(log, "k", "s"), ["sequence_name"], "update")
 
 
+@query("l8_batch_limits", "SELECT true AS within_limit, count(*) AS n_events FROM {cdc_flat}")
+def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of at most 4,000 events, one a batch."""
+    path = new_path(spark)
+    changelog.write_change_log(change_log(spark, sf_dir).drop("id", "ts"), path, rows=4000, partitions=2)
+    stream, _ = changelog.read_change_log(spark, path, streaming=True, files_per_batch=1)
+    return run.batch_sizes(spark, stream).agg(F.bool_and(F.col("n_events") <= 4000).alias("within_limit"), F.sum("n_events").alias("n_events"))
+
+
 @query("l9_after_snapshot", "SELECT vsn FROM {cdc_flat} WHERE vsn > 300")
 def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = change_log(spark, sf_dir).withColumn("op", F.when(F.col("vsn") <= 200, "r").otherwise(F.col("op")))
     return run.after_snapshot(log, 300).select("vsn")
 
 
-@query("l11_roles_in_order", "SELECT exporter_role, op, count(*) AS n FROM {cdc_flat} WHERE exporter_role = 'source_db_exporter' OR op <> 'd' GROUP BY 1, 2")
+BY_ROLE = """
+    WITH u AS (SELECT l.*, c.id % 9 AS tab, c.has_k, CASE WHEN l.vsn // 400 % 2 = 0 THEN 'source_db_exporter' ELSE 'target_db_exporter_fb' END AS role FROM {uk_log} l JOIN {cdc_flat} c ON c.vsn = l.vsn),
+    s AS (SELECT *, CASE WHEN lag(role) OVER (ORDER BY vsn) <> role THEN 1 ELSE 0 END AS turned FROM u), n AS MATERIALIZED (SELECT *, CAST(sum(turned) OVER (ORDER BY vsn) AS BIGINT) AS stretch FROM s),
+    t AS (SELECT vsn, pkey, stretch, after_uk AS uk FROM n WHERE role = 'source_db_exporter' AND op IN ('c', 'u') AND after_uk IS NOT NULL UNION SELECT vsn, pkey, stretch, before_uk FROM n WHERE role = 'source_db_exporter' AND op = 'u'),
+    f AS (SELECT t.stretch, t.vsn, e.vsn AS blocker FROM t JOIN n e ON e.stretch = t.stretch AND e.before_uk = t.uk AND e.op IN ('u', 'd') AND e.vsn < t.vsn AND e.pkey <> t.pkey
+        UNION ALL SELECT l.stretch, l.vsn, e.vsn FROM n l JOIN n e ON e.stretch = l.stretch AND e.tab = l.tab AND e.vsn < l.vsn AND (e.op = 'd' OR (e.op = 'u' AND e.has_k AND l.has_k AND l.op <> 'd')) WHERE l.role = 'target_db_exporter_fb')
+    SELECT stretch, vsn, max(blocker) AS blocker FROM f GROUP BY stretch, vsn"""
+
+
+@query("l11_conflicts_by_role", BY_ROLE)
 def l11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that differ by the exporter's role: deletes of the fall-back role are left out."""
-    log = change_log(spark, sf_dir)
-    return log.where((F.col("exporter_role") == "source_db_exporter") | (F.col("op") != "d")).groupBy("exporter_role", "op").agg(F.count("*").alias("n"))
+    """The exporter's role changes every 400 places of the log; the one that follows has no before-values."""
+    role = F.when(F.expr("vsn div 400") % 2 == 0, "source_db_exporter").otherwise("target_db_exporter_fb")
+    tables = change_log(spark, sf_dir).select("vsn", "table_name", F.array_intersect(F.map_keys("fields"), F.array(F.lit("k"))).alias("columns"))
+    log = uk_events(spark, sf_dir).join(tables, "vsn").withColumn("exporter_role", role)
+    return conflicts.conflicts_by_role(log, ["target_db_exporter_fb"])

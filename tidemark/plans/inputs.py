@@ -73,7 +73,9 @@ INPUTS = {
         GROUP BY o.db_id, o.schema_name, o.object_name, l.l_linenumber""",
     "index_columns": """
         SELECT i.db_id, i.schema_name, i.table_name, i.index_name, c.position, 'c' || CAST((i.n * (CASE WHEN i.n % 2 = 0 THEN 0 ELSE 1 END) + c.position) % 4 AS STRING) AS column_name,
-               i.n % 3 = 0 AS is_unique
+               i.n % 3 = 0 AS is_unique, CASE WHEN i.writes % 5 = 0 THEN 'hash' ELSE 'btree' END AS method, CASE WHEN i.writes % 7 = 0 THEN 'c1 > 0' END AS predicate,
+               CASE WHEN i.writes % 3 = 0 THEN 'c' || CAST(i.writes % 4 AS STRING) END AS beside, i.writes % 2 = 0 AS nulls_not_distinct,
+               CASE WHEN (i.writes + c.position) % 11 = 0 THEN 'desc' ELSE 'asc' END AS key_order
         FROM {indexes} i CROSS JOIN (SELECT 1 AS position UNION ALL SELECT 2 AS position UNION ALL SELECT 3 AS position) c
         WHERE c.position <= i.n % 3 + 1""",
     "ledger": """

@@ -265,10 +265,11 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.agg(F.count("*").alias("n_good"), F.count_if(F.col("id").startswith("x")).alias("n_marked"))
 
 
-@query("k3_batches", "SELECT true AS within_cap, count(*) AS n_rows FROM {lineitem}")
+@query("k3_batches", "SELECT true AS within_cap, count(*) AS n_rows, sum(length(CAST(l_orderkey AS STRING)) + length(CAST(l_partkey AS STRING)) + length(l_returnflag)) AS n_bytes FROM {lineitem}")
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = load.write_batches(read(spark, sf_dir, "lineitem"), new_path(spark), 5000)
-    return ledger.agg(F.bool_and((F.col("n_rows") <= 5000) & (F.col("n_bytes") > 0)).alias("within_cap"), F.sum("n_rows").alias("n_rows"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    ledger = load.write_batches(rows, new_path(spark), 5000, 40_000)
+    return ledger.agg(F.bool_and((F.col("n_rows") <= 5000) & (F.col("n_bytes") <= 40_000)).alias("within_cap"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
 
 
 @query("k4_unfinished_batches", "SELECT file_path, batch_no FROM {ledger} GROUP BY 1, 2 HAVING max(CASE WHEN state = 'done' THEN 1 ELSE 0 END) = 0")

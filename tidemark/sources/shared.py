@@ -24,6 +24,12 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Whether there was a file or folder of that path, in any file system that Spark knows; it is gone afterwards."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once into a Parquet folder in the shared folder, its lineage cut. Unlike checkpoint(), what is read again
     brings no constraints along, which in loops would double with every turn."""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.shared import new_path
+from ..sources.shared import cut, delete, new_path
 from ..sources.versioned import VersionedTable
 
 
@@ -29,14 +30,20 @@ def to_table(spark: SparkSession, stream: DataFrame, keys: list[str] | None = No
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "__batch").alias("x")).select(*keys, "x.*")
 
 
-def apply_stream(stream: DataFrame, table: VersionedTable, progress: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
+def apply_stream(stream: DataFrame, table: VersionedTable, progress: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, interval: str | None = None) -> StreamingQuery:
     """Applies each batch of a change stream to a table once, though it may come again: the batch's rows and its ledger row
-    are written before the stream's own progress, and a batch in the ledger is skipped."""
+    are written before the stream's own progress, and a batch in the ledger is skipped. With an interval (2 seconds) a batch
+    begins at most that often and the query goes on until it is stopped; else it ends with the input there is now."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         table.apply(prepare(df), batch_id)
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", progress)
+    if interval is not None:
+        return writer.trigger(processingTime=interval).start()
+    started = writer.trigger(availableNow=True).start()
+    started.awaitTermination()
+    return started
 
 
 def after_snapshot(events: DataFrame, boundary: int) -> DataFrame:
@@ -52,8 +59,36 @@ def read_files(spark: SparkSession, folder: str, name: str, schema, files_per_ba
 def archive(spark: SparkSession, path: str, target: str, eligible: DataFrame) -> DataFrame:
     """Compacts finished segments (eligible: segment_no) of a partitioned change log to Parquet in target, over what an
     earlier try left, and returns segment_no, n_rows. A segment without rows raises when the result is used."""
-    rows = spark.read.parquet(path).join(F.broadcast(eligible), "segment_no", "left_semi")
-    rows.write.mode("overwrite").partitionBy("segment_no").parquet(target)
+    rows = spark.read.parquet(path).join(eligible.select("segment_no"), "segment_no", "left_semi")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment_no").parquet(target)
     counts = spark.read.schema(rows.schema).parquet(target).groupBy("segment_no").agg(F.count("*").alias("n_rows"))
     joined = eligible.select("segment_no").join(counts, "segment_no", "left")
     return joined.withColumn("n_rows", F.coalesce("n_rows", F.raise_error(F.lit("a segment's file is missing")).cast("long")))
+
+
+def clean(spark: SparkSession, path: str, eligible: DataFrame, policy: str, target: str | None = None) -> DataFrame | None:
+    """What becomes of finished segments (eligible: segment_no) of a partitioned change log: with retain they stay, with delete
+    they go, with archive they go once target has all of them. Segments that an earlier try has archived and dropped already
+    are no error; one that neither place has is. Returns archive()'s counts, else None."""
+    if policy not in ("retain", "delete", "archive"):
+        raise ValueError(f"no policy: {policy}")
+    if policy == "retain":
+        return None
+    counts = None
+    if policy == "archive":
+        counts = cut(archive(spark, path, target, eligible))
+    for row in eligible.select("segment_no").toLocalIterator():  # one row a segment, not held together
+        delete(spark, f"{path}/segment_no={row.segment_no}")
+    return counts
+
+
+def batch_sizes(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """batch_id, n_events of the stream's batches over all input there is now. What a batch takes is bounded by its reader
+    (files_per_batch) and the events of a segment (write_change_log()'s rows)."""
+    path = new_path(spark)
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count("*").alias("n_events")).write.mode("overwrite").parquet(f"{path}/sizes/b={batch_id}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("batch_id long, n_events long, b long").parquet(f"{path}/sizes").drop("b")
