@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import convert
-from tidemark.operators import fleet, load, stats, validate
+from tidemark.operators import conflicts, fleet, load, stats, validate
 from tidemark.plans import registry
 from tidemark.sources import changelog, dumps
 from tidemark.sources.versioned import VersionedTable
@@ -185,3 +185,87 @@ def test_a_circle_of_pairs_raises(spark):
     pairs = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a")], "k int, redundant string, existing string")
     with pytest.raises(ValueError):
         fleet.resolve(pairs, ["k"])
+
+
+def test_changes_are_merged_and_old_versions_dropped(spark, tmp_path):
+    base, log = random_log(11)
+    old, changes = frames(spark, base, log)
+    table = VersionedTable(spark, str(tmp_path / "t"), ["id"], COLUMNS, 4, merge_after=2)
+    table.create(old)
+    last = max(x[1] for x in log)
+    step = last // 5 + 1
+    for batch in range(5):
+        assert table.apply(changes.where(f"vsn div {step} = {batch}"), batch)
+        rows, _, _ = model(base, [x for x in log if x[1] < (batch + 1) * step])
+        assert {r.id: {"a": r.a, "b": r.b} for r in table.read().collect()} == rows
+    assert table.state().since > 0
+    table.vacuum()
+    assert {r.id: {"a": r.a, "b": r.b} for r in table.read().collect()} == rows
+    assert not (tmp_path / "t" / "changes" / "v=1").exists()
+    assert not table.apply(changes, 4)  # known after the merge too
+
+
+def test_batches_keep_both_limits(spark, tmp_path):
+    sizes = [3, 900, 1, 1, 1, 1, 1, 50, 50, 50, 1, 2000, 4, 5, 0, 0]
+    df = spark.createDataFrame([("x" * n,) for n in sizes], "t string").coalesce(1)
+    got = [r.n_bytes for r in load.write_batches(df, str(tmp_path / "b"), 4, 101).orderBy(F.split("batch", "-")[1].cast("int")).collect()]
+    assert got == [3, 900, 4, 101, 51, 2000, 9]
+    empty = load.write_batches(df.where("false"), str(tmp_path / "e"), 4, 101)
+    assert empty.count() == 0
+
+
+def test_clean_up_policies(spark, tmp_path):
+    def written(name):
+        path = str(tmp_path / name)
+        spark.range(60).selectExpr("id", "id div 10 AS segment_no").write.partitionBy("segment_no").parquet(path)
+        return path
+
+    def left(path):
+        return {r.segment_no for r in spark.read.parquet(path).select("segment_no").distinct().collect()}
+
+    some = spark.range(2).select(F.col("id").alias("segment_no"))
+    kept = written("kept")
+    assert run.clean(spark, kept, some, "retain") is None and left(kept) == set(range(6))
+    gone = written("gone")
+    assert run.clean(spark, gone, some, "delete") is None and left(gone) == set(range(2, 6))
+    moved, target = written("moved"), str(tmp_path / "archive")
+    more = spark.range(4).select(F.col("id").alias("segment_no"))
+    for eligible in (some, more, more):  # comes again, in part and as a whole
+        counts = run.clean(spark, moved, eligible, "archive", target)
+        assert {r.n_rows for r in counts.collect()} == {10}
+    assert left(moved) == {4, 5} and left(target) == {0, 1, 2, 3}
+    with pytest.raises(Exception, match="missing"):
+        run.clean(spark, moved, spark.range(9, 10).select(F.col("id").alias("segment_no")), "archive", target)
+    with pytest.raises(ValueError):
+        run.clean(spark, moved, some, "burn")
+
+
+def test_redundant_indexes_by_all_their_traits(spark):
+    schema = "index_name string, columns array<string>, options array<string>, included array<string>, method string, predicate string, is_unique boolean, nulls_not_distinct boolean, is_constraint boolean"
+
+    def found(*rows):
+        df = spark.createDataFrame([(name, keys, ["asc"] * len(keys) if options is None else options, beside, method, predicate, unique, strict, constraint) for name, keys, options, beside, method, predicate, unique, strict, constraint in rows], schema)
+        placed = df.select(F.lit("d").alias("db_id"), F.lit("s").alias("schema_name"), F.lit("t").alias("table_name"), "*")
+        return {(r.redundant, r.existing) for r in fleet.redundant_indexes(placed).collect()}
+
+    def index(name, keys, options=None, beside=(), method="btree", predicate=None, unique=False, strict=False, constraint=False):
+        return name, list(keys), options, list(beside), method, predicate, unique, strict, constraint
+
+    assert found(index("a", "x"), index("b", "xy")) == {("a", "b")}
+    assert found(index("a", "x"), index("b", "xy", method="hash")) == set()
+    assert found(index("a", "x"), index("b", "xy", predicate="x > 0")) == set()
+    assert found(index("a", "x"), index("b", "xy", ["desc", "asc"])) == set()
+    assert found(index("a", "x", beside="z"), index("b", "xy")) == set()
+    assert found(index("a", "x", beside="y"), index("b", "xy")) == {("a", "b")}
+    assert found(index("a", "x", unique=True), index("b", "xy", unique=True)) == set()
+    assert found(index("a", "x", unique=True, strict=True), index("b", "x", unique=True)) == {("b", "a")}
+    assert found(index("a", "x", constraint=True), index("b", "x")) == {("b", "a")}
+    assert found(index("a", "xy", beside="zw"), index("b", "xy", beside="wz")) == {("b", "a")}
+
+
+def test_conflicts_begin_anew_with_the_role(spark):
+    rows = [(0, "u", "p", "s", "1", None), (1, "c", "q", "s", None, "1"), (2, "c", "r", "f", None, "1"), (3, "d", "z", "f", None, None), (4, "c", "w", "f", None, None), (5, "c", "v", "s", None, "1")]
+    log = spark.createDataFrame(rows, "vsn long, op string, pkey string, exporter_role string, before_bucket string, after_bucket string")
+    log = log.withColumns({"table_name": F.lit("t"), "columns": F.array(F.lit("k"))})
+    got = {(r.stretch, r.vsn, r.blocker) for r in conflicts.conflicts_by_role(log, ["f"]).collect()}
+    assert got == {(0, 1, 0), (1, 4, 3)}
