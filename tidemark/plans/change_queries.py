@@ -276,11 +276,13 @@ def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.unchecked_tables(tables, indexes, load.rows_frame(spark, [("t2", "table")], "table_name string, strategy string"))
 
 
-@query("i8_merged_indexes", "SELECT DISTINCT 'orders' AS table_name, 'o_orderkey' AS first_column FROM {orders}")
+@query("i8_merged_indexes", "SELECT DISTINCT CASE WHEN o_orderstatus = 'P' THEN 'orders_P_' || CAST(year(o_orderdate) AS STRING) ELSE 'orders_' || o_orderstatus END AS table_name, CASE WHEN o_custkey % 2 = 0 THEN 'o_orderkey' ELSE 'k' || CAST(o_custkey % 10 AS STRING) END AS first_column FROM {orders}")
 def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = read(spark, sf_dir, "orders").select(F.concat(F.lit("orders_"), F.year("o_orderdate")).alias("table_name")).distinct()
-    roots = leaves.select(F.col("table_name").alias("leaf"), F.lit("orders").alias("root"))
-    return conflicts.merge_indexes(leaves.withColumn("columns", F.array(F.lit("o_orderkey"))), roots).select("table_name", F.element_at("columns", 1).alias("first_column"))
+    """Leaves by status and year; those of status P have no root."""
+    first = F.when(F.col("o_custkey") % 2 == 0, "o_orderkey").otherwise(F.concat(F.lit("k"), F.col("o_custkey") % 10))
+    indexes = read(spark, sf_dir, "orders").select(F.concat_ws("_", F.lit("orders"), "o_orderstatus", F.year("o_orderdate")).alias("table_name"), F.array(first).alias("columns")).distinct()
+    roots = indexes.select(F.col("table_name").alias("leaf"), F.substring_index("table_name", "_", 2).alias("root")).where("root <> 'orders_P'").distinct()
+    return conflicts.merge_indexes(indexes, roots).select("table_name", F.element_at("columns", 1).alias("first_column"))
 
 
 @query("i9_duplicate_keys", "SELECT id, count(*) AS n FROM {target_side} GROUP BY id HAVING count(*) > 1")
@@ -398,7 +400,7 @@ def l1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l2_sliding_rates", "SELECT s + INTERVAL '3 minutes' AS ends, event_type, count(*) AS n, count(*) // 3 AS per_minute, count(*) // 180 AS per_second FROM (SELECT event_type, time_bucket(INTERVAL '10 seconds', ts) - INTERVAL (k * 10) SECOND AS s FROM {events} CROSS JOIN range(18) r(k)) x GROUP BY s, event_type")
 def l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates.sliding_rates(read(spark, sf_dir, "events"), 3, ["event_type"])
+    return run.to_table(spark, rates.sliding_rates(event_stream(spark, sf_dir), 3, ["event_type"]), ["ends", "event_type"], "update")
 
 
 @query("l3_catch_up", "SELECT 't' || CAST(id % 9 AS STRING) AS table_name, CAST(floor(sum(CASE WHEN vsn > 700 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN vsn <= 60 THEN 1 ELSE 0 END), 0)) AS BIGINT) AS minutes FROM {cdc_flat} GROUP BY 1")
@@ -457,7 +459,10 @@ def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l9_after_snapshot", "SELECT vsn FROM {cdc_flat} WHERE vsn > 300")
 def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = change_log(spark, sf_dir).withColumn("op", F.when(F.col("vsn") <= 200, "r").otherwise(F.col("op")))
-    return run.after_snapshot(log, 300).select("vsn")
+    path = new_path(spark)
+    changelog.write_change_log(log.drop("id", "ts"), path, partitions=2)
+    stream, _ = changelog.read_change_log(spark, path, streaming=True)
+    return run.to_table(spark, run.after_snapshot(stream, 300).select("vsn"))
 
 
 BY_ROLE = """
