@@ -439,7 +439,7 @@ def example(tree, rnd):
 
 def test_license_prefilter_loses_nothing():
     rnd, missed = random.Random(6), []
-    known = {"licensed by the mit": "mit", "it may not be copied without leave": "proprietary", "permission is\nhereby\ngranted,  free of charge, to any person obtaining a copy": "mit", "all  advertising\nmaterials mentioning features": "bsd-4-clause", "all rights\nreserved": "proprietary", "in the public\ndomain": "public-domain", "see\nisc": "isc"}
+    known = {"licensed by the mit": "mit", "it may not be copied without leave": "proprietary", "permission is\nhereby\ngranted,  free of charge, to any person obtaining a copy": "mit", "all  advertising\nmaterials mentioning features": "bsd-4-clause", "all rights\nreserved": "proprietary", "in the public\ndomain": "public-domain", "see\nisc": "isc", "neither the name of the\nowner may be used to endorse": "bsd-3-clause", "licensed under the creative\ncommons  zero": "cc0-1.0", " * you may not use this file except\n * in compliance with the license.": "apache-2.0", "# altered source versions must be plainly\n# marked as such, and must not be misrepresented as being the original software": "zlib"}
     for text, label in known.items():
         found = licenses.detect(text)
         assert label in {rule.label for _, _, rule in found} and found == unfiltered(text)
@@ -451,11 +451,35 @@ def test_license_prefilter_loses_nothing():
     assert missed == []
 
 
-def test_license_suppression_is_containment():
+def brute_suppress(found):
+    """The same by definition: what lies in another goes, then of two that overlap in part with different labels the one of smaller priority stays."""
+    def hides(x, y):
+        return x is not y and x[0] <= y[0] and y[1] <= x[1] and (x[:2] != y[:2] or x[2].priority < y[2].priority)
+
+    outer = [y for y in found if not any(hides(x, y) for x in found)]
+    kept = []
+    for y in sorted(outer, key=lambda y: (y[2].priority, y[0])):
+        if all(x[1] <= y[0] or y[1] <= x[0] or x[2].label == y[2].label for x in kept):
+            kept.append(y)
+    return sorted(kept, key=lambda y: y[0])
+
+
+def test_license_suppression_by_containment_and_priority():
     rule = licenses.rules()
     assert len(rule) > 200 and [x.priority for x in rule] == list(range(len(rule)))
-    found = [(0, 10, rule[5]), (2, 8, rule[0]), (0, 10, rule[3]), (5, 14, rule[9]), (20, 22, rule[1])]
-    assert licenses.suppress(found) == [(0, 10, rule[3]), (5, 14, rule[9]), (20, 22, rule[1])]
+    one = {x.label: x for x in rule}
+    first, second, third = sorted([one["mit"], one["isc"], one["zlib"]], key=lambda x: x.priority)
+    inside = [(0, 10, third), (2, 8, first), (0, 10, second), (20, 22, first)]
+    assert licenses.suppress(inside) == [(0, 10, second), (20, 22, first)]
+    chain = [(0, 10, first), (8, 20, second), (18, 30, third)]
+    assert licenses.suppress(chain) == [chain[0], chain[2]]
+    alike = [(0, 10, first), (8, 20, first)]
+    assert licenses.suppress(alike) == alike
+    rnd = random.Random(8)
+    for _ in range(300):
+        spans = {(start, start + rnd.randint(1, 12), rnd.randrange(len(rule))) for start in (rnd.randrange(40) for _ in range(rnd.randrange(14)))}
+        found = [(start, end, rule[k]) for start, end, k in sorted(spans)]
+        assert licenses.suppress(found) == brute_suppress(found)
 
 
 def brute_segments(scores):
