@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -172,6 +172,14 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lower_column(name: str) -> Column:
+    """lower_ascii() of a column, null as empty."""
+    return F.translate(F.coalesce(name, F.lit("")), UPPER, UPPER.lower())
+
+
 SPACE_BEFORE_SPACE = re.compile(r" (?:\s|$)")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, licenses, line_dedup, near_dup, packing, substring_dedup, token_counts, toxicity
+from . import ann, bpe, clusters, divergence, exact_dedup, licenses, line_dedup, near_dup, packing, quality, substring_dedup, token_counts, toxicity
 from .common import saved, table
 
 
@@ -74,6 +74,37 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~quality.held_out()))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def _clusters_sql() -> str:
+    """The ten rounds one after another: c0 to c10 are centroids, a0 to a10 vectors with the nearest of them."""
+    steps = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS p FROM embeddings
+            WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, p FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8)"""]
+    for k in range(11):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+            SELECT v.r, c.cluster, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.p, c.p)])::BIGINT AS d FROM v CROSS JOIN c{k} c) GROUP BY r)""")
+        if k < 10:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.p, c.p) AS p FROM c{k} c LEFT JOIN (
+                SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM (
+                    SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.cluster, unnest(v.p) AS x, unnest(range(64)) AS i FROM v JOIN a{k} a USING (r)) GROUP BY ALL) GROUP BY cluster) m USING (cluster))""")
+    return f"""WITH {', '.join(steps)}
+        SELECT vec_id, a.cluster::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c.p, ',')) AS centroid_sha256
+        FROM v JOIN a10 a USING (r) JOIN c10 c USING (cluster)"""
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
@@ -87,6 +118,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_quality": op11_quality,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 SQL = {
@@ -127,4 +161,19 @@ SQL = {
         kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM u ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
         SELECT d.doc_id, len(d.words)::BIGINT AS n_words, (len(d.words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_source_divergence": rf"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(words) AS term FROM d) GROUP BY ALL),
+        h AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        f AS (SELECT g.lang, g.source, h.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN h USING (lang) LEFT JOIN c USING (lang, source, term)),
+        l AS (SELECT lang, term, sum(n) AS n FROM f GROUP BY ALL),
+        p AS (SELECT *, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM f),
+        q AS (SELECT *, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM l),
+        t AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.term = y.term WHERE x.lang = a.lang AND y.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM t UNION ALL SELECT * FROM o))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_centroid_clusters": _clusters_sql(),
 }
