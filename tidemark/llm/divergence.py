@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_column, partitions, saved
+from .common import lower_ascii, partitions, portions, saved, texts
 
 #: A term: letters without regard to the case of A-Z, and every other character beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -17,6 +19,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: About how many terms and sources meet in one task to be compared.
 TERMS, SOURCES = 1024, 256
+#: Terms that a task counts before it passes them on.
+COUNTED = 300_000
 #: Rows of a group that are gathered before they are thinned out, and of all groups before they are passed on.
 GATHERED, HELD = 4096, 1 << 19
 #: Parts of a group whose skybands are merged before the group's own.
@@ -29,13 +33,31 @@ RETAINED = "lang string, source string, term string, n long, lang_n long, value
 def counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (places), docs (rows that hold it). Summed up in each task before the shuffle, so that a large
     source sends a row for each of its terms and task. Null columns are read as empty."""
-    words = F.regexp_extract_all(lower_column("text"), F.lit(TERM), F.lit(0))
-    read = docs.select(*[F.coalesce(x, F.lit("")).alias(x) for x in GROUP], words.alias("words"))
-    zero, one = (F.lit(x).cast("long") for x in (0, 1))
-    places = F.transform("words", lambda x: F.struct(x.alias("term"), one.alias("n"), zero.alias("docs")))
-    rows = F.transform(F.array_distinct("words"), lambda x: F.struct(x.alias("term"), zero.alias("n"), one.alias("docs")))
-    each = read.select(*GROUP, F.explode(F.concat(places, rows)).alias("x"))
-    return each.groupBy(*GROUP, F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+    kind = {"lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64(), "docs": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TERM).findall
+        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (places, rows) in found.items():
+                n = len(places)
+                columns = [[lang] * n, [source] * n, list(places), list(places.values()), [rows[x] for x in places]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, kind.values(), strict=True)], list(kind))
+            found.clear()
+
+        for batch in portions(batches):
+            for lang, source, text in zip(*(texts(batch, x) for x in (*GROUP, "text")), strict=True):
+                places, rows = found.setdefault((lang, source), (Counter(), Counter()))
+                terms = find(lower_ascii(text))
+                places.update(terms)
+                rows.update(set(terms))
+            if sum(len(x) for x, _ in found.values()) > COUNTED:
+                yield from passed()
+        yield from passed()
+
+    each = docs.select(*GROUP, "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return each.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
