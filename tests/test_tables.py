@@ -1,7 +1,9 @@
 """Tables that take batches, streams, validation, readers."""
 
 import hashlib
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark.functions import convert
 from tidemark.operators import conflicts, fleet, load, stats, validate
 from tidemark.plans import registry
-from tidemark.sources import changelog, dumps
+from tidemark.sources import changelog, dumps, quoted
 from tidemark.sources.versioned import VersionedTable
 from tidemark.streaming import run
 
@@ -269,3 +271,73 @@ def test_conflicts_begin_anew_with_the_role(spark):
     log = log.withColumns({"table_name": F.lit("t"), "columns": F.array(F.lit("k"))})
     got = {(r.stretch, r.vsn, r.blocker) for r in conflicts.conflicts_by_role(log, ["f"]).collect()}
     assert got == {(0, 1, 0), (1, 4, 3)}
+
+
+def _csv_text(rnd, quote, escape, rows):
+    """Well-formed records with line breaks, quotes and delimiters within quotes, and what they mean."""
+    lines, values = ["id,text,k"], []
+    for k in range(rows):
+        text = "".join(rnd.choice(["a", "b", ",", "\n", quote, "\r\n", " é", "\n\n"] if rnd.random() < 0.6 else ["x", "y"]) for _ in range(rnd.choice([1, 3, 12, 60])))
+        text = text if text.strip() and text == text.strip() else f"<{text}>"
+        lines.append(f"{k},{quote}{text.replace(escape, escape * 2).replace(quote, escape + quote) if escape != quote else text.replace(quote, quote * 2)}{quote},{k % 7}")
+        values.append((k, text, k % 7))
+    return "\n".join(lines) + "\n", values
+
+
+@pytest.mark.parametrize("escape,joined", [('"', False), ("\\", False), ('"', True)])
+@pytest.mark.parametrize("width", [50, 700])
+def test_quoted_line_breaks_in_many_splits(spark, tmp_path, monkeypatch, escape, joined, width):
+    if joined:
+        monkeypatch.setattr(quoted, "MOST_SPLITS", 3)
+    rnd = random.Random(width)
+    wanted = []
+    for name in ("a", "b", "c"):
+        text, values = _csv_text(rnd, '"', escape, 120)
+        if name == "c":
+            text = text.rstrip("\n")
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+        wanted += values
+    before = {x: spark.conf.get(x) for x in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("k", T.IntegerType())])
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(width))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = dumps.read_csv_dump(spark, str(tmp_path), schema, escape=escape, header=True, multiline=True)
+        if width == 700 and not joined:
+            lines = quoted.quoted_records(spark, str(tmp_path), escape=escape)
+            assert lines.rdd.getNumPartitions() >= sum(x.stat().st_size for x in tmp_path.iterdir()) / 700
+        got = sorted((r.id, r.text, r.k) for r in df.where("_corrupt_record IS NULL").collect())
+        assert got == sorted(wanted)
+        if escape == '"':  # as Spark's own reader of whole files has them
+            whole = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape=escape).csv(str(tmp_path))
+            assert sorted(tuple(r) for r in whole.collect()) == got
+    finally:
+        for x, y in before.items():
+            spark.conf.set(x, y)
+
+
+def test_states_of_lines_are_those_of_one_pass():
+    rnd = random.Random(3)
+    for quote, escape in (('"', '"'), ('"', "\\"), ("'", "~")):
+        ends = quoted.line_ends(quote, escape)
+        for _ in range(200):
+            lines = ["".join(rnd.choice([quote, escape, "x", ","]) for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(1, 9))]
+            for start in (False, True):
+                want, within = [start], start
+                for line in lines:
+                    k = 0
+                    while k < len(line):
+                        if within and line[k] == escape and escape != quote:
+                            k += 2
+                            continue
+                        within ^= line[k] == quote
+                        k += 1
+                    want.append(within)
+                assert quoted.states(*ends(pa.array(lines)), start).tolist() == want
+
+
+def test_quoted_records_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h1,h2\n1,"open to the end\nof the file')
+    (tmp_path / "b.csv").write_text("")
+    (tmp_path / "c.csv").write_text('"h\n1",h2\n\n\r\n2,x\r\n')
+    assert sorted(r.record for r in quoted.quoted_records(spark, str(tmp_path), header=True).collect()) == ['1,"open to the end\nof the file', "2,x"]

@@ -32,6 +32,18 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dumps.read_csv_dump(spark, path, ORDERS, null="\\N").drop(dumps.CORRUPT)
 
 
+BROKEN_SQL = ORDERS_SQL.replace("o_orderpriority || CASE", "CASE WHEN o_orderkey % 3 = 0 THEN 'of,' || chr(10) || chr(10) || '\"' ELSE '' END || o_orderpriority || CASE")
+
+
+@query("a1_quoted_line_breaks", BROKEN_SQL)
+def a1_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line breaks within quotes, in files that are split like others."""
+    path = new_path(spark)
+    rows = odd_orders(spark, sf_dir).withColumn("o_orderpriority", F.concat(F.when(F.col("o_orderkey") % 3 == 0, 'of,\n\n"').otherwise(""), "o_orderpriority"))
+    rows.write.options(sep=",", quote='"', escape='"', nullValue="\\N", header=True).csv(path)
+    return dumps.read_csv_dump(spark, path, ORDERS, null="\\N", header=True, multiline=True).drop(dumps.CORRUPT)
+
+
 def copy_text(x) -> F.Column:
     text = x.cast("string")
     for char, mark in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n")):

@@ -8,19 +8,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quoted import quoted_records
+
 END = "\\."
 CORRUPT = "_corrupt_record"
 
 
 def read_csv_dump(spark: SparkSession, paths: str | list[str], schema: T.StructType, sep: str = ",", header: bool = False, quote: str = '"', escape: str = '"', null: str = "", multiline: bool = False) -> DataFrame:
     """Delimited files; blank lines and the end mark are skipped. A line that doesn't fit the schema keeps its text in
-    _corrupt_record. multiline (line breaks within quotes) makes a file one split. The same character can't be both
-    delimiter and quote or escape: Spark's reader would read such files otherwise than they were meant."""
+    _corrupt_record. multiline: line breaks may stand within quotes; such files are split like others (quoted_records()). The
+    same character can't be both delimiter and quote or escape: Spark's reader would read such files otherwise than they were
+    meant."""
     if sep in (quote, escape):
         raise ValueError("the delimiter can be neither the quote nor the escape character")
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    options = {"sep": sep, "header": header, "quote": quote, "escape": escape, "nullValue": null, "multiLine": multiline, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    read = spark.read.schema(wide).options(**options).csv(paths)
+    options = {"sep": sep, "quote": quote, "escape": escape, "nullValue": null, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if multiline:
+        records = quoted_records(spark, paths, quote, escape, header)
+        read = records.select(F.from_csv("record", wide.simpleString(), options | {"multiLine": "true"}).alias("x")).select("x.*")
+    else:
+        read = spark.read.schema(wide).options(**options, header=header).csv(paths)
     return read.where(~F.coalesce(F.col(CORRUPT) == END, F.lit(False)) & ~F.coalesce(F.col(schema.fields[0].name).cast("string") == END, F.lit(False)))
 
 
