@@ -4,12 +4,14 @@ import hashlib
 import random
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import convert
-from tidemark.operators import conflicts, fleet, load, stats, validate
+from tidemark.operators import conflicts, fleet, load, lookups, stats, validate
 from tidemark.plans import registry
 from tidemark.sources import changelog, dumps, quoted
 from tidemark.sources.versioned import VersionedTable
@@ -341,3 +343,31 @@ def test_quoted_records_of_odd_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("")
     (tmp_path / "c.csv").write_text('"h\n1",h2\n\n\r\n2,x\r\n')
     assert sorted(r.record for r in quoted.quoted_records(spark, str(tmp_path), header=True).collect()) == ['1,"open to the end\nof the file', "2,x"]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_lookups_of_any_size(spark, hot):
+    rnd = random.Random(9)
+    table = [(rnd.randint(-50, 50) * 3, k, f"v{k}") for k in range(150)] + [(None, 7, "never")]
+    rows = [(k, 12 if hot and k % 3 else rnd.randint(-180, 180), None) for k in range(900)] + [(900, None, None), (901, None, "x"), (5, 5, None), (5, 5, None)]
+    lookup = spark.createDataFrame(table, "key int, ord int, value string").repartition(3)
+    df = spark.createDataFrame(rows, "id int, at int, entry string").repartition(4)
+    keyed = [x for x in table if x[0] is not None]
+    answers = {
+        lookups.nearest_join: lambda at: min(keyed, key=lambda x: (abs(x[0] - at), x[1]))[2],
+        lookups.as_of_join: lambda at: max((x for x in keyed if x[0] <= at), default=(0, 0, None))[2],
+        lookups.ceiling_join: lambda at: min((x for x in keyed if x[0] >= at), default=max(keyed))[2],
+    }
+    for join, answer in answers.items():
+        got = sorted(join(df, lookup, F.col("at"), "key", "value", "found", "ord").collect(), key=str)
+        assert [tuple(x) for x in got] == sorted([(*x, None if x[1] is None else answer(x[1])) for x in rows], key=lambda x: str(Row(id=x[0], at=x[1], entry=x[2], found=x[3])))
+        assert [x.found for x in join(df.limit(3), lookup.limit(0), F.col("at"), "key", "value", "found").collect()] == [None] * 3
+        assert join(df.limit(0), lookup, F.col("at"), "key", "value", "found").collect() == []
+
+
+def test_a_hot_value_of_a_lookup_is_split(spark):
+    df = spark.range(8000).select(F.lit(5).alias("at"))
+    entry = df.select("at", F.lit(None).cast("struct<a:int>").alias("entry"), F.xxhash64(F.monotonically_increasing_id()).alias("place"))
+    files = {x.removeprefix("file://") for x in lookups.carried(entry, [F.col("at"), F.col("place")], "entry", "found").inputFiles()}
+    sizes = [pq.read_metadata(x).num_rows for x in files]
+    assert sum(sizes) == 8000 and len(sizes) >= 4 and max(sizes) < 4000

@@ -95,6 +95,32 @@ def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_tier(spark, sf_dir, lookups.ceiling)
 
 
+# All customers' balances as the reference table, some of them equal, and all orders looked up in it.
+BALANCES = "WITH t AS (SELECT CAST(floor(c_acctbal / 7) AS BIGINT) * 250 AS key, c_custkey AS ord, 'c' || CAST(c_custkey AS STRING) AS value FROM {customer}), p AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000 AS price FROM {orders}), e AS (SELECT key, min(ord) AS first, max(ord) AS last FROM t GROUP BY key)"
+
+
+def priced(spark: SparkSession, sf_dir: str, join, **options) -> DataFrame:
+    lookup = read(spark, sf_dir, "customer").select(F.expr("cast(floor(c_acctbal / 7) as bigint) * 250").alias("key"), F.col("c_custkey").alias("ord"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("value"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr("cast(floor(o_totalprice / 1000) as bigint) * 1000").alias("price"))
+    return join(rows, lookup, F.col("price"), "key", "value", "found", "ord", **options)
+
+
+@query("e5_nearest_join", BALANCES + """, n AS (SELECT o_orderkey, price, (SELECT max(key) FROM e WHERE e.key <= p.price) AS low, (SELECT min(key) FROM e WHERE e.key > p.price) AS high FROM p)
+    SELECT o_orderkey, price, 'c' || CAST(CASE WHEN high IS NULL OR price - low < high - price THEN l.first WHEN low IS NULL OR high - price < price - low THEN h.first ELSE least(l.first, h.first) END AS STRING) AS found FROM n LEFT JOIN e l ON l.key = low LEFT JOIN e h ON h.key = high""")
+def e5_any_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(spark, sf_dir, lookups.nearest_join)
+
+
+@query("e6_as_of_join", BALANCES + " SELECT o_orderkey, price, coalesce('c' || CAST(e.last AS STRING), 'none') AS found FROM (SELECT *, (SELECT max(key) FROM e WHERE e.key <= p.price) AS low FROM p) x LEFT JOIN e ON e.key = low")
+def e6_any_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(spark, sf_dir, lookups.as_of_join, default=F.lit("none"))
+
+
+@query("e7_ceiling_join", BALANCES + " SELECT o_orderkey, price, 'c' || CAST(CASE WHEN high IS NULL THEN (SELECT max_by(last, key) FROM e) ELSE e.first END AS STRING) AS found FROM (SELECT *, (SELECT min(key) FROM e WHERE e.key >= p.price) AS high FROM p) x LEFT JOIN e ON e.key = high")
+def e7_any_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(spark, sf_dir, lookups.ceiling_join)
+
+
 TABLE_KEY = "db_id, schema_name, table_name"
 INDEX = f"SELECT {TABLE_KEY}, index_name, bool_or(is_unique) AS is_unique, bool_or(is_unique AND nulls_not_distinct) AS strict, min(method) AS method, min(predicate) AS predicate, list_distinct(list(beside)) AS included, list(key_order ORDER BY position) AS options, list(column_name ORDER BY position) AS columns, array_to_string(list(column_name ORDER BY position), ',') AS names FROM {{index_columns}} GROUP BY {TABLE_KEY}, index_name"
 
