@@ -117,9 +117,9 @@ def size_totals(objects: DataFrame, indexes: DataFrame, keys: list[str]) -> Data
 
 def sequence_maxima(events: DataFrame, sequences: DataFrame, initial: DataFrame) -> DataFrame:
     """sequence_name, last_value: the largest whole number that inserts and updates put in a sequence's column, or its initial
-    value if that is larger. sequences: table_name, column_name, sequence_name; initial: sequence_name, last_value."""
-    set_values = events.where(F.col("op") != "d").select("table_name", F.explode("fields").alias("column_name", "value"))
-    found = set_values.join(sequences, ["table_name", "column_name"]).select("sequence_name", F.expr("try_cast(value AS bigint)").alias("last_value"))
+    value if that is larger. sequences: schema_name, table_name, column_name, sequence_name; initial: sequence_name, last_value."""
+    set_values = events.where(F.col("op") != "d").select("schema_name", "table_name", F.explode("fields").alias("column_name", "value"))
+    found = set_values.join(sequences, ["schema_name", "table_name", "column_name"]).select("sequence_name", F.expr("try_cast(value AS bigint)").alias("last_value"))
     return found.unionByName(initial.select("sequence_name", "last_value")).groupBy("sequence_name").agg(F.max("last_value").alias("last_value"))
 
 

@@ -9,7 +9,8 @@ from ..operators import conflicts, events, fold, load, stats, validate
 from ..sources import changelog
 from ..sources.shared import new_path
 from ..sources.versioned import VersionedTable
-from ..streaming import rates, run
+from ..streaming import rates, run, state
+from .catalog_queries import SEQUENCES, sequence_columns
 from .inputs import change_log
 from .inputs import load as read
 from .registry import query
@@ -263,6 +264,32 @@ def i5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.nearest_conflicts(uk_events(spark, sf_dir), 500)
 
 
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uk_events() in eight channels, and every 50 places a report of each on what it has applied, some way behind."""
+    log = uk_events(spark, sf_dir).select((F.col("vsn") * 2).alias("seq"), "vsn", "op", "pkey", "before_bucket", "after_bucket", (F.col("pkey").cast("long") % 8).cast("int").alias("channel"), F.lit(None).cast("long").alias("applied"))
+    none = F.lit(None).cast("string")
+    marks = read(spark, sf_dir, "cdc_flat").where("vsn % 50 = 0").select("vsn", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("channel"))
+    reports = marks.select((F.col("vsn") * 2 + 1).alias("seq"), F.lit(None).cast("long").alias("vsn"), none.alias("op"), none.alias("pkey"), none.alias("before_bucket"), none.alias("after_bucket"), "channel", (F.col("vsn") - 10 * (F.col("channel") + 1)).alias("applied"))
+    return log.unionByName(reports)
+
+
+IN_FLIGHT = f"""
+    WITH t AS (SELECT vsn, pkey, after_uk AS uk FROM {{uk_log}} WHERE op IN ('c', 'u') AND after_uk IS NOT NULL UNION SELECT vsn, pkey, before_uk FROM {{uk_log}} WHERE op = 'u'),
+    m AS (SELECT vsn AS mark FROM {{cdc_flat}} WHERE vsn % 50 = 0),
+    r AS (SELECT t.*, coalesce((SELECT max(mark) FROM m WHERE mark < t.vsn), -1000000) AS mark FROM t)
+    SELECT r.vsn, {bucketed('r.uk')} AS bucket, max(e.vsn) AS blocker, CAST(count(*) AS INTEGER) AS n_blockers FROM r JOIN {{uk_log}} e ON e.before_uk = r.uk AND e.op IN ('u', 'd') AND e.vsn < r.vsn AND e.pkey <> r.pkey
+    WHERE e.vsn > r.mark - 10 * (CAST(e.pkey AS BIGINT) % 8 + 1) GROUP BY r.vsn, r.uk"""
+
+
+@query("i5_in_flight_stream", IN_FLIGHT)
+def i5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the log and the reports come in, against what hasn't been applied."""
+    path, log = new_path(spark), reported(spark, sf_dir)
+    run.write_in_order(log, path, "seq", 50_000)
+    with state.state_store(spark):
+        return run.to_table(spark, state.conflicts_in_flight(run.read_in_order(spark, path, log.schema), 8))
+
+
 @query("i6_coarse_conflicts", "SELECT l.vsn, max(e.vsn) AS blocker FROM {cdc_flat} l JOIN {cdc_flat} e ON e.id % 9 = l.id % 9 AND e.vsn < l.vsn AND (e.op = 'd' OR (e.op = 'u' AND e.has_k AND l.has_k AND l.op <> 'd')) GROUP BY l.vsn")
 def i6(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = change_log(spark, sf_dir).select("vsn", "op", "table_name", F.array_intersect(F.map_keys("fields"), F.array(F.lit("k"))).alias("columns"))
@@ -439,6 +466,28 @@ def l6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+@query("l6_row_state", FOLD)
+def l6_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log as a stream, each row's state in the state store."""
+    path, log = new_path(spark), change_log(spark, sf_dir).select("id", "vsn", "op", "fields")
+    run.write_in_order(log, path, "vsn", 25_000)
+    base = read(spark, sf_dir, "base")
+    with state.state_store(spark):
+        states = run.to_table(spark, state.row_states(run.read_in_order(spark, path, log.schema), base, KEY, COLUMNS), KEY, "update")
+    return state.latest_rows(base, states, KEY, COLUMNS)
+
+
+@query("l7_sequence_states", SEQUENCES)
+def l7_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences of all tables from one stream."""
+    log, sequences, start = sequence_columns(spark, sf_dir)
+    path, log = new_path(spark), log.select("schema_name", "table_name", "vsn", "op", "fields")
+    run.write_in_order(log, path, "vsn", 25_000)
+    with state.state_store(spark):
+        raised = run.to_table(spark, state.sequence_states(run.read_in_order(spark, path, log.schema), sequences, start), ["sequence_name"], "update")
+    return raised.unionByName(start).groupBy("sequence_name").agg(F.max("last_value").alias("last_value"))
+
+
 @query("l7_stream_sequences", "SELECT 's' AS sequence_name, max(TRY_CAST(k AS BIGINT)) AS last_value FROM {cdc_flat} WHERE op <> 'd'")
 def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u")

@@ -13,10 +13,10 @@ from ..sources.shared import cut, delete, new_path
 from ..sources.versioned import VersionedTable
 
 
-def to_table(spark: SparkSession, stream: DataFrame, keys: list[str] | None = None, mode: str = "append") -> DataFrame:
+def to_table(spark: SparkSession, stream: DataFrame, keys: list[str] | None = None, mode: str = "append", path: str | None = None) -> DataFrame:
     """The stream's result over all input there is now, by way of Parquet files a batch. With mode update, keys tell which
-    row's last version counts."""
-    path = new_path(spark)
+    row's last version counts. With a path, the folder of an earlier run of the same stream, it goes on from there."""
+    path = path or new_path(spark)
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/rows/b={batch_id}")
@@ -56,6 +56,24 @@ def read_files(spark: SparkSession, folder: str, name: str, schema, files_per_ba
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def write_in_order(df: DataFrame, path: str, order: str, rows: int) -> int:
+    """Segments of so many places of a whole-numbered order, a file each, written one after the other as a log grows, so that a
+    stream over them with one file a batch keeps the order. Returns how many there are."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        df.limit(0).write.parquet(f"{path}/s0")
+        return 1
+    starts = range(low, high + 1, rows)
+    for k, start in enumerate(starts):
+        df.where(F.col(order).between(start, start + rows - 1)).coalesce(1).write.parquet(f"{path}/s{k}")
+    return len(starts)
+
+
+def read_in_order(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream over what write_in_order() has written, a segment a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
 def archive(spark: SparkSession, path: str, target: str, eligible: DataFrame) -> DataFrame:
     """Compacts finished segments (eligible: segment_no) of a partitioned change log to Parquet in target, over what an
     earlier try left, and returns segment_no, n_rows. A segment without rows raises when the result is used."""
