@@ -140,3 +140,18 @@ def test_errors_are_raised(spark):
     tables = spark.createDataFrame([("t", True)], "table_name string, has_expression_index boolean")
     with pytest.raises(Exception, match="expression index"):
         events.resolve_strategies(tables, spark.createDataFrame([("t", "pk")], "table_name string, strategy string")).collect()
+
+
+def test_coarse_conflicts_are_between_different_rows(spark):
+    rnd = random.Random(6)
+    log = [(vsn, rnd.choice("cuuud"), f"p{rnd.randrange(5)}", f"t{rnd.randrange(2)}", rnd.sample(["a", "b", "c"], rnd.randint(0, 2))) for vsn in range(150)]
+    log = [(v, op, p, t, [] if op == "d" else x) for v, op, p, t, x in log]
+    want = {}
+    for v, op, p, t, columns in log:
+        for e, e_op, e_p, e_t, e_columns in log[:v]:
+            if e_t == t and e_p != p and (e_op == "d" or e_op == "u" and set(columns) & set(e_columns)):
+                want[v] = e
+    df = spark.createDataFrame(log, "vsn long, op string, pkey string, table_name string, columns array<string>").repartition(3)
+    assert {r.vsn: r.blocker for r in conflicts.coarse_conflicts(df).collect()} == want
+    same = df.where("vsn < 0").unionByName(spark.createDataFrame([(1, "u", "p", "t", ["a"]), (2, "u", "p", "t", ["a"]), (3, "d", "p", "t", [])], df.schema))
+    assert conflicts.coarse_conflicts(same).collect() == []  # events of one row don't meet

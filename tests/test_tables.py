@@ -371,3 +371,13 @@ def test_a_hot_value_of_a_lookup_is_split(spark):
     files = {x.removeprefix("file://") for x in lookups.carried(entry, [F.col("at"), F.col("place")], "entry", "found").inputFiles()}
     sizes = [pq.read_metadata(x).num_rows for x in files]
     assert sum(sizes) == 8000 and len(sizes) >= 4 and max(sizes) < 4000
+
+
+def test_intervals_and_varying_bits_as_connectors_send_them(spark):
+    rows = [("P-1Y-5M0DT0H0M0S", "P0Y0M24DT23H34M5.878667S", "BQ=="), ("P1Y5M0DT0H0M0S", "P0Y0M-24DT-23H-34M-5.878667S", "AAE="), ("P0Y-5M0DT0H0M0S", "P0Y0M1DT2H3M4.5S", "AA=="), ("P-0Y0M0DT0H0M0S", "P0Y0M0DT0H0M-0.000001S", ""), (None, None, None)]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
+    got = convert.convert_values(df, {"x": ("year_month", None), "y": ("day_second", None), "z": ("bits", None)}).collect()
+    assert [r.x for r in got] == ["-1-5", "1-5", "-0-5", "0-0", None]
+    assert [r.y for r in got] == ["24 23:34:5.878667000", "-24 23:34:5.878667000", "1 2:3:4.500000000", "-0 0:0:0.000001000", None]
+    assert [r.z for r in got] == ["101", "100000000", "0", "0", None]
+    assert [r[0] for r in df.select(convert.bits(F.col("z"), convert.VARYING)).collect()] == ["101", "100000000", "0", "0", None]

@@ -78,11 +78,18 @@ def _bytes(x: Column) -> Column:
     return F.transform(places, lambda k: F.conv(F.substring(digits, k * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
 
 
-def bits(x: Column, length: Column | int) -> Column:
-    """Base64 of little-endian bytes, however many, as so many binary digits."""
+#: The length that stands for a bit string of varying length (fixed value).
+VARYING = 2147483647
+
+
+def bits(x: Column, length: Column | int | None = None) -> Column:
+    """Base64 of little-endian bytes, however many, as binary digits: as many as length says at least, or, without a length and
+    for varying ones, none more than the number needs."""
     turned = F.array_join(F.transform(F.reverse(_bytes(x)), lambda n: F.lpad(F.conv(n.cast("string"), 10, 2), 8, "0")), "")
-    width = F.lit(length) if isinstance(length, int) else length
-    return F.right(F.concat(F.repeat(F.lit("0"), width), turned), width)
+    number = F.regexp_replace(turned, "^0+", "")
+    given = length if isinstance(length, Column) else F.lit(length or 0)
+    width = F.when(F.coalesce(given, F.lit(0)).isin(0, VARYING), 1).otherwise(given)
+    return F.when(F.length(number) < width, F.lpad(number, width, F.lit("0"))).otherwise(number)
 
 
 def hex_bytes(x: Column) -> Column:
@@ -105,19 +112,24 @@ def hstore(x: Column) -> Column:
     return F.array_join(pairs, ",")
 
 
+def _part(x: Column, number: str, unit: str, kind: str) -> Column:
+    return F.coalesce(F.regexp_extract(x, f"({number}){unit}", 1).try_cast(kind), F.lit(0).cast(kind))
+
+
 def year_month_interval(x: Column) -> Column:
-    """P1Y5M as 1-5; the sign stands once, in front."""
-    part = lambda unit: F.coalesce(F.regexp_extract(x, f"(-?[0-9]+){unit}", 1).try_cast("int"), F.lit(0))
-    months = part("Y") * 12 + part("M")
-    return F.concat(F.when(months < 0, "-").otherwise(""), F.floor(F.abs(months) / 12).cast("string"), F.lit("-"), (F.abs(months) % 12).cast("string"))
+    """P-1Y-5M0DT0H0M0S as -1-5: the sign of any part stands once, in front."""
+    years, months = (_part(F.split_part(x, F.lit("T"), F.lit(1)), "-?[0-9]+", unit, "bigint") for unit in "YM")
+    return F.concat(F.when(x.isNull(), None).when((years < 0) | (months < 0), "-").otherwise(""), F.abs(years).cast("string"), F.lit("-"), F.abs(months).cast("string"))
 
 
 def day_second_interval(x: Column) -> Column:
-    """P1DT2H3M4.5S as 1 2:3:4.500000000; the sign stands once, in front."""
-    part = lambda unit: F.coalesce(F.regexp_extract(x, f"(-?[0-9]+){unit}", 1).try_cast("int"), F.lit(0))
-    seconds = F.coalesce(F.regexp_extract(x, r"(-?[0-9]+(?:\.[0-9]+)?)S", 1).try_cast("decimal(28,9)"), F.lit(0).cast("decimal(28,9)"))
-    negative = x.contains("-")
-    return F.concat(F.when(negative, "-").otherwise(""), F.abs(part("D")).cast("string"), F.lit(" "), F.concat_ws(":", F.abs(part("H")).cast("string"), F.abs(part("(?=M)").cast("int")).cast("string"), F.abs(seconds).cast("string")))
+    """P0Y0M24DT23H34M5.878667S as 24 23:34:5.878667000: the sign of any part stands once, in front; minutes are those behind the T."""
+    days = _part(F.split_part(x, F.lit("T"), F.lit(1)), "-?[0-9]+", "D", "bigint")
+    time = F.split_part(x, F.lit("T"), F.lit(2))
+    hours, minutes = (_part(time, "-?[0-9]+", unit, "bigint") for unit in "HM")
+    seconds = _part(time, r"-?[0-9]+(?:\.[0-9]+)?", "S", "decimal(28,9)")
+    negative = (days < 0) | (hours < 0) | (minutes < 0) | (seconds < 0)
+    return F.concat(F.when(x.isNull(), None).when(negative, "-").otherwise(""), F.abs(days).cast("string"), F.lit(" "), F.concat_ws(":", F.abs(hours).cast("string"), F.abs(minutes).cast("string"), F.abs(seconds).cast("string")))
 
 
 def _day_first(day: Column) -> Column:
@@ -160,7 +172,7 @@ def variable_decimal(scale: Column, value: Column) -> Column:
     digits = F.when(digits == "", "0").otherwise(digits)
     text = F.concat(F.repeat(F.lit("0"), F.greatest(scale + 1 - F.length(digits), F.lit(0))), digits)
     left = F.left(text, F.length(text) - scale)
-    return F.concat(F.when(negative, "-").otherwise(""), left, F.when(scale > 0, F.concat(F.lit("."), F.right(text, scale))).otherwise(""))
+    return F.concat(F.when(x.isNull(), None).when(negative, "-").otherwise(""), left, F.when(scale > 0, F.concat(F.lit("."), F.right(text, scale))).otherwise(""))
 
 
 def gigabytes(x: Column) -> Column:

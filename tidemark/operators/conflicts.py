@@ -91,13 +91,16 @@ def nearest_conflicts(log: DataFrame, window: int | None = None) -> DataFrame:
 
 
 def coarse_conflicts(log: DataFrame) -> DataFrame:
-    """vsn, blocker, for logs without before-values: the nearest earlier delete of the table, or, for events that set unique
-    columns, the nearest earlier update that sets some of the same. log: vsn, op, table_name, columns (unique ones it sets)."""
-    deleted = carry_last(log, ["table_name"], "vsn", F.when(F.col("op") == "d", F.col("vsn")), "deleted")
-    each = log.where((F.col("op") != "d") & (F.size("columns") > 0)).select("vsn", "op", "table_name", F.explode("columns").alias("column"))
-    set_before = carry_last(each, ["table_name", "column"], "vsn", F.when(F.col("op") == "u", F.col("vsn")), "updated")
-    updated = set_before.groupBy("vsn").agg(F.max("updated").alias("updated"))
-    return deleted.join(updated, "vsn", "left").select("vsn", F.greatest("deleted", "updated").alias("blocker")).where("blocker IS NOT NULL")
+    """vsn, blocker, for logs without before-values: the nearest earlier event of another pkey that is a delete of the table or,
+    for events that set unique columns, an update that sets some of the same. log: vsn, op, pkey, table_name, columns (unique
+    ones it sets)."""
+    named = log.select("vsn", "pkey", "op", F.concat(F.lit("d|"), "table_name").alias("table_bucket"), F.transform("columns", lambda x: F.concat(F.lit("u|"), "table_name", F.lit("|"), x)).alias("set_buckets"))
+    set_each = named.where(F.col("op") != "d").select("vsn", "pkey", "op", F.explode("set_buckets").alias("bucket"))
+    table_each = named.select("vsn", "pkey", "op", F.col("table_bucket").alias("bucket"))
+    frees = table_each.where("op = 'd'").unionByName(set_each.where("op = 'u'")).select("vsn", "pkey", "bucket", F.lit(True).alias("frees"))
+    asks = table_each.unionByName(set_each).select("vsn", "pkey", "bucket", F.lit(False).alias("frees"))
+    found = _with_last_free(frees, asks).where(~F.col("frees") & F.col("blocker").isNotNull())
+    return found.groupBy("vsn").agg(F.max("blocker").alias("blocker"))
 
 
 def role_stretches(log: DataFrame) -> DataFrame:

@@ -290,9 +290,9 @@ def i5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run.to_table(spark, state.conflicts_in_flight(run.read_in_order(spark, path, log.schema), 8))
 
 
-@query("i6_coarse_conflicts", "SELECT l.vsn, max(e.vsn) AS blocker FROM {cdc_flat} l JOIN {cdc_flat} e ON e.id % 9 = l.id % 9 AND e.vsn < l.vsn AND (e.op = 'd' OR (e.op = 'u' AND e.has_k AND l.has_k AND l.op <> 'd')) GROUP BY l.vsn")
+@query("i6_coarse_conflicts", "SELECT l.vsn, max(e.vsn) AS blocker FROM {cdc_flat} l JOIN {cdc_flat} e ON e.id % 9 = l.id % 9 AND e.id <> l.id AND e.vsn < l.vsn AND (e.op = 'd' OR (e.op = 'u' AND e.has_k AND l.has_k AND l.op <> 'd')) GROUP BY l.vsn")
 def i6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = change_log(spark, sf_dir).select("vsn", "op", "table_name", F.array_intersect(F.map_keys("fields"), F.array(F.lit("k"))).alias("columns"))
+    log = change_log(spark, sf_dir).select("vsn", "op", F.element_at("key", "id").alias("pkey"), "table_name", F.array_intersect(F.map_keys("fields"), F.array(F.lit("k"))).alias("columns"))
     return conflicts.coarse_conflicts(log)
 
 
@@ -519,7 +519,7 @@ BY_ROLE = """
     s AS (SELECT *, CASE WHEN lag(role) OVER (ORDER BY vsn) <> role THEN 1 ELSE 0 END AS turned FROM u), n AS MATERIALIZED (SELECT *, CAST(sum(turned) OVER (ORDER BY vsn) AS BIGINT) AS stretch FROM s),
     t AS (SELECT vsn, pkey, stretch, after_uk AS uk FROM n WHERE role = 'source_db_exporter' AND op IN ('c', 'u') AND after_uk IS NOT NULL UNION SELECT vsn, pkey, stretch, before_uk FROM n WHERE role = 'source_db_exporter' AND op = 'u'),
     f AS (SELECT t.stretch, t.vsn, e.vsn AS blocker FROM t JOIN n e ON e.stretch = t.stretch AND e.before_uk = t.uk AND e.op IN ('u', 'd') AND e.vsn < t.vsn AND e.pkey <> t.pkey
-        UNION ALL SELECT l.stretch, l.vsn, e.vsn FROM n l JOIN n e ON e.stretch = l.stretch AND e.tab = l.tab AND e.vsn < l.vsn AND (e.op = 'd' OR (e.op = 'u' AND e.has_k AND l.has_k AND l.op <> 'd')) WHERE l.role = 'target_db_exporter_fb')
+        UNION ALL SELECT l.stretch, l.vsn, e.vsn FROM n l JOIN n e ON e.stretch = l.stretch AND e.tab = l.tab AND e.pkey <> l.pkey AND e.vsn < l.vsn AND (e.op = 'd' OR (e.op = 'u' AND e.has_k AND l.has_k AND l.op <> 'd')) WHERE l.role = 'target_db_exporter_fb')
     SELECT stretch, vsn, max(blocker) AS blocker FROM f GROUP BY stretch, vsn"""
 
 

@@ -189,6 +189,13 @@ def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(spark, sf_dir, F.base64(F.unhex(F.concat(low, high))), "bits", 12)
 
 
+@query("d5_varying_bits", "SELECT o_orderkey AS k, bin(o_orderkey % 4096) AS x FROM {orders}")
+def d5_varying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    low, high = F.lpad(F.hex(k % 256), 2, "0"), F.lpad(F.hex(F.floor(k % 4096 / 256).cast("long")), 2, "0")
+    return converted(spark, sf_dir, F.base64(F.unhex(F.concat(low, high))), "bits", None)
+
+
 @query("d6_bytes", "SELECT o_orderkey AS k, chr(92) || 'x' || lower(hex(o_orderpriority)) AS x FROM {orders}")
 def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.base64(F.col("o_orderpriority").cast("binary")).alias("x"))
@@ -207,14 +214,20 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), convert.hstore(value).alias("x"))
 
 
-@query("d9_intervals", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 50 * 12 + o_orderkey % 12 > 0 THEN '-' ELSE '' END || CAST(o_orderkey % 50 AS STRING) || '-' || CAST(o_orderkey % 12 AS STRING) AS x,
-    CAST(o_orderkey % 20 AS STRING) || ' ' || CAST(o_orderkey % 24 AS STRING) || ':' || CAST(o_orderkey % 60 AS STRING) || ':' || CAST(o_orderkey % 60 AS STRING) || '.500000000' AS y FROM {orders}""")
+@query("d9_intervals", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 AND (o_orderkey % 50 > 0 OR o_orderkey % 12 > 0) THEN '-' ELSE '' END || CAST(o_orderkey % 50 AS STRING) || '-' || CAST(o_orderkey % 12 AS STRING) AS x,
+    CASE WHEN o_orderkey % 4 = 0 AND (o_orderkey % 20 > 0 OR o_orderkey % 24 > 0 OR o_orderkey % 59 > 0 OR o_orderkey % 61 > 0) THEN '-' ELSE '' END
+    || CAST(o_orderkey % 20 AS STRING) || ' ' || CAST(o_orderkey % 24 AS STRING) || ':' || CAST(o_orderkey % 59 AS STRING) || ':' || CAST(o_orderkey % 61 AS STRING) || CASE WHEN o_orderkey % 5 = 0 THEN '.000000000' ELSE '.000250000' END AS y FROM {orders} WHERE o_orderkey % 61 > 0 OR o_orderkey % 5 = 0""")
 def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As connectors send them: every part is there, and each carries the sign."""
     k = F.col("o_orderkey")
-    sign = F.when(k % 3 == 0, "-").otherwise("")
-    months = F.concat(F.lit("P"), sign, (k % 50).cast("string"), F.lit("Y"), sign, (k % 12).cast("string"), F.lit("M"))
-    seconds = F.concat(F.lit("P"), (k % 20).cast("string"), F.lit("DT"), (k % 24).cast("string"), F.lit("H"), (k % 60).cast("string"), F.lit("M"), (k % 60).cast("string"), F.lit(".5S"))
-    rows = read(spark, sf_dir, "orders").select(k.alias("k"), months.alias("x"), seconds.alias("y"))
+
+    def text(form: str, every: int, *values) -> F.Column:
+        sign = F.when(k % every == 0, "-").otherwise("")
+        return F.format_string(form, *[F.concat(sign, x.cast("string")) for x in values])
+
+    months = text("P%sY%sM0DT0H0M0S", 3, k % 50, k % 12)
+    seconds = text("P0Y0M%sDT%sH%sM%sS", 4, k % 20, k % 24, k % 59, F.concat((k % 61).cast("string"), F.when(k % 5 != 0, ".00025").otherwise("")))
+    rows = read(spark, sf_dir, "orders").where("o_orderkey % 61 > 0 OR o_orderkey % 5 = 0").select(k.alias("k"), months.alias("x"), seconds.alias("y"))
     return convert.convert_values(rows, {"x": ("year_month", None), "y": ("day_second", None)})
 
 
