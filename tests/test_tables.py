@@ -381,3 +381,37 @@ def test_intervals_and_varying_bits_as_connectors_send_them(spark):
     assert [r.y for r in got] == ["24 23:34:5.878667000", "-24 23:34:5.878667000", "1 2:3:4.500000000", "-0 0:0:0.000001000", None]
     assert [r.z for r in got] == ["101", "100000000", "0", "0", None]
     assert [r[0] for r in df.select(convert.bits(F.col("z"), convert.VARYING)).collect()] == ["101", "100000000", "0", "0", None]
+
+
+def test_placement_counts_indexes(spark):
+    limits = spark.createDataFrame([(4, 10.0, 5, 10.0, 10.0)], "cores long, most_gb double, most_objects long, reads_per_core double, writes_per_core double")
+
+    def placed(*rows):
+        names = "object_name string, size_gb double, n_indexes long, index_gb double, reads long, writes long, index_reads long, index_writes long"
+        df = spark.createDataFrame(list(rows), names).withColumns({"db_id": F.lit("d"), "schema_name": F.lit("s")})
+        return "".join(r.placement[0] for r in fleet.place(df, limits).orderBy("object_name").collect())
+
+    assert placed(("a", 1.0, 1, 2.0, 0, 0, 0, 0), ("b", 2.0, 0, None, 0, 0, 0, 0), ("c", 3.0, 0, None, 0, 0, 0, 0)) == "ccc"
+    assert placed(("a", 1.0, 1, 9.5, 0, 0, 0, 0), ("b", 2.0, 0, None, 0, 0, 0, 0)) == "ss"  # the size of an index counts, and all that follow go
+    assert placed(("a", 1.0, 2, 0.0, 0, 0, 0, 0), ("b", 1.5, 1, 0.0, 0, 0, 0, 0), ("c", 2.0, 0, None, 0, 0, 0, 0)) == "ccs"  # 3 + 2 objects are as many as may be
+    assert placed(("a", 1.0, 3, 99.0, 9, 9, 9, 9), ("b", 2.0, 0, None, None, None, None, None)) == "sc"  # too many indexes: counts nowhere
+    assert placed(("a", 1.0, 0, None, 20, 0, 0, 0), ("b", 2.0, 1, 0.0, 10, 0, 0, 11), ("c", 3.0, 0, None, 0, 0, 0, 0)) == "css"  # reads and writes of table and index
+
+
+def test_tablets_by_phases(spark):
+    sizes = [0.0, 0.3, 1.5, 2.0, 30.0, 31.0, 720.0, 800.0, 2400.0, 2500.0, 7300.0, 76800.0, 76801.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "gb double").coalesce(1).select(fleet.tablets(F.col("gb"), F.lit(3))).collect()]
+    assert got == [0, 1, 3, 3, 3, 4, 72, 72, 72, 25, 73, 768, 257]
+    none = spark.createDataFrame([], "db_id string, cores long, size_gb double")
+    nodes = spark.createDataFrame([("d", 4, 5)], "db_id string, cores long, nodes long")
+    limits = spark.createDataFrame([(4, 60)], "cores long, most_tablets long")
+    assert [tuple(r) for r in fleet.nodes_with_tablets(none, nodes, limits).collect()] == [("d", 4, 0, 5)]
+    many = spark.createDataFrame([("d", 4, 2.0)] * 12, "db_id string, cores long, size_gb double")
+    assert [tuple(r) for r in fleet.nodes_with_tablets(many, nodes, limits).collect()] == [("d", 4, 48, 5)]
+    assert [tuple(r) for r in fleet.nodes_with_tablets(many.union(many), nodes, limits).collect()] == [("d", 4, 96, 10)]
+
+
+def test_hotspots_by_whole_type_names(spark):
+    kinds = ["date", "DATE", "timestamp", "timestamptz", "timestamp(3) with time zone", "timestamp without time zone", "daterange", "datemultirange", "text", "timestamps"]
+    df = spark.createDataFrame([("d", "t", f"i{k}", 1, x) for k, x in enumerate(kinds)] + [("d", "t", "second", 2, "date")], "db_id string, table_name string, index_name string, position int, data_type string")
+    assert sorted(r.index_name for r in fleet.hotspots(df).collect()) == [f"i{k}" for k in range(6)]

@@ -98,7 +98,8 @@ def fk_type_mismatches(fk_columns: DataFrame, columns: DataFrame) -> DataFrame:
 
 def hotspots(index_columns: DataFrame) -> DataFrame:
     """Indexes that lead with a timestamp or date: new rows all go to one end."""
-    return index_columns.where((F.col("position") == 1) & F.lower("data_type").rlike("^(timestamp|date)")).select("db_id", "table_name", "index_name")
+    kind = F.regexp_replace(F.lower("data_type"), r"\s*\(\d+\)", "")
+    return index_columns.where((F.col("position") == 1) & kind.rlike("^(date|timestamptz|timestamp( with(out)? time zone)?)$")).select("db_id", "table_name", "index_name")
 
 
 #: Fixed value: indexes from which an object is sharded whatever its size.
@@ -106,14 +107,21 @@ MOST_INDEXES = 2
 
 
 def place(objects: DataFrame, limits: DataFrame) -> DataFrame:
-    """Each object and core count with placement, colocated or sharded. objects: db_id, schema_name, object_name, size_gb,
-    n_indexes, reads, writes. limits: cores, most_gb, most_objects, reads_per_core, writes_per_core; a few rows. The smallest
-    objects come first, while size, number and needed cores stay within the limits."""
-    kept = with_lookup(objects, as_array(limits.withColumn("limit", F.struct(*limits.columns)), "cores", "limit", "__limits"))
-    own = kept.select(*objects.columns, F.explode("__limits.value").alias("__limit")).select(*objects.columns, "__limit.*")
+    """Each object and core count with placement, colocated or sharded. objects: db_id, schema_name, object_name, size_gb, reads,
+    writes, and of its indexes n_indexes, index_gb, index_reads, index_writes (nulls count as 0). limits: cores, most_gb,
+    most_objects, reads_per_core, writes_per_core; a few rows. The objects that are smallest by themselves come first, while
+    the size and number of objects with their indexes, and then the cores that their reads and writes need, stay within the
+    limits. Objects of more than MOST_INDEXES indexes are sharded and count nowhere."""
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    whole = objects.select(
+        "db_id", "schema_name", "object_name", zero("size_gb").alias("size_gb"), zero("n_indexes").alias("n_indexes"), (zero("size_gb") + zero("index_gb")).alias("all_gb"), (zero("n_indexes") + 1).alias("n_objects"),
+        (zero("reads") + zero("index_reads")).alias("reads"), (zero("writes") + zero("index_writes")).alias("writes"),
+    )
+    kept = with_lookup(whole, as_array(limits.withColumn("limit", F.struct(*limits.columns)), "cores", "limit", "__limits"))
+    own = kept.select(*whole.columns, F.explode("__limits.value").alias("__limit")).select(*whole.columns, "__limit.*")
     few = F.col("n_indexes") <= MOST_INDEXES
     keys, order = ["db_id", "cores"], ["size_gb", "schema_name", "object_name"]
-    sized = fits_within(own.where(few).withColumn("one", F.lit(1)), keys, order, {"size_gb": F.col("most_gb"), "one": F.col("most_objects")}).withColumnRenamed("fits", "fits_size")
+    sized = fits_within(own.where(few), keys, order, {"all_gb": F.col("most_gb"), "n_objects": F.col("most_objects")}).withColumnRenamed("fits", "fits_size")
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     need = F.ceil(F.sum(F.when(F.col("fits_size"), F.col("reads"))).over(frame) / F.col("reads_per_core") + F.sum(F.when(F.col("fits_size"), F.col("writes"))).over(frame) / F.col("writes_per_core"))
     done = sized.withColumn("fits", F.col("fits_size") & (need <= F.col("cores")))
@@ -130,22 +138,36 @@ def nodes_needed(sharded: DataFrame, limits: DataFrame) -> DataFrame:
     return sharded.join(limits, "cores").select("db_id", "cores", F.greatest(nodes, F.lit(3)).cast("long").alias("nodes"))
 
 
-#: Sizes (GB) up to which a table has one tablet, one or 24 a node more for each further such size, and then 256 a node.
+#: Sizes of a tablet (GB) in the three phases, and tablets a node that end the first two; tablets of a table at most.
 LOW_GB, HIGH_GB, FINAL_GB = 0.512, 10, 100
-LOW_TABLETS, HIGH_TABLETS = 1, 24
+LOW_TABLETS, HIGH_TABLETS, MOST_TABLETS = 1, 24, 256
 
 
 def tablets(size_gb: Column, nodes: Column) -> Column:
-    """Tablets of a table of that size: phases by size for each node."""
-    low = LOW_TABLETS * nodes
-    high = HIGH_TABLETS * nodes
+    """Tablets of a table or index of that size over so many nodes: none if it is empty. In each phase first the tablets grow to the
+    phase's size, then their number grows, up to what the phase allows for each node."""
+    low, high, most = LOW_TABLETS * nodes, HIGH_TABLETS * nodes, MOST_TABLETS * nodes
+    small = F.ceil(size_gb / LOW_GB)
+    more = F.ceil(low + (size_gb - low * HIGH_GB) / HIGH_GB)
+    last = F.ceil(high + (size_gb - high * FINAL_GB) / FINAL_GB)
+    beyond = F.ceil(MOST_TABLETS + (size_gb - most * FINAL_GB) / FINAL_GB)
     return (
-        F.when(size_gb <= low * LOW_GB, F.greatest(F.lit(1), F.ceil(size_gb / LOW_GB)))
-        .when(size_gb <= high * HIGH_GB, F.greatest(low, F.ceil(size_gb / HIGH_GB)))
-        .otherwise(F.greatest(high, F.ceil(size_gb / FINAL_GB)))
+        F.when(small <= low, small).when(size_gb / low <= HIGH_GB, low).when(more <= high, more)
+        .when(size_gb / HIGH_TABLETS <= FINAL_GB, high).when(last <= most, last).otherwise(beyond)
     ).cast("long")
 
 
+def nodes_with_tablets(sharded: DataFrame, nodes: DataFrame, limits: DataFrame) -> DataFrame:
+    """db_id, cores, tablets, nodes: the nodes that hold the tablets of all sharded tables and indexes, or that the work needs if
+    those are more. sharded: db_id, cores, size_gb, a row for each table and each index; nodes: db_id, cores, nodes that the work
+    needs; limits: cores, most_tablets."""
+    zero = F.coalesce(F.col("size_gb"), F.lit(0)).cast("double")
+    counted = sharded.join(nodes, ["db_id", "cores"]).groupBy("db_id", "cores").agg(F.sum(tablets(zero, F.col("nodes"))).alias("tablets"))
+    joined = nodes.join(counted, ["db_id", "cores"], "left").join(limits, "cores")
+    held = F.coalesce("tablets", F.lit(0).cast("long"))
+    return joined.select("db_id", "cores", held.alias("tablets"), F.greatest("nodes", nodes_for_tablets(held, F.col("most_tablets"))).alias("nodes"))
+
+
 def nodes_for_tablets(total: Column, limit: Column) -> Column:
     """Nodes for that many tablets, each on three nodes, with room for twice as many."""
     return F.ceil(total * 6 / limit).cast("long")

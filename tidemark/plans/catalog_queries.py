@@ -277,10 +277,10 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.skew_flags(profiled(spark, sf_dir), load.rows_frame(spark, [("l_linestatus", "O")], "column_name string, excluded string"))
 
 
-SIZES = "SELECT o.db_id, o.schema_name, o.object_name, o.size_gb, o.row_count, coalesce(i.n, 0) AS n_indexes, coalesce(i.gb, 0) AS index_gb, coalesce(i.reads, 0) AS reads, coalesce(i.writes, 0) AS writes FROM {objects} o LEFT JOIN (SELECT db_id, schema_name, table_name, count(*) AS n, sum(size_gb) AS gb, sum(reads) AS reads, sum(writes) AS writes FROM {indexes} GROUP BY 1, 2, 3) i ON i.db_id = o.db_id AND i.schema_name = o.schema_name AND i.table_name = o.object_name"
+SIZES = "SELECT o.db_id, o.schema_name, o.object_name, o.size_gb, o.row_count, coalesce(i.n, 0) AS n_indexes, coalesce(i.gb, 0) AS index_gb, coalesce(i.reads, 0) AS index_reads, coalesce(i.writes, 0) AS index_writes, o.row_count % 5 AS reads, o.row_count % 90 AS writes FROM {objects} o LEFT JOIN (SELECT db_id, schema_name, table_name, count(*) AS n, sum(size_gb) AS gb, sum(reads) AS reads, sum(writes) AS writes FROM {indexes} GROUP BY 1, 2, 3) i ON i.db_id = o.db_id AND i.schema_name = o.schema_name AND i.table_name = o.object_name"
 
 
-@query("f12_size_totals", f"SELECT db_id, count(*) AS n_objects, sum(n_indexes) AS n_indexes, sum(size_gb + index_gb) AS size_gb, sum(reads) AS reads, sum(writes) AS writes FROM ({SIZES}) x GROUP BY db_id")
+@query("f12_size_totals", f"SELECT db_id, count(*) AS n_objects, sum(n_indexes) AS n_indexes, sum(size_gb + index_gb) AS size_gb, sum(index_reads) AS reads, sum(index_writes) AS writes FROM ({SIZES}) x GROUP BY db_id")
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.size_totals(read(spark, sf_dir, "objects"), read(spark, sf_dir, "indexes"), ["db_id"])
 
@@ -354,14 +354,18 @@ def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.fits_within(rows, ["db_id"], ["size_gb", "schema_name", "object_name"], {"size_gb": F.lit(5), "one": F.lit(8)}).select(*fleet.OBJECT, "fits")
 
 
-@query("w5_core_packing", f"SELECT db_id, schema_name, object_name, ceil(sum(reads) OVER w / 40.0 + sum(writes) OVER w / 900.0) <= 4 AS fits FROM ({SIZES}) x WINDOW w AS (PARTITION BY db_id ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query("w5_core_packing", f"SELECT db_id, schema_name, object_name, ceil(sum(reads + index_reads) OVER w / 40.0 + sum(writes + index_writes) OVER w / 900.0) <= 4 AS fits FROM ({SIZES}) x WINDOW w AS (PARTITION BY db_id ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.fits_cores(sized(spark, sf_dir), ["db_id"], ["size_gb", "schema_name", "object_name"], 40.0, 900.0, F.lit(4)).select(*fleet.OBJECT, "fits")
+    rows = sized(spark, sf_dir).withColumns({x: F.col(x) + F.col(f"index_{x}") for x in ("reads", "writes")})
+    return stats.fits_cores(rows, ["db_id"], ["size_gb", "schema_name", "object_name"], 40.0, 900.0, F.lit(4)).select(*fleet.OBJECT, "fits")
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = read(spark, sf_dir, "indexes").groupBy("db_id", "schema_name", F.col("table_name").alias("object_name")).agg(F.count("*").alias("n_indexes"), F.sum("reads").alias("reads"), F.sum("writes").alias("writes"))
-    return read(spark, sf_dir, "objects").join(own, fleet.OBJECT, "left").fillna(0, ["n_indexes", "reads", "writes"])
+    """The objects with what they are read and written, and their indexes' number, size, reads and writes."""
+    facts = {"n_indexes": F.count("*"), "index_gb": F.sum("size_gb"), "index_reads": F.sum("reads"), "index_writes": F.sum("writes")}
+    own = read(spark, sf_dir, "indexes").groupBy("db_id", "schema_name", F.col("table_name").alias("object_name")).agg(*[y.alias(x) for x, y in facts.items()])
+    joined = read(spark, sf_dir, "objects").join(own, fleet.OBJECT, "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in facts})
+    return joined.withColumns({"reads": F.col("row_count") % 5, "writes": F.col("row_count") % 90})
 
 
 @query("w6_cumulative_rows", "SELECT table_name, side, iteration, sum(inserts - deletes) OVER (PARTITION BY table_name, side ORDER BY iteration) AS n_rows FROM {iterations}")
@@ -421,14 +425,14 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p7_hotspots", "SELECT db_id, table_name, index_name FROM {index_columns} WHERE position = 1 AND column_name IN ('c1', 'c3')")
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("column_name") == "c1", "timestamp without time zone").when(F.col("column_name") == "c3", "DATE").otherwise("text")
+    kind = F.when(F.col("column_name") == "c1", "timestamp(6) without time zone").when(F.col("column_name") == "c3", "DATE").when(F.col("column_name") == "c2", "daterange").otherwise("text")
     return fleet.hotspots(read(spark, sf_dir, "index_columns").withColumn("data_type", kind))
 
 
 LIMITS = [(2, 2.0, 4, 10.0, 300.0), (4, 5.0, 8, 20.0, 500.0), (8, 20.0, 16, 40.0, 900.0)]
 LIMIT_SQL = " UNION ALL ".join(f"SELECT {c} AS cores, {g} AS most_gb, {o} AS most_objects, {r} AS reads_per_core, {w} AS writes_per_core" for c, g, o, r, w in LIMITS)
-PLACED = f"""WITH m AS ({LIMIT_SQL}), z AS MATERIALIZED (SELECT * FROM ({SIZES}) x), o AS MATERIALIZED (SELECT * FROM z CROSS JOIN m), w4 AS MATERIALIZED (SELECT *, sum(size_gb) OVER w <= most_gb AND count(*) OVER w <= most_objects AS a FROM o WHERE n_indexes <= 2 WINDOW w AS (PARTITION BY db_id, cores ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    w5 AS (SELECT *, a AND ceil(sum(CASE WHEN a THEN reads END) OVER w / reads_per_core + sum(CASE WHEN a THEN writes END) OVER w / writes_per_core) <= cores AS b FROM w4 WINDOW w AS (PARTITION BY db_id, cores ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+PLACED = f"""WITH m AS ({LIMIT_SQL}), z AS MATERIALIZED (SELECT * FROM ({SIZES}) x), o AS MATERIALIZED (SELECT * FROM z CROSS JOIN m), w4 AS MATERIALIZED (SELECT *, sum(size_gb + index_gb) OVER w <= most_gb AND sum(n_indexes + 1) OVER w <= most_objects AS a FROM o WHERE n_indexes <= 2 WINDOW w AS (PARTITION BY db_id, cores ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    w5 AS (SELECT *, a AND ceil(sum(CASE WHEN a THEN reads + index_reads END) OVER w / reads_per_core + sum(CASE WHEN a THEN writes + index_writes END) OVER w / writes_per_core) <= cores AS b FROM w4 WINDOW w AS (PARTITION BY db_id, cores ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     pl AS (SELECT db_id, cores, schema_name, object_name, CASE WHEN b THEN 'colocated' ELSE 'sharded' END AS placement FROM w5 UNION ALL SELECT db_id, cores, schema_name, object_name, 'sharded' FROM o WHERE n_indexes > 2)"""
 
 
@@ -441,7 +445,7 @@ def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.place(sized(spark, sf_dir), limits(spark))
 
 
-NODES = PLACED + """, n AS (SELECT pl.db_id, pl.cores, CAST(greatest(ceil(ceil(sum(CASE WHEN placement = 'sharded' THEN reads ELSE 0 END) / min(reads_per_core) + sum(CASE WHEN placement = 'sharded' THEN writes ELSE 0 END) / min(writes_per_core)) / pl.cores) + CASE WHEN max(CASE WHEN placement = 'colocated' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END, 3) AS BIGINT) AS nodes
+NODES = PLACED + """, n AS (SELECT pl.db_id, pl.cores, CAST(greatest(ceil(ceil(sum(CASE WHEN placement = 'sharded' THEN reads + index_reads ELSE 0 END) / min(reads_per_core) + sum(CASE WHEN placement = 'sharded' THEN writes + index_writes ELSE 0 END) / min(writes_per_core)) / pl.cores) + CASE WHEN max(CASE WHEN placement = 'colocated' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END, 3) AS BIGINT) AS nodes
     FROM pl JOIN o ON o.db_id = pl.db_id AND o.cores = pl.cores AND o.schema_name = pl.schema_name AND o.object_name = pl.object_name GROUP BY pl.db_id, pl.cores)"""
 
 
@@ -449,15 +453,26 @@ NODES = PLACED + """, n AS (SELECT pl.db_id, pl.cores, CAST(greatest(ceil(ceil(s
 def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = p8(spark, sf_dir).join(sized(spark, sf_dir), fleet.OBJECT)
     sharded = F.col("placement") == "sharded"
-    sums = joined.groupBy("db_id", "cores").agg(*[F.sum(F.when(sharded, F.col(x)).otherwise(0)).alias(x) for x in ("reads", "writes")], F.count_if(~sharded).alias("n_colocated"))
+    sums = joined.groupBy("db_id", "cores").agg(*[F.sum(F.when(sharded, F.col(x) + F.col(f"index_{x}")).otherwise(0)).alias(x) for x in ("reads", "writes")], F.count_if(~sharded).alias("n_colocated"))
     return fleet.nodes_needed(sums, limits(spark))
 
 
-@query("p10_tablets", """SELECT db_id, sum(t) AS tablets, CAST(ceil(sum(t) * 6 / 100.0) AS BIGINT) AS nodes FROM (SELECT db_id, CASE WHEN gb <= 3 * 0.512 THEN greatest(1, ceil(gb / 0.512)) WHEN gb <= 72 * 10 THEN greatest(3, ceil(gb / 10)) ELSE greatest(72, ceil(gb / 100)) END AS t FROM (SELECT db_id, CAST(size_gb * object_id AS DOUBLE) AS gb FROM {objects}) x) y GROUP BY db_id""")
+# Tables and indexes of very different sizes, so that all phases occur.
+TABLETS = NODES + """, g AS (SELECT db_id, schema_name, object_name, CAST(size_gb AS DOUBLE) * pow(10, object_id % 6) AS gb FROM {objects} UNION ALL SELECT db_id, schema_name, table_name, CAST(size_gb AS DOUBLE) * pow(10, n % 6) FROM {indexes}),
+    s AS (SELECT pl.db_id, pl.cores, gb, CAST(nodes AS DOUBLE) AS k FROM pl JOIN g USING (db_id, schema_name, object_name) JOIN n ON n.db_id = pl.db_id AND n.cores = pl.cores WHERE placement = 'sharded'),
+    t AS (SELECT db_id, cores, CASE WHEN ceil(gb / 0.512) <= k THEN ceil(gb / 0.512) WHEN gb / k <= 10 THEN k WHEN ceil(k + (gb - k * 10) / 10) <= 24 * k THEN ceil(k + (gb - k * 10) / 10) WHEN gb / 24 <= 100 THEN 24 * k
+        WHEN ceil(24 * k + (gb - 24 * k * 100) / 100) <= 256 * k THEN ceil(24 * k + (gb - 24 * k * 100) / 100) ELSE ceil(256 + (gb - 256 * k * 100) / 100) END AS t FROM s),
+    c AS (SELECT db_id, cores, CAST(sum(t) AS BIGINT) AS tablets FROM t GROUP BY ALL)
+    SELECT n.db_id, n.cores, coalesce(tablets, 0) AS tablets, CAST(greatest(nodes, ceil(coalesce(tablets, 0) * 6 / 5000.0)) AS BIGINT) AS nodes FROM n LEFT JOIN c ON c.db_id = n.db_id AND c.cores = n.cores"""
+
+
+@query("p10_tablets", TABLETS)
 def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gb = (F.col("size_gb") * F.col("object_id")).cast("double")
-    sums = read(spark, sf_dir, "objects").select("db_id", fleet.tablets(gb, F.lit(3)).alias("t")).groupBy("db_id").agg(F.sum("t").alias("tablets"))
-    return sums.withColumn("nodes", fleet.nodes_for_tablets(F.col("tablets"), F.lit(100)))
+    size = lambda k: F.col("size_gb").cast("double") * F.pow(F.lit(10.0), F.col(k) % 6)
+    tables = read(spark, sf_dir, "objects").select(*fleet.OBJECT, size("object_id").alias("size_gb"))
+    indexes = read(spark, sf_dir, "indexes").select("db_id", "schema_name", F.col("table_name").alias("object_name"), size("n").alias("size_gb"))
+    sharded = p8(spark, sf_dir).where("placement = 'sharded'").join(tables.unionByName(indexes), fleet.OBJECT).select("db_id", "cores", "size_gb")
+    return fleet.nodes_with_tablets(sharded, p9(spark, sf_dir), limits(spark).select("cores", F.lit(5000).alias("most_tablets")))
 
 
 @query("p11_object_limits", "SELECT db_id, count(*) AS n_objects, count(*) <= 80 AS ok, CASE WHEN count(*) > 80 THEN CAST(count(*) AS STRING) || ' objects are more than 80' END AS reason FROM {objects} GROUP BY db_id")
