@@ -155,3 +155,17 @@ def test_coarse_conflicts_are_between_different_rows(spark):
     assert {r.vsn: r.blocker for r in conflicts.coarse_conflicts(df).collect()} == want
     same = df.where("vsn < 0").unionByName(spark.createDataFrame([(1, "u", "p", "t", ["a"]), (2, "u", "p", "t", ["a"]), (3, "d", "p", "t", [])], df.schema))
     assert conflicts.coarse_conflicts(same).collect() == []  # events of one row don't meet
+
+
+def test_custom_partition_keys(spark):
+    schema = "vsn long, op string, schema_name string, table_name string, key map<string,string>, fields map<string,string>, before_fields map<string,string>"
+    good = [(1, "c", "s", "t", {}, {"b": "2", "a": None}, None), (2, "u", "s", "t", {}, {"x": "1"}, {"a": "1", "b": "2"}), (3, "d", "s", "t", {}, {}, {"a": "1", "b": "2", "c": "3"})]
+    got = spark.createDataFrame(good, schema).select(events.partition_key("custom", ["b", "a"])).collect()
+    assert [r[0] for r in got] == ["s.t|<NULL>|2", "s.t|1|2", "s.t|1|2"]
+    wrong = [(4, "c", "s", "t", {}, {"a": "1"}, None), (5, "u", "s", "t", {}, {"a": "1"}, {"a": "1", "b": "2"}), (6, "u", "s", "t", {"b": "2"}, {"x": "1"}, {"a": "1"}), (7, "d", "s", "t", {"a": "1", "b": "2"}, {}, None)]
+    for row in wrong:
+        with pytest.raises(Exception, match="dealt out by"):
+            spark.createDataFrame([row], schema).select(events.partition_key("custom", ["b", "a"])).collect()
+    for strategy, columns in (("custom", []), ("rows", ["a"])):
+        with pytest.raises(ValueError):
+            events.partition_key(strategy, columns)

@@ -103,3 +103,18 @@ def test_segments_in_order(spark, tmp_path):
     assert run.write_in_order(spark.range(5, 36), str(tmp_path / "b"), "id", 10) == 4
     stream = run.read_in_order(spark, str(tmp_path / "b"), spark.range(1).schema)
     assert sorted(r.n_events for r in run.batch_sizes(spark, stream).collect()) == [1, 10, 10, 10]
+
+
+def test_handover_is_found_in_the_stream_and_kept_over_a_restart(spark, tmp_path):
+    marks = {"a": ["true", "true", "last", "false", "false"], "b": ["true", "true", "true", None, None], "c": ["true"] * 5, "d": ["false"] * 5}
+    rows = sorted((k * 4 + i, source, x) for i, (source, own) in enumerate(marks.items()) for k, x in enumerate(own))
+    df = spark.createDataFrame(rows, "vsn long, source string, snapshot string")
+    want = {"a": 8, "b": 12, "d": 2}
+    into = lambda part: lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp_path / f"{part}/b={n}"))
+    for part in ("vsn < 11", "vsn >= 11"):
+        run.write_in_order(df.where(part), str(tmp_path / f"log/{part[4]}"), "vsn", 3)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log/*/*"))
+        found = run.follow(stream, str(tmp_path / "state"), into("loaded"), into("applied"))
+    assert {r.source: r.boundary for r in found.collect()} == want
+    got = {part: sorted(r.vsn for r in spark.read.schema(df.schema).parquet(str(tmp_path / part)).collect()) for part in ("loaded", "applied")}
+    assert got["loaded"] == [v for v, s, _ in rows if v <= want.get(s, 99)] and got["applied"] == [v for v, s, _ in rows if v > want.get(s, 99)]

@@ -88,20 +88,31 @@ NULL_KEY = "<NULL>"
 
 
 def partition_key(strategy: str, custom: list[str] | None = None) -> Column:
-    """What must stay in order together: a row (pk: its key's values, by column name), a table (table), or the values of
-    chosen columns (custom: from fields for inserts, else from before_fields; an update that changes one is an error)."""
+    """What must stay in order together: a row (pk: its key's values, by column name), a table (table), or the values of chosen
+    columns (custom: from fields for inserts, else from before_fields). With custom keys an event that lacks such a column and
+    an update that carries one are errors."""
     table = F.concat_ws(".", "schema_name", "table_name")
     if strategy == "table":
         return table
     if strategy == "pk":
         values = F.transform(F.array_sort(F.map_entries("key")), lambda x: F.coalesce(x["value"], F.lit(NULL_KEY)))
         return F.concat_ws("|", table, F.array_join(values, "|"))
-    side = F.when(F.col("op") == "c", F.col("fields")).otherwise(F.coalesce("before_fields", "key"))
-    values = [F.coalesce(F.try_element_at(side, F.lit(x)), F.lit(NULL_KEY)) for x in sorted(custom or [])]
-    broken = F.lit(False)
-    for x in custom or []:
-        broken = broken | ((F.col("op") == "u") & F.map_contains_key("fields", x) & ~F.col("fields")[x].eqNullSafe(F.try_element_at(side, F.lit(x))))
-    return F.when(broken, F.raise_error(F.lit("an update changes a column that events are dealt out by")).cast("string")).otherwise(F.concat_ws("|", table, *values))
+    names = sorted(custom or [])
+    if strategy != "custom" or not names:
+        raise ValueError("a partition key needs a strategy (pk, table or custom), and custom ones columns")
+    side = F.when(F.col("op") == "c", F.col("fields")).otherwise(F.col("before_fields"))
+    has = lambda x, name: F.coalesce(F.map_contains_key(x, name), F.lit(False))
+    values = [F.coalesce(F.try_element_at(side, F.lit(x)), F.lit(NULL_KEY)) for x in names]
+    changed = F.lit(False)
+    lacking = F.lit(False)
+    for x in names:
+        changed = changed | ((F.col("op") == "u") & has(F.col("fields"), x))
+        lacking = lacking | ~has(side, x)
+
+    def wrong(text: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{text}, event "), F.col("vsn").cast("string"))).cast("string")
+
+    return F.when(changed, wrong("an update carries a column that events are dealt out by")).when(lacking, wrong("a column that events are dealt out by is missing")).otherwise(F.concat_ws("|", table, *values))
 
 
 def channel(key: Column, channels: int = 100) -> Column:

@@ -165,14 +165,17 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.resolve(fleet.redundant_indexes(index_lists(spark, sf_dir)), ["db_id", "schema_name", "table_name"])
 
 
-FKS = f"SELECT DISTINCT {TABLE_KEY}, 'fk' AS fk_name, ['c1', 'c2'] AS columns FROM {{index_columns}}"
-UNCOVERED = f"SELECT f.db_id, f.schema_name, f.table_name, f.fk_name FROM ({FKS}) f WHERE NOT EXISTS (SELECT 1 FROM ({INDEX}) i WHERE i.db_id = f.db_id AND i.schema_name = f.schema_name AND i.table_name = f.table_name AND len(i.columns) >= 2 AND list_sort(i.columns[1:2]) = ['c1', 'c2'])"
+# A foreign key for each table, by its schema: one that an index covers if the table has a certain one, one that none covers.
+FKS = f"SELECT DISTINCT {TABLE_KEY}, 'fk' AS fk_name, CASE schema_name WHEN 's0' THEN ['c1', 'c2'] WHEN 's1' THEN ['c0', 'c3'] ELSE ['c0', 'c1'] END AS columns FROM {{index_columns}}"
+UNCOVERED = f"SELECT f.db_id, f.schema_name, f.table_name, f.fk_name FROM ({FKS}) f WHERE NOT EXISTS (SELECT 1 FROM ({INDEX}) i WHERE i.db_id = f.db_id AND i.schema_name = f.schema_name AND i.table_name = f.table_name AND len(i.columns) >= 2 AND list_sort(i.columns[1:2]) = f.columns)"
 
 
 @query("p4_missing_fk_indexes", UNCOVERED)
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexes = index_lists(spark, sf_dir)
-    fks = indexes.select("db_id", "schema_name", "table_name").distinct().withColumns({"fk_name": F.lit("fk"), "columns": F.array(F.lit("c2"), F.lit("c1"))})
+    pair = lambda a, b: F.array(F.lit(a), F.lit(b))
+    columns = F.when(F.col("schema_name") == "s0", pair("c2", "c1")).when(F.col("schema_name") == "s1", pair("c0", "c3")).otherwise(pair("c1", "c0"))
+    fks = indexes.select("db_id", "schema_name", "table_name").distinct().withColumns({"fk_name": F.lit("fk"), "columns": columns})
     return fleet.missing_fk_indexes(fks, indexes).drop("columns")
 
 

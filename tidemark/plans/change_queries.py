@@ -178,6 +178,16 @@ def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_log(spark, sf_dir).select("vsn", events.partition_key("pk").alias("by_pk"), events.partition_key("table").alias("by_table"))
 
 
+@query("g9_custom_keys", "SELECT vsn, 'public.t' || CAST(id % 9 AS STRING) || '|' || CASE WHEN op = 'c' THEN kind WHEN id % 4 = 0 THEN '<NULL>' ELSE 'kind' || CAST(id % 3 AS STRING) END || '|' || CAST(id AS STRING) AS by_columns FROM {cdc_flat}")
+def g9_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By two columns that no update carries; a null counts as a value."""
+    own = F.create_map(F.lit("no"), F.col("id").cast("string"))
+    before = F.map_concat(own, F.create_map(F.lit("kind"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("kind"), (F.col("id") % 3).cast("string")))))
+    inserted = F.col("op") == "c"
+    log = change_log(spark, sf_dir).withColumns({"before_fields": F.when(~inserted, before), "fields": F.when(inserted, F.map_concat("fields", own)).otherwise(F.col("fields"))})
+    return log.select("vsn", events.partition_key("custom", ["no", "kind"]).alias("by_columns"))
+
+
 @query("g10_channels", "SELECT count(DISTINCT id) AS keys, true AS one_channel_each, true AS in_range FROM {cdc_flat}")
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = change_log(spark, sf_dir).withColumn("channel", events.channel(events.partition_key("pk"))).groupBy("id").agg(F.min("channel").alias("low"), F.max("channel").alias("high"))
@@ -514,6 +524,31 @@ def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.to_table(spark, run.after_snapshot(stream, 300).select("vsn"))
 
 
+HANDED_OVER = """
+    WITH x AS (SELECT vsn, 's' || CAST(id % 2 AS STRING) AS source, vsn <= (SELECT max(vsn) // 3 FROM {cdc_flat}) AS early FROM {cdc_flat}),
+    e AS (SELECT *, CASE WHEN early AND source = 's0' AND vsn = (SELECT max(vsn) FROM x WHERE early AND source = 's0') THEN 'last' WHEN early THEN 'true' WHEN source = 's0' THEN 'false' END AS snapshot FROM x),
+    b AS (SELECT source, coalesce(least(min(CASE WHEN snapshot = 'last' THEN vsn END), min(CASE WHEN snapshot IS NULL OR snapshot = 'false' THEN vsn END) - 1), min(CASE WHEN snapshot IS NULL OR snapshot = 'false' THEN vsn END) - 1) AS boundary FROM e GROUP BY source)
+    SELECT source, vsn, boundary, CASE WHEN vsn <= boundary THEN 'loaded' ELSE 'applied' END AS part FROM e JOIN b USING (source)"""
+
+
+@query("l9_handover", HANDED_OVER)
+def l9_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources whose snapshots end within the stream: one with a mark, the other without."""
+    log = change_log(spark, sf_dir).select("vsn", "id", F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source"))
+    early = F.col("vsn") <= F.lit((log.agg(F.max("vsn")).first()[0] or 0) // 3)
+    last = log.where(early & (F.col("source") == "s0")).agg(F.max("vsn")).first()[0]
+    mark = F.when(early & (F.col("vsn") == F.lit(last)), "last").when(early, "true").when(F.col("source") == "s0", "false")
+    path, events_ = new_path(spark), log.withColumn("snapshot", mark).drop("id")
+    run.write_in_order(events_, f"{path}/log", "vsn", 25_000)
+
+    def into(part: str):
+        return lambda df, batch_id: df.withColumn("part", F.lit(part)).write.mode("overwrite").parquet(f"{path}/{part}/b={batch_id}")
+
+    bounds = run.follow(run.read_in_order(spark, f"{path}/log", events_.schema), f"{path}/state", into("loaded"), into("applied"))
+    rows = [spark.read.schema("vsn long, source string, part string, b int").parquet(f"{path}/{x}") for x in ("loaded", "applied")]
+    return rows[0].unionByName(rows[1]).join(bounds, "source").select("source", "vsn", "boundary", "part")
+
+
 BY_ROLE = """
     WITH u AS (SELECT l.*, c.id % 9 AS tab, c.has_k, CASE WHEN l.vsn // 400 % 2 = 0 THEN 'source_db_exporter' ELSE 'target_db_exporter_fb' END AS role FROM {uk_log} l JOIN {cdc_flat} c ON c.vsn = l.vsn),
     s AS (SELECT *, CASE WHEN lag(role) OVER (ORDER BY vsn) <> role THEN 1 ELSE 0 END AS turned FROM u), n AS MATERIALIZED (SELECT *, CAST(sum(turned) OVER (ORDER BY vsn) AS BIGINT) AS stretch FROM s),

@@ -114,17 +114,18 @@ def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("l_returnflag string, n long").json(path)
 
 
-STATS = "SELECT queryid, query, calls, row_count, CAST(total AS DOUBLE) AS total, CASE WHEN node % 2 = 0 THEN 0 ELSE CAST(least AS DOUBLE) END AS least FROM {qstats} WHERE calls > 5 AND side = 'source'"
+STATS = "SELECT queryid, query, calls, row_count, CAST(total AS DOUBLE) AS total, CASE WHEN node % 2 = 0 THEN 0 ELSE CAST(least AS DOUBLE) END AS least, CASE WHEN node % 3 = 0 THEN 'replica' ELSE 'primary' END AS source_node FROM {qstats} WHERE calls > 5 AND queryid % 20 <> 3"
 
 
 @query("a15_query_stats", STATS)
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of them with the old field names, as JSON; some without calls."""
-    rows = read(spark, sf_dir, "qstats").where("side = 'source'").withColumn("calls", F.when(F.col("calls") > 5, F.col("calls")).otherwise(0))
+    """Half of them with the old field names, as JSON; some without calls, without a queryid or without a node's name."""
+    rows = read(spark, sf_dir, "qstats").withColumns({"calls": F.when(F.col("calls") > 5, F.col("calls")).otherwise(0), "queryid": F.when(F.col("queryid") % 20 != 3, F.col("queryid"))})
     old = F.to_json(F.struct("queryid", "query", "calls", F.col("row_count").alias("rows"), F.col("total").alias("total_time")))
     new = F.to_json(F.struct("queryid", "query", "calls", F.col("row_count").alias("rows"), F.col("total").alias("total_exec_time"), F.col("least").alias("min_exec_time")))
-    good, _ = reports.parse_query_stats(rows.select(F.when(F.col("node") % 2 == 0, old).otherwise(new).alias("json")))
-    return good.select("queryid", "query", "calls", "row_count", "total", "least")
+    node = F.when(F.col("node") % 3 == 0, " replica").when(F.col("node") % 3 == 1, " ")
+    good, _ = reports.parse_query_stats(rows.select(F.when(F.col("node") % 2 == 0, old).otherwise(new).alias("json"), node.alias("source_node")))
+    return good.select("queryid", "query", "calls", "row_count", "total", "least", "source_node")
 
 
 # B: tables and columns

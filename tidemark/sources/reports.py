@@ -15,16 +15,20 @@ WHOLE = ("queryid", "calls", "row_count")
 
 def parse_query_stats(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statistics from rows with any of the fields' names, or with a JSON object of them in a column named json; and rows
-    without a query or with no calls above 0, with reason. Missing times are 0."""
-    if df.columns == ["json"]:
-        df = df.select(F.from_json("json", "map<string,string>").alias("m"))
+    without a whole queryid, without a query or with no calls above 0, with reason. Missing times are 0; source_node, a column
+    beside either form, is primary where it is missing or blank."""
+    node = F.trim("source_node") if "source_node" in df.columns else F.lit(None).cast("string")
+    df = df.withColumn("__node", F.coalesce(F.nullif(node, F.lit("")), F.lit("primary")))
+    if "json" in df.columns:
+        df = df.select("__node", F.from_json("json", "map<string,string>").alias("m"))
         get = {x: F.coalesce(*[F.try_element_at("m", F.lit(n)) for n in names]) for x, names in FIELDS.items()}
     else:
         get = {x: F.coalesce(*[F.col(n).cast("string") for n in names if n in df.columns] or [F.lit(None).cast("string")], F.lit(None).cast("string")) for x, names in FIELDS.items()}
-    cast = {x: get[x] if x == "query" else get[x].try_cast("bigint") if x in WHOLE else F.coalesce(get[x].try_cast("double"), F.lit(0.0)) for x in FIELDS}
-    read = df.select(*[cast[x].alias(x) for x in FIELDS])
-    good = F.coalesce((F.col("calls") > 0) & (F.col("query") != ""), F.lit(False))
-    return read.where(good), read.where(~good).withColumn("reason", F.lit("no query or no calls"))
+    cast = {x: F.trim(get[x]) if x == "query" else get[x].try_cast("bigint") if x in WHOLE else F.coalesce(get[x].try_cast("double"), F.lit(0.0)) for x in FIELDS}
+    read = df.select(*[cast[x].alias(x) for x in FIELDS], F.col("__node").alias("source_node"))
+    calls, query = F.coalesce(F.col("calls") > 0, F.lit(False)), F.coalesce(F.col("query") != "", F.lit(False))
+    reason = F.when(F.col("queryid").isNull(), "no queryid").when(~query, "no query").when(~calls, "no calls")
+    return read.where(reason.isNull()), read.where(reason.isNotNull()).withColumn("reason", reason)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -51,6 +51,31 @@ def after_snapshot(events: DataFrame, boundary: int) -> DataFrame:
     return events.where((F.col("op") != "r") & (F.col("vsn") > boundary))
 
 
+def follow(stream: DataFrame, path: str, load: Callable[[DataFrame, int], None], apply: Callable[[DataFrame, int], None]) -> DataFrame:
+    """Loads the snapshot that a stream of events (source, vsn, snapshot and others) begins with, and applies the changes that
+    come after it, over all input there is now; again with the same path it goes on from there. Where a source's snapshot ends
+    is found in the stream: at the event that is marked last, or before the first that isn't of the snapshot (snapshot null or
+    false), as there is no mark when the last table is empty. Returns source, boundary of the sources that are past it.
+
+    load and apply get a batch's rows of each kind with its number; one that is tried again comes with the same number, and
+    boundaries are kept beside it, so that a batch that broke off is parted as before."""
+    spark, kept = stream.sparkSession, "source string, boundary long, b int"
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        known = spark.read.schema(kept).parquet(f"{path}/boundaries").where(F.col("b") < batch_id).select("source", "boundary")
+        over = F.coalesce("snapshot", F.lit("false")) == "false"
+        found = df.groupBy("source").agg(F.least(F.min(F.when(F.col("snapshot") == "last", F.col("vsn"))), F.min(F.when(over, F.col("vsn"))) - 1).alias("boundary"))
+        found.where("boundary IS NOT NULL").join(known, "source", "left_anti").write.mode("overwrite").parquet(f"{path}/boundaries/b={batch_id}")
+        now = spark.read.schema(kept).parquet(f"{path}/boundaries").where(F.col("b") <= batch_id).select("source", "boundary")
+        placed = df.join(now, "source", "left").withColumn("__held", F.col("boundary").isNull() | (F.col("vsn") <= F.col("boundary")))
+        load(placed.where("__held").select(*df.columns), batch_id)
+        apply(placed.where("NOT __held").select(*df.columns), batch_id)
+
+    spark.createDataFrame([], "source string, boundary long").write.mode("overwrite").parquet(f"{path}/boundaries/b=-1")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept).parquet(f"{path}/boundaries").select("source", "boundary")
+
+
 def read_files(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A stream over a folder's Parquet files of that name."""
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
