@@ -169,3 +169,16 @@ def test_custom_partition_keys(spark):
     for strategy, columns in (("custom", []), ("rows", ["a"])):
         with pytest.raises(ValueError):
             events.partition_key(strategy, columns)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 16, 1 << 16])
+def test_last_free_over_chunks(spark, chunk):
+    rnd = random.Random(chunk)
+    rows = [(vsn, rnd.choice(["p", "p", "p", "q", "r"]), rnd.choice("ab"), rnd.random() < 0.6) for vsn in range(130)]
+    rows += [(v, p, b, False) for v, p, b, f in rows if f and rnd.random() < 0.5]
+    want = {}
+    for vsn, pkey, bucket, frees in rows:
+        want[vsn, frees] = max((v for v, p, b, f in rows if f and b == bucket and p != pkey and v < vsn), default=None)
+    df = spark.createDataFrame(rows, "vsn long, pkey string, bucket string, frees boolean").repartition(3)
+    got = conflicts._with_last_free(df, chunk).collect()
+    assert {(r.vsn, r.frees): r.blocker for r in got} == want and len(got) == len(rows)

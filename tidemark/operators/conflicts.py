@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
-from .fold import carry_last, count_before
+from .fold import CHUNK, carry_last, count_before
 
 NULL = "<null>"
 
@@ -49,7 +49,7 @@ def conflict_counts(log: DataFrame, later_ops: tuple[str, ...] = ("c", "u")) ->
     ones. No pairs are formed: the events before it that free the value, less those of its own pkey."""
     frees = _frees(log).where("pkey IS NOT NULL")
     takes = log.where(F.col("op").isin(*later_ops) & F.col("after_bucket").isNotNull() & F.col("pkey").isNotNull()).select("vsn", "pkey", F.col("after_bucket").alias("bucket"), F.lit(False).alias("frees"))
-    placed = cut(_with_last_free(frees, takes).select("vsn", "pkey", "bucket", "frees", "at", "blocker"))
+    placed = cut(_with_last_free(frees.unionByName(takes)).select("vsn", "pkey", "bucket", "frees", "at", "blocker"))
     by_bucket = count_before(placed, ["bucket"], "at", F.col("frees"), "__all")
     counted = count_before(by_bucket, ["bucket", "pkey"], "at", F.col("frees"), "__own").where(~F.col("frees"))
     return counted.select(F.col("vsn").alias("later"), (F.col("__all") - F.col("__own")).alias("n"), F.col("blocker").alias("nearest")).where("n > 0")
@@ -64,28 +64,46 @@ def _frees(log: DataFrame) -> DataFrame:
     return log.where(F.col("op").isin("u", "d") & F.col("before_bucket").isNotNull()).select("vsn", "pkey", F.col("before_bucket").alias("bucket"), F.lit(True).alias("frees"))
 
 
-def _with_last_free(frees: DataFrame, asks: DataFrame) -> DataFrame:
-    """The rows of both (vsn, pkey, bucket, frees) in order (at) with blocker, the last event before them that frees the bucket
-    and is of another pkey. Each freeing event carries the last one before it with another key than its own, so that the
-    nearest is enough."""
-    own = F.struct("vsn", "pkey")
-    ran = carry_last(frees, ["bucket"], "vsn", own, "prior")
-    turned = ran.withColumn("turn", F.when(F.col("prior.pkey") != F.col("pkey"), F.col("prior.vsn")))
-    other = carry_last(turned, ["bucket"], "vsn", F.col("turn"), "before").withColumn("other", F.coalesce("turn", "before"))
-    marked = other.select("vsn", "pkey", "bucket", "frees", F.struct("vsn", "pkey", "other").alias("free"))
-    rows = marked.unionByName(asks.withColumn("free", F.lit(None).cast(marked.schema["free"].dataType)))
-    # what an event asks for sorts with its own freeing; what it frees itself has its own pkey, so order doesn't matter.
-    placed = carry_last(rows.withColumn("at", F.col("vsn") * 2 + F.col("frees").cast("int")), ["bucket"], "at", F.col("free"), "last")
-    return placed.withColumn("blocker", F.when(F.col("last.pkey") != F.col("pkey"), F.col("last.vsn")).otherwise(F.col("last.other")))
+def _running(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with last, the freeing event (vsn, pkey) before each one, and other, the last one before that of another pkey. Where
+    one pkey's run of freeing events begins, the event before it is of another; so the last such turn is the answer. Both
+    windows share one order."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("frees"), F.struct("vsn", "pkey"))
+    ran = rows.withColumn("last", F.last(own, True).over(before))
+    turned = ran.withColumn("turn", F.when(F.col("frees") & (F.col("last.pkey") != F.col("pkey")), F.col("last")))
+    return turned.withColumn("other", F.last("turn", True).over(before))
+
+
+def _with_last_free(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """rows (vsn, pkey, bucket, frees) in order (at) with blocker, the last event before each that frees the bucket and is of
+    another pkey. A bucket's rows are split into chunks of the log, each gone through by itself. What a chunk
+    leaves behind is its last freeing event and the last of another pkey; those are gone through in the same way."""
+    placed = rows.withColumns({"at": F.col("vsn") * 2 + F.col("frees").cast("int"), "chunk": F.floor(F.col("vsn") / chunk)})
+    # what an event asks for sorts before its own freeing, which has its own pkey, so that it doesn't matter
+    inner = _running(placed, ["bucket", "chunk"], "at")
+    state = F.struct(F.struct("vsn", "pkey").alias("last"), F.coalesce("turn", "other").alias("other"))
+    left = cut(inner.groupBy("bucket", "chunk").agg(F.max_by(state, F.when(F.col("frees"), F.col("vsn"))).alias("x")))
+    ends = left.select("bucket", "chunk", F.explode(F.array_compact(F.array("x.last", "x.other"))).alias("e")).select("bucket", "chunk", "e.*", F.lit(True).alias("frees"))
+    outer = _running(ends, ["bucket"], "vsn").groupBy("bucket", "chunk").agg(F.max_by(state, "vsn").alias("x"))
+    earlier = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = left.select("bucket", "chunk").join(outer, ["bucket", "chunk"], "left")
+    carried = chunks.select("bucket", "chunk", F.last("x", True).over(earlier).alias("x")).where("x IS NOT NULL")
+    joined = inner.join(carried, ["bucket", "chunk"], "left")
+    differs = lambda x: F.coalesce(F.col(f"{x}.pkey") != F.col("pkey"), F.lit(False))
+    found = [F.when(differs(x), F.col(f"{x}.vsn")) for x in ("last", "other", "x.last", "x.other")]  # from the latest to the earliest
+    return joined.select("vsn", "pkey", "bucket", "frees", "at", F.coalesce(*found).alias("blocker"))
 
 
 def nearest_conflicts(log: DataFrame, window: int | None = None) -> DataFrame:
     """vsn, bucket, blocker: for each event and value that it takes (or, updating, holds), the latest earlier event of another
     pkey that gives the value up, at most window places back if that is given. Linear: no pairs are formed."""
-    frees = _frees(log)
-    takes = log.where(F.col("op").isin("c", "u") & F.col("after_bucket").isNotNull()).select("vsn", "pkey", F.col("after_bucket").alias("bucket"), F.lit(False).alias("frees"))
-    holds = log.where((F.col("op") == "u") & F.col("before_bucket").isNotNull() & F.coalesce(F.col("before_bucket") != F.col("after_bucket"), F.lit(True))).select("vsn", "pkey", F.col("before_bucket").alias("bucket"), F.lit(False).alias("frees"))
-    placed = _with_last_free(frees, takes.unionByName(holds))
+    before, after, op = F.col("before_bucket"), F.col("after_bucket"), F.col("op")
+    holds = F.when((op == "u") & F.coalesce(before != after, F.lit(True)), before)
+    each = [(F.when(op.isin("u", "d"), before), True), (F.when(op.isin("c", "u"), after), False), (holds, False)]
+    parts = F.array(*[F.struct(bucket.alias("bucket"), F.lit(frees).alias("frees")) for bucket, frees in each])
+    rows = log.select("vsn", "pkey", F.explode(F.filter(parts, lambda x: x["bucket"].isNotNull())).alias("x")).select("vsn", "pkey", "x.*")
+    placed = _with_last_free(rows)
     found = placed.where(~F.col("frees")).select("vsn", "bucket", "blocker").where("blocker IS NOT NULL")
     return found if window is None else found.where(F.col("vsn") - F.col("blocker") <= window)
 
@@ -99,7 +117,7 @@ def coarse_conflicts(log: DataFrame) -> DataFrame:
     table_each = named.select("vsn", "pkey", "op", F.col("table_bucket").alias("bucket"))
     frees = table_each.where("op = 'd'").unionByName(set_each.where("op = 'u'")).select("vsn", "pkey", "bucket", F.lit(True).alias("frees"))
     asks = table_each.unionByName(set_each).select("vsn", "pkey", "bucket", F.lit(False).alias("frees"))
-    found = _with_last_free(frees, asks).where(~F.col("frees") & F.col("blocker").isNotNull())
+    found = _with_last_free(frees.unionByName(asks)).where(~F.col("frees") & F.col("blocker").isNotNull())
     return found.groupBy("vsn").agg(F.max("blocker").alias("blocker"))
 
 
