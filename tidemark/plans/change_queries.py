@@ -216,9 +216,15 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.snapshot_conflicts(rows, read(spark, sf_dir, "base").where("id % 2 = 0"), KEY, "ignore")
 
 
-@query("g14_until_marker", "SELECT count(*) AS n, max(vsn) AS last FROM {cdc_flat} WHERE vsn < 777")
+def mark(log: DataFrame, parts: int, of: int) -> F.Column:
+    """The place of the log that is so many parts of the way to its end."""
+    return F.lit((log.agg(F.max("vsn")).first()[0] or 0) * parts // of)
+
+
+@query("g14_until_marker", "SELECT count(*) AS n, max(vsn) AS last FROM {cdc_flat} WHERE vsn < (SELECT max(vsn) * 7 // 9 FROM {cdc_flat})")
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = change_log(spark, sf_dir).withColumn("op", F.when(F.col("vsn") == 777, "cutover.target").otherwise(F.col("op")))
+    log = change_log(spark, sf_dir)
+    marked = log.withColumn("op", F.when(F.col("vsn") == mark(log, 7, 9), "cutover.target").otherwise(F.col("op")))
     return fold.until_marker(marked).agg(F.count("*").alias("n"), F.max("vsn").alias("last"))
 
 
@@ -367,10 +373,10 @@ def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f6(spark, sf_dir).join(actual, "table_name", "left")
 
 
-@query("h5_replication_lag", "SELECT 't' || CAST(id % 9 AS STRING) AS table_name, count(*) AS exported, sum(CASE WHEN vsn <= 700 THEN 1 ELSE 0 END) AS imported, sum(CASE WHEN vsn <= 700 THEN 0 ELSE 1 END) AS remaining FROM {cdc_flat} GROUP BY 1")
+@query("h5_replication_lag", "SELECT 't' || CAST(id % 9 AS STRING) AS table_name, count(*) AS exported, sum(CASE WHEN vsn <= m THEN 1 ELSE 0 END) AS imported, sum(CASE WHEN vsn <= m THEN 0 ELSE 1 END) AS remaining FROM {cdc_flat} CROSS JOIN (SELECT max(vsn) * 7 // 10 AS m FROM {cdc_flat}) y GROUP BY 1")
 def h5(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = change_log(spark, sf_dir)
-    return validate.lag(stats.event_counters(log, ["table_name"]), stats.event_counters(log.where("vsn <= 700"), ["table_name"]), ["table_name"])
+    return validate.lag(stats.event_counters(log, ["table_name"]), stats.event_counters(log.where(F.col("vsn") <= mark(log, 7, 10)), ["table_name"]), ["table_name"])
 
 
 @query("h6_column_differences", """WITH s AS (SELECT CAST(sum(price) AS STRING) AS a, CAST(count(DISTINCT status) AS STRING) AS b, CAST(sum(length(status)) AS STRING) AS c FROM {source_side}), t AS (SELECT CAST(sum(price) AS STRING) AS a, CAST(count(DISTINCT status) AS STRING) AS b, CAST(sum(length(status)) AS STRING) AS c FROM {target_side})
@@ -440,9 +446,10 @@ def l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.to_table(spark, rates.sliding_rates(event_stream(spark, sf_dir), 3, ["event_type"]), ["ends", "event_type"], "update")
 
 
-@query("l3_catch_up", "SELECT 't' || CAST(id % 9 AS STRING) AS table_name, CAST(floor(sum(CASE WHEN vsn > 700 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN vsn <= 60 THEN 1 ELSE 0 END), 0)) AS BIGINT) AS minutes FROM {cdc_flat} GROUP BY 1")
+@query("l3_catch_up", "SELECT 't' || CAST(id % 9 AS STRING) AS table_name, CAST(floor(sum(CASE WHEN vsn > 70 * m // 100 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN vsn <= 6 * m // 100 THEN 1 ELSE 0 END), 0)) AS BIGINT) AS minutes FROM {cdc_flat} CROSS JOIN (SELECT max(vsn) AS m FROM {cdc_flat}) y GROUP BY 1")
 def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = change_log(spark, sf_dir).groupBy("table_name").agg(F.count_if(F.col("vsn") > 700).alias("remaining"), F.count_if(F.col("vsn") <= 60).alias("rate"))
+    log = change_log(spark, sf_dir)
+    counted = log.groupBy("table_name").agg(F.count_if(F.col("vsn") > mark(log, 70, 100)).alias("remaining"), F.count_if(F.col("vsn") <= mark(log, 6, 100)).alias("rate"))
     return counted.select("table_name", rates.catch_up_minutes(F.col("remaining"), F.col("rate")).alias("minutes"))
 
 
