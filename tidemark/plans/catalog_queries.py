@@ -591,6 +591,20 @@ def p15_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift(before, changed_schema(*before), False)
 
 
+# What else may change of a table: finding, of every how many tables, column, old value as SQL, new value.
+TABLE_CHANGES = [("TABLE_SCHEMA", 7, "schema_name", "schema", "moved"), ("TABLE_KIND", 6, "kind", "'table'", "partitioned table"), ("PARTITION_PARENT", 10, "partition_parent", "NULL", "s1.root"), ("INHERITS", 9, "inherits_from", "''", ["i1", "i2"]), ("INHERITED_BY", 8, "inherited_by", "''", ["h1"])]
+TABLE_DRIFT = " UNION ALL ".join(f"SELECT schema || '.t' || CAST(o_orderkey AS STRING) AS identity, '{finding}' AS finding, CAST({old} AS STRING) AS old_value, '{','.join(new) if isinstance(new, list) else new}' AS new_value FROM (SELECT o_orderkey, 's' || CAST(o_custkey % 5 AS STRING) AS schema FROM {{orders}}) x WHERE o_orderkey % {every} = 0" for finding, every, _, old, new in TABLE_CHANGES)
+
+
+@query("p15_table_drift", TABLE_DRIFT)
+def p15_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that move to another schema, become of another kind, and change places in partitions and inheritance."""
+    tables, columns = schema_rows(spark, sf_dir)
+    value = lambda x: F.array(*[F.lit(y) for y in reversed(x)]) if isinstance(x, list) else F.lit(x)
+    after = tables.withColumns({name: F.when(F.col("table_id") % every == 0, value(new)).otherwise(F.col(name)) for _, every, name, _, new in TABLE_CHANGES})
+    return drift.drift((tables, columns), (after, columns), True)
+
+
 @query("e4_snapshot_match", f"SELECT side, count(*) AS n FROM (SELECT CASE WHEN {GONE} THEN 'dropped' ELSE 'matched' END AS side FROM {{orders}} UNION ALL SELECT 'added' FROM {{orders}} WHERE {NEW}) x GROUP BY side")
 def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = schema_rows(spark, sf_dir)
