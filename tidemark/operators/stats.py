@@ -32,10 +32,11 @@ def merge_query_stats(stats: DataFrame, keys: list[str]) -> DataFrame:
 def rates(paired: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     """reads_per_second over all nodes, writes_per_second of the primary, in whole numbers; an interval of 0 counts as 1."""
     interval = F.lit(max(1, seconds))
+    per_second = lambda x: F.call_function("div", F.col(x).cast("long"), interval)
     reads = F.sum(F.col("final_seq_reads") - F.col("initial_seq_reads"))
     writes = F.sum(F.when(F.col("source_node") == "primary", F.col("final_row_writes") - F.col("initial_row_writes")).otherwise(0))
     sums = paired.groupBy(*keys).agg(reads.alias("r"), writes.alias("w"))
-    return sums.select(*keys, F.expr("r").cast("long").alias("__r"), F.col("w").cast("long").alias("__w")).select(*keys, (F.col("__r") / interval).cast("long").alias("reads_per_second"), (F.col("__w") / interval).cast("long").alias("writes_per_second"))
+    return sums.select(*keys, per_second("r").alias("reads_per_second"), per_second("w").alias("writes_per_second"))
 
 
 def usage_totals(usage: DataFrame, keys: list[str]) -> DataFrame:
