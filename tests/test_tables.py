@@ -415,3 +415,51 @@ def test_hotspots_by_whole_type_names(spark):
     kinds = ["date", "DATE", "timestamp", "timestamptz", "timestamp(3) with time zone", "timestamp without time zone", "daterange", "datemultirange", "text", "timestamps"]
     df = spark.createDataFrame([("d", "t", f"i{k}", 1, x) for k, x in enumerate(kinds)] + [("d", "t", "second", 2, "date")], "db_id string, table_name string, index_name string, position int, data_type string")
     assert sorted(r.index_name for r in fleet.hotspots(df).collect()) == [f"i{k}" for k in range(6)]
+
+
+PLAN = "db_id string, strategy string, cores long, nodes long, cores_needed long, failure string"
+
+
+def test_best_type_of_each_strategy(spark):
+    def best(*rows):
+        found = fleet.best_by_strategy(spark.createDataFrame([("d", "mixed", *x) for x in rows], PLAN)).collect()
+        return [(r.cores, r.nodes, r.failure) for r in found]
+
+    assert best((2, 9, 17, None), (4, 4, 16, None), (8, 3, 24, None)) == [(4, 4, None)]
+    assert best((2, 8, 16, None), (4, 4, 16, None)) == [(4, 4, None)]  # of equal need the larger
+    assert best((2, 2, 4, "too many"), (4, 4, 16, None)) == [(4, 4, None)]
+    assert best((2, 2, 4, "too many"), (8, 1, 8, "too many"), (4, 1, 4, "x")) == [(8, 1, fleet.NO_PLAN)]
+    assert best() == []
+
+
+def test_choice_between_mixed_and_sharded(spark):
+    def chosen(mixed, sharded):
+        rows = [("d", name, cores, nodes, cores * nodes, failure) for name, (cores, nodes, failure) in (("mixed", mixed), ("sharded", sharded))]
+        (row,) = fleet.choose_strategy(spark.createDataFrame(rows, PLAN)).collect()
+        return row.strategy, row.why
+
+    assert chosen((4, 3, None), (4, 3, None)) == ("sharded", "as many nodes")
+    assert chosen((4, 3, None), (4, 4, None)) == ("mixed", "12 cores, not 16")
+    assert chosen((4, 5, None), (4, 4, None)) == ("sharded", "16 cores, not 20")
+    assert chosen((8, 3, None), (4, 6, None)) == ("mixed", "as many cores on larger nodes")
+    assert chosen((4, 6, None), (8, 3, None)) == ("sharded", "as many cores on larger nodes")
+    assert chosen((16, 3, None), (4, 4, None)) == ("sharded", "16 cores, not 48")
+    assert chosen((4, 9, None), (4, 3, "no")) == ("mixed", "the other does not fit")
+    assert chosen((4, 3, "no"), (16, 30, None)) == ("sharded", "the other does not fit")
+    assert chosen((4, 9, "no"), (16, 3, "no")) == ("mixed", "neither fits")
+    assert chosen((4, 3, "no"), (16, 30, "no")) == ("mixed", "neither fits")
+
+
+def test_plans_of_a_database(spark):
+    objects = spark.createDataFrame([("d", "s", "a", 1.0, 1, 0.5, 10, 0, 5, 0), ("d", "s", "b", 40.0, 2, 3.0, 100, 50, None, 10), ("d", "s", "c", None, None, None, None, None, None, None)], "db_id string, schema_name string, object_name string, size_gb double, n_indexes long, index_gb double, reads long, writes long, index_reads long, index_writes long")
+    indexes = spark.createDataFrame([("d", "s", "a", 0.5), ("d", "s", "b", 1.0), ("d", "s", "b", 2.0)], "db_id string, schema_name string, object_name string, size_gb double")
+    limits = spark.createDataFrame([(4, 10.0, 9, 10.0, 10.0, 30, 4), (8, 10.0, 9, 10.0, 10.0, 1000, 9)], "cores long, most_gb double, most_objects long, reads_per_core double, writes_per_core double, most_tablets long, most_sharded long")
+    rows = fleet.plans(fleet.place(objects, limits), objects, indexes, limits).withColumn("reason", fleet.plan_reason()).collect()
+    got = {(r.strategy, r.cores): (r.nodes, r.cores_needed, r.tablets, r.failure) for r in rows}
+    # 4 cores, mixed: 16 cores of work are 4 nodes and one for the colocated; 5 + 2 + 4 tablets are held by 3.
+    assert got[("mixed", 4)] == (5, 20, 11, None)
+    assert got[("sharded", 4)] == (5, 18, 0, "6 sharded tables and indexes are more than 4")  # 17.5 cores of work
+    assert got[("mixed", 8)] == (3, 24, 4 + 2 + 3, None)
+    assert got[("sharded", 8)] == (3, 24, 4 + 2 + 3 + 2 + 1, None)
+    (reason,) = [r.reason for r in rows if (r.strategy, r.cores) == ("mixed", 4)]
+    assert reason == "5 nodes of 4 cores; 3 colocated objects (2 tables, 1 indexes) of 1.5000 GB, 15 reads and 0 writes a second; 3 sharded objects (1 tables, 2 indexes) of 43.0000 GB, 100 reads and 60 writes a second"

@@ -130,12 +130,14 @@ def place(objects: DataFrame, limits: DataFrame) -> DataFrame:
     return placed.unionByName(rest)
 
 
-def nodes_needed(sharded: DataFrame, limits: DataFrame) -> DataFrame:
-    """nodes by db_id and cores: what the sharded objects' reads and writes need, one more if any object is colocated, 3 at
-    least. sharded: db_id, cores, reads, writes, n_colocated (sums)."""
-    cores = F.ceil(F.col("reads") / F.col("reads_per_core") + F.col("writes") / F.col("writes_per_core"))
-    nodes = F.ceil(cores / F.col("cores")) + (F.col("n_colocated") > 0).cast("int")
-    return sharded.join(limits, "cores").select("db_id", "cores", F.greatest(nodes, F.lit(3)).cast("long").alias("nodes"))
+def nodes_needed(sharded: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("db_id", "cores")) -> DataFrame:
+    """keys, nodes, cores_needed: what the sharded objects' reads and writes need, one node more if any object is colocated, 3 at
+    least. sharded: keys (cores among them), reads, writes, n_colocated (sums)."""
+    work = F.ceil(F.col("reads") / F.col("reads_per_core") + F.col("writes") / F.col("writes_per_core"))
+    shared = (F.col("n_colocated") > 0).cast("int")
+    nodes = F.greatest(F.ceil(work / F.col("cores")) + shared, F.lit(3)).cast("long")
+    cores = F.greatest(work + shared * F.col("cores"), 3 * F.col("cores")).cast("long")
+    return sharded.join(limits, "cores").select(*keys, nodes.alias("nodes"), cores.alias("cores_needed"))
 
 
 #: Sizes of a tablet (GB) in the three phases, and tablets a node that end the first two; tablets of a table at most.
@@ -157,15 +159,15 @@ def tablets(size_gb: Column, nodes: Column) -> Column:
     ).cast("long")
 
 
-def nodes_with_tablets(sharded: DataFrame, nodes: DataFrame, limits: DataFrame) -> DataFrame:
-    """db_id, cores, tablets, nodes: the nodes that hold the tablets of all sharded tables and indexes, or that the work needs if
-    those are more. sharded: db_id, cores, size_gb, a row for each table and each index; nodes: db_id, cores, nodes that the work
-    needs; limits: cores, most_tablets."""
+def nodes_with_tablets(sharded: DataFrame, nodes: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("db_id", "cores")) -> DataFrame:
+    """keys, tablets, nodes: the nodes that hold the tablets of all sharded tables and indexes, or that the work needs if those are
+    more. sharded: keys (cores among them), size_gb, a row for each table and each index; nodes: keys, nodes that the work needs;
+    limits: cores, most_tablets."""
     zero = F.coalesce(F.col("size_gb"), F.lit(0)).cast("double")
-    counted = sharded.join(nodes, ["db_id", "cores"]).groupBy("db_id", "cores").agg(F.sum(tablets(zero, F.col("nodes"))).alias("tablets"))
-    joined = nodes.join(counted, ["db_id", "cores"], "left").join(limits, "cores")
+    counted = sharded.join(nodes, list(keys)).groupBy(*keys).agg(F.sum(tablets(zero, F.col("nodes"))).alias("tablets"))
+    joined = nodes.join(counted, list(keys), "left").join(limits, "cores")
     held = F.coalesce("tablets", F.lit(0).cast("long"))
-    return joined.select("db_id", "cores", held.alias("tablets"), F.greatest("nodes", nodes_for_tablets(held, F.col("most_tablets"))).alias("nodes"))
+    return joined.select(*keys, held.alias("tablets"), F.greatest("nodes", nodes_for_tablets(held, F.col("most_tablets"))).alias("nodes"))
 
 
 def nodes_for_tablets(total: Column, limit: Column) -> Column:
@@ -213,11 +215,69 @@ def import_minutes(objects: DataFrame, loads: DataFrame, index_factors: DataFram
     return timed.groupBy("db_id", "placement").agg(F.ceil(F.round(F.sum("__seconds") / 60 / F.max("__faster"), 6)).cast("long").alias("minutes"))
 
 
-def choose_plan(plans: DataFrame) -> DataFrame:
-    """Of each db_id's possible plans (cores, nodes, reason) the one of fewest cores in all, then of larger nodes; with a reason in words."""
-    total = F.col("cores") * F.col("nodes")
-    chosen = best(plans.withColumn("total_cores", total), ["db_id"], F.col("total_cores"), F.desc("cores"))
-    return chosen.withColumn("reason", F.format_string("%d nodes of %d cores", F.col("nodes"), F.col("cores")))
+#: Fixed value: what is said of a database that no plan fits.
+NO_PLAN = "no instance type fits"
+
+
+def plans(placed: DataFrame, objects: DataFrame, indexes: DataFrame, limits: DataFrame) -> DataFrame:
+    """db_id, strategy, cores, nodes, cores_needed, failure and sums for the reason: each database by each strategy on each
+    instance type. Strategies: mixed, as placed, and sharded, where nothing is colocated. placed: db_id, cores, schema_name,
+    object_name, placement; objects: as for place(); indexes: db_id, schema_name, object_name (their table), size_gb; limits: as
+    for place(), and most_tablets, most_sharded: the sharded tables and indexes that the type can hold. failure is null where
+    they are no more than that; other plans hold no tablets."""
+    keys = ("db_id", "strategy", "cores")
+    one = placed.withColumn("__each", F.array(F.struct(F.lit("mixed").alias("strategy"), "placement"), F.struct(F.lit("sharded").alias("strategy"), F.lit("sharded").alias("placement"))))
+    each = one.select(*OBJECT, "cores", F.inline("__each"))
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    facts = objects.select(*OBJECT, zero("n_indexes").alias("n_indexes"), (zero("size_gb") + zero("index_gb")).alias("gb"), (zero("reads") + zero("index_reads")).alias("reads"), (zero("writes") + zero("index_writes")).alias("writes"))
+    kept = F.col("placement") == "colocated"
+    sums = {f"{x}_{side}": F.sum(F.when(of, F.col(x)).otherwise(0)) for side, of in (("colocated", kept), ("sharded", ~kept)) for x in ("n_indexes", "gb", "reads", "writes")}
+    counts = {f"n_{side}": F.count_if(of) for side, of in (("colocated", kept), ("sharded", ~kept))}
+    summed = cut(each.join(facts, OBJECT).groupBy(*keys).agg(*[x.alias(name) for name, x in (sums | counts).items()]))
+    work = nodes_needed(summed.select(*keys, F.col("reads_sharded").alias("reads"), F.col("writes_sharded").alias("writes"), "n_colocated"), limits, keys)
+    number = F.col("n_sharded") + F.col("n_indexes_sharded")
+    failure = F.when(number > F.col("most_sharded"), F.format_string("%d sharded tables and indexes are more than %d", number, F.col("most_sharded")))
+    judged = summed.join(limits, "cores").select(*keys, *sums, *counts, failure.alias("failure")).join(work, list(keys))
+    able = judged.where("failure IS NULL").select(*keys)
+    sized = objects.select(*OBJECT, "size_gb").unionByName(indexes.select(*OBJECT, "size_gb"))
+    parts = each.where(~kept).join(able, list(keys), "left_semi").join(sized, OBJECT).select(*keys, "size_gb")
+    more = nodes_with_tablets(parts, work, limits.select("cores", "most_tablets"), keys).select(*keys, "tablets", F.col("nodes").alias("__nodes"))
+    found = judged.join(more, list(keys))
+    cores = F.when(F.col("__nodes") > F.col("nodes"), F.col("__nodes") * F.col("cores")).otherwise(F.col("cores_needed"))
+    return found.withColumns({"cores_needed": cores, "nodes": F.col("__nodes")}).drop("__nodes")
+
+
+def best_by_strategy(plans: DataFrame) -> DataFrame:
+    """Of each db_id's and strategy's plans that don't fail the one that needs fewest cores, then of the larger type; if all
+    fail the largest type's, with failure NO_PLAN."""
+    fails = F.col("failure").isNotNull()
+    chosen = best(plans, ["db_id", "strategy"], fails, F.when(~fails, F.col("cores_needed")), F.desc("cores"))
+    return chosen.withColumn("failure", F.when(fails, NO_PLAN))
+
+
+def choose_strategy(chosen: DataFrame) -> DataFrame:
+    """Of best_by_strategy()'s plans one for each db_id, with why: one that fits before one that doesn't; fewer cores in all
+    nodes, then the larger type, then sharded. Where neither fits, mixed."""
+    fits = F.col("failure").isNull()
+    total, sharded = F.col("cores") * F.col("nodes"), F.col("strategy") == "sharded"
+    both = Window.partitionBy("db_id")  # two rows
+    seen = chosen.withColumns({"total_cores": total, "__fit": F.count_if(fits).over(both), "__types": F.size(F.collect_set("cores").over(both)), "__other": F.sum(total).over(both) - total})
+    one = best(seen, ["db_id"], ~fits, F.when(fits, F.col("total_cores")), F.when(fits, -F.col("cores")), F.when(fits, ~sharded).otherwise(sharded))
+    why = (
+        F.when(F.col("__fit") == 0, "neither fits").when(F.col("__fit") == 1, "the other does not fit").when(F.col("total_cores") < F.col("__other"), F.format_string("%d cores, not %d", F.col("total_cores"), F.col("__other")))
+        .when(F.col("__types") == 2, "as many cores on larger nodes").otherwise("as many nodes")
+    )
+    return one.withColumn("why", why).drop("__fit", "__types", "__other")
+
+
+def plan_reason() -> Column:
+    """What a plan of plans() holds, in words."""
+    def part(side: str) -> Column:
+        tables, indexes = F.col(f"n_{side}"), F.col(f"n_indexes_{side}")
+        return F.format_string(f"%d {side} objects (%d tables, %d indexes) of %.4f GB, %d reads and %d writes a second", tables + indexes, tables, indexes, F.col(f"gb_{side}").cast("double"), F.col(f"reads_{side}").cast("long"), F.col(f"writes_{side}").cast("long"))
+
+    head = F.format_string("%d nodes of %d cores", F.col("nodes"), F.col("cores"))
+    return F.concat_ws("; ", head, *[F.when(F.col(f"n_{side}") > 0, part(side)) for side in ("colocated", "sharded")])
 
 
 def fleet_status(databases: DataFrame) -> DataFrame:

@@ -432,9 +432,32 @@ def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.hotspots(read(spark, sf_dir, "index_columns").withColumn("data_type", kind))
 
 
+# Databases of about 16 objects each, with at most one to four indexes; an object's further lines belong to its last index.
+BLOCK = "db_id || '-' || CAST(object_id // 400 AS STRING)"
+OWN_OBJECTS = f"SELECT {BLOCK} AS db_id, schema_name, object_name, object_id, size_gb, row_count FROM {{objects}}"
+OWN_INDEXES = f"SELECT {BLOCK} AS db_id, o.schema_name, o.object_name, least(n, 1 + object_id % 4) AS n, sum(i.size_gb) AS size_gb, sum(reads) AS reads, sum(writes) AS writes FROM {{indexes}} i JOIN (SELECT db_id AS brand, schema_name, object_name, object_id FROM {{objects}}) o ON o.brand = i.db_id AND o.schema_name = i.schema_name AND o.object_name = i.table_name GROUP BY ALL"
+OWN_SIZES = f"SELECT o.*, coalesce(i.n, 0) AS n_indexes, coalesce(i.gb, 0) AS index_gb, coalesce(i.reads, 0) AS index_reads, coalesce(i.writes, 0) AS index_writes, o.row_count % 5 AS reads, o.row_count % 90 AS writes FROM ({OWN_OBJECTS}) o LEFT JOIN (SELECT db_id, schema_name, object_name, count(*) AS n, sum(size_gb) AS gb, sum(reads) AS reads, sum(writes) AS writes FROM ({OWN_INDEXES}) j GROUP BY 1, 2, 3) i USING (db_id, schema_name, object_name)"
+
+
+def own_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """db_id, schema_name, object_name, n, size_gb, reads, writes of the indexes of placement's databases."""
+    number, block = F.col("object_id"), F.concat_ws("-", "db_id", F.expr("object_id div 400"))
+    objects = read(spark, sf_dir, "objects").select("db_id", "schema_name", F.col("object_name").alias("table_name"), "object_id")
+    joined = read(spark, sf_dir, "indexes").join(objects, ["db_id", "schema_name", "table_name"])
+    return joined.groupBy(block.alias("db_id"), "schema_name", F.col("table_name").alias("object_name"), F.least(F.col("n"), 1 + number % 4).alias("n")).agg(*[F.sum(x).alias(x) for x in ("size_gb", "reads", "writes")])
+
+
+def own_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of placement's databases with what place() asks for."""
+    facts = {"n_indexes": F.count("*"), "index_gb": F.sum("size_gb"), "index_reads": F.sum("reads"), "index_writes": F.sum("writes")}
+    own = own_indexes(spark, sf_dir).groupBy(*fleet.OBJECT).agg(*[y.alias(x) for x, y in facts.items()])
+    objects = read(spark, sf_dir, "objects").withColumn("db_id", F.concat_ws("-", "db_id", F.expr("object_id div 400")))
+    return objects.join(own, fleet.OBJECT, "left").withColumns({"reads": F.col("row_count") % 5, "writes": F.col("row_count") % 90})
+
+
 LIMITS = [(2, 2.0, 4, 10.0, 300.0), (4, 5.0, 8, 20.0, 500.0), (8, 20.0, 16, 40.0, 900.0)]
 LIMIT_SQL = " UNION ALL ".join(f"SELECT {c} AS cores, {g} AS most_gb, {o} AS most_objects, {r} AS reads_per_core, {w} AS writes_per_core" for c, g, o, r, w in LIMITS)
-PLACED = f"""WITH m AS ({LIMIT_SQL}), z AS MATERIALIZED (SELECT * FROM ({SIZES}) x), o AS MATERIALIZED (SELECT * FROM z CROSS JOIN m), w4 AS MATERIALIZED (SELECT *, sum(size_gb + index_gb) OVER w <= most_gb AND sum(n_indexes + 1) OVER w <= most_objects AS a FROM o WHERE n_indexes <= 2 WINDOW w AS (PARTITION BY db_id, cores ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+PLACED = f"""WITH m AS ({LIMIT_SQL}), z AS MATERIALIZED (SELECT * FROM ({OWN_SIZES}) x), o AS MATERIALIZED (SELECT * FROM z CROSS JOIN m), w4 AS MATERIALIZED (SELECT *, sum(size_gb + index_gb) OVER w <= most_gb AND sum(n_indexes + 1) OVER w <= most_objects AS a FROM o WHERE n_indexes <= 2 WINDOW w AS (PARTITION BY db_id, cores ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     w5 AS (SELECT *, a AND ceil(sum(CASE WHEN a THEN reads + index_reads END) OVER w / reads_per_core + sum(CASE WHEN a THEN writes + index_writes END) OVER w / writes_per_core) <= cores AS b FROM w4 WINDOW w AS (PARTITION BY db_id, cores ORDER BY size_gb, schema_name, object_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     pl AS (SELECT db_id, cores, schema_name, object_name, CASE WHEN b THEN 'colocated' ELSE 'sharded' END AS placement FROM w5 UNION ALL SELECT db_id, cores, schema_name, object_name, 'sharded' FROM o WHERE n_indexes > 2)"""
 
@@ -445,23 +468,24 @@ def limits(spark: SparkSession) -> DataFrame:
 
 @query("p8_placement", PLACED + " SELECT * FROM pl")
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.place(sized(spark, sf_dir), limits(spark))
+    return fleet.place(own_sizes(spark, sf_dir), limits(spark))
 
 
-NODES = PLACED + """, n AS (SELECT pl.db_id, pl.cores, CAST(greatest(ceil(ceil(sum(CASE WHEN placement = 'sharded' THEN reads + index_reads ELSE 0 END) / min(reads_per_core) + sum(CASE WHEN placement = 'sharded' THEN writes + index_writes ELSE 0 END) / min(writes_per_core)) / pl.cores) + CASE WHEN max(CASE WHEN placement = 'colocated' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END, 3) AS BIGINT) AS nodes
-    FROM pl JOIN o ON o.db_id = pl.db_id AND o.cores = pl.cores AND o.schema_name = pl.schema_name AND o.object_name = pl.object_name GROUP BY pl.db_id, pl.cores)"""
+NODES = PLACED + """, u AS (SELECT pl.db_id, pl.cores, CAST(ceil(sum(CASE WHEN placement = 'sharded' THEN reads + index_reads ELSE 0 END) / min(reads_per_core) + sum(CASE WHEN placement = 'sharded' THEN writes + index_writes ELSE 0 END) / min(writes_per_core)) AS BIGINT) AS work, CASE WHEN max(CASE WHEN placement = 'colocated' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END AS shared
+    FROM pl JOIN o ON o.db_id = pl.db_id AND o.cores = pl.cores AND o.schema_name = pl.schema_name AND o.object_name = pl.object_name GROUP BY pl.db_id, pl.cores),
+    n AS (SELECT db_id, cores, CAST(greatest(ceil(work / cores) + shared, 3) AS BIGINT) AS nodes, CAST(greatest(work + shared * cores, 3 * cores) AS BIGINT) AS cores_needed FROM u)"""
 
 
 @query("p9_nodes_needed", NODES + " SELECT * FROM n")
 def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = p8(spark, sf_dir).join(sized(spark, sf_dir), fleet.OBJECT)
+    joined = p8(spark, sf_dir).join(own_sizes(spark, sf_dir), fleet.OBJECT)
     sharded = F.col("placement") == "sharded"
-    sums = joined.groupBy("db_id", "cores").agg(*[F.sum(F.when(sharded, F.col(x) + F.col(f"index_{x}")).otherwise(0)).alias(x) for x in ("reads", "writes")], F.count_if(~sharded).alias("n_colocated"))
+    sums = joined.groupBy("db_id", "cores").agg(*[F.sum(F.when(sharded, F.col(x) + F.coalesce(f"index_{x}", F.lit(0))).otherwise(0)).alias(x) for x in ("reads", "writes")], F.count_if(~sharded).alias("n_colocated"))
     return fleet.nodes_needed(sums, limits(spark))
 
 
 # Tables and indexes of very different sizes, so that all phases occur.
-TABLETS = NODES + """, g AS (SELECT db_id, schema_name, object_name, CAST(size_gb AS DOUBLE) * pow(10, object_id % 6) AS gb FROM {objects} UNION ALL SELECT db_id, schema_name, table_name, CAST(size_gb AS DOUBLE) * pow(10, n % 6) FROM {indexes}),
+TABLETS = NODES + """, g AS (SELECT db_id, schema_name, object_name, CAST(size_gb AS DOUBLE) * pow(10, object_id % 6) AS gb FROM (""" + OWN_OBJECTS + """) x UNION ALL SELECT db_id, schema_name, object_name, CAST(size_gb AS DOUBLE) * pow(10, n % 6) FROM (""" + OWN_INDEXES + """) x),
     s AS (SELECT pl.db_id, pl.cores, gb, CAST(nodes AS DOUBLE) AS k FROM pl JOIN g USING (db_id, schema_name, object_name) JOIN n ON n.db_id = pl.db_id AND n.cores = pl.cores WHERE placement = 'sharded'),
     t AS (SELECT db_id, cores, CASE WHEN ceil(gb / 0.512) <= k THEN ceil(gb / 0.512) WHEN gb / k <= 10 THEN k WHEN ceil(k + (gb - k * 10) / 10) <= 24 * k THEN ceil(k + (gb - k * 10) / 10) WHEN gb / 24 <= 100 THEN 24 * k
         WHEN ceil(24 * k + (gb - 24 * k * 100) / 100) <= 256 * k THEN ceil(24 * k + (gb - 24 * k * 100) / 100) ELSE ceil(256 + (gb - 256 * k * 100) / 100) END AS t FROM s),
@@ -472,8 +496,8 @@ TABLETS = NODES + """, g AS (SELECT db_id, schema_name, object_name, CAST(size_g
 @query("p10_tablets", TABLETS)
 def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda k: F.col("size_gb").cast("double") * F.pow(F.lit(10.0), F.col(k) % 6)
-    tables = read(spark, sf_dir, "objects").select(*fleet.OBJECT, size("object_id").alias("size_gb"))
-    indexes = read(spark, sf_dir, "indexes").select("db_id", "schema_name", F.col("table_name").alias("object_name"), size("n").alias("size_gb"))
+    tables = own_sizes(spark, sf_dir).select(*fleet.OBJECT, size("object_id").alias("size_gb"))
+    indexes = own_indexes(spark, sf_dir).select(*fleet.OBJECT, size("n").alias("size_gb"))
     sharded = p8(spark, sf_dir).where("placement = 'sharded'").join(tables.unionByName(indexes), fleet.OBJECT).select("db_id", "cores", "size_gb")
     return fleet.nodes_with_tablets(sharded, p9(spark, sf_dir), limits(spark).select("cores", F.lit(5000).alias("most_tablets")))
 
@@ -516,14 +540,39 @@ def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.import_minutes(rows, *tables)
 
 
-@query("p13_chosen_plan", NODES + " SELECT db_id, cores, nodes, cores * nodes AS total_cores, CAST(nodes AS STRING) || ' nodes of ' || CAST(cores AS STRING) || ' cores' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY cores * nodes, cores DESC) AS k FROM n) x WHERE k = 1")
+# Sharded tables and indexes that an instance type can hold.
+HELD = {2: 30, 4: 45, 8: 60}
+TABLET_SQL = """CASE WHEN ceil(gb / 0.512) <= k THEN ceil(gb / 0.512) WHEN gb / k <= 10 THEN k WHEN ceil(k + (gb - k * 10) / 10) <= 24 * k THEN ceil(k + (gb - k * 10) / 10) WHEN gb / 24 <= 100 THEN 24 * k
+        WHEN ceil(24 * k + (gb - 24 * k * 100) / 100) <= 256 * k THEN ceil(24 * k + (gb - 24 * k * 100) / 100) ELSE ceil(256 + (gb - 256 * k * 100) / 100) END"""
+PLANS = PLACED + f""", bt AS (SELECT 'mixed' AS strategy, pl.* FROM pl UNION ALL SELECT 'sharded', db_id, cores, schema_name, object_name, 'sharded' FROM pl),
+    f AS MATERIALIZED (SELECT bt.*, z.size_gb + z.index_gb AS gb, z.n_indexes AS ni, z.reads + z.index_reads AS r, z.writes + z.index_writes AS w, placement = 'sharded' AS far FROM bt JOIN z USING (db_id, schema_name, object_name)),
+    q AS (SELECT db_id, strategy, cores, {", ".join(f"coalesce(sum({x}) FILTER ({'' if far == 'sharded' else 'NOT '}far), 0) AS {name}_{far}" for far in ("colocated", "sharded") for x, name in (("1", "n"), ("ni", "n_indexes"), ("gb", "gb"), ("r", "reads"), ("w", "writes")))} FROM f GROUP BY ALL),
+    v AS (SELECT q.*, ceil(reads_sharded / reads_per_core + writes_sharded / writes_per_core) AS work, least(n_colocated, 1) AS shared, CASE WHEN n_sharded + n_indexes_sharded > most THEN 'no' END AS failure FROM q JOIN m USING (cores) JOIN (VALUES {", ".join(str(x) for x in HELD.items())}) h(cores, most) USING (cores)),
+    g AS (SELECT *, greatest(ceil(work / cores) + shared, 3) AS k, greatest(work + shared * cores, 3 * cores) AS need FROM v),
+    s AS (SELECT db_id, schema_name, object_name, CAST(size_gb AS DOUBLE) AS gb FROM ({OWN_OBJECTS}) x UNION ALL SELECT db_id, schema_name, object_name, CAST(size_gb AS DOUBLE) FROM ({OWN_INDEXES}) x),
+    tt AS (SELECT db_id, strategy, cores, sum({TABLET_SQL}) AS t FROM (SELECT g.db_id, g.strategy, g.cores, g.k, s.gb FROM g JOIN f ON f.db_id = g.db_id AND f.strategy = g.strategy AND f.cores = g.cores AND f.far AND g.failure IS NULL JOIN s ON s.db_id = f.db_id AND s.schema_name = f.schema_name AND s.object_name = f.object_name) y GROUP BY ALL),
+    a AS (SELECT g.*, greatest(k, ceil(coalesce(t, 0) * 6 / 120.0)) AS nodes, CASE WHEN ceil(coalesce(t, 0) * 6 / 120.0) > k THEN ceil(coalesce(t, 0) * 6 / 120.0) * g.cores ELSE need END AS cores_needed FROM g LEFT JOIN tt ON tt.db_id = g.db_id AND tt.strategy = g.strategy AND tt.cores = g.cores),
+    w7 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_id, strategy ORDER BY CASE WHEN failure IS NULL THEN 0 ELSE 1 END, CASE WHEN failure IS NULL THEN cores_needed END, cores DESC) AS place FROM a) y WHERE place = 1)"""
+SIDES = " ".join(f"|| CASE WHEN {a}.n_{x} > 0 THEN printf('; %d {x} objects (%d tables, %d indexes) of %.4f GB, %d reads and %d writes a second', CAST({a}.n_{x} + {a}.n_indexes_{x} AS BIGINT), CAST({a}.n_{x} AS BIGINT), CAST({a}.n_indexes_{x} AS BIGINT), CAST({a}.gb_{x} AS DOUBLE), CAST({a}.reads_{x} AS BIGINT), CAST({a}.writes_{x} AS BIGINT)) ELSE '' END" for a in ("c",) for x in ("colocated", "sharded"))
+# Mixed (x) or sharded (y), case by case.
+CHOICE = """CASE WHEN x.failure IS NULL AND y.failure IS NULL THEN CASE WHEN x.cores <> y.cores THEN CASE WHEN x.cores * x.nodes = y.cores * y.nodes THEN x.cores > y.cores ELSE x.cores * x.nodes < y.cores * y.nodes END ELSE x.nodes < y.nodes END ELSE y.failure IS NOT NULL END"""
+WHY = """CASE WHEN x.failure IS NOT NULL AND y.failure IS NOT NULL THEN 'neither fits' WHEN x.failure IS NOT NULL OR y.failure IS NOT NULL THEN 'the other does not fit' WHEN x.cores * x.nodes <> y.cores * y.nodes THEN printf('%d cores, not %d', CAST(least(x.cores * x.nodes, y.cores * y.nodes) AS BIGINT), CAST(greatest(x.cores * x.nodes, y.cores * y.nodes) AS BIGINT)) WHEN x.cores <> y.cores THEN 'as many cores on larger nodes' ELSE 'as many nodes' END"""
+
+
+def all_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.element_at(F.create_map(*[F.lit(x) for pair in HELD.items() for x in pair]), F.col("cores").cast("int"))
+    return fleet.plans(p8(spark, sf_dir), own_sizes(spark, sf_dir), own_indexes(spark, sf_dir), limits(spark).withColumns({"most_tablets": F.lit(120), "most_sharded": held}))
+
+
+@query("p13_chosen_plan", PLANS + f", c0 AS (SELECT x.db_id, CASE WHEN {CHOICE} THEN 'mixed' ELSE 'sharded' END AS strategy, {WHY} AS why FROM (SELECT * FROM w7 WHERE strategy = 'mixed') x JOIN (SELECT * FROM w7 WHERE strategy = 'sharded') y ON x.db_id = y.db_id) SELECT c.db_id, c.strategy, c.cores, CAST(c.nodes AS BIGINT) AS nodes, CAST(c.cores * c.nodes AS BIGINT) AS total_cores, c.failure IS NULL AS fits, why, printf('%d nodes of %d cores', CAST(c.nodes AS BIGINT), CAST(c.cores AS BIGINT)) {SIDES} AS reason FROM c0 JOIN w7 c ON c.db_id = c0.db_id AND c.strategy = c0.strategy")
 def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.choose_plan(p9(spark, sf_dir))
+    chosen = fleet.choose_strategy(fleet.best_by_strategy(all_plans(spark, sf_dir)))
+    return chosen.select("db_id", "strategy", "cores", "nodes", "total_cores", F.col("failure").isNull().alias("fits"), "why", fleet.plan_reason().alias("reason"))
 
 
-@query("w7_best_plan", NODES + " SELECT db_id, cores FROM (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY cores * nodes, cores DESC) AS k FROM n) x WHERE k = 1")
+@query("w7_best_plan", PLANS + " SELECT db_id, strategy, cores, CAST(nodes AS BIGINT) AS nodes, CAST(cores_needed AS BIGINT) AS cores_needed, failure IS NULL AS fits FROM w7")
 def w7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.best(p9(spark, sf_dir), ["db_id"], F.col("cores") * F.col("nodes"), F.desc("cores")).select("db_id", "cores")
+    return fleet.best_by_strategy(all_plans(spark, sf_dir)).select("db_id", "strategy", "cores", "nodes", "cores_needed", F.col("failure").isNull().alias("fits"))
 
 
 @query("p14_performance_summary", f"{COMPARED} SELECT status, count(*) AS n, sum(CASE WHEN slowdown > 1 THEN 1 ELSE 0 END) AS slower FROM c GROUP BY status")
