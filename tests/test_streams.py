@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.streaming import run, state
+from tidemark.streaming import rates, run, state
 
 from .test_fold import COLUMNS, frames, model, random_log
 
@@ -118,3 +118,35 @@ def test_handover_is_found_in_the_stream_and_kept_over_a_restart(spark, tmp_path
     assert {r.source: r.boundary for r in found.collect()} == want
     got = {part: sorted(r.vsn for r in spark.read.schema(df.schema).parquet(str(tmp_path / part)).collect()) for part in ("loaded", "applied")}
     assert got["loaded"] == [v for v, s, _ in rows if v <= want.get(s, 99)] and got["applied"] == [v for v, s, _ in rows if v > want.get(s, 99)]
+
+
+def _reported(events, began, tick, minutes):
+    """The rate as a reporter with a row of slots of ten seconds says it at a tick, event by event."""
+    inside = sum(n for at, n in events if tick - 60 * minutes <= at // 10 * 10 < tick)
+    age = (tick - began) / 60
+    return inside, inside // (int(age) + 1 if age < minutes else minutes)
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_sliding_rates_of_a_young_run_and_over_gaps(spark, given):
+    rnd = random.Random(11)
+    start = 1_700_000_000
+    at = {"a": [start + rnd.randint(0, 400) for _ in range(300)] + [start + 3000 + rnd.randint(0, 50) for _ in range(40)], None: [start + 7], "b": [start + 1200 * k for k in range(3)]}
+    at["a"] += [start + 1010, start + 1020]  # the row of slots runs out in between, and on the edge of ten minutes
+    rows = [(key, x) for key, many in at.items() for x in many]
+    events = spark.createDataFrame(rows, "k string, x long").select("k", F.timestamp_seconds("x").alias("ts"))
+    slots = rates.tumbling_counts(events, ["k"]).withColumn("run", F.timestamp_seconds(F.lit(start - 95)))
+    more = slots.limit(1).withColumns({"slot": F.lit(None).cast("timestamp_ntz"), "n": F.lit(5).cast("long")})
+    found = rates.sliding_rates(slots.unionByName(more), ["k"], (1, 3, 10), "run" if given else None)
+    got = {(r.k, r.at): r for r in found.withColumn("at", F.unix_seconds(F.col("ends").cast("timestamp"))).collect()}
+    ticks = {(key, t) for key, many in at.items() for x in many for t in range(x // 10 * 10 + 10, x // 10 * 10 + 601, 10)}
+    assert set(got) == ticks and found.count() == len(ticks)
+    for (key, tick), r in got.items():
+        began = start - 95 if given else min(at[key]) // 10 * 10
+        for m in (1, 3, 10):
+            n, rate = _reported([(x, 1) for x in at[key]], began, tick, m)
+            assert (r[f"n_{m}"], r[f"per_minute_{m}"], r[f"per_second_{m}"]) == (n, rate, rate // 60)
+    now = start + 300
+    live = rates.sliding_rates(slots, ["k"], (3,), until=F.timestamp_seconds(F.lit(now)))
+    assert live.agg(F.max(F.unix_seconds(F.col("ends").cast("timestamp")))).first()[0] == now
+    assert rates.sliding_rates(slots.where("false"), ["k"]).count() == 0

@@ -441,9 +441,12 @@ def l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.to_table(spark, rates.tumbling_counts(event_stream(spark, sf_dir), ["event_type"]), ["slot", "event_type"], "update")
 
 
-@query("l2_sliding_rates", "SELECT s + INTERVAL '3 minutes' AS ends, event_type, count(*) AS n, count(*) // 3 AS per_minute, count(*) // 180 AS per_second FROM (SELECT event_type, time_bucket(INTERVAL '10 seconds', ts) - INTERVAL (k * 10) SECOND AS s FROM {events} CROSS JOIN range(18) r(k)) x GROUP BY s, event_type")
+@query("l2_sliding_rates", """WITH s AS (SELECT time_bucket(INTERVAL '10 seconds', ts) AS slot, event_type, count(*) AS n FROM {events} GROUP BY 1, 2), b AS (SELECT event_type, min(slot) AS began FROM s GROUP BY 1),
+    w AS (SELECT slot + INTERVAL (k * 10) SECOND AS ends, event_type, sum(n) AS n_10, sum(CASE WHEN k <= 18 THEN n ELSE 0 END) AS n_3 FROM s CROSS JOIN range(1, 61) r(k) GROUP BY 1, 2),
+    m AS (SELECT w.*, least(3, date_diff('second', began, ends) // 60 + 1) AS m_3, least(10, date_diff('second', began, ends) // 60 + 1) AS m_10 FROM w JOIN b USING (event_type))
+    SELECT ends, event_type, n_3, n_3 // m_3 AS per_minute_3, n_3 // m_3 // 60 AS per_second_3, n_10, n_10 // m_10 AS per_minute_10, n_10 // m_10 // 60 AS per_second_10 FROM m""")
 def l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run.to_table(spark, rates.sliding_rates(event_stream(spark, sf_dir), 3, ["event_type"]), ["ends", "event_type"], "update")
+    return rates.sliding_rates(l1(spark, sf_dir), ["event_type"])
 
 
 @query("l3_catch_up", "SELECT 't' || CAST(id % 9 AS STRING) AS table_name, CAST(floor(sum(CASE WHEN vsn > 70 * m // 100 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN vsn <= 6 * m // 100 THEN 1 ELSE 0 END), 0)) AS BIGINT) AS minutes FROM {cdc_flat} CROSS JOIN (SELECT max(vsn) AS m FROM {cdc_flat}) y GROUP BY 1")
