@@ -463,3 +463,54 @@ def test_plans_of_a_database(spark):
     assert got[("sharded", 8)] == (3, 24, 4 + 2 + 3 + 2 + 1, None)
     (reason,) = [r.reason for r in rows if (r.strategy, r.cores) == ("mixed", 4)]
     assert reason == "5 nodes of 4 cores; 3 colocated objects (2 tables, 1 indexes) of 1.5000 GB, 15 reads and 0 writes a second; 3 sharded objects (1 tables, 2 indexes) of 43.0000 GB, 100 reads and 60 writes a second"
+
+
+def _redundant(rows):
+    """Pair by pair."""
+    found = {}
+    for name, method, columns, options, included, predicate, unique, lax, fixed in rows:
+        if fixed or predicate:
+            continue
+        for other, o_method, o_columns, o_options, o_included, o_predicate, o_unique, o_lax, _ in rows:
+            n = len(columns)
+            begins = other != name and not o_predicate and method == o_method and o_columns[:n] == columns and o_options[:n] == options
+            held = set(included) <= set(o_columns[n:]) | set(o_included)
+            strong = not unique or (o_unique and columns == o_columns and (not lax or o_lax))
+            twins = (columns, set(included), unique, unique and lax) == (o_columns, set(o_included), o_unique, o_unique and o_lax)
+            if begins and held and strong and not (twins and name < other):
+                found[name] = min(found.get(name, other), other)
+    return found
+
+
+INDEXES = "index_name string, method string, columns array<string>, options array<string>, included array<string>, predicate string, is_unique boolean, nulls_not_distinct boolean, is_constraint boolean"
+
+
+def test_redundant_indexes_of_any_traits(spark):
+    rnd = random.Random(7)
+    some = lambda most: [rnd.choice("abc") for _ in range(rnd.randint(0, most))]
+    rows = []
+    for k in range(400):
+        columns = some(3)
+        rows.append((f"i{k}", rnd.choice(["btree", "btree", "hash"]), columns, [rnd.choice(["asc", "asc", "desc"]) for _ in columns], some(1), rnd.choice([None, None, None, "p"]), rnd.random() < 0.3, rnd.random() < 0.5, rnd.random() < 0.2))
+    rows = [x for x in rows if x[2]]
+    df = spark.createDataFrame(rows, INDEXES).withColumns({"db_id": F.lit("d"), "schema_name": F.lit("s"), "table_name": F.lit("t")})
+    got = fleet.redundant_indexes(df.withColumn("extra", F.lit(1))).collect()
+    assert {r.redundant: r.existing for r in got} == _redundant(rows) and len(got) == len(_redundant(rows))
+    assert fleet.redundant_indexes(df.where("false")).count() == 0
+
+
+def test_many_indexes_of_one_table_form_no_pairs(spark):
+    n = 30000
+    alike = spark.range(n).select(F.format_string("i%05d", "id").alias("index_name"), F.array(F.lit("a"), F.lit("b")).alias("columns"))
+    longer = spark.range(n).select(F.format_string("j%05d", "id").alias("index_name"), F.array(F.lit("a"), F.lit("b"), F.format_string("c%d", "id")).alias("columns"))
+    rows = alike.union(longer).selectExpr("'d' db_id", "'s' schema_name", "'t' table_name", "index_name", "'btree' method", "columns", "transform(columns, x -> 'asc') options", "array() :: array<string> included", "null :: string predicate", "false is_unique", "false nulls_not_distinct", "false is_constraint")
+    found = fleet.redundant_indexes(rows)
+    assert found.agg(F.count("*"), F.countDistinct("existing"), F.min("existing"), F.min("redundant")).first() == (n, 2, "i00000", "i00000")
+    counted = lookups.longer_lists(rows, ["db_id", "table_name"], "columns", "n")
+    assert counted.agg(F.count("*"), F.min("n"), F.max("n")).first() == (n, n, n)
+
+
+def test_prefixes(spark):
+    df = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b"],), (["b", "a"],), (["a", "b", "c"],)], "c array<string>").withColumn("k", F.lit(1))
+    got = sorted((r.c, r.n) for r in lookups.longer_lists(df, ["k"], "c", "n").collect())
+    assert got == [(["a"], 3), (["a", "b"], 1), (["a", "b"], 1)]

@@ -28,28 +28,25 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
     The own keys begin the other's, with equal options, and what is left of the other's keys and its included columns holds
     the own included ones. Partial indexes take no part. An index behind a constraint never goes; a unique one only for a
     unique one of equal keys that admits no more nulls. Of two that are equal in all this the one of the larger name goes.
-    nulls_not_distinct means nothing for an index that isn't unique. Of several existing ones the smallest name is given."""
+    No pairs of a table's indexes are formed. nulls_not_distinct means nothing for an index that isn't unique. Of several existing ones the smallest name is given."""
     keys = ["db_id", "schema_name", "table_name"]
-    facts = {"keys": F.col("columns"), "options": F.col("options"), "beside": F.col("included"), "unique": F.col("is_unique"), "strict": F.col("is_unique") & F.col("nulls_not_distinct")}
-    whole = indexes.where("predicate IS NULL").withColumn("leads", F.element_at("columns", 1))
-    one = whole.where("NOT is_constraint").select(*keys, "method", "leads", F.col("index_name").alias("redundant"), F.struct(*[x.alias(name) for name, x in facts.items()]).alias("own"))
-    two = whole.select(*keys, "method", "leads", F.col("index_name").alias("existing"), F.struct(*[x.alias(name) for name, x in facts.items()]).alias("other"))
-
-    def own(x: str) -> Column:
-        return F.col(f"own.{x}")
-
-    def other(x: str) -> Column:
-        return F.col(f"other.{x}")
-
-    n = F.size(own("keys"))
-    begins = (own("keys") == F.slice(other("keys"), F.lit(1), n)) & (own("options") == F.slice(other("options"), F.lit(1), n))
-    rest = F.concat(F.slice(other("keys"), n + 1, F.greatest(F.size(other("keys")) - n, F.lit(0))), other("beside"))
-    held = F.size(F.array_except(own("beside"), rest)) == 0
-    as_strong = ~own("unique") | (other("unique") & (own("keys") == other("keys")) & (~own("strict") | other("strict")))
-    twins = (own("keys") == other("keys")) & (F.array_sort(own("beside")) == F.array_sort(other("beside"))) & (own("unique") == other("unique")) & (own("strict") == other("strict"))
-    better = (F.col("redundant") != F.col("existing")) & begins & held & as_strong & ~(twins & (F.col("redundant") < F.col("existing")))
-    found = one.join(two, [*keys, "method", "leads"]).where(better)
-    return found.groupBy(*keys, "redundant").agg(F.min("existing").alias("existing"))
+    facts = {"columns": F.col("columns"), "options": F.col("options"), "beside": F.array_sort(F.array_distinct("included")), "unique": F.col("is_unique"), "strict": F.col("is_unique") & F.col("nulls_not_distinct")}
+    whole = indexes.where("predicate IS NULL").select(*keys, "method", "index_name", "is_constraint", *[x.alias(name) for name, x in facts.items()])
+    # Equal indexes are one kind, known by its smallest name. A kind says its beginnings, and kinds meet those by equality.
+    kinds = cut(whole.withColumn("kind", F.min("index_name").over(Window.partitionBy(*keys, "method", *facts))))
+    own = kinds.where(F.col("index_name") == F.col("kind")).drop("index_name", "is_constraint")
+    lengths = F.sequence(F.lit(1), F.size("columns"))
+    begun = own.where(F.size("columns") > 0).withColumn("__n", F.explode(lengths)).select(
+        *keys, "method", F.slice("columns", F.lit(1), F.col("__n")).alias("columns"), F.slice("options", F.lit(1), F.col("__n")).alias("options"), F.col("kind").alias("existing"),
+        F.concat(F.slice("columns", F.col("__n") + 1, F.size("columns")), "beside").alias("__rest"), (F.size("columns") == F.col("__n")).alias("__whole"), F.col("unique").alias("__unique"), F.col("strict").alias("__strict"),
+    )
+    held = F.size(F.array_except("beside", "__rest")) == 0
+    as_strong = ~F.col("unique") | (F.col("__unique") & F.col("__whole") & (~F.col("strict") | F.col("__strict")))
+    better = own.join(begun, [*keys, "method", "columns", "options"]).where((F.col("kind") != F.col("existing")) & held & as_strong)
+    beyond = better.groupBy(*keys, "kind").agg(F.min("existing").alias("__beyond"))
+    found = kinds.where("NOT is_constraint").select(*keys, "index_name", "kind").join(beyond, [*keys, "kind"], "left")
+    existing = F.least("__beyond", F.when(F.col("kind") < F.col("index_name"), F.col("kind")))  # least() passes over nulls
+    return found.select(*keys, F.col("index_name").alias("redundant"), existing.alias("existing")).where("existing IS NOT NULL")
 
 
 def resolve(pairs: DataFrame, keys: list[str], name: str = "redundant", onward: str = "existing") -> DataFrame:

@@ -140,6 +140,20 @@ def prefix_covers(short: Column, long: Column) -> Column:
     return (F.size(short) < F.size(long)) & short.eqNullSafe(F.slice(long, 1, F.size(short)))
 
 
+def prefixes(columns: Column, least: int = 1) -> Column:
+    """The beginnings of a list, from that length up to its own; an empty list has none."""
+    return F.when(F.size(columns) >= least, F.transform(F.sequence(F.lit(least), F.size(columns)), lambda n: F.slice(columns, F.lit(1), n))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def longer_lists(df: DataFrame, keys: list[str], columns: str, name: str) -> DataFrame:
+    """df's rows whose list (of text, not null) is how longer lists of the same keys begin, with the number of those. Each different list says
+    its beginnings, and lists meet them by equality: no pairs of a key's lists are formed."""
+    counted = df.groupBy(*keys, columns).agg(F.count("*").alias("__n"))
+    shorter = F.filter(prefixes(F.col(columns)), lambda x: F.size(x) < F.size(columns))
+    begun = counted.select(*keys, F.explode(shorter).alias(columns), "__n").groupBy(*keys, columns).agg(F.sum("__n").alias(name))
+    return df.join(begun, [*keys, columns])
+
+
 def prefix_holds_set(columns: Column, index: Column) -> Column:
     """Whether an index begins with all these columns, in any order."""
     return (F.size(columns) <= F.size(index)) & F.array_sort(columns).eqNullSafe(F.array_sort(F.slice(index, 1, F.size(columns))))

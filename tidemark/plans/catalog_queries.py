@@ -126,24 +126,23 @@ INDEX = f"SELECT {TABLE_KEY}, index_name, bool_or(is_unique) AS is_unique, bool_
 
 
 def index_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = read(spark, sf_dir, "index_columns")
+    """Each index with its columns and their options in order (an index has few), and its other traits."""
     keys = ["db_id", "schema_name", "table_name", "index_name"]
-    facts = columns.groupBy(*keys).agg(F.bool_or("is_unique").alias("is_unique"), F.bool_or("nulls_not_distinct").alias("nulls_not_distinct"), F.min("method").alias("method"), F.min("predicate").alias("predicate"), F.collect_set("beside").alias("included"))
-    lists = stats.ordered_lists(columns.withColumn("one", F.struct("column_name", "key_order")), keys, "one", "position", "keys")
-    return lists.join(facts, keys).select(*keys, F.col("keys.column_name").alias("columns"), F.col("keys.key_order").alias("options"), "is_unique", "nulls_not_distinct", "method", "predicate", "included", F.lit(False).alias("is_constraint"))
+    order = F.array_sort(F.collect_list(F.struct("position", "column_name", "key_order"))).alias("keys")
+    lists = read(spark, sf_dir, "index_columns").groupBy(*keys).agg(order, F.bool_or("is_unique").alias("is_unique"), F.bool_or("nulls_not_distinct").alias("nulls_not_distinct"), F.min("method").alias("method"), F.min("predicate").alias("predicate"), F.collect_set("beside").alias("included"))
+    return lists.select(*keys, F.col("keys.column_name").alias("columns"), F.col("keys.key_order").alias("options"), "is_unique", "nulls_not_distinct", "method", "predicate", "included", F.lit(False).alias("is_constraint"))
 
 
 @query("f17_ordered_lists", f"SELECT {TABLE_KEY}, index_name, names FROM ({INDEX}) x")
 def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_lists(spark, sf_dir).select("db_id", "schema_name", "table_name", "index_name", F.array_join("columns", ",").alias("names"))
+    keys = ["db_id", "schema_name", "table_name", "index_name"]
+    return stats.ordered_lists(read(spark, sf_dir, "index_columns"), keys, "column_name", "position", "columns").select(*keys, F.array_join("columns", ",").alias("names"))
 
 
 @query("e8_prefix_indexes", f"WITH i AS ({INDEX}) SELECT a.db_id, a.schema_name, a.table_name, a.index_name, count(*) AS n FROM i a JOIN i b ON a.db_id = b.db_id AND a.schema_name = b.schema_name AND a.table_name = b.table_name AND len(a.columns) < len(b.columns) AND b.columns[1:len(a.columns)] = a.columns GROUP BY ALL")
 def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["db_id", "schema_name", "table_name"]
-    one = index_lists(spark, sf_dir)
-    two = one.select(*keys, F.col("columns").alias("longer"))
-    return one.join(two, keys).where(lookups.prefix_covers(F.col("columns"), F.col("longer"))).groupBy(*keys, "index_name").agg(F.count("*").alias("n"))
+    return lookups.longer_lists(index_lists(spark, sf_dir), keys, "columns", "n").select(*keys, "index_name", "n")
 
 
 REDUNDANT = f"""WITH i AS ({INDEX}), r AS (SELECT a.db_id, a.schema_name, a.table_name, a.index_name AS redundant, min(b.index_name) AS existing FROM i a JOIN i b ON a.db_id = b.db_id AND a.schema_name = b.schema_name AND a.table_name = b.table_name AND a.index_name <> b.index_name
