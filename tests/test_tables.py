@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import convert
-from tidemark.operators import conflicts, fleet, load, lookups, stats, validate
+from tidemark.operators import conflicts, fleet, load, lookups, sketches, stats, validate
 from tidemark.plans import registry
 from tidemark.sources import changelog, dumps, quoted
 from tidemark.sources.versioned import VersionedTable
@@ -514,3 +514,30 @@ def test_prefixes(spark):
     df = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b"],), (["b", "a"],), (["a", "b", "c"],)], "c array<string>").withColumn("k", F.lit(1))
     got = sorted((r.c, r.n) for r in lookups.longer_lists(df, ["k"], "c", "n").collect())
     assert got == [(["a"], 3), (["a", "b"], 1), (["a", "b"], 1)]
+
+
+def test_stored_profile_of_parts(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id % 4 AS p", "IF(id % 7 = 0, NULL, id % 11) AS `a b`", "id AS many", "NULL :: string AS none", "IF(id % 10 < 3, 'often', id :: string) AS skewed")
+    rows = rows.unionByName(rows.where("p = 0").withColumn("p", F.lit(None).cast("long")))
+    columns = ["a b", "many", "none", "skewed"]
+    kept = sketches.StoredProfile(spark, str(tmp_path / "sketches"), columns, "p", 256)
+    kept.add(rows.where("false"))
+    assert kept.known() == [] and kept.profile().count() == 0
+    kept.add(rows.where("p < 2"))
+    assert sorted(kept.known()) == ["0", "1"]
+    kept.add(rows.withColumn("none", F.when(F.col("p") == 0, "changed")))  # parts that are there aren't read again
+    assert kept.read().count() == 5 * len(columns) and None in kept.known()
+    got = {r.column_name: r for r in kept.profile().collect()}
+    want = {r.column_name: r for r in stats.profile(rows, columns).collect()}
+    for name in columns:
+        assert (got[name].n_rows, got[name].null_frac) == (want[name].n_rows, want[name].null_frac)
+        assert abs(got[name].n_distinct - want[name].n_distinct) <= 0.05 * want[name].n_distinct
+    assert got["a b"][3:] == want["a b"][3:] and got["none"].top_value is None
+    assert got["skewed"].top_value == "often" and 0 <= got["skewed"].top_freq - want["skewed"].top_freq <= 3.5 / 256
+    kept.replace(rows.where("p = 0").withColumn("none", F.lit("changed")))
+    assert {r.column_name: r for r in kept.profile().collect()}["none"].top_value == "changed"
+    assert kept.read().count() == 5 * len(columns)
+    kept.add(rows)
+    assert kept.read().count() == 5 * len(columns)
+    kept.add(rows.where("false"))
+    assert sketches.merged_profile(sketches.sketch(rows.where("false"), columns, "p")).count() == 0

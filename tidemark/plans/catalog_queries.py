@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drift, events, fleet, load, lookups, stats
+from ..operators import drift, events, fleet, load, lookups, sketches, stats
+from ..sources.shared import new_path
 from .inputs import change_log
 from .inputs import load as read
 from .registry import query
@@ -274,6 +275,15 @@ def f10_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("column_name", "n_rows", "null_frac", (F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * 0.15).alias("near"))
 
 
+@query("f10_stored_profile", f"SELECT column_name, n_rows, round(null_frac, 9) AS null_frac, n_distinct, top_value, round(top_freq, 9) AS top_freq FROM ({PROFILE}) p")
+def f10_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").withColumns({"gap": F.when(F.col("l_orderkey") % 5 >= 3, F.col("l_linestatus")), "year": F.year("l_shipdate")})
+    kept = sketches.StoredProfile(spark, new_path(spark), list(PROFILED), "year")
+    kept.add(rows.where("year < 1996"))
+    kept.add(rows)  # of which only the later years are sketched
+    return kept.profile().withColumns({x: F.round(x, 9) for x in ("null_frac", "top_freq")})
+
+
 @query("f11_skew_flags", f"SELECT column_name, 'mostly_one_value' AS flag FROM ({PROFILE}) p WHERE top_freq >= 0.6 AND NOT (column_name = 'l_linestatus' AND top_value = 'O') UNION ALL SELECT column_name, 'mostly_null' FROM ({PROFILE}) p WHERE null_frac >= 0.4")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.skew_flags(profiled(spark, sf_dir), load.rows_frame(spark, [("l_linestatus", "O")], "column_name string, excluded string"))
