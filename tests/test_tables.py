@@ -541,3 +541,21 @@ def test_stored_profile_of_parts(spark, tmp_path):
     assert kept.read().count() == 5 * len(columns)
     kept.add(rows.where("false"))
     assert sketches.merged_profile(sketches.sketch(rows.where("false"), columns, "p")).count() == 0
+
+
+def test_keys_over_a_hierarchy_of_partitions(spark):
+    tables = spark.createDataFrame([
+        ("plain", False, False, None, None), ("keyed", True, False, None, None), ("heir", False, True, None, None),
+        ("top", False, False, None, ["a"]), ("mid", False, False, "top", ["b"]), ("leaf", False, False, "mid", None), ("other", None, None, "top", []),
+        ("top2", False, False, None, ["a"]), ("mid2", False, False, "top2", ["b"]), ("leaf2", True, False, "mid2", None),
+        ("vague", False, False, None, None), ("part", False, False, "vague", None),
+    ], "table_name string, has_pk boolean, is_inherited boolean, parent string, partition_columns array<string>").withColumn("db_id", F.lit("d"))
+    names = [r.table_name for r in tables.collect()]
+    uniques = spark.createDataFrame([(x, f"{x}_{''.join(c)}", c) for x in names for c in (["a"], ["b", "a"], ["a", "n"], ["a", "b", "c"])], "table_name string, index_name string, columns array<string>").withColumn("db_id", F.lit("d"))
+    columns = spark.createDataFrame([(x, c, c != "n") for x in names for c in "abcn"], "table_name string, column_name string, not_null boolean").withColumn("db_id", F.lit("d"))
+    got = sorted(r.index_name for r in fleet.pk_recommendations(tables, uniques, columns).collect())
+    assert got == ["plain_a", "plain_abc", "plain_ba", "top_abc", "top_ba"]
+    assert fleet.pk_recommendations(tables.where("false"), uniques, columns).count() == 0
+    circle = spark.createDataFrame([("d", "x", False, False, "y", None), ("d", "y", False, False, "x", None)], "db_id string, table_name string, has_pk boolean, is_inherited boolean, parent string, partition_columns array<string>")
+    with pytest.raises(ValueError):
+        fleet.pk_recommendations(circle, uniques, columns)

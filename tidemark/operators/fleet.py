@@ -75,14 +75,26 @@ def missing_fk_indexes(fks: DataFrame, indexes: DataFrame) -> DataFrame:
 
 
 def pk_recommendations(tables: DataFrame, uniques: DataFrame, columns: DataFrame) -> DataFrame:
-    """db_id, table_name, index_name: for tables without a primary key (tables: db_id, table_name, has_pk, is_child,
-    partition_columns), unique indexes (columns) whose columns are all not null and hold the partition columns."""
+    """db_id, table_name, index_name: unique indexes (columns) that could be a table's primary key: all their columns are not null,
+    and the partition columns of all levels below the table are among them. tables: db_id, table_name, has_pk, is_inherited,
+    parent (the table that it is a partition of, or null), partition_columns. Only tables that are no partitions themselves and
+    don't inherit are given, none if any table of the hierarchy has a primary key, nor a table with partitions that names no
+    partition columns. A circle of parents raises. columns: db_id, table_name, column_name, not_null; nulls count as false."""
     keys = ["db_id", "table_name"]
+    up = tables.where("parent IS NOT NULL").select("db_id", F.col("table_name").alias("redundant"), F.col("parent").alias("existing"))
+    roots = resolve(up, ["db_id"]).select("db_id", F.col("redundant").alias("table_name"), F.col("existing").alias("root"))
+    each = tables.join(roots, keys, "left").withColumn("root", F.coalesce("root", "table_name"))
+    own = F.col("table_name") == F.col("root")
+    columns_of = F.flatten(F.collect_set(F.coalesce("partition_columns", F.array().cast("array<string>"))))
+    trees = each.groupBy("db_id", F.col("root").alias("table_name")).agg(
+        F.bool_or(F.coalesce("has_pk", F.lit(False))).alias("__pk"), columns_of.alias("__columns"), F.count("*").alias("__n"), F.bool_or(own & F.coalesce("is_inherited", F.lit(False))).alias("__inherits"),
+        F.max(F.when(own, F.coalesce(F.size("partition_columns"), F.lit(0)))).alias("__own"),
+    )
+    bare = trees.where("NOT __pk AND NOT __inherits AND (__n = 1 OR __own > 0)")
     not_null = columns.where("not_null").groupBy(*keys).agg(F.collect_set("column_name").alias("solid"))
-    bare = tables.where("NOT has_pk AND NOT is_child")
     joined = bare.join(uniques, keys).join(not_null, keys)
     solid = F.size(F.array_except("columns", "solid")) == 0
-    parts = F.size(F.array_except("partition_columns", "columns")) == 0
+    parts = F.size(F.array_except("__columns", "columns")) == 0
     return joined.where(solid & parts).select(*keys, "index_name")
 
 

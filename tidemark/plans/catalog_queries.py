@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import drift, events, fleet, load, lookups, sketches, stats
@@ -416,16 +416,6 @@ def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.index_stats(objects, read(spark, sf_dir, "iops"), *attributes(spark, sf_dir), 60, parents)
 
 
-@query("p5_pk_recommendations", "SELECT DISTINCT o.db_id, o.object_name AS table_name, i.index_name FROM {objects} o JOIN {index_columns} i ON i.db_id = o.db_id AND i.table_name = o.object_name AND i.is_unique WHERE o.object_id % 3 = 0 AND o.object_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM {index_columns} c WHERE c.db_id = i.db_id AND c.index_name = i.index_name AND c.column_name = 'c3') AND (o.object_id % 4 <> 0 OR EXISTS (SELECT 1 FROM {index_columns} c WHERE c.db_id = i.db_id AND c.index_name = i.index_name AND c.column_name = 'c1'))")
-def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = read(spark, sf_dir, "objects")
-    parts = F.when(F.col("object_id") % 4 == 0, F.array(F.lit("c1"))).otherwise(F.array().cast("array<string>"))
-    tables = objects.select("db_id", F.col("object_name").alias("table_name"), (F.col("object_id") % 3 != 0).alias("has_pk"), (F.col("object_id") % 10 == 0).alias("is_child"), parts.alias("partition_columns"))
-    columns = objects.select("db_id", F.col("object_name").alias("table_name"), F.explode(F.array(*[F.lit(f"c{k}") for k in range(4)])).alias("column_name")).withColumn("not_null", F.col("column_name") != "c3")
-    uniques = index_lists(spark, sf_dir).where("is_unique").select("db_id", "table_name", "index_name", "columns")
-    return fleet.pk_recommendations(tables, uniques, columns)
-
-
 @query("p6_fk_type_mismatches", "SELECT db_id, object_name AS table_name, 'c1' AS column_name, CASE WHEN object_id % 2 = 0 THEN 'int' ELSE 'bigint' END AS own_type, 'bigint' AS ref_type FROM {objects} WHERE object_id % 2 = 0")
 def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = read(spark, sf_dir, "objects")
@@ -448,6 +438,10 @@ OWN_INDEXES = f"SELECT {BLOCK} AS db_id, o.schema_name, o.object_name, least(n,
 OWN_SIZES = f"SELECT o.*, coalesce(i.n, 0) AS n_indexes, coalesce(i.gb, 0) AS index_gb, coalesce(i.reads, 0) AS index_reads, coalesce(i.writes, 0) AS index_writes, o.row_count % 5 AS reads, o.row_count % 90 AS writes FROM ({OWN_OBJECTS}) o LEFT JOIN (SELECT db_id, schema_name, object_name, count(*) AS n, sum(size_gb) AS gb, sum(reads) AS reads, sum(writes) AS writes FROM ({OWN_INDEXES}) j GROUP BY 1, 2, 3) i USING (db_id, schema_name, object_name)"
 
 
+def own_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "objects").withColumn("db_id", F.concat_ws("-", "db_id", F.expr("object_id div 400")))
+
+
 def own_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """db_id, schema_name, object_name, n, size_gb, reads, writes of the indexes of placement's databases."""
     number, block = F.col("object_id"), F.concat_ws("-", "db_id", F.expr("object_id div 400"))
@@ -460,8 +454,24 @@ def own_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objects of placement's databases with what place() asks for."""
     facts = {"n_indexes": F.count("*"), "index_gb": F.sum("size_gb"), "index_reads": F.sum("reads"), "index_writes": F.sum("writes")}
     own = own_indexes(spark, sf_dir).groupBy(*fleet.OBJECT).agg(*[y.alias(x) for x, y in facts.items()])
-    objects = read(spark, sf_dir, "objects").withColumn("db_id", F.concat_ws("-", "db_id", F.expr("object_id div 400")))
-    return objects.join(own, fleet.OBJECT, "left").withColumns({"reads": F.col("row_count") % 5, "writes": F.col("row_count") % 90})
+    return own_objects(spark, sf_dir).join(own, fleet.OBJECT, "left").withColumns({"reads": F.col("row_count") % 5, "writes": F.col("row_count") % 90})
+
+
+# Of four tables of a database, in order of their numbers, the first is the parent of the second, which is that of the third; the fourth
+# is by itself.
+@query("p5_pk_recommendations", f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY object_id) - 1 AS r FROM ({OWN_OBJECTS}) x), t AS (SELECT *, r % 4 AS place, CASE WHEN r % 4 < 3 THEN r - r % 4 ELSE r END AS root FROM o),
+    h AS (SELECT db_id, root, bool_or(object_id % 7 = 0) AS has_pk, bool_or(place = 1 AND object_id % 2 = 0) AS below FROM t GROUP BY db_id, root)
+    SELECT DISTINCT t.db_id, t.object_name AS table_name, i.index_name FROM t JOIN h ON h.db_id = t.db_id AND h.root = t.root JOIN {{index_columns}} i ON i.db_id = split_part(t.db_id, '-', 1) AND i.table_name = t.object_name AND i.is_unique
+    WHERE t.r = t.root AND NOT has_pk AND i.column_name <> 'c3' AND CASE WHEN place = 3 THEN object_id % 11 <> 0 AND (object_id % 5 <> 0 OR i.column_name = 'c0') ELSE i.column_name = 'c1' AND NOT below END""")
+def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("db_id").orderBy("object_id")  # a database has about 16 objects
+    objects = own_objects(spark, sf_dir).select("db_id", F.col("object_name").alias("table_name"), "object_id", ((F.row_number().over(order) - 1) % 4).alias("place"), F.lag("object_name").over(order).alias("before"))
+    columns_of = F.when(F.col("place") == 0, F.array(F.lit("c1"))).when((F.col("place") == 1) & (F.col("object_id") % 2 == 0), F.array(F.lit("c2"))).when((F.col("place") == 3) & (F.col("object_id") % 5 == 0), F.array(F.lit("c0")))
+    tables = objects.select("db_id", "table_name", (F.col("object_id") % 7 == 0).alias("has_pk"), ((F.col("place") == 3) & (F.col("object_id") % 11 == 0)).alias("is_inherited"), F.when(F.col("place").isin(1, 2), F.col("before")).alias("parent"), columns_of.alias("partition_columns"))
+    columns = objects.select("db_id", "table_name", F.explode(F.array(*[F.lit(f"c{k}") for k in range(4)])).alias("column_name")).withColumn("not_null", F.col("column_name") != "c3")
+    block = F.concat_ws("-", "db_id", F.expr("cast(substr(table_name, 2) as bigint) div 400"))
+    uniques = index_lists(spark, sf_dir).where("is_unique").select(block.alias("db_id"), "table_name", "index_name", "columns")
+    return fleet.pk_recommendations(tables, uniques, columns)
 
 
 LIMITS = [(2, 2.0, 4, 10.0, 300.0), (4, 5.0, 8, 20.0, 500.0), (8, 20.0, 16, 40.0, 900.0)]
