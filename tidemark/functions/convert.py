@@ -19,7 +19,8 @@ def over(x: Column, n: int) -> Column:
 
 
 def _day(days: Column) -> Column:
-    return F.date_from_unix_date(days.cast("int")).cast("string")
+    """Years after 9999 without the plus that Spark puts before them."""
+    return F.ltrim(F.date_from_unix_date(days.cast("int")).cast("string"), F.lit("+"))
 
 
 def epoch_date(x: Column) -> Column:
@@ -53,8 +54,10 @@ def micros_timestamp(x: Column) -> Column:
 
 
 def nanos_timestamp(x: Column) -> Column:
-    """As micros_timestamp()."""
-    return F.concat(_instant(over(whole(x), 1_000_000_000), "T"), _fraction(whole(x), 9))
+    """As micros_timestamp(). Numbers of up to 23 digits, as 64 bits end in 2262."""
+    text = x.cast("string")
+    nanos = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("decimal(23,0)"))
+    return F.concat(_instant(over(nanos, 1_000_000_000), "T"), _fraction(nanos, 9))
 
 
 def millis_time(x: Column) -> Column:

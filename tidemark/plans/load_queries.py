@@ -166,7 +166,7 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE '.' || regexp_replace(lpad(CAST(o_orderkey % 1000 AS STRING), 9, '0'), '0+$', '') END AS z FROM {orders}""")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.col("o_orderkey") * 86399
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (seconds * 1000 + F.col("o_orderkey") % 1000).cast("string").alias("x"), (seconds * 1_000_000 + F.col("o_orderkey") % 1000 * 1000).cast("string").alias("y"), (seconds * 1_000_000_000 + F.col("o_orderkey") % 1000).cast("string").alias("z"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (seconds * 1000 + F.col("o_orderkey") % 1000).cast("string").alias("x"), (seconds * 1_000_000 + F.col("o_orderkey") % 1000 * 1000).cast("string").alias("y"), (seconds.cast("decimal(19,0)") * 1_000_000_000 + F.col("o_orderkey") % 1000).cast("string").alias("z"))
     return convert.convert_values(rows, {"x": ("timestamp", None), "y": ("micro_timestamp", None), "z": ("nano_timestamp", None)})
 
 
