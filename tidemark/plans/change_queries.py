@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conflicts, events, fold, load, stats, validate
-from ..sources import changelog
+from ..sources import changelog, shelves
 from ..sources.shared import new_path
 from ..sources.versioned import VersionedTable
 from ..streaming import rates, run, state
@@ -456,14 +456,18 @@ def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("table_name", rates.catch_up_minutes(F.col("remaining"), F.col("rate")).alias("minutes"))
 
 
+#: Segments that lie in one folder.
+SHELF = 1000
+
+
 @query("l4_archive_segments", "SELECT event_id // 50 AS segment_no, CASE WHEN event_id // 50 <= (SELECT max(event_id // 50) - 3 FROM {events}) THEN 'archived' ELSE 'live' END AS place, count(*) AS n_rows FROM {events} GROUP BY 1, 2")
 def l4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     rows = read(spark, sf_dir, "events").withColumn("segment_no", F.expr("event_id div 50"))
-    rows.repartition("segment_no").write.partitionBy("segment_no").parquet(f"{path}/log")
+    shelves.write(rows, f"{path}/log", SHELF)
     segments = rows.select("segment_no").distinct().withColumn("done", F.lit(True))
-    archived = run.clean(spark, f"{path}/log", stats.retained(segments).select("segment_no"), "archive", f"{path}/archive")
-    live = spark.read.schema(rows.schema).parquet(f"{path}/log").groupBy("segment_no").agg(F.count("*").alias("n_rows"))
+    archived = shelves.clean(spark, f"{path}/log", rows.schema, SHELF, stats.retained(segments).select("segment_no"), "archive", f"{path}/archive")
+    live = shelves.read(spark, f"{path}/log", rows.schema).groupBy("segment_no").agg(F.count("*").alias("n_rows"))
     return archived.withColumn("place", F.lit("archived")).unionByName(live.withColumn("place", F.lit("live")))
 
 
