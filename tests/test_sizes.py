@@ -1,8 +1,13 @@
 """What only larger tables bring about."""
 
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.functions import convert
+from tidemark.operators import load, validate
+from tidemark.sources import changelog, shelves
+from tidemark.streaming import run
 
 
 def test_timestamps_beyond_64_bits_of_nanoseconds_and_four_digits_of_years(spark):
@@ -13,3 +18,72 @@ def test_timestamps_beyond_64_bits_of_nanoseconds_and_four_digits_of_years(spark
     assert got == {s: (x, x.replace(" ", "T") + ".005", x.replace(" ", "T") + ".000000005") for s, x in days.items()}
     odd = spark.createDataFrame([("1.5",), ("x",), (None,), (" 1 ",)], "z string").withColumn("k", F.col("z"))
     assert {r.k: r.z for r in convert.convert_values(odd, {"z": ("nano_timestamp", None)}).collect()} == {"1.5": None, "x": None, None: None, " 1 ": "1970-01-01T00:00:00.000000001"}
+
+
+def test_shelves_are_archived_and_dropped_in_part_and_again(spark, tmp_path):
+    rows = spark.range(600).selectExpr("id", "id div 10 AS segment_no")
+    log, target = str(tmp_path / "log"), str(tmp_path / "archive")
+    shelves.write(rows, log, 25)
+    assert len(list((tmp_path / "log").glob("shelf=*"))) == 3  # not a folder for each of 60 segments
+
+    def held(path):
+        return sorted(r.id for r in shelves.read(spark, path, rows.schema).collect())
+
+    def some(*numbers):
+        return spark.createDataFrame([(k,) for k in numbers], "segment_no long")
+
+    assert shelves.clean(spark, log, rows.schema, 25, some(1), "retain") is None and len(held(log)) == 600
+    for eligible in (some(*range(10)), some(*range(30), 59), some(*range(30), 59)):  # more than before, then again
+        counts = shelves.clean(spark, log, rows.schema, 25, eligible, "archive", target)
+        assert {(r.segment_no, r.n_rows) for r in counts.collect()} == {(r.segment_no, 10) for r in eligible.collect()}
+    gone = {*range(300), *range(590, 600)}
+    assert held(target) == sorted(gone) and held(log) == sorted(set(range(600)) - gone)
+    shelves._put(spark, shelves.with_shelf(rows.where("segment_no = 30"), 25), str(tmp_path / "log"), [1])
+    (tmp_path / "log/shelf=1/g=0").mkdir()  # what a run that broke off may leave
+    assert [x for x in held(log) if 250 <= x < 500] == list(range(300, 310))
+    shelves.clean(spark, log, rows.schema, 25, some(30, 31), "delete")
+    assert not [x for x in held(log) if 250 <= x < 500] and not (tmp_path / "log/shelf=1").exists()
+    with pytest.raises(Exception, match="missing"):
+        shelves.clean(spark, log, rows.schema, 25, some(99), "archive", target)
+    with pytest.raises(ValueError):
+        shelves.clean(spark, log, rows.schema, 25, some(1), "burn")
+
+
+def test_segments_are_written_by_one_job_and_come_in_order(spark, tmp_path):
+    spark.sparkContext.setJobGroup("segments", "")
+    assert run.write_in_order(spark.range(0, 400).where("id NOT BETWEEN 100 AND 199").repartition(3), str(tmp_path / "log"), "id", 10) == 30
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("segments")) < 8  # before: one for each segment
+    spark.sparkContext.setJobGroup("others", "")
+    found = []
+    stream = run.read_in_order(spark, str(tmp_path / "log"), spark.range(1).schema, 7)
+    stream.writeStream.foreachBatch(lambda df, n: found.append(sorted(r.id for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [len(x) for x in found] == [70, 70, 70, 70, 20] and sum(found, []) == [x for x in range(400) if not 100 <= x < 200]
+
+
+def test_long_change_logs_are_sorted_in_small_parts_and_read_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changelog, "SORTED", 100)
+    log = spark.range(0, 1000).select(F.col("id").alias("vsn"), F.lit("u").alias("op"), (F.col("id") % 2).alias("side")).repartition(3)
+    changelog.write_change_log(log.drop("side"), str(tmp_path / "one"), rows=60, partitions=2)
+    stream, _ = changelog.read_change_log(spark, str(tmp_path / "one"), streaming=True, files_per_batch=3)
+    found = []
+    stream.writeStream.foreachBatch(lambda df, n: found.append(sorted(r.vsn for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sum(found, []) == list(range(1000)) and max(len(x) for x in found) <= 180
+    assert len({x.name.split("-")[1] for x in (tmp_path / "one").glob("part-*")}) == 10  # before: 2, whatever the log's length
+    changelog.write_change_log(log, str(tmp_path / "two"), rows=60, partitions=2, lane="side")
+    streams = [changelog.read_change_log(spark, str(tmp_path / f"two/lane={k}"), streaming=True, files_per_batch=1)[0] for k in range(2)]
+    sizes = run.batch_sizes(spark, *streams).collect()
+    assert {lane: sum(r.n_events for r in sizes if r.lane == lane) for lane in range(2)} == {0: 500, 1: 500} and max(r.n_events for r in sizes) <= 60
+
+
+def test_keys_that_repeat_count_once_and_sides_are_not_made_distinct_whole(spark):
+    one, two = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in ([1, 1, 2, None, None], [2, 3, 3]))
+    got = validate.key_difference(one, two, ["k"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, [Row(k=1, side="source"), Row(k=None, side="source"), Row(k=3, side="target")]))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join") and plan.count("Aggregate") == 2
+
+
+def test_batches_leave_a_file_for_each_part(spark, tmp_path):
+    ledger = load.write_batches(spark.range(1000).repartition(3), str(tmp_path / "b"), 10, 10_000)
+    assert ledger.count() >= 100 and sum(r.n_rows for r in ledger.collect()) == 1000
+    assert len(list((tmp_path / "b").rglob("*.parquet"))) == 3  # before: one for each batch

@@ -303,7 +303,7 @@ def i5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, log = new_path(spark), reported(spark, sf_dir)
     run.write_in_order(log, path, "seq", 50_000)
     with state.state_store(spark):
-        return run.to_table(spark, state.conflicts_in_flight(run.read_in_order(spark, path, log.schema), 8))
+        return run.to_table(spark, state.conflicts_in_flight(run.read_in_order(spark, path, log.schema, 16), 8))
 
 
 @query("i6_coarse_conflicts", "SELECT l.vsn, max(e.vsn) AS blocker FROM {cdc_flat} l JOIN {cdc_flat} e ON e.id % 9 = l.id % 9 AND e.id <> l.id AND e.vsn < l.vsn AND (e.op = 'd' OR (e.op = 'u' AND e.has_k AND l.has_k AND l.op <> 'd')) GROUP BY l.vsn")
@@ -497,7 +497,7 @@ def l6_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.write_in_order(log, path, "vsn", 25_000)
     base = read(spark, sf_dir, "base")
     with state.state_store(spark):
-        states = run.to_table(spark, state.row_states(run.read_in_order(spark, path, log.schema), base, KEY, COLUMNS), KEY, "update")
+        states = run.to_table(spark, state.row_states(run.read_in_order(spark, path, log.schema, 16), base, KEY, COLUMNS), KEY, "update")
     return state.latest_rows(base, states, KEY, COLUMNS)
 
 
@@ -508,7 +508,7 @@ def l7_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, log = new_path(spark), log.select("schema_name", "table_name", "vsn", "op", "fields")
     run.write_in_order(log, path, "vsn", 25_000)
     with state.state_store(spark):
-        raised = run.to_table(spark, state.sequence_states(run.read_in_order(spark, path, log.schema), sequences, start), ["sequence_name"], "update")
+        raised = run.to_table(spark, state.sequence_states(run.read_in_order(spark, path, log.schema, 16), sequences, start), ["sequence_name"], "update")
     return raised.unionByName(start).groupBy("sequence_name").agg(F.max("last_value").alias("last_value"))
 
 
@@ -558,7 +558,7 @@ def l9_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
     def into(part: str):
         return lambda df, batch_id: df.withColumn("part", F.lit(part)).write.mode("overwrite").parquet(f"{path}/{part}/b={batch_id}")
 
-    bounds = run.follow(run.read_in_order(spark, f"{path}/log", events_.schema), f"{path}/state", into("loaded"), into("applied"))
+    bounds = run.follow(run.read_in_order(spark, f"{path}/log", events_.schema, 16), f"{path}/state", into("loaded"), into("applied"))
     rows = [spark.read.schema("vsn long, source string, part string, b int").parquet(f"{path}/{x}") for x in ("loaded", "applied")]
     return rows[0].unionByName(rows[1]).join(bounds, "source").select("source", "vsn", "boundary", "part")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,26 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def now_ms() -> int:
+    return time.time_ns() // 1_000_000
+
+
+def put_in_order(spark: SparkSession, path: str, began: int, key: Callable[[str], object]) -> int:
+    """Gives the files below path, which a job has written side by side since began (now_ms()), times of change a millisecond
+    apart in the order of key (of a file's path below path), as if they had been written one after the other: streams take
+    files by that time. None is before began or after now. Returns how many files there are."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top, found, files = str(system.getFileStatus(root).getPath()), [], system.listFiles(root, True)
+    while files.hasNext():
+        name = str(files.next().getPath())[len(top) + 1 :]
+        if not any(x[0] in "._" for x in name.split("/")):
+            found.append(name)
+    time.sleep(max(0, began + len(found) + 1 - now_ms()) / 1000)
+    last = now_ms()
+    for k, name in enumerate(sorted(found, key=key)):
+        system.setTimes(hadoop.Path(f"{path}/{name}"), last - len(found) + 1 + k, -1)
+    return len(found)

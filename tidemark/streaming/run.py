@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.shared import cut, delete, new_path
+from ..sources.shared import cut, delete, new_path, now_ms, put_in_order
 from ..sources.versioned import VersionedTable
 
 
@@ -82,21 +82,22 @@ def read_files(spark: SparkSession, folder: str, name: str, schema, files_per_ba
 
 
 def write_in_order(df: DataFrame, path: str, order: str, rows: int) -> int:
-    """Segments of so many places of a whole-numbered order, a file each, written one after the other as a log grows, so that a
-    stream over them with one file a batch keeps the order. Returns how many there are."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
+    """Segments of so many places of a whole-numbered order, a file each, as if written one after the other as a log grows, so
+    that a stream over them keeps the order. One job writes them all, a segment in one task; ranges without rows have no file.
+    Returns how many there are."""
+    began = now_ms()
+    low = df.agg(F.min(order)).first()[0]
     if low is None:
         df.limit(0).write.parquet(f"{path}/s0")
         return 1
-    starts = range(low, high + 1, rows)
-    for k, start in enumerate(starts):
-        df.where(F.col(order).between(start, start + rows - 1)).coalesce(1).write.parquet(f"{path}/s{k}")
-    return len(starts)
+    numbered = df.withColumn("s__", F.call_function("div", F.col(order) - F.lit(low), F.lit(rows)))
+    numbered.repartition("s__").write.partitionBy("s__").parquet(path)
+    return put_in_order(df.sparkSession, path, began, lambda name: int(name.split("/")[0].split("=")[1]))
 
 
-def read_in_order(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stream over what write_in_order() has written, a segment a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+def read_in_order(spark: SparkSession, path: str, schema, segments_per_batch: int = 1) -> DataFrame:
+    """A stream over what write_in_order() has written, so many segments a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", segments_per_batch).parquet(f"{path}/*")
 
 
 def archive(spark: SparkSession, path: str, target: str, eligible: DataFrame) -> DataFrame:
@@ -125,13 +126,23 @@ def clean(spark: SparkSession, path: str, eligible: DataFrame, policy: str, targ
     return counts
 
 
-def batch_sizes(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """batch_id, n_events of the stream's batches over all input there is now. What a batch takes is bounded by its reader
+def batch_sizes(spark: SparkSession, *streams: DataFrame) -> DataFrame:
+    """lane (the stream's place), batch_id, n_events of the streams' batches over all input there is now; the streams run side by side. What a batch takes is bounded by its reader
     (files_per_batch) and the events of a segment (write_change_log()'s rows)."""
-    path = new_path(spark)
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count("*").alias("n_events")).write.mode("overwrite").parquet(f"{path}/sizes/b={batch_id}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("batch_id long, n_events long, b long").parquet(f"{path}/sizes").drop("b")
+    path, kept = new_path(spark), "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "10000000")  # a stream's reports of its batches, some KB each: no job is needed to count a batch
+    started: list[StreamingQuery] = []
+    try:
+        for lane, x in enumerate(streams):
+            counted = x.observe("sizes", F.count("*").alias("n")).writeStream.format("noop")
+            started.append(counted.option("checkpointLocation", f"{path}/progress/{lane}").trigger(availableNow=True).start())
+        for x in started:
+            x.awaitTermination()
+        reports = [(lane, p) for lane, x in enumerate(started) for p in x.recentProgress]
+    finally:
+        spark.conf.set(kept, before)
+        for x in started:
+            x.stop()
+    sizes = {(lane, p["batchId"]): p["observedMetrics"]["sizes"]["n"] for lane, p in reports if "sizes" in p["observedMetrics"]}
+    return spark.createDataFrame([(lane, b, n) for (lane, b), n in sizes.items()], "lane int, batch_id long, n_events long")

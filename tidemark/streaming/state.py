@@ -19,9 +19,12 @@ SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sq
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams that are started within keep their state in RocksDB."""
-    before = {x: spark.conf.get(x, None) for x in SETTINGS}
-    for x, value in SETTINGS.items():
+    """Streams that are started within keep their state in RocksDB, in as many partitions as there are cores at most: each has
+    files to commit with every batch, however little it holds. A stream that goes on keeps its number."""
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)}
+    before = {x: spark.conf.get(x, None) for x in settings}
+    for x, value in settings.items():
         spark.conf.set(x, value)
     try:
         yield
