@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import ENVELOPE
+from .shared import now_ms, put_in_order
 
 END = "\\."
 
@@ -22,9 +25,20 @@ def read_change_log(spark: SparkSession, path: str, streaming: bool = False, fil
     return parse_change_log(reader.schema("value string").text(path))
 
 
-def write_change_log(events: DataFrame, path: str, rows: int = 1_000_000, partitions: int | None = None) -> None:
-    """In segments of at most so many events, in order of vsn within and across files."""
-    spark = events.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = events.repartitionByRange(n, "vsn").sortWithinPartitions("vsn")
-    ordered.select(F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", rows).text(path)
+#: Events that one task sorts, about: what a task takes doesn't grow with the log.
+SORTED = 250_000
+
+
+def write_change_log(events: DataFrame, path: str, rows: int = 1_000_000, partitions: int | None = None, lane: str | None = None) -> None:
+    """In segments of at most so many events, in order of vsn within and across files, which streams take in that order too. A
+    task sorts about SORTED events: of a long log there are more partitions than asked for. lane: a column of whole numbers,
+    which isn't written; each lane is a log by itself, in the folder lane=number."""
+    spark, began = events.sparkSession, now_ms()
+    n = max(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // SORTED))
+    order = [x for x in (lane, "vsn") if x]
+    ordered = events.repartitionByRange(n, "vsn").sortWithinPartitions(*order)
+    names = [x for x in events.columns if x != lane]
+    lines = ordered.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value"), *([F.col(lane).alias("lane")] if lane else []))
+    writer = lines.write.option("maxRecordsPerFile", rows)
+    (writer.partitionBy("lane") if lane else writer).text(path)
+    put_in_order(spark, path, began, lambda name: [int(x) for x in re.search(r"part-(\d+)-.*[.-]c(\d+)[^/]*$", name).groups()])
