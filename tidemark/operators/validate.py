@@ -100,9 +100,10 @@ def multiset_difference(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def key_difference(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
-    """key, side of keys that one side alone has."""
-    a, b = (df.select(*key).distinct() for df in (one, two))
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("source")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("target")))
+    """key, side of keys that one side alone has. Repeated keys are made one of what is left, not of whole sides, whose keys a
+    task would hold."""
+    a, b = (df.select(*key) for df in (one, two))
+    return a.join(b, key, "left_anti").distinct().withColumn("side", F.lit("source")).unionByName(b.join(a, key, "left_anti").distinct().withColumn("side", F.lit("target")))
 
 
 def archive_completeness(ledger: DataFrame, files: DataFrame) -> DataFrame:
