@@ -71,7 +71,8 @@ def number_batches(df: DataFrame, rows: int, size: int) -> DataFrame:
 
 def write_batches(df: DataFrame, path: str, rows: int = BATCH_ROWS, size: int | None = None) -> DataFrame:
     """Writes df in batches of at most so many rows, and bytes of text if size is given, and returns their ledger: batch,
-    n_rows, n_bytes (of the file, or of the text), state."""
+    n_rows, n_bytes (of the file, or of the text), state. With a size, each of Spark's partitions leaves one file, in which its
+    batches follow one another (columns __part and __batch, which batch joins by -), not a folder for each."""
     spark = df.sparkSession
     if size is None:
         df.write.option("maxRecordsPerFile", rows).parquet(path)
@@ -79,7 +80,7 @@ def write_batches(df: DataFrame, path: str, rows: int = BATCH_ROWS, size: int |
         grouped = read.groupBy(F.col("_metadata.file_name").alias("batch")).agg(F.count("*").alias("n_rows"), F.max("_metadata.file_size").alias("n_bytes"))
     else:
         numbered = number_batches(df, rows, size)
-        numbered.write.partitionBy("__part", "__batch").parquet(path)
+        numbered.write.parquet(path)
         read = spark.read.schema(numbered.schema).parquet(path)
         grouped = read.groupBy(F.concat_ws("-", "__part", "__batch").alias("batch")).agg(F.count("*").alias("n_rows"), F.sum("__size").alias("n_bytes"))
     return grouped.withColumn("state", F.lit("pending"))
