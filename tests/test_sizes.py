@@ -1,10 +1,16 @@
 """What only larger tables bring about."""
 
+import random
+import re
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.functions import convert
+from tidemark.llm import toxicity
 from tidemark.operators import load, validate
 from tidemark.sources import changelog, shelves
 from tidemark.streaming import run
@@ -87,3 +93,23 @@ def test_batches_leave_a_file_for_each_part(spark, tmp_path):
     ledger = load.write_batches(spark.range(1000).repartition(3), str(tmp_path / "b"), 10, 10_000)
     assert ledger.count() >= 100 and sum(r.n_rows for r in ledger.collect()) == 1000
     assert len(list((tmp_path / "b").rglob("*.parquet"))) == 3  # before: one for each batch
+
+
+def test_word_counts_are_passed_on_in_parts_and_come_out_the_same(monkeypatch):
+    rnd = random.Random(5)
+    rows = [(" ".join(rnd.choice(["Word", "wordlessly", "ΟΔΟΣ,", "a-b", "x"]) + rnd.choice(["", "7"]) for _ in range(rnd.randrange(9))), int(rnd.random() < 0.3)) for _ in range(3000)]
+    want = {k: Counter() for k in ("toxic", "toxic_docs", "clean")}
+    for text, toxic in rows:
+        found = re.findall(r"\w+", text.lower())
+        own = Counter(x for word in found for x in toxicity.features(word)) + Counter({"": len(found)})
+        want["toxic" if toxic else "clean"].update(own)
+        want["toxic_docs"].update({"", *own} if toxic else ())
+    monkeypatch.setattr(toxicity, "HELD", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([x for _, x in rows])], ["text", "toxic"])
+    parts = list(toxicity._count(iter([batch])))
+    assert len(parts) == 4  # before: one for a batch of Spark's, however many words it holds
+    for k, counts in want.items():
+        got = Counter()
+        for part in parts:
+            got.update(dict(zip(part.column("feature").to_pylist(), part.column(k).to_pylist())))
+        assert +got == +counts

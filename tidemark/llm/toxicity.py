@@ -97,36 +97,67 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in zip(starts, ends, lows, highs, strict=True)]
 
 
+#: Different words that a task holds counts of before it passes them on.
+HELD = 100_000
+
+
+def _spelled_out(words: Counter) -> Counter:
+    """Counts of words as counts of their features."""
+    counts: Counter = Counter()
+    for word, n in words.items():
+        for x in features(word):
+            counts[x] += n
+    return counts
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of feature, toxic (its tokens in toxic documents), toxic_docs, clean; the feature '' counts all words."""
-    for batch in batches:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
-        docs: Counter = Counter()
+    """Rows of feature, toxic (its tokens in toxic documents), toxic_docs, clean; the feature '' counts all words. A feature may
+    come more than once. Words are counted as they are, and made features of once each; only toxic documents need their own."""
+    alone()
+    words: tuple[Counter, Counter] = Counter(), Counter()
+    docs: Counter = Counter()
+
+    def row_batch() -> pa.RecordBatch:
+        clean, toxic = (_spelled_out(x) + Counter({"": x.total()}) for x in words)
+        keys = list(clean.keys() | toxic.keys() | docs.keys())
+        columns = [pa.array(keys, pa.string()), *[pa.array([x[k] for k in keys], pa.int64()) for x in (toxic, docs, clean)]]
+        for x in (*words, docs):
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "toxic_docs", "clean"])
+
+    for batch in portions(batches):
         for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist(), strict=True):
-            words = Counter(WORD(text.lower()))
-            own: Counter = Counter({"": words.total()})
-            for word, n in words.items():
-                for x in features(word):
-                    own[x] += n
-            counts[toxic].update(own)
+            found = WORD(text.lower())
+            words[toxic].update(found)
             if toxic:
-                docs.update(own.keys())
-        keys = list(counts[0].keys() | counts[1].keys())
-        columns = [pa.array(keys, pa.string()), *[pa.array([x[k] for k in keys], pa.int64()) for x in (counts[1], docs, counts[0])]]
-        yield pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "toxic_docs", "clean"])
+                docs.update({"", *[x for word in set(found) for x in features(word)]})
+        if len(words[0]) + len(words[1]) > HELD:
+            yield row_batch()
+    yield row_batch()
 
 
 def _corpus_counts(docs: DataFrame, wanted: list[str]) -> tuple[dict[str, int], int]:
-    """How often each wanted feature, and any word, occurs in all documents."""
+    """How often each wanted feature, and any word (by white space), occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         place = {x: i for i, x in enumerate(wanted)}
-        cache = Cache(lambda chunk: np.array([len(wanted), *[place[x] for word in WORD(chunk.lower()) for x in features(word) if x in place]], "<u4").tobytes())
-        alone(cache)
-        total = np.zeros(len(wanted) + 1, np.int64)
+        total, words = np.zeros(len(wanted) + 1, np.int64), Counter()
+
+        def add() -> None:
+            for word, n in words.items():
+                for x in features(word):
+                    if x in place:
+                        total[place[x]] += n
+            words.clear()
+
         for batch in portions(batches):
             for text in texts(batch):
-                total += np.bincount(np.frombuffer(b"".join(map(cache.__getitem__, text.split())), "<u4"), minlength=len(total))
+                words.update(WORD(text.lower()))
+                total[-1] += len(text.split())
+            if len(words) > HELD:
+                add()
+        add()
         if total.any():
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["place", "n"])
