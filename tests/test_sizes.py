@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import convert
 from tidemark.llm import toxicity
 from tidemark.operators import load, validate
+from tidemark.plans import catalog_queries, registry
 from tidemark.sources import changelog, shelves
 from tidemark.streaming import run
 
@@ -113,3 +114,12 @@ def test_word_counts_are_passed_on_in_parts_and_come_out_the_same(monkeypatch):
         for part in parts:
             got.update(dict(zip(part.column("feature").to_pylist(), part.column(k).to_pylist())))
         assert +got == +counts
+
+
+@pytest.mark.parametrize("name", ["w7_best_plan", "p13_chosen_plan", "p9_nodes_needed", "p10_tablets"])
+def test_plans_read_the_lines_once(spark, monkeypatch, name):
+    found, read = [], catalog_queries.read
+    monkeypatch.setattr(catalog_queries, "read", lambda spark, sf_dir, x: found.append(x) or read(spark, sf_dir, x))
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found.count("indexes") == 1  # before: 2 to 4 times, and more where the plan used them twice
+    assert not [x for x in plan.inputFiles() if "lineitem" in x]

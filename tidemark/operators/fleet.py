@@ -233,22 +233,27 @@ def plans(placed: DataFrame, objects: DataFrame, indexes: DataFrame, limits: Dat
     instance type. Strategies: mixed, as placed, and sharded, where nothing is colocated. placed: db_id, cores, schema_name,
     object_name, placement; objects: as for place(); indexes: db_id, schema_name, object_name (their table), size_gb; limits: as
     for place(), and most_tablets, most_sharded: the sharded tables and indexes that the type can hold. failure is null where
-    they are no more than that; other plans hold no tablets."""
+    they are no more than that; other plans hold no tablets. placed and objects are read twice, so they should be stored (cut())."""
     keys = ("db_id", "strategy", "cores")
-    one = placed.withColumn("__each", F.array(F.struct(F.lit("mixed").alias("strategy"), "placement"), F.struct(F.lit("sharded").alias("strategy"), F.lit("sharded").alias("placement"))))
-    each = one.select(*OBJECT, "cores", F.inline("__each"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     facts = objects.select(*OBJECT, zero("n_indexes").alias("n_indexes"), (zero("size_gb") + zero("index_gb")).alias("gb"), (zero("reads") + zero("index_reads")).alias("reads"), (zero("writes") + zero("index_writes")).alias("writes"))
     kept = F.col("placement") == "colocated"
-    sums = {f"{x}_{side}": F.sum(F.when(of, F.col(x)).otherwise(0)) for side, of in (("colocated", kept), ("sharded", ~kept)) for x in ("n_indexes", "gb", "reads", "writes")}
-    counts = {f"n_{side}": F.count_if(of) for side, of in (("colocated", kept), ("sharded", ~kept))}
-    summed = cut(each.join(facts, OBJECT).groupBy(*keys).agg(*[x.alias(name) for name, x in (sums | counts).items()]))
+    names = ["n", "n_indexes", "gb", "reads", "writes"]
+    sums = {f"{x}_{side}": F.sum(F.when(of, F.col(x)).otherwise(0)) for side, of in (("colocated", kept), ("sharded", ~kept)) for x in names}
+    grouped = placed.join(facts.withColumn("n", F.lit(1)), OBJECT).groupBy("db_id", "cores").agg(*[x.alias(name) for name, x in sums.items()])
+    # What the sharded strategy holds follows from the sums as placed.
+    far = F.col("strategy") == "sharded"
+    own = {f"{x}_colocated": F.when(far, 0).otherwise(F.col(f"{x}_colocated")) for x in names}
+    own |= {f"{x}_sharded": F.when(far, F.col(f"{x}_colocated") + F.col(f"{x}_sharded")).otherwise(F.col(f"{x}_sharded")) for x in names}
+    strategies = F.explode(F.array(F.lit("mixed"), F.lit("sharded"))).alias("strategy")
+    summed = cut(grouped.select("*", strategies).select(*keys, *[x.alias(name) for name, x in own.items()]))
     work = nodes_needed(summed.select(*keys, F.col("reads_sharded").alias("reads"), F.col("writes_sharded").alias("writes"), "n_colocated"), limits, keys)
     number = F.col("n_sharded") + F.col("n_indexes_sharded")
     failure = F.when(number > F.col("most_sharded"), F.format_string("%d sharded tables and indexes are more than %d", number, F.col("most_sharded")))
-    judged = summed.join(limits, "cores").select(*keys, *sums, *counts, failure.alias("failure")).join(work, list(keys))
+    judged = summed.join(limits, "cores").select(*keys, *sums, failure.alias("failure")).join(work, list(keys))
     able = judged.where("failure IS NULL").select(*keys)
     sized = objects.select(*OBJECT, "size_gb").unionByName(indexes.select(*OBJECT, "size_gb"))
+    each = placed.select(*OBJECT, "cores", F.inline(F.array(F.struct(F.lit("mixed").alias("strategy"), "placement"), F.struct(F.lit("sharded").alias("strategy"), F.lit("sharded").alias("placement")))))
     parts = each.where(~kept).join(able, list(keys), "left_semi").join(sized, OBJECT).select(*keys, "size_gb")
     more = nodes_with_tablets(parts, work, limits.select("cores", "most_tablets"), keys).select(*keys, "tablets", F.col("nodes").alias("__nodes"))
     found = judged.join(more, list(keys))
