@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import convert
 from tidemark.llm import toxicity
-from tidemark.operators import load, validate
+from tidemark.operators import drift, load, validate
 from tidemark.plans import catalog_queries, registry
 from tidemark.sources import changelog, shelves
 from tidemark.streaming import run
@@ -123,3 +123,15 @@ def test_plans_read_the_lines_once(spark, monkeypatch, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.count("indexes") == 1  # before: 2 to 4 times, and more where the plan used them twice
     assert not [x for x in plan.inputFiles() if "lineitem" in x]
+
+
+@pytest.mark.parametrize("name", ["p15_schema_drift_by_name", "p15_schema_drift_by_id", "p15_table_drift"])
+def test_drift_is_worked_out_once_before_it_is_sorted(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not [x for x in plan.inputFiles() if "lineitem" in x or "orders" in x]  # before: the sample for the sort worked all out once more
+
+
+def test_lists_are_the_same_in_any_order_and_with_nulls(spark):
+    rows = [(None, []), (None, None), (["b", "a"], ["a", "b"]), (["a", None], [None, "a"]), (["a"], ["a", "a"]), (["a"], None), (["a"], ["a"])]
+    got = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k int, x array<string>, y array<string>").select("k", drift.same_list(F.col("x"), F.col("y")).alias("same")).collect()
+    assert [x.same for x in sorted(got)] == [True, True, True, True, False, False, True]
