@@ -564,3 +564,22 @@ def test_empty_tables(spark):
     ]
     for df in results:
         assert df.collect() == []
+
+
+def test_new_words_are_encoded_together_and_counted_as_alone(monkeypatch):
+    own = token_counts.Counter(RANKS, public_tokenizers.PATTERN)
+    rnd, letters = random.Random(7), [*"ab1 .,\n'st é$\t  ", "'ll", "\r", "\x1c", "\x85", "²", "́", "😀", "ا"]
+    some = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(30))) for _ in range(3000)] + [" ".join(f"w{k}x{rnd.random()}" for k in range(2000)), "", "one", "x" * 5000 + " y"]
+    want = [[[len(x), len(own.encode(x))] for x in own.pattern.findall(text)] for text in some]
+    calls, encode = [], own.encode
+    own.encode = lambda text: calls.append(text) or encode(text)
+    own.pieces.clear()
+    assert [x.tolist() for x in own.leaves(some)] == want
+    assert len(calls) < 2500  # before: one for each of more than 10,000 new words and pre-tokens
+    monkeypatch.setattr(token_counts, "TOGETHER", 50)
+    own.words.most = own.words.room = 4000  # forgets again and again
+    own.words.clear()
+    assert [x.tolist() for x in own.leaves(some)] == want
+    own.sizes[:] = 2  # no word ends where tokens end by this: each is encoded by itself
+    own.words.clear()
+    assert [x.tolist() for x in own.leaves(some[:200])] == want[:200]
