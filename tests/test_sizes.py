@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import convert
 from tidemark.llm import toxicity
-from tidemark.operators import drift, load, validate
-from tidemark.plans import catalog_queries, registry
+from tidemark.operators import drift, fleet, load, validate
+from tidemark.plans import catalog_queries, inputs, registry
 from tidemark.sources import changelog, shelves
 from tidemark.streaming import run
 
@@ -125,6 +125,34 @@ def test_plans_read_the_lines_once(spark, monkeypatch, name):
     assert not [x for x in plan.inputFiles() if "lineitem" in x]
 
 
+def test_lines_are_added_up_before_they_meet_objects_with_the_same_result(spark, tmp_path):
+    parts = [(1, "B1", 3, 900.0), (1, "B1", 6, 901.0), (1, "B2", 3, 900.0), (2, None, 4, 1.0), (3, "B1", None, 1.0), (4, "B1", 1, None), (None, "B1", 1, 1.0)]
+    lines = [(k, k, n, q) for k in (1, 1, 2, 3, 4, 5, None) for n, q in ((1, 5.0), (1, None), (2, 7.0), (2, 1.0), (3, None))]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = spark.sql(inputs.INPUTS["indexes"], objects=inputs.load(spark, str(tmp_path), "objects"), lineitem=inputs.load(spark, str(tmp_path), "lineitem"))
+    got = inputs.load(spark, str(tmp_path), "indexes")
+    assert got.select(want.columns).dtypes == want.dtypes
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 9
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate [l_partkey")  # before: after the join, each line with its object's names
+
+
+def test_plans_of_a_fleet_need_one_shuffle_by_database_and_cores(spark):
+    rnd = random.Random(3)
+    sizes = [(f"d{k % 7}", "s", f"o{k}", rnd.choice([None, 0.1, 3.0, 600.0]), [rnd.choice([None, 0.2, 70.0]) for _ in range(k % 4)], rnd.randrange(9), rnd.randrange(90)) for k in range(60)]
+    rows = [(*x[:4], len(x[4]) or None, sum((y or 0.0 for y in x[4]), 0.0), *x[5:], 1, 2, [x[3], *x[4]]) for x in sizes]
+    objects = spark.createDataFrame(rows, "db_id string, schema_name string, object_name string, size_gb double, n_indexes long, index_gb double, reads long, writes long, index_reads long, index_writes long, sizes array<double>")
+    indexes = spark.createDataFrame([(*x[:3], y) for x in sizes for y in x[4]], "db_id string, schema_name string, object_name string, size_gb double")
+    limits = spark.createDataFrame([(2, 5.0, 9, 10.0, 300.0, 120, 17), (8, 90.0, 16, 40.0, 900.0, 120, 40)], "cores long, most_gb double, most_objects long, reads_per_core double, writes_per_core double, most_tablets long, most_sharded long")
+    want = fleet.plans(fleet.place(objects, limits), objects, indexes, limits)
+    got = fleet.plans_of(fleet.with_placement(objects, limits, "sizes"))
+    text = lambda df: sorted(str([round(x, 6) if isinstance(x, float) else x for x in row]) for row in df.collect())
+    assert text(got) == text(want) and want.count() == 7 * 2 * 2 and 0 < want.where("failure IS NULL").count() < 28
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert re.findall(r"hashpartitioning\((.*?)#", plan) == ["db_id"]  # before: joins by object as well
+
+
 @pytest.mark.parametrize("name", ["p15_schema_drift_by_name", "p15_schema_drift_by_id", "p15_table_drift"])
 def test_drift_is_worked_out_once_before_it_is_sorted(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")

@@ -121,32 +121,43 @@ def place(objects: DataFrame, limits: DataFrame) -> DataFrame:
     most_objects, reads_per_core, writes_per_core; a few rows. The objects that are smallest by themselves come first, while
     the size and number of objects with their indexes, and then the cores that their reads and writes need, stay within the
     limits. Objects of more than MOST_INDEXES indexes are sharded and count nowhere."""
+    return with_placement(objects, limits).select("db_id", "cores", "schema_name", "object_name", "placement")
+
+
+def with_placement(objects: DataFrame, limits: DataFrame, *kept: str) -> DataFrame:
+    """place()'s rows with n_indexes; gb, reads and writes of the object and its indexes; the kept columns of objects and all
+    columns of limits. They lie by db_id and cores."""
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     whole = objects.select(
-        "db_id", "schema_name", "object_name", zero("size_gb").alias("size_gb"), zero("n_indexes").alias("n_indexes"), (zero("size_gb") + zero("index_gb")).alias("all_gb"), (zero("n_indexes") + 1).alias("n_objects"),
+        *OBJECT, *kept, zero("size_gb").alias("size_gb"), zero("n_indexes").alias("n_indexes"), (zero("size_gb") + zero("index_gb")).alias("gb"),
         (zero("reads") + zero("index_reads")).alias("reads"), (zero("writes") + zero("index_writes")).alias("writes"),
     )
-    kept = with_lookup(whole, as_array(limits.withColumn("limit", F.struct(*limits.columns)), "cores", "limit", "__limits"))
-    own = kept.select(*whole.columns, F.explode("__limits.value").alias("__limit")).select(*whole.columns, "__limit.*")
+    beside = with_lookup(whole, as_array(limits.withColumn("limit", F.struct(*limits.columns)), "cores", "limit", "__limits"))
+    own = beside.select(*whole.columns, F.explode("__limits.value").alias("__limit")).select(*whole.columns, "__limit.*")
     few = F.col("n_indexes") <= MOST_INDEXES
     keys, order = ["db_id", "cores"], ["size_gb", "schema_name", "object_name"]
-    sized = fits_within(own.where(few), keys, order, {"all_gb": F.col("most_gb"), "n_objects": F.col("most_objects")}).withColumnRenamed("fits", "fits_size")
+    counted = own.withColumns({"__gb": F.when(few, F.col("gb")), "__n": F.when(few, F.col("n_indexes") + 1)})
+    sized = fits_within(counted, keys, order, {"__gb": F.col("most_gb"), "__n": F.col("most_objects")}).withColumn("__taken", few & F.col("fits"))
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    need = F.ceil(F.sum(F.when(F.col("fits_size"), F.col("reads"))).over(frame) / F.col("reads_per_core") + F.sum(F.when(F.col("fits_size"), F.col("writes"))).over(frame) / F.col("writes_per_core"))
-    done = sized.withColumn("fits", F.col("fits_size") & (need <= F.col("cores")))
-    placed = done.select("db_id", "cores", "schema_name", "object_name", F.when(F.col("fits"), "colocated").otherwise("sharded").alias("placement"))
-    rest = own.where(~few).select("db_id", "cores", "schema_name", "object_name", F.lit("sharded").alias("placement"))
-    return placed.unionByName(rest)
+    so_far = lambda x: F.sum(F.when(F.col("__taken"), F.col(x))).over(frame)
+    need = F.ceil(so_far("reads") / F.col("reads_per_core") + so_far("writes") / F.col("writes_per_core"))
+    placed = sized.withColumn("placement", F.when(F.col("__taken") & (need <= F.col("cores")), "colocated").otherwise("sharded"))
+    return placed.drop("size_gb", "fits", "__gb", "__n", "__taken")
 
 
 def nodes_needed(sharded: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("db_id", "cores")) -> DataFrame:
     """keys, nodes, cores_needed: what the sharded objects' reads and writes need, one node more if any object is colocated, 3 at
     least. sharded: keys (cores among them), reads, writes, n_colocated (sums)."""
-    work = F.ceil(F.col("reads") / F.col("reads_per_core") + F.col("writes") / F.col("writes_per_core"))
-    shared = (F.col("n_colocated") > 0).cast("int")
+    nodes, cores = nodes_for_work(F.col("reads"), F.col("writes"), F.col("n_colocated"))
+    return sharded.join(F.broadcast(limits), "cores").select(*keys, nodes.alias("nodes"), cores.alias("cores_needed"))
+
+
+def nodes_for_work(reads: Column, writes: Column, n_colocated: Column) -> tuple[Column, Column]:
+    """nodes_needed()'s nodes and cores_needed."""
+    work = F.ceil(reads / F.col("reads_per_core") + writes / F.col("writes_per_core"))
+    shared = (n_colocated > 0).cast("int")
     nodes = F.greatest(F.ceil(work / F.col("cores")) + shared, F.lit(3)).cast("long")
-    cores = F.greatest(work + shared * F.col("cores"), 3 * F.col("cores")).cast("long")
-    return sharded.join(limits, "cores").select(*keys, nodes.alias("nodes"), cores.alias("cores_needed"))
+    return nodes, F.greatest(work + shared * F.col("cores"), 3 * F.col("cores")).cast("long")
 
 
 #: Sizes of a tablet (GB) in the three phases, and tablets a node that end the first two; tablets of a table at most.
@@ -168,13 +179,18 @@ def tablets(size_gb: Column, nodes: Column) -> Column:
     ).cast("long")
 
 
+def all_tablets(sizes: str, nodes: Column) -> Column:
+    """The sum of tablets() of an array of sizes; nulls count as 0."""
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda total, gb: total + tablets(F.coalesce(gb, F.lit(0.0)), nodes))
+
+
 def nodes_with_tablets(sharded: DataFrame, nodes: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("db_id", "cores")) -> DataFrame:
     """keys, tablets, nodes: the nodes that hold the tablets of all sharded tables and indexes, or that the work needs if those are
     more. sharded: keys (cores among them), size_gb, a row for each table and each index; nodes: keys, nodes that the work needs;
     limits: cores, most_tablets."""
     zero = F.coalesce(F.col("size_gb"), F.lit(0)).cast("double")
     counted = sharded.join(nodes, list(keys)).groupBy(*keys).agg(F.sum(tablets(zero, F.col("nodes"))).alias("tablets"))
-    joined = nodes.join(counted, list(keys), "left").join(limits, "cores")
+    joined = nodes.join(counted, list(keys), "left").join(F.broadcast(limits), "cores")
     held = F.coalesce("tablets", F.lit(0).cast("long"))
     return joined.select(*keys, held.alias("tablets"), F.greatest("nodes", nodes_for_tablets(held, F.col("most_tablets"))).alias("nodes"))
 
@@ -233,32 +249,54 @@ def plans(placed: DataFrame, objects: DataFrame, indexes: DataFrame, limits: Dat
     instance type. Strategies: mixed, as placed, and sharded, where nothing is colocated. placed: db_id, cores, schema_name,
     object_name, placement; objects: as for place(); indexes: db_id, schema_name, object_name (their table), size_gb; limits: as
     for place(), and most_tablets, most_sharded: the sharded tables and indexes that the type can hold. failure is null where
-    they are no more than that; other plans hold no tablets. placed and objects are read twice, so they should be stored (cut())."""
-    keys = ("db_id", "strategy", "cores")
+    they are no more than that; other plans hold no tablets."""
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    facts = objects.select(*OBJECT, zero("n_indexes").alias("n_indexes"), (zero("size_gb") + zero("index_gb")).alias("gb"), (zero("reads") + zero("index_reads")).alias("reads"), (zero("writes") + zero("index_writes")).alias("writes"))
-    kept = F.col("placement") == "colocated"
+    facts = objects.select(
+        *OBJECT, F.col("size_gb").cast("double").alias("__own"), zero("n_indexes").alias("n_indexes"), (zero("size_gb") + zero("index_gb")).alias("gb"),
+        (zero("reads") + zero("index_reads")).alias("reads"), (zero("writes") + zero("index_writes")).alias("writes"),
+    )
+    beside = indexes.groupBy(*OBJECT).agg(F.collect_list(F.col("size_gb").cast("double")).alias("__beside"))
+    sizes = F.concat(F.array("__own"), F.coalesce("__beside", F.array().cast("array<double>")))
+    sized = facts.join(beside, OBJECT, "left").withColumn("sizes", sizes).drop("__own", "__beside")
+    return plans_of(placed.select(*OBJECT, "cores", "placement").join(sized, OBJECT).join(F.broadcast(limits), "cores"))
+
+
+def plans_of(placed: DataFrame) -> DataFrame:
+    """plans() of with_placement()'s rows, which have sizes too: an array (GB, double; null counts as 0) of the table's size and
+    those of its indexes; among the limits are most_tablets and most_sharded. Where the rows lie by db_id and cores, they are
+    gone through once: what a database holds stands beside each object, which adds its tablets by both strategies."""
     names = ["n", "n_indexes", "gb", "reads", "writes"]
+    kept, strategies = F.col("placement") == "colocated", ("mixed", "sharded")
+    of_all = ["db_id", "cores", "reads_per_core", "writes_per_core", "most_tablets", "most_sharded"]
+    held = Window.partitionBy("db_id", "cores")
     sums = {f"{x}_{side}": F.sum(F.when(of, F.col(x)).otherwise(0)) for side, of in (("colocated", kept), ("sharded", ~kept)) for x in names}
-    grouped = placed.join(facts.withColumn("n", F.lit(1)), OBJECT).groupBy("db_id", "cores").agg(*[x.alias(name) for name, x in sums.items()])
-    # What the sharded strategy holds follows from the sums as placed.
-    far = F.col("strategy") == "sharded"
-    own = {f"{x}_colocated": F.when(far, 0).otherwise(F.col(f"{x}_colocated")) for x in names}
-    own |= {f"{x}_sharded": F.when(far, F.col(f"{x}_colocated") + F.col(f"{x}_sharded")).otherwise(F.col(f"{x}_sharded")) for x in names}
-    strategies = F.explode(F.array(F.lit("mixed"), F.lit("sharded"))).alias("strategy")
-    summed = cut(grouped.select("*", strategies).select(*keys, *[x.alias(name) for name, x in own.items()]))
-    work = nodes_needed(summed.select(*keys, F.col("reads_sharded").alias("reads"), F.col("writes_sharded").alias("writes"), "n_colocated"), limits, keys)
-    number = F.col("n_sharded") + F.col("n_indexes_sharded")
-    failure = F.when(number > F.col("most_sharded"), F.format_string("%d sharded tables and indexes are more than %d", number, F.col("most_sharded")))
-    judged = summed.join(limits, "cores").select(*keys, *sums, failure.alias("failure")).join(work, list(keys))
-    able = judged.where("failure IS NULL").select(*keys)
-    sized = objects.select(*OBJECT, "size_gb").unionByName(indexes.select(*OBJECT, "size_gb"))
-    each = placed.select(*OBJECT, "cores", F.inline(F.array(F.struct(F.lit("mixed").alias("strategy"), "placement"), F.struct(F.lit("sharded").alias("strategy"), F.lit("sharded").alias("placement")))))
-    parts = each.where(~kept).join(able, list(keys), "left_semi").join(sized, OBJECT).select(*keys, "size_gb")
-    more = nodes_with_tablets(parts, work, limits.select("cores", "most_tablets"), keys).select(*keys, "tablets", F.col("nodes").alias("__nodes"))
-    found = judged.join(more, list(keys))
-    cores = F.when(F.col("__nodes") > F.col("nodes"), F.col("__nodes") * F.col("cores")).otherwise(F.col("cores_needed"))
-    return found.withColumns({"cores_needed": cores, "nodes": F.col("__nodes")}).drop("__nodes")
+    seen = placed.withColumn("n", F.lit(1)).select(*of_all, "placement", "sizes", "gb", *[x.over(held).alias(name) for name, x in sums.items() if not name.startswith("gb")])
+
+    def of_strategy(strategy: str) -> dict[str, Column]:
+        """The sums by a strategy: where all is sharded, that side holds both."""
+        if strategy == "mixed":
+            return {name: F.col(name) for name in sums}
+        return {f"{x}_colocated": F.lit(0) for x in names} | {f"{x}_sharded": F.col(f"{x}_colocated") + F.col(f"{x}_sharded") for x in names}
+
+    def number(own: dict[str, Column]) -> Column:
+        return own["n_sharded"] + own["n_indexes_sharded"]
+
+    def work(own: dict[str, Column]) -> tuple[Column, Column]:
+        return nodes_for_work(own["reads_sharded"], own["writes_sharded"], own["n_colocated"])
+
+    needed = {f"__{x}": F.when((number(of_strategy(x)) <= F.col("most_sharded")) & (F.lit(x == "sharded") | ~kept), work(of_strategy(x))[0]) for x in strategies}
+    counts = {f"__tablets_{x}": F.when(F.col(f"__{x}").isNotNull(), all_tablets("sizes", F.col(f"__{x}"))).otherwise(0) for x in strategies}
+    summed = seen.withColumns(needed).withColumns(counts).groupBy(*of_all).agg(*[(x if name.startswith("gb") else F.max(name)).alias(name) for name, x in sums.items()], *[F.sum(x).alias(x) for x in counts])
+
+    keys = ["db_id", "strategy", "cores"]
+    both = F.array(*[F.struct(F.lit(x).alias("strategy"), *[y.alias(name) for name, y in of_strategy(x).items()], F.col(f"__tablets_{x}").alias("tablets")) for x in strategies])
+    found = summed.select(*of_all, F.inline(both))
+    own = {name: F.col(name) for name in sums}
+    failure = F.when(number(own) > F.col("most_sharded"), F.format_string("%d sharded tables and indexes are more than %d", number(own), F.col("most_sharded")))
+    nodes, cores = work(own)
+    judged = found.withColumns({"failure": failure, "__nodes": nodes, "__cores": cores, "__more": nodes_for_tablets(F.col("tablets"), F.col("most_tablets"))})
+    cores = F.when(F.col("__more") > F.col("__nodes"), F.col("__more") * F.col("cores")).otherwise(F.col("__cores"))
+    return judged.select(*keys, *sums, "failure", F.greatest("__nodes", "__more").alias("nodes"), cores.alias("cores_needed"), "tablets")
 
 
 def best_by_strategy(plans: DataFrame) -> DataFrame:
