@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -322,6 +323,44 @@ def test_word_ids_equal_the_tokenizers():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_new_words_are_merged_together_and_equal_the_tokenizers(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.mergeable(path)
+    encoder, rnd = packing.WordEncoder(path, True), random.Random(5)
+    letters = [*"abcdefghijklmnopqrstuvwxyzETAOIN0123456789.,'$%-_/|<> \n", "'s", "'ll", "'RE", "É", "ß", "ñ", "Œ", "Ǆ", "İ", "ª", "²", "×", "é", "ж", "日", "\t", "\0", "\x85", "\xa0", "\xad"]
+    some = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    some += ["", " ", "x", " ".join(f"{x}ing{rnd.choice('.,')}" for x in vocabulary(rnd, 3000)), "ab" * 5000, "<|endoftext|> İ a", *map(chr, range(0x250)), *(f"a{chr(x)}'s" for x in range(0x250))]
+    want = [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in some]
+    alone, word = [], encoder._word
+    encoder.words.make = lambda x: alone.append(x) or word(x)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_some(some)] == want
+    assert not any(x and x.isascii() and x.isprintable() for x in alone)  # before: every word that was new
+    monkeypatch.setattr(packing, "TOGETHER", 50)
+    encoder.words.most = encoder.words.room = 4000  # forgets again and again
+    encoder.words.clear()
+    assert [np.frombuffer(encoder.encode(x), "<u4").tolist() for x in some] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_some(some)] == want
+
+
+def test_words_are_merged_together_only_where_tokens_come_of_themselves(tmp_path):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        read = json.load(file)
+    bytes_ = [*packing.BYTES.values()]
+    names = [*bytes_, *(x + "</w>" for x in bytes_)]
+
+    def written(name, pairs, **change):
+        vocabulary = {x: k for k, x in enumerate([*names, *("".join(x.split(" ")) for x in pairs)])}
+        (tmp_path / name).write_text(json.dumps(read | change | {"model": read["model"] | {"vocab": vocabulary, "merges": pairs}}), encoding="utf-8")
+        return str(tmp_path / name)
+
+    good = written("good.json", ["a b", "ab c</w>", "b c"])
+    assert packing.mergeable(good)
+    assert packing.WordEncoder(good, True).encode_some(["ABC bcabc, abd"]) == [packing.WordEncoder(good).encode("ABC bcabc, abd")]
+    # abc can't come of its own characters, for b and c are merged first: tiktoken would join a and bc to it, the tokenizer doesn't
+    assert not packing.mergeable(written("never.json", ["b c</w>", "a b", "ab c</w>"]))
+    assert not packing.mergeable(written("cased.json", ["a b"], normalizer=None))
+
+
 def tiktoken_encoding():
     import tiktoken
 
