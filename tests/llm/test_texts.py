@@ -358,6 +358,7 @@ def test_words_are_merged_together_only_where_tokens_come_of_themselves(tmp_path
     assert packing.WordEncoder(good, True).encode_some(["ABC bcabc, abd"]) == [packing.WordEncoder(good).encode("ABC bcabc, abd")]
     # abc can't come of its own characters, for b and c are merged first: tiktoken would join a and bc to it, the tokenizer doesn't
     assert not packing.mergeable(written("never.json", ["b c</w>", "a b", "ab c</w>"]))
+    assert not packing.mergeable(written("spelled.json", ["/ w", "/w >", "< /w>"]))
     assert not packing.mergeable(written("cased.json", ["a b"], normalizer=None))
 
 
