@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,46 @@ def test_conflicts_in_flight_are_those_of_a_simulation(spark, tmp_path, rows, gr
         assert spark.read.format("statestore").option("path", str(tmp_path / "out/progress")).option("stateVarName", name).load().isEmpty()
 
 
+def test_a_report_covers_changes_by_vsn_whatever_order_they_came_in(spark, tmp_path):
+    rows = [(0, 5, "d", "p0", "a", None, 1, None), (1, 3, "d", "p1", "a", None, 1, None), (2, None, None, None, None, None, 1, 3), (3, 6, "c", "p2", None, "a", 1, None), (4, 4, "c", "p3", None, "a", 1, None)]
+    df = spark.createDataFrame(rows, "seq long, vsn long, op string, pkey string, before_bucket string, after_bucket string, channel int, applied long")
+    for segment in (9, 2):
+        path = str(tmp_path / str(segment))
+        run.write_in_order(df, f"{path}/log", "seq", segment)
+        with state.state_store(spark):
+            found = run.to_table(spark, state.conflicts_in_flight(run.read_in_order(spark, f"{path}/log", df.schema), 2), path=f"{path}/out")
+        assert [tuple(r) for r in found.collect()] == [(6, "a", 5, 1)]
+
+
+def test_groups_are_dealt_evenly_and_get_changes_in_packs(spark):
+    keys = spark.createDataFrame([(k,) for k in state.group_keys(24)], "k int")
+    for n in (3, 4, 8, 12, 24):
+        assert {r["count"] for r in keys.groupBy(F.pmod(F.hash("k"), F.lit(n))).count().collect()} == {24 // n}
+    rows = spark.range(0, 20_000, 1, 2).select(F.when(F.col("id") % 10 > 0, F.col("id") % 5).cast("int").alias("part"), F.col("id").alias("seq"), F.col("id").alias("vsn"), F.lit("p").alias("pkey"), F.lit(1).alias("channel"), F.lit(True).alias("asks"), F.lit("b").alias("bucket"), F.lit(7).cast("long").alias("applied"))
+    packs = state._packs(rows, 5).collect()
+    assert len(packs) == 2 * 5  # of two tasks
+    for g, key in enumerate(state.group_keys(5)):
+        mine = [x for x in packs if x["part"] == key]
+        assert sorted(state._unpacked([x["changes"] for x in mine], state.CHANGES)["seq"].to_pylist()) == [k for k in range(20_000) if k % 10 and k % 5 == g]
+        assert sorted(state._unpacked([x["reports"] for x in mine], state.REPORTS)["seq"].to_pylist()) == list(range(0, 20_000, 10))
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 20])
+def test_blockers_are_those_of_plain_loops(monkeypatch, pairs):
+    monkeypatch.setattr(state, "PAIRS", pairs)
+    rnd = random.Random(pairs)
+    for size in (0, 1, 40, 300):
+        some = lambda n, most: np.array([rnd.randrange(most) for _ in range(n)], np.int64)
+        channel, seq, vsn, r_channel, r_seq, applied = some(size, 4), some(size, 90), some(size, 90), some(size // 2, 5), some(size // 2, 90), some(size // 2, 99)
+        ends = state._first_reports(channel, seq, vsn, r_channel, r_seq, applied)
+        assert ends.tolist() == [min((int(s) for c, s, a in zip(r_channel, r_seq, applied) if c == channel[k] and s >= seq[k] and a >= vsn[k]), default=state.END) for k in range(size)]
+        bucket, pkey, asks = some(size, 3), some(size, 4), tuple(some(size, x) for x in (4, 90, 90, 4))
+        most, n = state._blockers(asks, (bucket, seq, vsn, pkey), ends)
+        for k, (b, s, v, p) in enumerate(zip(*asks)):
+            want = [int(vsn[j]) for j in range(size) if bucket[j] == b and seq[j] < s <= ends[j] and vsn[j] < v and pkey[j] != p]
+            assert n[k] == len(want) and most[k] == max(want, default=state.BEGIN)
+
+
 def test_segments_in_order(spark, tmp_path):
     assert run.write_in_order(spark.range(0), str(tmp_path / "a"), "id", 10) == 1
     assert run.write_in_order(spark.range(5, 36), str(tmp_path / "b"), "id", 10) == 4
