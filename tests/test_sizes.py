@@ -82,6 +82,14 @@ def test_long_change_logs_are_sorted_in_small_parts_and_read_in_order(spark, tmp
     assert {lane: sum(r.n_events for r in sizes if r.lane == lane) for lane in range(2)} == {0: 500, 1: 500} and max(r.n_events for r in sizes) <= 60
 
 
+@pytest.mark.parametrize("n", [0, 40])
+def test_a_lane_without_events_is_an_empty_log(spark, tmp_path, n):
+    log = spark.range(n).select(F.col("id").alias("vsn"), F.lit("c").alias("op"), F.lit(2).alias("lane"))
+    changelog.write_change_log(log, str(tmp_path / "log"), rows=15, partitions=1, lane="lane", lanes=4)
+    streams = [changelog.read_change_log(spark, str(tmp_path / f"log/lane={k}"), streaming=True, files_per_batch=1)[0] for k in range(4)]
+    assert sorted((r.lane, r.n_events) for r in run.batch_sizes(spark, *streams).collect()) == ([(2, 10), (2, 15), (2, 15)] if n else [])
+
+
 def test_keys_that_repeat_count_once_and_sides_are_not_made_distinct_whole(spark):
     one, two = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in ([1, 1, 2, None, None], [2, 3, 3]))
     got = validate.key_difference(one, two, ["k"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import ENVELOPE
-from .shared import now_ms, put_in_order
+from .shared import make_folder, now_ms, put_in_order
 
 END = "\\."
 
@@ -29,10 +29,11 @@ def read_change_log(spark: SparkSession, path: str, streaming: bool = False, fil
 SORTED = 250_000
 
 
-def write_change_log(events: DataFrame, path: str, rows: int = 1_000_000, partitions: int | None = None, lane: str | None = None) -> None:
+def write_change_log(events: DataFrame, path: str, rows: int = 1_000_000, partitions: int | None = None, lane: str | None = None, lanes: int = 0) -> None:
     """In segments of at most so many events, in order of vsn within and across files, which streams take in that order too. A
     task sorts about SORTED events: of a long log there are more partitions than asked for. lane: a column of whole numbers,
-    which isn't written; each lane is a log by itself, in the folder lane=number."""
+    which isn't written; each lane is a log by itself, in the folder lane=number. The first so many lanes have a folder even if no
+    event is theirs, so that streams over them can begin."""
     spark, began = events.sparkSession, now_ms()
     n = max(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // SORTED))
     order = [x for x in (lane, "vsn") if x]
@@ -41,4 +42,6 @@ def write_change_log(events: DataFrame, path: str, rows: int = 1_000_000, partit
     lines = ordered.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value"), *([F.col(lane).alias("lane")] if lane else []))
     writer = lines.write.option("maxRecordsPerFile", rows)
     (writer.partitionBy("lane") if lane else writer).text(path)
+    for k in range(lanes):
+        make_folder(spark, f"{path}/lane={k}")
     put_in_order(spark, path, began, lambda name: [int(x) for x in re.search(r"part-(\d+)-.*[.-]c(\d+)[^/]*$", name).groups()])

@@ -32,6 +32,12 @@ def delete(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A folder of that path, in any file system that Spark knows, if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once into a Parquet folder in the shared folder, its lineage cut. Unlike checkpoint(), what is read again
     brings no constraints along, which in loops would double with every turn."""
